@@ -165,7 +165,7 @@ WHERE l_returnflag = '{flag}' AND l_quantity > 10 GROUP BY 1, 2"""
 
 @bind("j15_mask_difference", f"""WITH a AS ({half_masks('A')}), b AS ({half_masks('R')}),
 j AS (SELECT coalesce(a.y, b.y) AS y, coalesce(a.x, b.x) AS x, a.label AS la, b.label AS lb FROM a FULL JOIN b ON a.y = b.y AND a.x = b.x),
-w AS (SELECT y // 10 AS r, x // 10 AS c, count(la) >= count(lb) AS f FROM j GROUP BY 1, 2)
+w AS (SELECT y // 10 AS r, x // 10 AS c, count(la) > count(lb) AS f FROM j GROUP BY 1, 2)
 SELECT y, x, CASE WHEN f THEN coalesce(la, 0) ELSE coalesce(lb, 0) END AS label FROM j JOIN w ON y // 10 = r AND x // 10 = c
 WHERE coalesce(la, 0) <> coalesce(lb, 0) AND CASE WHEN f THEN coalesce(la, 0) ELSE coalesce(lb, 0) END > 0""")
 def j15(spark, d):

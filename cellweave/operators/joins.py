@@ -128,13 +128,13 @@ def counts_as_colours(counts: DataFrame, column: str) -> DataFrame:
 def type_by_pattern(
     df: DataFrame, conditions: DataFrame, markers: Sequence[str], cell_type: str = "cell_type", default: str = "Others"
 ) -> DataFrame:
-    """Boolean pattern to cell type. A pattern table has at most 2^k rows for k markers.
+    """Boolean pattern to cell type.
 
-    The patterns present are typed first, so the hot pattern is joined once, not once per cell; then the
-    types return by a broadcast bounded by the 2^k patterns (k <= 16), otherwise by a plain join.
+    The condition table is reduced to one row per pattern, so it has at most 3^k rows for k markers;
+    up to ten markers it is broadcast, beyond that an ordinary join is planned.
     """
-    table = conditions.select(*markers, cell_type)
-    small = F.broadcast(table) if len(markers) <= 16 else table
+    table = conditions.groupBy(*markers).agg(F.min(cell_type).alias(cell_type))
+    small = F.broadcast(table) if len(markers) <= 10 else table
     return df.join(small, list(markers), "left").withColumn(cell_type, F.coalesce(cell_type, F.lit(default)))
 
 
@@ -170,8 +170,8 @@ def mask_difference(
 ) -> DataFrame:
     """Pixels where two masks differ, labelled by the mask with more foreground.
 
-    The winner is chosen per block of ``block`` pixels, or once for the whole image; the first mask wins
-    ties. Foreground counts are a separate small aggregate, so no block is windowed in one task.
+    The winner is chosen per block of ``block`` pixels, or once for the whole image; the second mask
+    wins ties. Foreground counts are a separate small aggregate, so no block is windowed in one task.
     """
     a = first.where(F.col(label) > 0).select(*keys, F.col(label).alias("_a"))
     b = second.where(F.col(label) > 0).select(*keys, F.col(label).alias("_b"))
@@ -183,7 +183,7 @@ def mask_difference(
         both, tile = both.withColumn("_r", F.lit(0)), ["_r"]
     extra = [k for k in keys if k not in (y, x)]
     tile = extra + tile
-    win = both.groupBy(*tile).agg((F.count("_a") >= F.count("_b")).alias("_first"))
+    win = both.groupBy(*tile).agg((F.count("_a") > F.count("_b")).alias("_first"))
     joined = both.join(F.broadcast(win) if not block and not extra else win, tile)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     differs = zero("_a") != zero("_b")

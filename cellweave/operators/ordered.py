@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+FAN = 16
 
 
 def clean(df: DataFrame, value: str) -> DataFrame:
@@ -35,45 +35,79 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: Column |
     return clean(df, value).groupBy(*by, value).agg(n.alias("n"))
 
 
-def with_bucket(df: DataFrame, by: Sequence[str], order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``: rank of the sketched quantile interval of ``order`` within ``by``."""
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    number = F.col(order) if dict(df.dtypes)[order] not in ("timestamp", "timestamp_ntz", "date") else (
-        F.unix_micros(F.col(order).cast("timestamp"))
-    )
-    marked = df.withColumn("_x", number)
-    cuts = marked.groupBy(*by).agg(F.percentile_approx("_x", probs, F.lit(20 * buckets)).alias("_cuts"))
-    joined = marked.join(cuts, list(by))
-    bucket = F.size(F.filter(F.array_distinct(F.col("_cuts")), lambda c: c < F.col("_x")))
-    return joined.withColumn("_bucket", bucket).drop("_cuts", "_x")
+def attach_small(df: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int = 100_000) -> DataFrame:
+    """Attach per-group values without shuffling ``df`` on its (few, hot) group keys.
+
+    One row without keys is broadcast as it is. With keys the small side is read up to ``max_rows``
+    rows; within that bound it is broadcast, beyond it an ordinary join is planned.
+    """
+    if not keys:
+        return attach_one_row(df, small)
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df.join(small, list(keys))
+    local = df.sparkSession.createDataFrame(rows, small.schema)
+    return df.join(F.broadcast(local), list(keys))
+
+
+def with_bucket(df: DataFrame, order: str, fan: int = FAN) -> DataFrame:
+    """Add ``_bucket``: which of ``fan * fan`` sketched quantile intervals holds ``order``.
+
+    The cut points are one row of ``fan * fan - 1`` numbers over all groups; used together with the
+    group keys no (group, bucket) holds more than its share of the rows. The interval is found in two
+    steps of ``fan`` comparisons.
+    """
+    n = fan * fan
+    dtype = dict(df.dtypes)[order]
+    number = F.unix_micros(F.col(order).cast("timestamp")) if dtype.startswith(("timestamp", "date")) else F.col(order)
+    marked = df.withColumn("_x", number.cast("double"))
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = marked.agg(F.percentile_approx("_x", probs, F.lit(10 * n)).alias("_cuts"))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda k: F.get(F.col("_cuts"), k * fan - 1))
+    joined = attach_one_row(marked, cuts)
+    joined = joined.withColumn("_c", F.size(F.filter(coarse, lambda c: c < F.col("_x"))))
+    fine = F.slice(F.col("_cuts"), F.col("_c") * fan + 1, F.lit(fan - 1))
+    bucket = F.col("_c") * fan + F.size(F.filter(fine, lambda c: c < F.col("_x")))
+    return joined.withColumn("_bucket", bucket).drop("_cuts", "_x", "_c")
 
 
 def running_sum(
-    df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, str], buckets: int = BUCKETS
+    df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, str], totals: bool = False,
+    following: str | None = None, fan: int = FAN,
 ) -> DataFrame:
-    """Inclusive running sums ``{out: column}`` along ``order`` within ``by``."""
+    """Inclusive running sums ``{out: column}`` along ``order`` within ``by``.
+
+    ``totals`` adds ``<out>_total``; ``following`` adds the next value of ``order`` under that name.
+    """
     src, keys = _by(df, by)
-    cut = with_bucket(src, keys, order, buckets)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    offsets = totals.select(
+    cut = with_bucket(src, order, fan)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    edge = Window.partitionBy(*keys).orderBy("_bucket")
+    before = edge.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    ends = cut.groupBy(*keys, "_bucket").agg(
+        *[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()], F.min(order).alias("_first"))
+    extra = [F.sum(f"_t_{o}").over(whole).alias(f"{o}_total") for o in sums] if totals else []
+    if following:
+        extra.append(F.lead("_first").over(edge).alias("_next"))
+    offsets = ends.select(
         *keys, "_bucket",
-        *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums],
-    )
-    local = cut.withColumns({o: F.sum(c).over(inside) for o, c in sums.items()})
+        *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums], *extra)
+    local = cut.withColumns({o: F.sum(c).over(upto) for o, c in sums.items()})
+    if following:
+        local = local.withColumn(following, F.lead(order).over(inside))
     out = local.join(offsets, [*keys, "_bucket"])
     out = out.withColumns({o: F.col(o) + F.col(f"_o_{o}") for o in sums})
+    if following:
+        out = out.withColumn(following, F.coalesce(F.col(following), F.col("_next"))).drop("_next")
     return out.drop("_bucket", "_all", *[f"_o_{o}" for o in sums])
 
 
-def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """``(by, value, n, upto, total)`` from value counts; ``upto`` counts rows <= value."""
-    run = running_sum(counts, by, value, {"upto": "n"}, buckets)
-    src, keys = _by(counts, by)
-    totals = src.groupBy(*keys).agg(F.sum("n").alias("total"))
-    run, _ = _by(run, by)
-    return run.join(totals, keys).drop("_all")
+    run = running_sum(counts, by, value, {"upto": "n"}, totals=True)
+    return run.withColumnRenamed("upto_total", "total")
 
 
 def quantiles(
@@ -111,7 +145,7 @@ def quantiles(
 
 
 def neighbour_rows(
-    df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, tuple[str, int]], buckets: int = BUCKETS
+    df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, tuple[str, int]]
 ) -> DataFrame:
     """``lag`` (-1) and ``lead`` (+1) along ``order``: ``{out: (column, step)}``.
 
@@ -119,7 +153,7 @@ def neighbour_rows(
     table of bucket ends. Rows of one group must differ in ``order``.
     """
     src, keys = _by(df, by)
-    cut = with_bucket(src, keys, order, buckets)
+    cut = with_bucket(src, order)
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     edge = Window.partitionBy(*keys).orderBy("_bucket")
     names = sorted({c for c, _ in columns.values()})
@@ -145,13 +179,13 @@ def neighbour_rows(
                        *[f"_{k}_{c}" for k in "pn" for c in names])
 
 
-def ordered_fill(df: DataFrame, by: Sequence[str], order: str, value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Last non-null ``value`` at or before the row along ``order``."""
+def ordered_fill(df: DataFrame, by: Sequence[str], order: str, value: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Last non-null ``value`` at or before the row along ``order`` (then ``ties``)."""
     src, keys = _by(df, by)
-    cut = with_bucket(src, keys, order, buckets)
-    w = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = with_bucket(src, order)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.when(F.col(value).isNotNull(), F.col(order))
+    known = F.when(F.col(value).isNotNull(), F.struct(order, *ties))
     ends = cut.groupBy(*keys, "_bucket").agg(F.max_by(F.col(value), known).alias("_end"))
     carry = ends.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     local = cut.withColumn(value, F.last(value, ignorenulls=True).over(w))

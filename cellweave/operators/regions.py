@@ -119,7 +119,6 @@ def intensity_stats(
     counts = pixels.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_n"))
     v, n = F.col(value), F.col("_n")
-    above = (lambda c: c) if cutoff is None else None
 
     def block(cond, tail):
         pick = lambda c: F.when(cond, c) if cond is not None else c
