@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def valid_spots(spots: DataFrame, obj: str = "mask_id", value: str = "channel_intensity") -> DataFrame:
@@ -91,21 +92,25 @@ def hull_area(ys: np.ndarray, xs: np.ndarray) -> float:
 def solidity(pixels: DataFrame, keys: Sequence[str] = (), label: str = "label", y: str = "y", x: str = "x") -> DataFrame:
     """A5: object area over convex hull area (hull of the pixel squares).
 
-    Pixels are first reduced to the ends of each object row. A group thus holds at most two points per
-    image row, whatever the object's area, and its size is bounded by the image height.
+    Pixels are first reduced to the ends of each object row. An object thus carries two numbers per
+    image row, whatever its area; hulls are computed for whole Arrow batches of objects.
     """
     ends = row_ends(pixels, keys, label, y, x)
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in ends.select(*keys, label).schema]
-                       + ["area bigint", "hull_area double", "solidity double"])
-    names = [*keys, label]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ys = np.concatenate([pdf[y].to_numpy(float)] * 2)
-        xs = np.concatenate([pdf["x0"].to_numpy(float), pdf["x1"].to_numpy(float)])
-        area, hull = int(pdf["n"].sum()), hull_area(ys, xs)
-        return pdf[names].head(1).assign(area=area, hull_area=hull, solidity=area / hull)
-
-    return ends.groupBy(*names).applyInPandas(one, schema)
+    packed = ends.groupBy(*keys, label).agg(
+        F.sum("n").alias("area"),
+        F.collect_list(F.array(F.col(y).cast("double"), F.col("x0").cast("double"), F.col("x1").cast("double"))).alias("_rows"))
+
+    def hulls(rows: pd.Series) -> pd.Series:
+        out = []
+        for r in rows:
+            a = np.array([np.asarray(v, dtype=float) for v in r])
+            out.append(hull_area(np.concatenate([a[:, 0], a[:, 0]]), np.concatenate([a[:, 1], a[:, 2]])))
+        return pd.Series(out, dtype=float)
+
+    hull = F.pandas_udf(hulls, T.DoubleType())
+    spread = packed.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, label)
+    return spread.withColumn("hull_area", hull("_rows")).select(
+        *keys, label, "area", "hull_area", (F.col("area") / F.col("hull_area")).alias("solidity"))
 
 
 def intensity_stats(
