@@ -45,6 +45,19 @@ def rounded(df, digits=6, skip=()):
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") and c not in skip else F.col(c) for c, t in df.dtypes])
 
 
+def disk_sql(r):
+    return f"(SELECT a, b FROM (SELECT unnest(range(-{r}, {r + 1})) AS a) s, (SELECT unnest(range(-{r}, {r + 1})) AS b) t WHERE a * a + b * b <= {r * r})"
+
+
+SQUARE = "(SELECT a, b FROM (SELECT unnest(range(-2, 3)) AS a) s, (SELECT unnest(range(-2, 3)) AS b) t)"
+
+
+def filt(how, r, src="p", offsets=None):
+    return f"""SELECT q.y, q.x, {how}(p.label) AS v FROM (SELECT y, x, a, b, (SELECT max(y) FROM {src}) AS h FROM {src}, {offsets or disk_sql(r)}) q JOIN {src} p
+ON p.y = (CASE WHEN q.y + a < 0 THEN -1 - (q.y + a) WHEN q.y + a > h THEN 2 * h + 1 - (q.y + a) ELSE q.y + a END)
+AND p.x = (CASE WHEN q.x + b < 0 THEN -1 - (q.x + b) WHEN q.x + b > {N * 8 - 1} THEN {2 * N * 8 - 1} - (q.x + b) ELSE q.x + b END) GROUP BY 1, 2"""
+
+
 @bind("a4_shape_table", f"""WITH g AS (SELECT label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1,
 var_pop(y) + 1 / 12::DOUBLE AS a, var_pop(x) + 1 / 12::DOUBLE AS b, covar_pop(y, x) AS c FROM ({LAB}) WHERE label > 0 GROUP BY 1),
 e AS (SELECT *, sqrt((a - b) / 2 * (a - b) / 2 + c * c) AS r FROM g), l AS (SELECT *, (a + b) / 2 + r AS l1, greatest((a + b) / 2 - r, 0) AS l2 FROM e)
@@ -116,9 +129,7 @@ def t1b(spark, d):
     return tl.needed_halo(lab(spark, d), 8, multiple=4)
 
 
-@bind("t1_halo_exchange", f"""WITH p AS ({PX}), n AS (SELECT max(y) AS h FROM p), q AS (SELECT y, x, o.a, w.b, h FROM p, n, (SELECT unnest(range(-2, 3)) AS a) o, (SELECT unnest(range(-2, 3)) AS b) w),
-m AS (SELECT q.y, q.x, sum(p.value) AS value FROM q JOIN p ON p.y = (CASE WHEN q.y + a < 0 THEN -1 - (q.y + a) WHEN q.y + a > h THEN 2 * h + 1 - (q.y + a) ELSE q.y + a END)
-AND p.x = (CASE WHEN q.x + b < 0 THEN -1 - (q.x + b) WHEN q.x + b > {N * 8 - 1} THEN {2 * N * 8 - 1} - (q.x + b) ELSE q.x + b END) GROUP BY 1, 2) SELECT * FROM m""")
+@bind("t1_halo_exchange", f"""WITH p AS (SELECT y, x, value AS label FROM ({PX})), m AS ({filt('sum', 2, offsets=SQUARE)}) SELECT y, x, v AS value FROM m""")
 def t1c(spark, d):
     square = [(a, b) for a in range(-2, 3) for b in range(-2, 3)]
     import numpy as np
@@ -174,16 +185,6 @@ def t6(spark, d):
     return tl.to_pixels(kn.subtract_background(tiles(spark, d), 8, 3.0), 8)
 
 
-def disk_sql(r):
-    return f"(SELECT a, b FROM (SELECT unnest(range(-{r}, {r + 1})) AS a) s, (SELECT unnest(range(-{r}, {r + 1})) AS b) t WHERE a * a + b * b <= {r * r})"
-
-
-def filt(how, r, src="p"):
-    return f"""SELECT q.y, q.x, {how}(p.label) AS v FROM (SELECT y, x, a, b, (SELECT max(y) FROM {src}) AS h FROM {src}, {disk_sql(r)}) q JOIN {src} p
-ON p.y = (CASE WHEN q.y + a < 0 THEN -1 - (q.y + a) WHEN q.y + a > h THEN 2 * h + 1 - (q.y + a) ELSE q.y + a END)
-AND p.x = (CASE WHEN q.x + b < 0 THEN -1 - (q.x + b) WHEN q.x + b > {N * 8 - 1} THEN {2 * N * 8 - 1} - (q.x + b) ELSE q.x + b END) GROUP BY 1, 2"""
-
-
 @bind("t7_outline", f"""WITH p AS ({LAB}), d AS ({filt('max', 1)}), e AS ({filt('min', 2)})
 SELECT p.y, p.x, CAST(CASE WHEN d.v = e.v THEN 0 ELSE label END AS DOUBLE) AS label FROM p JOIN d ON p.y = d.y AND p.x = d.x JOIN e ON p.y = e.y AND p.x = e.x""")
 def t7(spark, d):
