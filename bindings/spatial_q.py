@@ -71,9 +71,9 @@ def points9(spark, d):
         "o_orderkey", "o_custkey % 113 / 2.0D + 0.137D x", "o_totalprice / 10000.0D + 0.00001D y")
 
 
-@bind("j9_points_in_shapes", HITS + ' SELECT o_orderkey, id AS "Id" FROM h')
+@bind("j9_points_in_shapes", HITS + ' SELECT o_orderkey, id AS roi_id FROM h')
 def j9(spark, d):
-    return sp.points_in_shapes(points9(spark, d), sp.normalise_rois(rois(spark, d)), 4.0).select("o_orderkey", "Id")
+    return sp.points_in_shapes(points9(spark, d), sp.normalise_rois(rois(spark, d)), 4.0).select("o_orderkey", "roi_id")
 
 
 @bind("j10_include_exclude", HITS + """, g AS (SELECT o_orderkey, bool_or(NOT exc) AS i, bool_or(exc) AS e FROM h GROUP BY 1)
@@ -81,7 +81,7 @@ SELECT p.o_orderkey, coalesce(i AND NOT e, FALSE) AS selected FROM p LEFT JOIN g
 def j10(spark, d):
     p = points9(spark, d)
     hits = sp.points_in_shapes(p, sp.normalise_rois(rois(spark, d)), 4.0)
-    return sp.include_exclude(p, hits, "o_orderkey", F.col("Text").contains("exclude")).select("o_orderkey", "selected")
+    return sp.include_exclude(p, hits, "o_orderkey", F.col("roi_text").contains("exclude")).select("o_orderkey", "selected")
 
 
 @bind("j11_radius_neighbours", f"""WITH p AS ({PTS}) SELECT a.vec_id AS src, b.vec_id AS dst, round(sqrt({d2()}), 8) AS dist

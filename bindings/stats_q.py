@@ -300,7 +300,7 @@ def w9b(spark, d):
 
 
 @bind("w9_threshold_levels", """WITH l AS (SELECT l_returnflag, min(l_quantity) AS lo, max(l_quantity) AS hi, avg(l_quantity) AS t FROM lineitem GROUP BY 1),
-c AS (SELECT l_returnflag, lo, hi, least(greatest(t, lo + 0.1 * (hi - lo)), hi - 0.1 * (hi - lo)) + -0.2 * (hi - lo) AS t FROM l)
+b AS (SELECT l_returnflag, lo, hi, lo + 0.1 * (hi - lo) AS l, hi - 0.1 * (hi - lo) AS h, t FROM l), c AS (SELECT l_returnflag, lo, hi, least(greatest(least(greatest(t, l), h) + -0.2 * (hi - lo), l), h) AS t FROM b)
 SELECT l_returnflag, CAST(k - 2 AS INTEGER) AS level, round(CASE WHEN k < 3 THEN lo + (t - lo) * (k + 1) / 3 ELSE t + (hi - t) * (k - 2) / 3 END, 6) AS threshold FROM c, (SELECT unnest(range(5)) AS k)""")
 def w9c(spark, d):
     lim = li(spark, d).groupBy("l_returnflag").agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.avg("l_quantity").alias("threshold"))

@@ -305,7 +305,7 @@ def w10(spark, d):
 @bind("w10_relaxed_spacing")
 def w10b(spark, d):
     p = table(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice", "o_custkey % 997 x", "o_orderkey % 991 y")
-    return cp.peaks_with_relaxed_spacing(p, "o_orderkey", "o_totalprice", 50, 160)
+    return cp.peaks_with_relaxed_spacing(p, "o_orderkey", "o_totalprice", 50, 120)
 
 
 @bind("x1_user_stats", f"""SELECT label, max(value) - min(value) AS spread, count(*) FILTER (WHERE value > 10) AS bright FROM ({LAB}) WHERE label > 0 GROUP BY 1""")

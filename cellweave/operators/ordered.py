@@ -126,21 +126,21 @@ def quantiles(
     hit = F.filter(
         F.transform(wanted, lambda p, i: F.struct(i.alias("i"), p.alias("p"),
                                                   F.floor(pos(p)).alias("lo"), F.ceil(pos(p)).alias("hi"))),
-        lambda s: ((s.lo >= first) & (s.lo <= last)) | ((s.hi >= first) & (s.hi <= last)),
+        lambda e: ((e.lo >= first) & (e.lo <= last)) | ((e.hi >= first) & (e.hi <= last)),
     )
     v = F.col(value).cast("double")
-    rows = run.select(*keys, "total", v.alias("_v"), "upto", "n", F.explode(hit).alias("s"))
-    inside = lambda k: (F.col(f"s.{k}") >= first) & (F.col(f"s.{k}") <= last)
-    out = rows.groupBy(*keys, F.col("s.i").alias("i"), F.col("s.p").alias("p")).agg(
-        F.max(F.when(inside("lo"), F.col("_v"))).alias("a"),
-        F.max(F.when(inside("hi"), F.col("_v"))).alias("b"),
-        F.max(pos(F.col("s.p"))).alias("pos"),
+    rows = run.select(*keys, "total", v.alias("_v"), "upto", "n", F.explode(hit).alias("_h"))
+    inside = lambda k: (F.col(f"_h.{k}") >= first) & (F.col(f"_h.{k}") <= last)
+    out = rows.groupBy(*keys, F.col("_h.i").alias("_i"), F.col("_h.p").alias("p")).agg(
+        F.max(F.when(inside("lo"), F.col("_v"))).alias("_a"),
+        F.max(F.when(inside("hi"), F.col("_v"))).alias("_b"),
+        F.max(pos(F.col("_h.p"))).alias("_pos"),
     )
-    frac = F.col("pos") - F.floor("pos")
-    out = out.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * frac)
+    frac = F.col("_pos") - F.floor("_pos")
+    out = out.withColumn("q", F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
     if not wide:
         return out.select(*by, "p", "q")
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s.q)
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda e: e.q)
     return out.groupBy(*keys).agg(packed.alias("q")).drop("_all")
 
 

@@ -46,27 +46,29 @@ def normalise_rois(rois: DataFrame) -> DataFrame:
 def points_in_shapes(
     points: DataFrame, rois: DataFrame, cell: float, x: str = "x", y: str = "y", salts: int = 16
 ) -> DataFrame:
-    """Pairs of a point row and the ``Id`` of each shape that contains it.
+    """Each point row with ``roi_id, roi_name, roi_text`` of every shape that contains it.
 
     Boxes are cut into grid cells and joined by cell, then the box, then the exact test. The gridded
     shapes are broadcast while they stay within ``SMALL`` rows; beyond that each shape cell is repeated
     ``salts`` times and the points of a cell are spread over the salts, so a crowded cell is split.
     """
     at = lambda c: F.floor(F.col(c) / cell)
-    gridded = rois.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn(
-        "_cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    left = points.withColumns({"_cx": at(x), "_cy": at(y)})
+    named = rois.withColumnsRenamed({c: f"_{c}" for c in rois.columns if c not in ("Id", "Name", "Text")}).withColumnsRenamed(
+        {"Id": "roi_id", "Name": "roi_name", "Text": "roi_text"})
+    gridded = named.withColumn("_gx", F.explode(F.sequence(at("_x0"), at("_x1")))).withColumn(
+        "_gy", F.explode(F.sequence(at("_y0"), at("_y1"))))
+    left = points.withColumns({"_gx": at(x), "_gy": at(y)})
     if gridded.limit(SMALL + 1).count() <= SMALL:
-        joined = left.join(F.broadcast(gridded), ["_cx", "_cy"])
+        joined = left.join(F.broadcast(gridded), ["_gx", "_gy"])
     else:
         spread = gridded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = left.withColumn("_salt", F.pmod(F.hash(*points.columns), F.lit(salts))).join(
-            spread, ["_cx", "_cy", "_salt"]).drop("_salt")
+            spread, ["_gx", "_gy", "_salt"]).drop("_salt")
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    near = joined.where(px.between(F.col("x0"), F.col("x1")) & py.between(F.col("y0"), F.col("y1")))
-    inside = F.when(F.col("kind") == "ellipse", geo.in_ellipse(px, py, F.col("cx"), F.col("cy"), F.col("rx"), F.col("ry"))).when(
-        F.col("kind") == "rectangle", F.lit(True)).otherwise(geo.in_polygon(px, py, F.col("pts")))
-    return near.where(inside).select(*points.columns, "Id", "Name", "Text")
+    near = joined.where(px.between(F.col("_x0"), F.col("_x1")) & py.between(F.col("_y0"), F.col("_y1")))
+    inside = F.when(F.col("_kind") == "ellipse", geo.in_ellipse(px, py, F.col("_cx"), F.col("_cy"), F.col("_rx"), F.col("_ry"))).when(
+        F.col("_kind") == "rectangle", F.lit(True)).otherwise(geo.in_polygon(px, py, F.col("_pts")))
+    return near.where(inside).select(*points.columns, "roi_id", "roi_name", "roi_text")
 
 
 def include_exclude(

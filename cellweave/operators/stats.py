@@ -64,8 +64,8 @@ def finish_histogram(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.select(
         *by, "bin", (F.col("lo") + F.col("bin") * width).alias("left"),
         (F.col("lo") + (F.col("bin") + 1) * width).alias("right"), "n",
-        (F.col("n") / total / width).alias("density"), (100 * F.col("n") / total).alias("percent"),
-        (upto / total).alias("cumulative"))
+        F.try_divide(F.col("n"), total * width).alias("density"), F.try_divide(100 * F.col("n"), total).alias("percent"),
+        F.try_divide(upto, total).alias("cumulative"))
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -120,18 +120,19 @@ def triangle_threshold(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     g = Window.partitionBy(*by)
     nz = F.col("n") > 0
     h = hist.select(
-        *by, "bin", "n", ((F.col("left") + F.col("right")) / 2).alias("centre"),
-        F.max("n").over(g).alias("peak"), F.max("bin").over(g).alias("last"),
-        F.min(F.when(nz, F.col("bin"))).over(g).alias("low"), F.max(F.when(nz, F.col("bin"))).over(g).alias("high"))
-    h = h.withColumn("at", F.min(F.when(F.col("n") == F.col("peak"), F.col("bin"))).over(g))
-    flip = (F.col("at") - F.col("low")) < (F.col("high") - F.col("at"))
-    mirror = lambda c: F.when(flip, F.col("last") - F.col(c)).otherwise(F.col(c))
-    h = h.withColumns({"i": mirror("bin"), "p": mirror("at"),
-                       "s": F.when(flip, F.col("last") - F.col("high")).otherwise(F.col("low"))})
-    width = F.col("p") - F.col("s")
-    length = (F.col("peak") * (F.col("i") - F.col("s")) - width * F.col("n")) / F.sqrt(F.col("peak") * F.col("peak") + width * width)
-    inside = h.where((F.col("i") >= F.col("s")) & (F.col("i") < F.col("p"))).withColumn("length", length)
-    return inside.groupBy(*by).agg(F.max_by("centre", F.struct("length", -F.col("i"))).alias("threshold"))
+        *by, "bin", "n", ((F.col("left") + F.col("right")) / 2).alias("_c"),
+        F.max("n").over(g).alias("_peak"), F.max("bin").over(g).alias("_last"),
+        F.min(F.when(nz, F.col("bin"))).over(g).alias("_low"), F.max(F.when(nz, F.col("bin"))).over(g).alias("_high"))
+    h = h.withColumn("_at", F.min(F.when(F.col("n") == F.col("_peak"), F.col("bin"))).over(g))
+    flip = (F.col("_at") - F.col("_low")) < (F.col("_high") - F.col("_at"))
+    mirror = lambda c: F.when(flip, F.col("_last") - F.col(c)).otherwise(F.col(c))
+    h = h.withColumns({"_i": mirror("bin"), "_p": mirror("_at"),
+                       "_s": F.when(flip, F.col("_last") - F.col("_high")).otherwise(F.col("_low"))})
+    width = F.col("_p") - F.col("_s")
+    run = F.sqrt(F.col("_peak") * F.col("_peak") + width * width)
+    length = F.try_divide(F.col("_peak") * (F.col("_i") - F.col("_s")) - width * F.col("n"), run)
+    inside = h.where((F.col("_i") >= F.col("_s")) & (F.col("_i") < F.col("_p"))).withColumn("_len", length)
+    return inside.groupBy(*by).agg(F.max_by("_c", F.struct("_len", -F.col("_i"))).alias("threshold"))
 
 
 def otsu_threshold(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -139,12 +140,12 @@ def otsu_threshold(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     g = Window.partitionBy(*by)
     up = g.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     c = (F.col("left") + F.col("right")) / 2
-    h = hist.select(*by, "bin", c.alias("centre"), F.sum("n").over(up).alias("w1"), F.sum(F.col("n") * c).over(up).alias("s1"),
-                    F.sum("n").over(g).alias("w"), F.sum(F.col("n") * c).over(g).alias("s"))
-    w2 = F.col("w") - F.col("w1")
-    gap = F.col("s1") / F.col("w1") - (F.col("s") - F.col("s1")) / w2
-    h = h.where((F.col("w1") > 0) & (w2 > 0)).withColumn("var", F.col("w1").cast("double") * w2 * gap * gap)
-    return h.groupBy(*by).agg(F.max_by("centre", F.struct(F.col("var"), -F.col("bin"))).alias("threshold"))
+    h = hist.select(*by, "bin", c.alias("_c"), F.sum("n").over(up).alias("_w1"), F.sum(F.col("n") * c).over(up).alias("_s1"),
+                    F.sum("n").over(g).alias("_w"), F.sum(F.col("n") * c).over(g).alias("_s"))
+    w2 = F.col("_w") - F.col("_w1")
+    gap = F.try_divide(F.col("_s1"), F.col("_w1")) - F.try_divide(F.col("_s") - F.col("_s1"), w2)
+    h = h.where((F.col("_w1") > 0) & (w2 > 0)).withColumn("_var", F.col("_w1").cast("double") * w2 * gap * gap)
+    return h.groupBy(*by).agg(F.max_by("_c", F.struct(F.col("_var"), -F.col("bin"))).alias("threshold"))
 
 
 def threshold_levels(limits: DataFrame, threshold: str = "threshold", centre: float = 0.0) -> DataFrame:
@@ -152,8 +153,7 @@ def threshold_levels(limits: DataFrame, threshold: str = "threshold", centre: fl
     span = F.col("hi") - F.col("lo")
     low, high = F.col("lo") + 0.1 * span, F.col("hi") - 0.1 * span
     t = F.least(F.greatest(F.col(threshold), low), high)
-    shift = F.least(F.greatest(F.lit(float(centre)), (low - t) / span), (high - t) / span) if centre else F.lit(0.0)
-    t = t + shift * span
+    t = F.least(F.greatest(t + float(centre) * span, low), high)
     levels = [F.col("lo") + (t - F.col("lo")) * k / 3 for k in (1, 2, 3)] + [t + (F.col("hi") - t) * k / 3 for k in (1, 2)]
     packed = F.array(*[F.struct(F.lit(i - 2).alias("level"), v.alias("threshold")) for i, v in enumerate(levels)])
     keys = [c for c in limits.columns if c not in ("lo", "hi", threshold)]
@@ -249,11 +249,11 @@ def fit_lines(df: DataFrame, by: Sequence[str], x: str, y: str, weight: str | No
     if weight is None:
         return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
     w, a, b = F.col(weight), F.col(x), F.col(y)
-    s = df.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"),
-                            F.sum(w * a * a).alias("sxx"), F.sum(w * a * b).alias("sxy"))
-    slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return s.withColumn("slope", slope).withColumn(
-        "intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).select(*by, "slope", "intercept")
+    t = df.groupBy(*by).agg(F.sum(w).alias("_n"), F.sum(w * a).alias("_x"), F.sum(w * b).alias("_y"),
+                            F.sum(w * a * a).alias("_xx"), F.sum(w * a * b).alias("_xy"))
+    n, sx, sy = F.col("_n"), F.col("_x"), F.col("_y")
+    t = t.withColumn("slope", F.try_divide(n * F.col("_xy") - sx * sy, n * F.col("_xx") - sx * sx))
+    return t.withColumn("intercept", F.try_divide(sy - F.col("slope") * sx, n)).select(*by, "slope", "intercept")
 
 
 # --- correlation -------------------------------------------------------------------------------
@@ -294,7 +294,7 @@ def histogram_overlap(
         hist = attach_small(hist, cut, []).where(F.col("left") > F.col("q")[0]).drop("q")
     ref = hist.where(F.col(sample) == reference).select("bin", F.col("density").alias("d0"))
     both = hist.where(F.col(sample) != reference).join(ref, "bin")
-    return both.groupBy(sample).agg((F.sum(F.least("density", "d0")) / F.sum(F.greatest("density", "d0"))).alias("iou"))
+    return both.groupBy(sample).agg(F.try_divide(F.sum(F.least("density", "d0")), F.sum(F.greatest("density", "d0"))).alias("iou"))
 
 
 def pooled_steps(df: DataFrame, sample: str, value: str, reference: object, others: Sequence[object]) -> DataFrame:
@@ -317,7 +317,7 @@ def earth_mover(
     """1-Wasserstein distance ``(sample, emd)`` of each other sample to the reference."""
     src = df if cutoff is None else df.where(F.col(value) > cutoff)
     s = pooled_steps(src, sample, value, reference, others)
-    gap = F.abs(F.col("c0") / F.col("c0_total") - F.col("c1") / F.col("c1_total"))
+    gap = F.abs(F.try_divide("c0", "c0_total") - F.try_divide("c1", "c1_total"))
     return s.groupBy(sample).agg(F.sum(gap * (F.coalesce("next", F.col(value)) - F.col(value))).alias("emd"))
 
 
@@ -337,8 +337,9 @@ def cramer_von_mises(df: DataFrame, sample: str, value: str, reference: object,
         F.max("c0_total").alias("n0"), F.max("c1_total").alias("n1"))
     nx, ny = F.col("n0").cast("double"), F.col("n1").cast("double")
     u = nx * F.col("u0") + ny * F.col("u1")
-    t = t.withColumn("statistic", u / (nx * ny * (nx + ny)) - (4 * nx * ny - 1) / (6 * (nx + ny)))
-    return t.select(sample, "statistic", "n0", "n1", _cvm_p("statistic", "n0", "n1").alias("p_value"))
+    t = t.withColumn("statistic", F.try_divide(u, nx * ny * (nx + ny)) - F.try_divide(4 * nx * ny - 1, 6 * (nx + ny)))
+    p = F.udf(lambda s, a, b: None if s is None else float(cvm_tail(s, a, b)), T.DoubleType())  # one row per sample
+    return t.select(sample, "statistic", "n0", "n1", p("statistic", "n0", "n1").alias("p_value"))
 
 
 def cvm_tail(statistic: float, nx: int, ny: int) -> float:
@@ -363,9 +364,6 @@ def cvm_tail(statistic: float, nx: int, ny: int) -> float:
     return max(0.0, min(1.0, 1.0 - total))
 
 
-_cvm_p = F.udf(lambda s, a, b: None if s is None else float(cvm_tail(s, a, b)), T.DoubleType())
-
-
 def match_distribution(df: DataFrame, sample: str, value: str, source: object, reference: object, out: str = "matched") -> DataFrame:
     """Rows of ``source`` with ``value`` mapped onto the distribution of ``reference``.
 

@@ -33,16 +33,20 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only in local mode."""
+    """The folder the cluster names; one of our own only where none is named, in local mode."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named
     if not is_local(spark):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="cellweave-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="cellweave-")
+    return _own_folders[app]
 
 
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
