@@ -99,7 +99,7 @@ def f12(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("label"), "s_name", "s_nationkey")
     c = contours(spark, d).join(s, "label").select("label", F.when(F.col("s_nationkey") != 3, F.concat("s_name", F.lit(" | roi"))).otherwise(F.col("s_name")).alias("name"),
                                                    F.slice("contour", 1, 3).alias("pts"), F.lit(64.0).alias("height"))
-    w = nj.waypoints_by_image(c, "label").select(F.col("label").alias("s_suppkey"), F.from_json("waypoints", "array<struct<Name:string,Zoom:double,Pan:array<double>,Polygon:string>>")[0].alias("w"))
+    w = nj.waypoints(c, "label").select(F.col("label").alias("s_suppkey"), F.from_json("waypoint", "struct<Name:string,Zoom:double,Pan:array<double>,Polygon:string>").alias("w"))
     return w.select("s_suppkey", "w.Name", "w.Zoom", F.round(F.col("w.Pan")[0], 6).alias("pan_x"), F.size(F.split("w.Polygon", ",")).cast("long").alias("n"))
 
 

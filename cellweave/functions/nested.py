@@ -85,11 +85,11 @@ def waypoint(name: Column, points: Column, height: Column, zoom: float = 1.0, gr
         F.lit(group).alias("Group"))
 
 
-def waypoints_by_image(shapes: DataFrame, image: str, must_contain: str | None = " | ", zoom: float = 4.0, group: str = "") -> DataFrame:
-    """per image the JSON array of waypoints of shapes ``(name, pts, height)``, ordered by name.
+def waypoints(shapes: DataFrame, image: str, must_contain: str | None = " | ", zoom: float = 4.0, group: str = "") -> DataFrame:
+    """``(image, name, waypoint)``, one JSON record per shape ``(name, pts, height)`` whose name fits.
 
-    A story holds the shapes somebody drew on one image, which bounds the list.
+    The records of one image stay rows, however many there are; written with ``partitionBy(image)`` they
+    form one story file set per image.
     """
     kept = shapes if must_contain is None else shapes.where(F.col("name").contains(must_contain))
-    rec = kept.select(image, waypoint(F.col("name"), F.col("pts"), F.col("height"), zoom, group).alias("w"))
-    return rec.groupBy(image).agg(F.to_json(F.array_sort(F.collect_list("w"))).alias("waypoints"))
+    return kept.select(image, "name", F.to_json(waypoint(F.col("name"), F.col("pts"), F.col("height"), zoom, group)).alias("waypoint"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.operators.ordered import attach_one_row, ordered_fill, quantiles, running_sum
+from cellweave.operators.ordered import attach_one_row, attach_small, ordered_fill, quantiles, running_sum
 
 NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType)
 
@@ -145,7 +145,7 @@ def gate(df: DataFrame, gates: Mapping[str, float], suffix: str = "+") -> DataFr
 
 def gate_long(df: DataFrame, gates: DataFrame, marker: str = "marker", value: str = "value") -> DataFrame:
     """P16 for many markers: long table joined with a gate table ``(marker, gate)``."""
-    return df.join(gates, marker, "left").withColumn("positive", F.col(value) > F.col("gate"))
+    return attach_small(df, gates, [marker], how="left").withColumn("positive", F.col(value) > F.col("gate"))
 
 
 def flag_contains(df: DataFrame, text_col: str, text: str, flag: str, ordered: bool = True) -> DataFrame:

@@ -35,7 +35,9 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: Column |
     return clean(df, value).groupBy(*by, value).agg(n.alias("n"))
 
 
-def attach_small(df: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int = 100_000) -> DataFrame:
+def attach_small(
+    df: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int = 100_000, how: str = "inner"
+) -> DataFrame:
     """Attach per-group values without shuffling ``df`` on its (few, hot) group keys.
 
     One row without keys is broadcast as it is. With keys the small side is read up to ``max_rows``
@@ -45,9 +47,9 @@ def attach_small(df: DataFrame, small: DataFrame, keys: Sequence[str], max_rows:
         return attach_one_row(df, small)
     rows = small.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return df.join(small, list(keys))
+        return df.join(small, list(keys), how)
     local = df.sparkSession.createDataFrame(rows, small.schema)
-    return df.join(F.broadcast(local), list(keys))
+    return df.join(F.broadcast(local), list(keys), how)
 
 
 def with_bucket(df: DataFrame, order: str, fan: int = FAN) -> DataFrame:
@@ -144,6 +146,25 @@ def quantiles(
     return out.groupBy(*keys).agg(packed.alias("q")).drop("_all")
 
 
+def group_quantiles(
+    counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], most: int = 200_000
+) -> DataFrame:
+    """``(keys, q)``: exact quantiles for very many groups, from value counts ``(keys, value, n)``.
+
+    Groups of at most ``most`` distinct values use the built-in weighted percentile, one shuffle for all of
+    them. Larger groups, few by nature, would fill the memory of one task; they take the bucketed way.
+    """
+    few = F.percentile(F.col(value), [float(p) for p in probs], F.col("n"))
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > most).select(*keys)
+    rows = sizes.limit(100_001).collect()
+    if not rows:
+        return counts.groupBy(*keys).agg(few.alias("q"))
+    large = F.broadcast(counts.sparkSession.createDataFrame(rows, sizes.schema)) if len(rows) <= 100_000 else sizes
+    rest = counts.join(large, list(keys), "left_anti").groupBy(*keys).agg(few.alias("q"))
+    crowded = counts.join(large, list(keys), "left_semi")
+    return rest.unionByName(quantiles(crowded, keys, value, probs, wide=True, counts=crowded))
+
+
 def neighbour_rows(
     df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, tuple[str, int]]
 ) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.operators.ordered import clean, group_quantiles, value_counts
+
 
 def valid_spots(spots: DataFrame, obj: str = "mask_id", value: str = "channel_intensity") -> DataFrame:
     return spots.where((F.col(obj) > 0) & (F.col(value) > 0))
@@ -118,37 +120,30 @@ def intensity_stats(
 ) -> DataFrame:
     """Mean, median and population deviation per object; with ``cutoff`` the same above it.
 
-    Values are counted per object first; the exact median works on those counts, so an object that
-    holds a third of all pixels costs one row per distinct value in the aggregation buffer.
+    Values are counted per object first and the exact median works on those counts; an object with very
+    many distinct values is spread over tasks.
     """
-    counts = pixels.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n"))
-    v, n = F.col(value), F.col("_n")
-
-    def block(cond, tail):
-        pick = lambda c: F.when(cond, c) if cond is not None else c
-        total, s1 = F.sum(pick(n)), F.sum(pick(v * n))
-        mean = s1 / total
-        return [
-            F.coalesce(total, F.lit(0)).alias(f"count{tail}"), mean.alias(f"mean{tail}"),
-            F.percentile(pick(v), 0.5, n).alias(f"median{tail}"),
-        ]
-
-    aggs = block(None, "")
-    if cutoff is not None:
-        aggs += block(v > cutoff, "_above")
-    basic = counts.groupBy(*keys).agg(*aggs)
+    v = F.col(value)
+    counts = value_counts(pixels, keys, value)
+    sums = [F.sum("n").alias("count"), (F.sum(v * F.col("n")) / F.sum("n")).alias("mean")]
     spread = [F.stddev_pop(value).alias("std")]
     if cutoff is not None:
+        n = F.when(v > cutoff, F.col("n"))
+        sums += [F.coalesce(F.sum(n), F.lit(0)).alias("count_above"), (F.sum(v * n) / F.sum(n)).alias("mean_above")]
         spread.append(F.stddev_pop(F.when(v > cutoff, v)).alias("std_above"))
-    return basic.join(pixels.groupBy(*keys).agg(*spread), list(keys))
+    out = counts.groupBy(*keys).agg(*sums).join(clean(pixels, value).groupBy(*keys).agg(*spread), list(keys))
+    half = group_quantiles(counts, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    out = out.join(half, list(keys))
+    if cutoff is None:
+        return out
+    above = group_quantiles(counts.where(v > cutoff), keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median_above"))
+    return out.join(above, list(keys), "left")
 
 
 def intensity_quartiles(pixels: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact quartiles per object and channel, from value counts."""
-    counts = pixels.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    q = counts.groupBy(*keys).agg(F.percentile(value, [0.25, 0.5, 0.75], F.col("_n")).alias("_q"))
-    return q.select(*keys, *[F.col("_q")[i].alias(f"q{i + 1}") for i in range(3)])
+    q = group_quantiles(value_counts(pixels, keys, value), keys, value, [0.25, 0.5, 0.75])
+    return q.select(*keys, *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
 
 
 def keep_largest(parts: DataFrame, keys: Sequence[str], size: str = "area") -> DataFrame:

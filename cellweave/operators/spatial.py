@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import geometry as geo
+from cellweave.session import durable
 
 SMALL = 100_000
 CHUNK = 20_000
@@ -160,18 +161,18 @@ def nearest_neighbours(
     """``(by, src, dst, dist, rank)``, the ``k`` nearest targets of each source; ties by id.
 
     A pyramid of cell counts tells, for each source location, the finest cell around it that holds enough
-    targets. All wanted targets then lie within that cell's diagonal, so only the cells touching that
-    disc are searched: dense regions use small cells, empty ones large cells, and no distance cut-off is
-    needed. At one position only the first ``k`` (+1) ids can matter, which bounds a pile of copies.
+    targets: small cells in dense regions, large ones in empty regions, no distance cut-off. The best of
+    that cell bound the distance, and a second round searches only the cells that touch the disc of that
+    radius. At one position only the first ``k`` (+1) ids can matter, which bounds a pile of copies.
     """
     want = k + 1 if exclude_self else k
     keep = list(by)
-    ask = locations(source, x, y, by).drop("n")
+    ask = durable(locations(source, x, y, by).drop("n"))  # both location tables are read several times
     ranked = target.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(dst_id).alias("_id"))
     ranked = ranked.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     w = Window.partitionBy(*by, "x", "y").orderBy("_id")
-    ans = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= want).groupBy(*by, "x", "y").agg(
-        F.array_sort(F.collect_list("_id")).alias("ids")).withColumn("n", F.size("ids"))
+    ans = durable(ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= want).groupBy(*by, "x", "y").agg(
+        F.array_sort(F.collect_list("_id")).alias("ids")).withColumn("n", F.size("ids")))
 
     box = ask.select("x", "y").unionByName(ans.select("x", "y")).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
@@ -221,25 +222,32 @@ def _location_search(ask: DataFrame, ans: DataFrame, want: int, by: list[str], b
         "l", F.coalesce("l", F.lit(0))).drop("fx", "fy")
     placed = cells(placed, F.col("l"))
 
-    step = F.lit(span) / F.pow(F.lit(2.0), F.col("l"))
-    reach = F.array(*[F.lit(i) for i in range(-2, 3)])
-    placed = placed.withColumn("r2", F.when(F.col("known"), 2 * step * step * (1 + 1e-9)).otherwise(F.lit(float("inf"))))
-    asked = placed.withColumn("_dx", F.explode(reach)).withColumn("_dy", F.explode(reach)).withColumns(
-        {"cx": F.col("cx") + F.col("_dx"), "cy": F.col("cy") + F.col("_dy")}).drop("_dx", "_dy")
-    gap = lambda c, o, i: F.greatest(F.lit(o) + F.col(i) * step - F.col(c), F.col(c) - F.lit(o) - (F.col(i) + 1) * step, F.lit(0.0))
-    near = F.pow(gap("x", box.x0, "cx"), 2) + F.pow(gap("y", box.y0, "cy"), 2) <= F.col("r2")
-    asked = asked.where(near).select(*by, "x", "y", "l", "cx", "cy", "r2")
-
     used = [r.l for r in placed.select("l").distinct().collect()]  # at most depth + 1 numbers
     told = cells(ans.withColumn("l", F.explode(F.array(*[F.lit(v) for v in sorted(used)]))), F.col("l"))
     told = told.select(*by, "l", "cx", "cy", F.col("x").alias("t_x"), F.col("y").alias("t_y"), "ids")
-    key = [*by, "l", "cx", "cy"]
+    key, loc = [*by, "l", "cx", "cy"], [*by, "x", "y"]
     hot = pyramid.where(F.col("l").isin(used) & (F.col("locs") > CHUNK)).select(*key, F.ceil(F.col("locs") / CHUNK).alias("_s"))
-    asked, told, key = spread_hot(asked, told, key, hot, ["x", "y"], ["t_x", "t_y"])
     d2 = F.pow(F.col("x") - F.col("t_x"), 2) + F.pow(F.col("y") - F.col("t_y"), 2)
-    met = asked.join(told, key).withColumn("d2", d2).where(F.col("d2") <= F.col("r2"))
-    first = Window.partitionBy(*by, "x", "y").orderBy("d2", F.col("ids")[0])
-    met = met.select(*by, "x", "y", "d2", "ids").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= want)
-    flat = met.select(*by, "x", "y", "d2", F.explode("ids").alias("_id"))
+
+    def closest(asked):
+        """The ``want`` nearest locations among those in the cells each location asks for."""
+        a, t, on = spread_hot(asked, told, key, hot, ["x", "y"], ["t_x", "t_y"])
+        met = a.join(t, on).withColumn("d2", d2).where(F.col("d2") <= F.col("r2")).select(*loc, "d2", "ids")
+        first = Window.partitionBy(*loc).orderBy("d2", F.col("ids")[0])
+        return met.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= want).drop("_r")
+
+    # Round 1 looks into the own cell only; its farthest hit bounds the disc that round 2 has to search.
+    own = placed.withColumn("r2", F.lit(float("inf")))
+    bound = closest(own).groupBy(*loc).agg((F.max("d2") * (1 + 1e-12)).alias("_b"))
+    step = F.lit(span) / F.pow(F.lit(2.0), F.col("l"))
+    reach = F.array(*[F.lit(i) for i in range(-2, 3)])
+    placed = placed.join(bound, loc, "left").withColumn("r2", F.when(F.col("known"), F.col("_b")).otherwise(F.lit(float("inf"))))
+    asked = placed.withColumn("_dx", F.explode(reach)).withColumn("_dy", F.explode(reach)).withColumns(
+        {"cx": F.col("cx") + F.col("_dx"), "cy": F.col("cy") + F.col("_dy")})
+    gap = lambda c, o, i: F.greatest(F.lit(o) + F.col(i) * step - F.col(c), F.col(c) - F.lit(o) - (F.col(i) + 1) * step, F.lit(0.0))
+    slack = F.lit(span * 1e-12)  # cell borders are rounded numbers
+    near = F.pow(F.greatest(gap("x", box.x0, "cx") - slack, F.lit(0.0)), 2) + F.pow(F.greatest(gap("y", box.y0, "cy") - slack, F.lit(0.0)), 2) <= F.col("r2")
+    asked = asked.where(near).select(*loc, "l", "cx", "cy", "r2")
+    flat = closest(asked).select(*loc, "d2", F.explode("ids").alias("_id"))
     best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "_id"))), 1, want)
-    return flat.groupBy(*by, "x", "y").agg(best.alias("near"))
+    return flat.groupBy(*loc).agg(best.alias("near"))

@@ -129,7 +129,7 @@ def test_spacing_equals_greedy(spark):
         if all(np.max(np.abs(xy[i] - xy[j])) > 6.0 for j in kept):
             kept.append(i)
     assert got == set(kept)
-    assert cp.peaks_with_relaxed_spacing(df, "id", "s", 20, 50).count() == 20
+    assert cp.peaks_with_relaxed_spacing(df, "id", "s", 20, 14).count() == 20
 
 
 def test_spots_found_where_they_are(spark):
