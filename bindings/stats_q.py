@@ -102,13 +102,15 @@ def a16(spark, d):
 @bind("a16_mixture_peaks")
 def a16b(spark, d):
     long = li(spark, d).select("l_returnflag", F.log1p("l_extendedprice").alias("v"))
-    return mx.mixture_table(long, "l_returnflag", "v", ["A", "N", "R"], 2)
+    return mx.mixture_table(long, ["l_returnflag"], "v", 2)
 
 
 @bind("a17_mixture_cutoffs")
 def a17(spark, d):
-    src = li(spark, d).select(F.log1p("l_extendedprice").alias("v"))
-    return mx.cutoffs(spark, mx.fit_mixture(src, "v", 2))
+    src = li(spark, d).select("l_orderkey", F.log1p("l_extendedprice").alias("v"))
+    mix = mx.fit_mixture(src, "v", 2)
+    cuts = F.array(*[F.lit(c) for c in mx.cutoff_values(mix)])
+    return src.select("l_orderkey", mix.component(F.col("v")).alias("component"), F.size(F.filter(cuts, lambda c: c < F.col("v"))).alias("above"))
 
 
 @bind("a18_auto_gate")
@@ -120,7 +122,7 @@ def a18(spark, d):
 
 @bind("a19_channel_windows")
 def a19(spark, d):
-    return mx.channel_windows(li(spark, d), "l_returnflag", "l_extendedprice", ["A", "R"], 2)
+    return mx.channel_windows(li(spark, d), "l_returnflag", "l_extendedprice", 2)
 
 
 @bind("a20_fit_lines", """SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
@@ -162,9 +164,17 @@ def a22(spark, d):
     return o.withColumn("iou", F.round("iou", 8))
 
 
-@bind("a22_histogram_overlap_tail")
+@bind("a22_histogram_overlap_tail", """WITH l AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+q AS (SELECT quantile_cont(l_extendedprice, 0.9) AS q FROM lineitem WHERE l_returnflag = 'A'),
+h AS (SELECT l_returnflag, CAST(least(floor((l_extendedprice - lo) / (hi - lo) * 100), 99) AS INTEGER) AS bin, count(*) AS n FROM lineitem, l GROUP BY 1, 2),
+p AS (SELECT l_returnflag, bin, n / sum(n) OVER (PARTITION BY l_returnflag) AS p FROM h),
+r AS (SELECT * FROM p WHERE l_returnflag = 'A'), o AS (SELECT DISTINCT l_returnflag FROM p WHERE l_returnflag <> 'A'),
+g AS (SELECT o.l_returnflag, b.bin FROM o, (SELECT unnest(range(100)) AS bin) b, l, q WHERE lo + b.bin * ((hi - lo) / 100) > q)
+SELECT g.l_returnflag, round(sum(least(coalesce(p.p, 0), coalesce(r.p, 0))) / sum(greatest(coalesce(p.p, 0), coalesce(r.p, 0))), 8) AS iou
+FROM g LEFT JOIN p ON g.l_returnflag = p.l_returnflag AND g.bin = p.bin LEFT JOIN r ON g.bin = r.bin GROUP BY 1""")
 def a22b(spark, d):
-    return st.histogram_overlap(li(spark, d), "l_returnflag", "l_extendedprice", "A", 100, cutoff_prob=0.9)
+    o = st.histogram_overlap(li(spark, d), "l_returnflag", "l_extendedprice", "A", 100, cutoff_prob=0.9)
+    return o.withColumn("iou", F.round("iou", 8))
 
 
 POOL = """WITH v AS (SELECT l_returnflag AS f, l_extendedprice AS v FROM lineitem WHERE l_extendedprice > {cut}),

@@ -255,11 +255,11 @@ def t10(spark, d):
     return rounded(tl.kernel_density(st.grid_counts(pts, "x", "y", 1)), 9)
 
 
-@bind("t11_block_shifts")
+@bind("t11_block_shifts", f"""SELECT vec_id // {N} AS tile_row, vec_id % {N} AS tile_col, CAST(1 AS DOUBLE) AS dy, CAST(0 AS DOUBLE) AS dx, CAST(0 AS DOUBLE) AS error FROM embeddings""")
 def t11(spark, d):
     t = tiles(spark, d)
     moved = t.withColumn("pixels", F.concat(F.slice("pixels", 57, 8), F.slice("pixels", 1, 56)))
-    return rounded(kn.block_shifts(moved, t))
+    return rounded(kn.block_shifts(moved, t), 5)
 
 
 @bind("t11_class_sums", f"""SELECT cls, y % 3 AS ch, round(sum(value * w), 4) AS weighted_sum, round(sum(CASE WHEN w > 0 THEN value ELSE 0 END), 4) AS support_sum FROM (SELECT *, ((y + x) % 4) / CAST(2 AS DOUBLE) - 0.5 AS w FROM ({PX})) WHERE w <> 0 GROUP BY 1, 2""")

@@ -6,12 +6,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.ordered import clean, quantiles
+from cellweave.operators.ordered import group_quantiles, quantiles, value_counts
+from cellweave.session import durable
+
+MAX_GROUPS = 10_000
+FLOOR = 1e-6  # smallest variance of a component
 
 
 @dataclass(frozen=True)
@@ -24,40 +27,85 @@ class Mixture:
 
     def component(self, v: Column) -> Column:
         """Index of the most probable component."""
-        score = [F.lit(float(_log(w))) - F.lit(float(_log(s))) - F.pow((v - m) / s, 2) / 2
+        score = [F.lit(math.log(w) - math.log(s)) - F.pow((v - m) / s, 2) / 2
                  for w, m, s in zip(self.weights, self.means, self.stds)]
         packed = F.array(*[F.struct(c.alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(score)])
         return -F.array_max(packed).getField("i")
 
 
-def _log(v: float) -> float:
-    return math.log(max(v, 1e-300))
+def fit_mixtures(
+    long: DataFrame, by: Sequence[str], value: str, k: int = 2, max_iter: int = 100, tol: float = 1e-3
+) -> dict[tuple, Mixture]:
+    """One mixture per group, all groups fitted together on all rows.
 
+    Equal values are merged into one weighted row and written once. A round of expectation-maximisation is
+    a single map-side combined aggregate over that table; only ``3 k + 2`` sums per group come back. It
+    starts from quantiles and the overall variance, so it is deterministic; other solvers start
+    elsewhere and agree within a tolerance.
+    """
+    keys = list(by) or ["_all"]
+    src = long.withColumn("_v", F.col(value).cast("double"))
+    src = src if by else src.withColumn("_all", F.lit(0))
+    counts = durable(value_counts(src, keys, "_v"))
+    probs = [(i + 0.5) / k for i in range(k)]
+    start = counts.groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("_v")) / F.sum("n")).alias("m"),
+        (F.sum(F.col("n") * F.col("_v") * F.col("_v")) / F.sum("n")).alias("m2"))
+    seeds = start.join(group_quantiles(counts, keys, "_v", probs), keys).limit(MAX_GROUPS + 1).collect()
+    if len(seeds) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to fit")
+    state = {}
+    for r in seeds:
+        std = math.sqrt(max(r.m2 - r.m * r.m, FLOOR))
+        state[tuple(r[c] for c in keys)] = ([1 / k] * k, [float(q) for q in r.q], [std] * k, None)
+    kinds = dict(counts.dtypes)
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["_w array<double>", "_m array<double>", "_s array<double>"])
+    open_groups = set(state)
+    for _ in range(max_iter):
+        if not open_groups:
+            break
+        rows = [(*g, *state[g][:3]) for g in open_groups]
+        here = counts.join(F.broadcast(counts.sparkSession.createDataFrame(rows, ddl)), keys)
+        x, n = F.col("_v"), F.col("n")
+        logs = F.array(*[F.log(F.col("_w")[i]) - F.log(F.col("_s")[i]) - F.pow((x - F.col("_m")[i]) / F.col("_s")[i], 2) / 2 for i in range(k)])
+        here = here.withColumn("_l", logs).withColumn("_top", F.array_max("_l"))
+        here = here.withColumn("_e", F.transform("_l", lambda v: F.exp(v - F.col("_top"))))
+        here = here.withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
+        share = [n * F.col("_e")[i] / F.col("_t") for i in range(k)]
+        sums = [F.sum(n * (F.col("_top") + F.log("_t"))).alias("ll"), F.sum(n).alias("n")]
+        for i in range(k):
+            sums += [F.sum(share[i]).alias(f"r{i}"), F.sum(share[i] * x).alias(f"x{i}"), F.sum(share[i] * x * x).alias(f"xx{i}")]
+        for r in here.groupBy(*keys).agg(*sums).collect():
+            g = tuple(r[c] for c in keys)
+            w, m, s = [], [], []
+            for i in range(k):
+                mass = max(r[f"r{i}"], 1e-12)
+                mu = r[f"x{i}"] / mass
+                w.append(max(mass / r.n, 1e-12))
+                m.append(mu)
+                s.append(math.sqrt(max(r[f"xx{i}"] / mass - mu * mu, FLOOR)))
+            fit, last = r.ll / r.n, state[g][3]
+            state[g] = (w, m, s, fit)
+            if last is not None and abs(fit - last) < tol:
+                open_groups.discard(g)
+    out = {}
+    for g, (w, m, s, _) in state.items():
+        order = sorted(range(k), key=lambda i: m[i])
+        out[g] = Mixture(tuple(w[i] for i in order), tuple(m[i] for i in order), tuple(s[i] for i in order))
+    return out
 
-def fit_mixture(
-    df: DataFrame, value: str, k: int = 2, seed: int = 0, max_iter: int = 60, tol: float = 1e-4
-) -> Mixture:
-    """Fit on all rows; equal values are merged into one weighted row first.
 
-    The solver draws its start from the data, so results agree with other solvers within a tolerance,
-    not to the last digit.
-    """
-    rows = clean(df, value).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    vec = rows.select(array_to_vector(F.array("_v")).alias("features"), "_w")
-    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol, weightCol="_w").fit(vec)
-    parts = sorted(
-        (float(g.mean[0]), float(g.cov.toArray()[0, 0]) ** 0.5, float(w)) for g, w in zip(model.gaussians, model.weights))
-    return Mixture(tuple(p[2] for p in parts), tuple(p[0] for p in parts), tuple(max(p[1], 1e-12) for p in parts))
+def fit_mixture(df: DataFrame, value: str, k: int = 2, **kw) -> Mixture:
+    """A17 for one sample."""
+    return fit_mixtures(df, [], value, k, **kw)[(0,)]
 
 
-def cutoffs(spark, mix: Mixture, steps: int = 5000) -> DataFrame:
-    """Grid positions where the predicted component changes: ``(cutoff, label_from, label_to)``."""
-    low, high = mix.means[0] - 2 * mix.stds[0], mix.means[-1] + 2 * mix.stds[-1]
-    grid = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
-    at = lambda i: F.lit(low) + F.lit((high - low) / (steps - 1)) * i
-    here, there = mix.component(at(F.col("i"))), mix.component(at(F.col("i") + 1))
-    pts = grid.where(F.col("i") < steps - 1).select(at(F.col("i")).alias("cutoff"), here.alias("label_from"), there.alias("label_to"))
-    return pts.where(F.col("label_from") != F.col("label_to"))
+def cutoff_values(mix: Mixture, steps: int = 5000) -> list[float]:
+    """Grid positions where the most probable component changes."""
+    grid = np.linspace(mix.means[0] - 2 * mix.stds[0], mix.means[-1] + 2 * mix.stds[-1], steps)
+    score = [math.log(w) - math.log(s) - ((grid - m) / s) ** 2 / 2 for w, m, s in zip(mix.weights, mix.means, mix.stds)]
+    best = np.argmax(score, axis=0)
+    return [float(v) for v in grid[:-1][np.diff(best) != 0]]
 
 
 def auto_gate(mix: Mixture, n_stds: float = 3.0, log_transform: bool = True) -> Column:
@@ -66,30 +114,23 @@ def auto_gate(mix: Mixture, n_stds: float = 3.0, log_transform: bool = True) ->
     return F.expm1(bound) if log_transform else bound
 
 
-def mixture_table(long: DataFrame, by: str, value: str, groups: Sequence[object], k: int = 2, seed: int = 0) -> DataFrame:
-    """``(by, component, weight, mean, std)``; one distributed fit per group in a given list."""
-    rows = []
-    for g in groups:
-        m = fit_mixture(long.where(F.col(by) == g), value, k, seed)
-        rows += [(g, i, w, mu, s) for i, (w, mu, s) in enumerate(zip(m.weights, m.means, m.stds))]
-    kind = dict(long.dtypes)[by]
-    return long.sparkSession.createDataFrame(rows, f"{by} {kind}, component int, weight double, mean double, std double")
+def mixture_table(long: DataFrame, by: Sequence[str], value: str, k: int = 2) -> DataFrame:
+    """``(by, component, weight, mean, std)``, components in order of their mean."""
+    fits = fit_mixtures(long, by, value, k)
+    rows = [(*g, i, w, mu, s) for g, m in fits.items() for i, (w, mu, s) in enumerate(zip(m.weights, m.means, m.stds))]
+    kinds = dict(long.dtypes)
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["component int, weight double, mean double, std double"])
+    return long.sparkSession.createDataFrame(rows, ddl)
 
 
-def channel_windows(long: DataFrame, by: str, value: str, groups: Sequence[object], k: int = 3, top: float = 0.999) -> DataFrame:
-    """Display window per channel and cut-off ``(by, i, low, high)``: ``low`` from the mixture of
-    log1p values, ``high`` the ``top`` quantile of the values above it."""
-    out = None
+def channel_windows(long: DataFrame, by: str, value: str, k: int = 3, top: float = 0.999) -> DataFrame:
+    """Display window per channel and cut-off ``(by, i, low, high)``: ``low`` where the predicted component
+    of log1p values changes, ``high`` the ``top`` quantile of the values above it."""
     spark = long.sparkSession
-    for g in groups:
-        src = clean(long.where(F.col(by) == g), value)
-        mix = fit_mixture(src.withColumn("_l", F.log1p(value)), "_l", k)
-        cut = cutoffs(spark, mix).withColumn("i", F.row_number().over(Window.orderBy("cutoff")))
-        for r in cut.collect():  # at most a few component changes
-            low = math.expm1(r.cutoff)
-            q = quantiles(src.where(F.col(value) > low), [], value, [top])
-            row = q.select(F.lit(g).alias(by), F.lit(r.i).alias("i"), F.lit(low).alias("low"), F.col("q").alias("high"))
-            out = row if out is None else out.unionByName(row)
-    if out is None:
-        return spark.createDataFrame([], f"{by} {dict(long.dtypes)[by]}, i int, low double, high double")
-    return out
+    fits = fit_mixtures(long.withColumn("_l", F.log1p(value)), [by], "_l", k)
+    lows = [(g, i, math.expm1(c)) for (g,), m in fits.items() for i, c in enumerate(cutoff_values(m), 1)]
+    kind = dict(long.dtypes)[by]
+    table = spark.createDataFrame(lows, f"`{by}` {kind}, i int, low double")  # at most k - 1 rows per channel, or few more
+    above = long.join(F.broadcast(table), by).where(F.col(value) > F.col("low"))
+    high = quantiles(above, [by, "i", "low"], value, [top])
+    return high.select(by, "i", "low", F.col("q").alias("high"))

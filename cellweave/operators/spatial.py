@@ -50,7 +50,7 @@ def points_in_shapes(
     """Each point row with ``roi_id, roi_name, roi_text`` of every shape that contains it.
 
     Boxes are cut into grid cells and joined by cell, then the box, then the exact test. The gridded
-    shapes are broadcast while they stay within ``SMALL`` rows; beyond that each shape cell is repeated
+    shapes are broadcast while they stay within ``SMALL`` rows and 20 ``SMALL`` vertices; beyond that each shape cell is repeated
     ``salts`` times and the points of a cell are spread over the salts, so a crowded cell is split.
     """
     at = lambda c: F.floor(F.col(c) / cell)
@@ -59,7 +59,8 @@ def points_in_shapes(
     gridded = named.withColumn("_gx", F.explode(F.sequence(at("_x0"), at("_x1")))).withColumn(
         "_gy", F.explode(F.sequence(at("_y0"), at("_y1"))))
     left = points.withColumns({"_gx": at(x), "_gy": at(y)})
-    if gridded.limit(SMALL + 1).count() <= SMALL:
+    weight = gridded.limit(SMALL + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_pts")), F.lit(0))).first()
+    if weight[0] <= SMALL and weight[1] <= 20 * SMALL:
         joined = left.join(F.broadcast(gridded), ["_gx", "_gy"])
     else:
         spread = gridded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

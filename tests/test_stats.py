@@ -83,8 +83,14 @@ def test_mixture_recovers_components_and_gate(spark):
     df = samples(spark, a=v)
     m = mx.fit_mixture(df, "v", 2)
     assert np.allclose(m.means, (0, 10), atol=0.2) and np.allclose(m.weights, (0.75, 0.25), atol=0.03)
-    cut = [r.cutoff for r in mx.cutoffs(spark, m).collect()]
+    cut = mx.cutoff_values(m)
     assert len(cut) == 1 and 4 < cut[0] < 6
+    both = mx.fit_mixtures(samples(spark, a=v, b=v + 100), ["s"], "v", 2)
+    assert np.allclose(both["a",].means, m.means) and np.allclose(both["b",].means, np.add(m.means, 100), atol=1e-3)
+    labels = df.select(m.component(F.col("v")).alias("c")).groupBy("c").count().collect()
+    assert {r.c: r["count"] for r in labels}[1] == int((v > cut[0]).sum())
+    windows = mx.channel_windows(samples(spark, a=np.exp(v) - 1), "s", "v", 2).collect()
+    assert len(windows) == 1 and windows[0].low < windows[0].high
     gate = df.select(mx.auto_gate(m, 3.0, log_transform=False).alias("g")).first().g
     assert np.isclose(gate, m.means[1] - 3 * m.stds[1])
 
