@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     cur = durable(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    last = None  # number and hash of the pairs after a round; unchanged means settled
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -35,9 +36,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))).distinct()
         nxt = durable(small)
-        changed = nxt.exceptAll(cur).limit(1).count() or cur.exceptAll(nxt).limit(1).count()
-        cur = nxt
-        if not changed:
+        sign = tuple(nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        cur, settled, last = nxt, sign == last, sign
+        if settled:
             root = cur.groupBy("u").agg(F.min("v").alias("component"))
             return nodes.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn(
                 "component", F.coalesce("component", "node"))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN = 16
+DEPTH = 8
 
 
 def clean(df: DataFrame, value: str) -> DataFrame:
@@ -52,37 +52,36 @@ def attach_small(
     return df.join(F.broadcast(local), list(keys), how)
 
 
-def with_bucket(df: DataFrame, order: str, fan: int = FAN) -> DataFrame:
-    """Add ``_bucket``: which of ``fan * fan`` sketched quantile intervals holds ``order``.
+def with_bucket(df: DataFrame, order: str, depth: int = DEPTH) -> DataFrame:
+    """Add ``_bucket``: which of ``2 ** depth`` sketched quantile intervals holds ``order``.
 
-    The cut points are one row of ``fan * fan - 1`` numbers over all groups; used together with the
-    group keys no (group, bucket) holds more than its share of the rows. The interval is found in two
-    steps of ``fan`` comparisons.
+    The cut points are one row of ``2 ** depth - 1`` numbers over all groups; used together with the group
+    keys no (group, bucket) holds more than its share of the rows. The interval is found by bisection in
+    plain generated code.
     """
-    n = fan * fan
+    n = 1 << depth
     dtype = dict(df.dtypes)[order]
     number = F.unix_micros(F.col(order).cast("timestamp")) if dtype.startswith(("timestamp", "date")) else F.col(order)
     marked = df.withColumn("_x", number.cast("double"))
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
     cuts = marked.agg(F.percentile_approx("_x", probs, F.lit(10 * n)).alias("_cuts"))
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda k: F.get(F.col("_cuts"), k * fan - 1))
-    joined = attach_one_row(marked, cuts)
-    joined = joined.withColumn("_c", F.size(F.filter(coarse, lambda c: c < F.col("_x"))))
-    fine = F.slice(F.col("_cuts"), F.col("_c") * fan + 1, F.lit(fan - 1))
-    bucket = F.col("_c") * fan + F.size(F.filter(fine, lambda c: c < F.col("_x")))
-    return joined.withColumn("_bucket", bucket).drop("_cuts", "_x", "_c")
+    out = attach_one_row(marked, cuts).withColumn("_bucket", F.lit(0))
+    for half in (1 << k for k in reversed(range(depth))):
+        passed = F.get(F.col("_cuts"), F.col("_bucket") + (half - 1)) < F.col("_x")
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(passed, half).otherwise(0))
+    return out.drop("_cuts", "_x")
 
 
 def running_sum(
     df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, str], totals: bool = False,
-    following: str | None = None, fan: int = FAN,
+    following: str | None = None, depth: int = DEPTH,
 ) -> DataFrame:
     """Inclusive running sums ``{out: column}`` along ``order`` within ``by``.
 
     ``totals`` adds ``<out>_total``; ``following`` adds the next value of ``order`` under that name.
     """
     src, keys = _by(df, by)
-    cut = with_bucket(src, order, fan)
+    cut = with_bucket(src, order, depth)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     edge = Window.partitionBy(*keys).orderBy("_bucket")
