@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat, decontaminate
+from cellweave.llm import chat, decontaminate, langid, packing, pii, tokencount, warc
 from cellweave.llm.common import table
+from cellweave.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,46 @@ def bind(name: str, sql: str | None = None):
     return keep
 
 
+@bind("op1_pii")
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
+
+
+@bind("op2_language")
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.report(spark, table(spark, folder, "documents"))
+
+
+@bind("op4_pack")
+def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), *byte_bpe())
+
+
+def byte_bpe() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@bind("op5_tokens")
+def op5_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token-cache"))
+
+
+@bind("op7_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+k AS (SELECT *, CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS keeper FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM k
+""")
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.report(table(spark, folder, "pages"))
+
+
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL_WORDS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
