@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat, decontaminate, langid, packing, pii, tokencount, warc
+from cellweave.llm import chat, decontaminate, langid, multiindex, neardup, packing, pii, tokencount, warc
 from cellweave.llm.common import table
 from cellweave.session import fresh_path
 
@@ -53,6 +53,23 @@ def op5_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token-cache"))
 
 
+@bind("op6_near_duplicates", r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[a:a + 3], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS a FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+k AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = d.doc_id
+""")
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.report(table(spark, folder, "documents"), words=4)
+
+
 @bind("op7_warc", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 k AS (SELECT *, CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS keeper FROM p)
@@ -112,3 +129,8 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
     return chat.read_back(chat.format_conversations(rows))
+
+
+@bind("op10_embeddings")
+def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return multiindex.report(table(spark, folder, "embeddings"))
