@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat, decontaminate, langid, multiindex, neardup, packing, pii, tokencount, warc
+from cellweave.llm import chat, decontaminate, langid, linededup, multiindex, neardup, packing, pii, tokencount, warc
 from cellweave.llm.common import table
 from cellweave.session import fresh_path
 
@@ -35,6 +35,11 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.report(spark, table(spark, folder, "documents"))
 
 
+@bind("op3_lines")
+def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.report(table(spark, folder, "documents"))
+
+
 @bind("op4_pack")
 def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), *byte_bpe())
