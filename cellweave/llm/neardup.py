@@ -5,11 +5,11 @@ smallest doc_id stands for it, so copies never meet in a bucket. One hash per sh
 bin takes over a full one chosen by its own sequence of hashes (optimal densification). Bands of bins are bucket keys.
 
 In a bucket the smallest document is the centre of a star. First each document is compared with the centre that shares
-most of its bands, on the full sets; confirmed links form components. Whatever pairs of a bucket are then still in
-different components are compared too, a block of centres at a time, until no bucket holds an untested pair across components.
-Pairs within a component need no test: they can't change it. So a bucket of n documents costs n - 1 pairs where its
-documents are alike, and nothing that shares a band is left out. At similarity 0.8 two documents share no band with a
-probability below 1e-5.
+most of its bands, on the full sets; confirmed links form components. Pairs of a bucket that are then in one component
+need no test: they can't change it. The others are compared by their signatures in blocks of ``BLOCK`` by ``BLOCK``, within a
+task, each in the first bucket it shares; those that agree in no fewer bins than six standard deviations below the threshold
+are compared by 16-bit short forms of their sets, which can only overstate what is common, and those that pass on the full sets. So a bucket of n documents costs n - 1 pairs where its documents are alike, and no pair that
+shares a band is left out. At similarity 0.8 two documents share no band with a probability below 1e-5.
 
 Words are runs without ASCII white space, A-Z lower-cased. Documents without words (or null) have an empty set and no
 links. Rows that repeat a doc_id take part with each of their texts; the result holds one row per input row. A null doc_id
@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import LOWER, UPPER, stored
+from cellweave.llm.common import LOWER, UPPER, partitions, stored
 from cellweave.operators.components import connected_components
 
 BANDS, ROWS = 40, 6
-CENTRES = 16  # of a bucket in one round across components
+BLOCK = 512
 _lower = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _golden = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = "doc_id long, n_shingles long, content binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, content binary, bands array<long>, bytes binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -85,16 +85,20 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, n_shingles, content, bands)``; ``content`` names the set, ``bands`` is empty for an empty set."""
+    """``(doc_id, n_shingles, content, bands, bytes)``; ``content`` names the set, ``bytes`` has a byte of each bin.
+
+    ``bands`` and ``bytes`` of an empty set are empty.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 s = shingles(text, words)
-                keys = band_keys(signature(s, bands * rows), bands, rows) if len(s) else []
-                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "content", "bands"]).astype({"doc_id": "Int64"})
+                sig = signature(s, bands * rows) if len(s) else s
+                keys = band_keys(sig, bands, rows) if len(s) else []
+                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys, sig.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "content", "bands", "bytes"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SKETCH)
 
@@ -136,9 +140,9 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS
     sketch = stored(sketches(docs, words, bands, rows), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     # A class is known by its smallest doc_id; where one doc_id has several texts, the set's name tells them apart.
-    classes = full.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes.withColumn("node", F.struct("doc_id", "content")).withColumn("node", F.xxhash64("doc_id", "content")), "classes")
-    spread = classes.select("node", "doc_id", F.explode("bands").alias("bucket"))
+    classes = full.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    classes = stored(classes.withColumn("node", F.xxhash64("doc_id", "content")), "classes")
+    spread = classes.select("node", "doc_id", F.posexplode("bands").alias("band", "bucket"))
     busy = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1")
     # Only classes that share a bucket go on.
     members = stored(spread.join(busy.drop("n"), "bucket"), "members")
@@ -151,45 +155,89 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS
     sets = sets_of(docs, some.select("doc_id", "content"), words).join(some, ["doc_id", "content"]).select("node", "items")
     sets = stored(sets, "sets")
     good = stored(confirmed(edges, sets, percent), "links")
-    tested = stored(edges, "tested")
-    while True:
-        roots = connected_components(good, "a", "b")
-        placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = stored(placed, "placed")
-        mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
-        rest = stored(placed.join(mixed_buckets, "bucket"), "rest")
-        new = _across(rest, tested)
-        if new is None:
-            break
-        good = stored(good.unionByName(confirmed(new, sets, percent)), "links")
-        tested = stored(tested.unionByName(new), "tested")
+    roots = stored(connected_components(good, "a", "b"), "roots")
+    placed = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_component = across(placed, classes.select("node", "n", "bytes"), sets, percent, bands)
     # Node numbers are hashes; the component takes the smallest doc_id of its classes.
     named = classes.select("node", "doc_id", "content").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.join(of_component, "component", "left").withColumn("component", F.coalesce("root", "component"))
     low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return sketch.drop("bands"), named.join(low, "component").select("content", "component_id")
+    return sketch.drop("bands", "bytes"), named.join(low, "component").select("content", "component_id")
 
 
-def _across(rest: DataFrame, tested: DataFrame) -> DataFrame | None:
-    """The next untested pairs of a bucket that lie in different components; None if there are none.
+def across(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
+    """``(component, root)`` of components joined by links between them.
 
-    Members of a bucket are numbered; centres are taken ``CENTRES`` at a time, so a round makes at most that many
-    pairs for each row. Blocks without a new pair are passed over.
+    Members of a bucket with several components are numbered and cut into blocks; every pair of blocks is one group of at most
+    twice ``BLOCK`` rows.
     """
+    busy = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
     order = Window.partitionBy("bucket").orderBy("node")
-    numbered = stored(rest.withColumn("k", F.row_number().over(order) - 1), "numbered")
-    most = numbered.agg(F.max("k")).first()[0]
-    if most is None:
-        return None
-    for start in range(0, most + 1, CENTRES):
-        centre = numbered.where((F.col("k") >= start) & (F.col("k") < start + CENTRES)).select(
-            "bucket", F.col("node").alias("c"), F.col("component").alias("cc"), F.col("k").alias("ck"))
-        pairs = numbered.where(F.col("k") > start).join(centre, "bucket").where("k > ck and component <> cc").select(
-            F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "across")
-        if not pairs.isEmpty():
-            return pairs
-    return None
+    rest = placed.join(busy, "bucket").withColumn("k", F.row_number().over(order) - 1)
+    rest = stored(rest.withColumn("blocks", F.floor(F.max("k").over(Window.partitionBy("bucket")) / BLOCK)), "rest")
+    own = F.floor(F.col("k") / BLOCK)
+    dealt = rest.withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
+    short = F.pandas_udf(short_forms, "binary")
+    dealt = dealt.join(sizes.join(sets.select("node", short("items").alias("short")), "node"), "node").withColumn("i", F.least("own", "x")).withColumn("j", F.greatest("own", "x"))
+    keys = ["bucket", "i", "j"]
+    dealt = dealt.repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys, "k").select(
+        *keys, "band", "own", "node", "component", "n", "bytes", "short")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(b):
+                continue
+            new = (b[keys].to_numpy()[1:] != b[keys].to_numpy()[:-1]).any(axis=1)
+            cuts = [0, *(np.flatnonzero(new) + 1)]
+            yield from (plausible(b.iloc[p:q], percent, bands) for p, q in zip(cuts, cuts[1:], strict=False))
+            held = b.iloc[cuts[-1]:]  # its group may go on in the next batch
+        if held is not None:
+            yield plausible(held, percent, bands)
+
+    pairs = stored(dealt.mapInPandas(run, "a long, b long, ca long, cb long"), "across")
+    linked = stored(confirmed(pairs, sets, percent).join(pairs, ["a", "b"]).select("ca", "cb").distinct(), "across-links")
+    return connected_components(linked, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("root"))
+
+
+def short_forms(items: pd.Series) -> pd.Series:
+    """Sorted distinct low 16 bits of a set's hashes."""
+    return pd.Series([np.unique(np.frombuffer(x, dtype=np.uint64).astype(np.uint16)).tobytes() for x in items])
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
+    """False only if the sets can't be alike: what is common is at most what the short forms share and have lost."""
+    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y]))) + min(nx - len(x), ny - len(y))
+    return bool(100 * common >= percent * (nx + ny - common))
+
+
+def plausible(group: pd.DataFrame, percent: int, bands: int) -> pd.DataFrame:
+    """Pairs of a group in different components whose sizes and signatures allow a link, if this is their first band."""
+    own, component, n, node = (group[c].to_numpy() for c in ("own", "component", "n", "node"))
+    sig = np.frombuffer(b"".join(group["bytes"]), dtype=np.uint8).reshape(len(group), -1)
+    cross = group["i"].iloc[0] != group["j"].iloc[0]
+    left, right = (np.flatnonzero(own == group[c].iloc[0]) for c in "ij")
+    low = percent / 100
+    fits = (component[left, None] != component[None, right]) & (np.minimum(n[left, None], n[None, right]) >= low * np.maximum(n[left, None], n[None, right]) - 1e-9)
+    p, q = np.nonzero(fits)
+    p, q = left[p], right[q]
+    if not cross:
+        p, q = p[p < q], q[p < q]
+    short = [np.frombuffer(x, dtype=np.uint16) for x in group["short"]]
+    found = []
+    for at in range(0, len(p), 1 << 15):
+        a, b = p[at:at + (1 << 15)], q[at:at + (1 << 15)]
+        same = sig[a] == sig[b]
+        doubt = 6 * np.sqrt(low * (1 - low) / np.minimum(sig.shape[1], np.maximum(n[a], n[b])))
+        good = same.mean(axis=1) >= low - doubt
+        a, b, same = a[good], b[good], same[good]
+        first = same.reshape(len(a), bands, sig.shape[1] // bands).all(axis=2).argmax(axis=1) == group["band"].iloc[0]
+        a, b = a[first], b[first]
+        near = [k for k in range(len(a)) if may_link(short[a[k]], short[b[k]], n[a[k]], n[b[k]], percent)]
+        found.append((a[near], b[near]))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=int) for k in (0, 1))
+    return pd.DataFrame({"a": node[a], "b": node[b], "ca": component[a], "cb": component[b]})
 
 
 def report(docs: DataFrame, words: int, percent: int = 80) -> DataFrame:
