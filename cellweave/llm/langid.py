@@ -59,6 +59,11 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return out
 
 
+def evidence(text: str) -> float:
+    """Short texts have sparse vectors and lower cosines; what is asked of them falls with the root of their length."""
+    return min(1.0, len(text) / 400) ** 0.5
+
+
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts at the mean's nearest row, then at the row farthest from all starts so far."""
     best = x @ x.mean(axis=0)
@@ -96,9 +101,8 @@ class Model:
                 lang.append(UNKNOWN), score.append(0.0), rejected.append(False)
             else:
                 k, c = next(found)
-                evidence = min(1.0, len(t) / 400) ** 0.5
                 lang.append(self.langs[k]), score.append(min(1.0, max(0.0, float(c))))
-                rejected.append(bool(c < self.floors[k] * FLOOR * evidence))
+                rejected.append(bool(c < self.floors[k] * FLOOR * evidence(t)))
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
 
@@ -136,11 +140,11 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
         centre = cluster(x, clusters)
         cos = x @ centre.T
         own = cos.argmax(axis=1)
-        long = np.array([len(t) >= 400 for t in texts])
+        relative = cos.max(axis=1) / np.array([evidence(t) for t in texts])
         rows = []
         for j in range(len(centre)):
-            mine = cos[(own == j) & long, j]
-            rows.append((pdf["lang"].iloc[0], j, centre[j].tobytes(), float(mine.min()) if len(mine) else 0.0))
+            mine = relative[own == j]
+            rows.append((pdf["lang"].iloc[0], j, centre[j].tobytes(), min(1.0, float(mine.min())) if len(mine) else 0.0))
         return pd.DataFrame(rows, columns=["lang", "k", "centroid", "floor"])
 
     got = drawn.groupBy("lang").applyInPandas(one_language, "lang string, k int, centroid binary, floor double").collect()
