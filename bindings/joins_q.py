@@ -99,10 +99,10 @@ def mask_pixels(spark, d):
 
 
 @bind("j7_gather", f"""SELECT o_orderkey, coalesce(label, 0) AS mask_id FROM orders LEFT JOIN
-(SELECT * FROM ({MASK}) WHERE label > 49) m ON o_custkey = m.y AND o_orderkey % 9 = m.x""")
+(SELECT * FROM ({MASK}) WHERE label > 0) m ON o_custkey = m.y AND o_orderkey % 9 = m.x""")
 def j7(spark, d):
     pts = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey y", "o_orderkey % 9 x")
-    px = mask_pixels(spark, d).where(F.col("label") > 49)
+    px = mask_pixels(spark, d).where(F.col("label") > 0)
     return jn.gather(pts, px, ["y", "x"]).select("o_orderkey", "mask_id")
 
 
@@ -127,11 +127,11 @@ def j8(spark, d):
 
 
 PATTERN = """SELECT user_id, bool_or(event_type = 'click') AS click, bool_or(event_type = 'purchase') AS purchase,
-bool_or(event_type = 'error') AS error FROM events WHERE value > 40 GROUP BY user_id"""
+bool_or(event_type = 'error') AS error FROM events GROUP BY user_id"""
 
 
 def patterns(spark, d):
-    ev = table(spark, d, "events").where("value > 40")
+    ev = table(spark, d, "events")
     return ev.groupBy("user_id").agg(*[F.bool_or(F.col("event_type") == t).alias(t) for t in ("click", "purchase", "error")])
 
 
@@ -160,7 +160,7 @@ def j14b(spark, d):
 
 def half_masks(flag):
     return f"""SELECT l_suppkey AS y, l_partkey AS x, max(CAST(l_quantity AS BIGINT)) AS label FROM lineitem
-WHERE l_returnflag = '{flag}' AND l_quantity > 10 GROUP BY 1, 2"""
+WHERE l_returnflag = '{flag}' GROUP BY 1, 2"""
 
 
 @bind("j15_mask_difference", f"""WITH a AS ({half_masks('A')}), b AS ({half_masks('R')}),
@@ -169,7 +169,7 @@ w AS (SELECT y // 10 AS r, x // 10 AS c, count(la) > count(lb) AS f FROM j GROUP
 SELECT y, x, CASE WHEN f THEN coalesce(la, 0) ELSE coalesce(lb, 0) END AS label FROM j JOIN w ON y // 10 = r AND x // 10 = c
 WHERE coalesce(la, 0) <> coalesce(lb, 0) AND CASE WHEN f THEN coalesce(la, 0) ELSE coalesce(lb, 0) END > 0""")
 def j15(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 10")
+    li = table(spark, d, "lineitem")
     mask = lambda f: li.where(F.col("l_returnflag") == f).groupBy(F.col("l_suppkey").alias("y"), F.col("l_partkey").alias("x")).agg(
         F.max(F.col("l_quantity").cast("long")).alias("label"))
     return jn.mask_difference(mask("A"), mask("R"), block=10)

@@ -205,7 +205,7 @@ def a24(spark, d):
 
 
 @bind("a25_pattern_sizes", """WITH p AS (SELECT user_id, bool_or(event_type = 'click') AS click, bool_or(event_type = 'purchase') AS purchase,
-bool_or(event_type = 'error') AS error FROM events WHERE value > 40 GROUP BY user_id)
+bool_or(event_type = 'error') AS error FROM events GROUP BY user_id)
 SELECT click, purchase, error, count(*) AS n, CAST(click AS INTEGER) + CAST(purchase AS INTEGER) + CAST(error AS INTEGER) AS degree
 FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND CAST(click AS INTEGER) + CAST(purchase AS INTEGER) + CAST(error AS INTEGER) BETWEEN 1 AND 3""")
 def a25(spark, d):

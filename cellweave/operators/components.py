@@ -10,24 +10,24 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.tiles import Own, apply_blocks, to_pixels
 from cellweave.session import durable
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)``; the component is its smallest node. Alternating large and small stars.
 
     A star's smallest node is found by a map-side combined minimum, never by gathering its neighbours. The
-    number of rounds grows with the logarithm of the graph; running out of rounds is an error.
+    number of rounds grows with the logarithm of the graph.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     cur = durable(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None  # number and hash of the pairs after a round; unchanged means settled
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -42,7 +42,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             root = cur.groupBy("u").agg(F.min("v").alias("component"))
             return nodes.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn(
                 "component", F.coalesce("component", "node"))
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def tile_labels(mask: np.ndarray, start: int, eight: bool) -> np.ndarray:
@@ -100,7 +99,7 @@ def label_components(tiles: DataFrame, size: int, width: int, eight: bool = Fals
 
 def spaced_peaks(
     points: DataFrame, idc: str, score: str, spacing: float, x: str = "x", y: str = "y", n: int | None = None,
-    keys: Sequence[str] = (), max_rounds: int = 200,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Greedy selection by score (ties: smaller id) with no two kept points within ``spacing`` on both axes.
 
@@ -116,7 +115,7 @@ def spaced_peaks(
     shift = {"_cx": F.col("_cx") + F.col("_o.a"), "_cy": F.col("_cy") + F.col("_o.b")}
     cell = [*k, "_cx", "_cy"]
     kept = None
-    for _ in range(max_rounds):
+    while True:  # each round keeps at least one point of every key
         best = left.groupBy(*cell).agg(F.max_by(F.struct("_id", "_s", "_x", "_y"), rank).alias("p"), F.max(rank).alias("r"))
         around = best.select(*cell, "r", F.explode(near).alias("_o")).withColumns(shift).groupBy(*cell).agg(F.max("r").alias("top"))
         win = durable(best.join(around, cell).where(F.col("r") == F.col("top")).select(*cell, "p.*"))
@@ -127,8 +126,10 @@ def spaced_peaks(
         left = durable(left.join(covered, [*k, "_id"], "left_anti"))
         if left.limit(1).count() == 0:
             out = kept.select(*k, F.col("_id").alias(idc), F.col("_s").alias(score), F.col("_x").alias(x), F.col("_y").alias(y))
-            return out if n is None else out.orderBy(F.col(score).desc(), idc).limit(n)
-    raise RuntimeError(f"spacing not settled after {max_rounds} rounds")
+            if n is None or not k:
+                return out if n is None else out.orderBy(F.col(score).desc(), idc).limit(n)
+            place = Window.partitionBy(*k).orderBy(F.col(score).desc(), idc)
+            return out.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= n).drop("_k")
 
 
 def peaks_with_relaxed_spacing(

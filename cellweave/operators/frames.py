@@ -63,9 +63,12 @@ def where_text(df: DataFrame, predicate: str) -> DataFrame:
 
 
 def predicate_sql(predicate: str) -> str:
-    for ours, sql in (("==", "="), ("&", " AND "), ("|", " OR ")):
-        predicate = predicate.replace(ours, sql)
-    return predicate
+    """Operators in SQL's spelling; quoted text and quoted names stay as they are."""
+    import re
+
+    spelled = {"==": "=", "&": " AND ", "|": " OR "}
+    token = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|==|&|\|""")
+    return token.sub(lambda m: spelled.get(m[0], m[0]), predicate)
 
 
 def crop(df: DataFrame, x: str, y: str, xlim: Sequence[float], ylim: Sequence[float]) -> DataFrame:

@@ -191,17 +191,12 @@ def mask_difference(
     return joined.where(differs & (kept > 0)).select(*keys, kept.alias(label))
 
 
-def missing_combinations(df: DataFrame, cols: Sequence[str], max_combinations: int = 10_000_000) -> DataFrame:
+def missing_combinations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Combinations of the distinct values of ``cols`` that no row has.
 
-    The value lists sit in one row per list as arrays and are exploded one after the other; the size of
-    the product is checked first.
+    The value lists sit in one row per list as arrays and are exploded one after the other.
     """
-    lists = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols])
-    size = reduce(lambda a, b: a * b, [F.size(c).cast("long") for c in cols])
-    full = lists.withColumn(
-        cols[0], F.when(size > max_combinations, F.raise_error(F.lit("too many combinations"))).otherwise(F.col(cols[0]))
-    )
+    full = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols])
     for c in cols:
         full = full.withColumn(c, F.explode(c))
     return full.join(df.select(*cols).distinct(), list(cols), "left_anti")

@@ -164,7 +164,10 @@ def background_of(block: np.ndarray, radius: float) -> np.ndarray:
     smooth = along(along(block, third, 0, "reflect"), third, 1, "reflect")
     f = shrink_factor(radius)
     h, w = smooth.shape
-    small = smooth[: h // f * f, : w // f * f].reshape(h // f, f, w // f, f).min(axis=(1, 3))
+    small = np.full((h // f, w // f), np.inf)
+    for dy in range(f):  # minimum of every f x f square, one place of the squares at a time
+        for dx in range(f):
+            np.minimum(small, smooth[dy:h // f * f:f, dx:w // f * f:f], out=small)
     return resize_linear(ball_background(small, max(radius / f, 1.0)), block.shape)
 
 
@@ -172,7 +175,7 @@ def subtract_background(tiles: DataFrame, size: int, radius: float = 50.0, keys:
     """Image minus rolling-ball background, never below zero. The tile must exceed two radii."""
     halo = math.ceil(radius)
     if size <= 2 * halo:
-        raise ValueError(f"tile size {size} must be > 2 x radius ({2 * radius:.0f})")
+        raise ValueError(f"a radius of {radius} needs tiles wider than {2 * halo} pixels, these have {size}")
     return map_tiles(tiles, size, halo, lambda b: np.maximum(b - background_of(b, radius), 0), keys)
 
 

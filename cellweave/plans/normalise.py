@@ -34,9 +34,11 @@ def principal_components(df: DataFrame, columns: Sequence[str], k: int) -> DataF
     means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
     centred = attach_one_row(df, means).withColumn(
         "_v", array_to_vector(F.array(*[(F.col(c) - F.col(f"_m{i}")).cast("double") for i, c in enumerate(columns)])))
-    out = PCA(k=k, inputCol="_v", outputCol="_p").fit(centred).transform(centred)
+    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(centred)
+    loads = model.pc.toArray()
+    signs = [1.0 if loads[abs(loads[:, i]).argmax(), i] >= 0 else -1.0 for i in range(k)]  # the largest loading is positive
     parts = vector_to_array("_p")
-    return out.select(*df.columns, *[parts[i].alias(f"pc{i + 1}") for i in range(k)])
+    return model.transform(centred).select(*df.columns, *[(parts[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
 
 
 def embedding_density(df: DataFrame, x: str, y: str, size: float, sample: str) -> DataFrame:

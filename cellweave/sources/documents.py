@@ -107,11 +107,10 @@ def sidecar_numbers(text: Column, patterns: dict[str, str], defaults: dict[str,
 
 
 def objects_named(text: Column, name: str, schema: str) -> Column:
-    """Flat JSON objects anywhere in a text whose ``name`` is the given one."""
-    import re
-
-    found = F.regexp_extract_all(text, F.lit(rf'\{{[^{{]*?"name":\s*"{re.escape(name)}"[\s\S]*?\}}'), F.lit(0))
-    return F.transform(found, lambda t: F.from_json(t, schema))
+    """JSON objects anywhere in a text whose ``name`` is the given one; they may hold flat objects themselves."""
+    found = F.regexp_extract_all(text, F.lit(r"\{(?:[^{}]++|\{[^{}]*+\})*+\}"), F.lit(0))
+    mine = F.filter(found, lambda t: F.get_json_object(t, "$.name") == name)
+    return F.transform(mine, lambda t: F.from_json(t, schema))
 
 
 def match_sidecars(tiles: DataFrame, sidecars: DataFrame, stem: str = "stem") -> tuple[DataFrame, DataFrame]:

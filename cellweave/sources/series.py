@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,22 +12,19 @@ from pyspark.sql import functions as F
 from cellweave.functions.scalar import base_name
 from cellweave.operators.joins import missing_combinations
 
-FIELD = re.compile(r"{([^:}]+):?([^}]*)}")
-
 
 def pattern_regex(pattern: str) -> tuple[str, list[str]]:
     """``img_s{series}_w{channel:02}.tif`` to a regular expression and its field names.
 
     A field with a number takes exactly so many characters, another one as few as possible.
     """
-    fields, out, at = [], "^", 0
-    for m in FIELD.finditer(pattern):
-        fields.append(m.group(1))
-        width = m.group(2)
-        out += re.escape(pattern[at:m.start()])
-        out += f"(.{{{int(width)}}})" if width.isdigit() else "(.*?)"
-        at = m.end()
-    return out + re.escape(pattern[at:]) + "$", fields
+    fields, out = [], "^"
+    for literal, field, width, _ in string.Formatter().parse(pattern):
+        out += re.escape(literal)
+        if field:
+            fields.append(field)
+            out += f"(.{{{int(width)}}})" if width.isdigit() else "(.*?)"
+    return out + "$", fields
 
 
 def parse_names(df: DataFrame, name: str, pattern: str, integers: Sequence[str] = ("series",)) -> DataFrame:
