@@ -4,7 +4,7 @@ A text becomes a TF-IDF vector of hashed character n-grams (1 to 3, letters only
 length one. Document frequencies cover all training texts; the centroids are spherical k-means clusters of a bounded
 sample, ``CLUSTERS`` per language from about ``SAMPLE`` distinct texts each. A text takes the language of the centroid
 with the largest cosine. It is *rejected* if it is null or has no letter, or if the cosine falls below ``FLOOR`` times
-that of the centroid's remotest training text, lowered further for texts of few n-grams, whose vectors are sparse.
+that of the language's remotest training text, lowered further for short texts, whose vectors are sparse.
 
 Only the text enters a prediction. Training rows with a null text or language are left out; without training rows every
 text is ``und`` with score 0 and none is rejected but those without letters. Repeated rows weigh in the frequencies as
@@ -150,7 +150,9 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
     got = drawn.groupBy("lang").applyInPandas(one_language, "lang string, k int, centroid binary, floor double").collect()
     got.sort(key=lambda r: (r.lang, r.k))
     centre = np.stack([np.frombuffer(r.centroid, dtype=np.float32) for r in got]) if got else np.zeros((0, DIMS), np.float32)
-    return Model(idf, [r.lang for r in got], centre, np.array([r.floor for r in got]))
+    # Small clusters have no remote members of their own, so a language's centroids share its lowest floor.
+    least = {r.lang: min(x.floor for x in got if x.lang == r.lang) for r in got}
+    return Model(idf, [r.lang for r in got], centre, np.array([least[r.lang] for r in got]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
