@@ -124,7 +124,7 @@ def class_indicators(
     """One boolean column per marker named in a compound class; the excluded class has none.
 
     Without ``markers`` the distinct names are looked up; their number becomes a column count, so it is
-    checked against ``max_markers``.
+    checked against ``max_markers``; :func:`class_markers` has no such bound.
     """
     import re
 
@@ -141,6 +141,13 @@ def class_indicators(
     return df.withColumns({m: usable & F.coalesce(F.array_contains(parts, m), F.lit(False)) for m in markers})
 
 
+def class_markers(df: DataFrame, cls: str, excluded: str = "Ignore*", sep: str = ": ") -> DataFrame:
+    """P15 in long form: one row per marker that the class of a row names, in ``marker``; any number of names."""
+    import re
+
+    return df.where(F.col(cls) != excluded).withColumn("marker", F.explode(F.array_distinct(F.split(F.col(cls), re.escape(sep)))))
+
+
 def gate(df: DataFrame, gates: Mapping[str, float], suffix: str = "+") -> DataFrame:
     """Marker above its cut-off, one boolean column per marker."""
     return df.withColumns({f"{m}{suffix}": F.col(m) > F.lit(g) for m, g in gates.items()})

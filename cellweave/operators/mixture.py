@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.ordered import group_quantiles, quantiles, value_counts
-from cellweave.session import durable
+from cellweave.operators.ordered import attach_small, group_quantiles, quantiles, value_counts
+from cellweave.session import durable, fresh_path
 
-MAX_GROUPS = 10_000
+FEW_GROUPS = 10_000  # so many states are broadcast; more are joined by key
 FLOOR = 1e-6  # smallest variance of a component
 
 
@@ -33,66 +34,67 @@ class Mixture:
         return -F.array_max(packed).getField("i")
 
 
-def fit_mixtures(
-    long: DataFrame, by: Sequence[str], value: str, k: int = 2, max_iter: int = 100, tol: float = 1e-3
-) -> dict[tuple, Mixture]:
-    """One mixture per group, all groups fitted together on all rows.
+def _settled(df: DataFrame, stem: str) -> DataFrame:
+    """Written to the shared folder and read back, so that a round is computed once."""
+    path = fresh_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mixture_states(
+    long: DataFrame, by: Sequence[str], value: str, k: int = 2, tol: float = 1e-3
+) -> DataFrame:
+    """One mixture per group, all groups fitted together on all rows: ``(by, parts)``, an array of ``(m, w, s)`` by mean.
 
     Equal values are merged into one weighted row and written once. A round of expectation-maximisation is
-    a single map-side combined aggregate over that table; only ``3 k + 2`` sums per group come back. It
-    starts from quantiles and the overall variance, so it is deterministic; other solvers start
-    elsewhere and agree within a tolerance.
+    a single map-side combined aggregate over that table; the state of the groups is a table too, of which
+    only the number of open groups reaches the driver. A group is done when its likelihood gains less than
+    ``tol`` a row; as a round never lowers it, that comes for every group. The start is quantiles and the
+    overall variance, so it is deterministic; other solvers start elsewhere and agree within a tolerance.
     """
     keys = list(by) or ["_all"]
     src = long.withColumn("_v", F.col(value).cast("double"))
     src = src if by else src.withColumn("_all", F.lit(0))
     counts = durable(value_counts(src, keys, "_v"))
     probs = [(i + 0.5) / k for i in range(k)]
-    start = counts.groupBy(*keys).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("_v")) / F.sum("n")).alias("m"),
-        (F.sum(F.col("n") * F.col("_v") * F.col("_v")) / F.sum("n")).alias("m2"))
-    seeds = start.join(group_quantiles(counts, keys, "_v", probs), keys).limit(MAX_GROUPS + 1).collect()
-    if len(seeds) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to fit")
-    state = {}
-    for r in seeds:
-        std = math.sqrt(max(r.m2 - r.m * r.m, FLOOR))
-        state[tuple(r[c] for c in keys)] = ([1 / k] * k, [float(q) for q in r.q], [std] * k, None)
-    kinds = dict(counts.dtypes)
-    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["_w array<double>", "_m array<double>", "_s array<double>"])
-    open_groups = set(state)
-    for _ in range(max_iter):
-        if not open_groups:
-            break
-        rows = [(*g, *state[g][:3]) for g in open_groups]
-        here = counts.join(F.broadcast(counts.sparkSession.createDataFrame(rows, ddl)), keys)
-        x, n = F.col("_v"), F.col("n")
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    start = counts.groupBy(*keys).agg(mean(F.col("_v")).alias("m"), mean(F.col("_v") * F.col("_v")).alias("m2"))
+    spread = F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(FLOOR)))
+    state = start.join(group_quantiles(counts, keys, "_v", probs), keys).select(
+        *keys, F.array_repeat(F.lit(1.0 / k), k).alias("_w"), F.col("q").cast("array<double>").alias("_m"),
+        F.array_repeat(spread, k).alias("_s"), F.lit(None).cast("double").alias("_fit"), F.lit(True).alias("_open"))
+    state = _settled(state, "mixture")
+    x, n = F.col("_v"), F.col("n")
+    while groups := state.where("_open").count():
+        going = state.where("_open").withColumnRenamed("_fit", "_last")
+        here = counts.join(F.broadcast(going) if groups <= FEW_GROUPS else going, keys)
         logs = F.array(*[F.log(F.col("_w")[i]) - F.log(F.col("_s")[i]) - F.pow((x - F.col("_m")[i]) / F.col("_s")[i], 2) / 2 for i in range(k)])
         here = here.withColumn("_l", logs).withColumn("_top", F.array_max("_l"))
         here = here.withColumn("_e", F.transform("_l", lambda v: F.exp(v - F.col("_top"))))
         here = here.withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
         share = [n * F.col("_e")[i] / F.col("_t") for i in range(k)]
-        sums = [F.sum(n * (F.col("_top") + F.log("_t"))).alias("ll"), F.sum(n).alias("n")]
+        sums = [(F.sum(n * (F.col("_top") + F.log("_t"))) / F.sum(n)).alias("_fit"), F.sum(n).alias("_n"), F.first("_last").alias("_last")]
         for i in range(k):
-            sums += [F.sum(share[i]).alias(f"r{i}"), F.sum(share[i] * x).alias(f"x{i}"), F.sum(share[i] * x * x).alias(f"xx{i}")]
-        for r in here.groupBy(*keys).agg(*sums).collect():
-            g = tuple(r[c] for c in keys)
-            w, m, s = [], [], []
-            for i in range(k):
-                mass = max(r[f"r{i}"], 1e-12)
-                mu = r[f"x{i}"] / mass
-                w.append(max(mass / r.n, 1e-12))
-                m.append(mu)
-                s.append(math.sqrt(max(r[f"xx{i}"] / mass - mu * mu, FLOOR)))
-            fit, last = r.ll / r.n, state[g][3]
-            state[g] = (w, m, s, fit)
-            if last is not None and abs(fit - last) < tol:
-                open_groups.discard(g)
-    out = {}
-    for g, (w, m, s, _) in state.items():
-        order = sorted(range(k), key=lambda i: m[i])
-        out[g] = Mixture(tuple(w[i] for i in order), tuple(m[i] for i in order), tuple(s[i] for i in order))
-    return out
+            sums += [F.sum(share[i]).alias(f"_r{i}"), F.sum(share[i] * x).alias(f"_x{i}"), F.sum(share[i] * x * x).alias(f"_xx{i}")]
+        mass = [F.greatest(F.col(f"_r{i}"), F.lit(1e-12)) for i in range(k)]
+        means = [F.col(f"_x{i}") / mass[i] for i in range(k)]
+        stds = [F.sqrt(F.greatest(F.col(f"_xx{i}") / mass[i] - means[i] * means[i], F.lit(FLOOR))) for i in range(k)]
+        gained = F.col("_last").isNull() | (F.abs(F.col("_fit") - F.col("_last")) >= tol)
+        moved = here.groupBy(*keys).agg(*sums).select(
+            *keys, F.array(*[F.greatest(w / F.col("_n"), F.lit(1e-12)) for w in mass]).alias("_w"),
+            F.array(*means).alias("_m"), F.array(*stds).alias("_s"), "_fit", gained.alias("_open"))
+        state = _settled(state.where("not _open").unionByName(moved), "mixture")
+    parts = F.transform(F.arrays_zip("_m", "_w", "_s"), lambda p: F.struct(p["_m"].alias("m"), p["_w"].alias("w"), p["_s"].alias("s")))
+    return state.select(*keys, F.array_sort(parts).alias("parts"))
+
+
+def _mixture(parts) -> Mixture:
+    return Mixture(tuple(p["w"] for p in parts), tuple(p["m"] for p in parts), tuple(p["s"] for p in parts))
+
+
+def fit_mixtures(long: DataFrame, by: Sequence[str], value: str, k: int = 2, tol: float = 1e-3) -> dict[tuple, Mixture]:
+    """A17 for groups whose mixtures the caller wants at hand, one row a group; :func:`mixture_table` keeps them distributed."""
+    return {tuple(r)[:-1]: _mixture(r.parts) for r in mixture_states(long, by, value, k, tol).collect()}
 
 
 def fit_mixture(df: DataFrame, value: str, k: int = 2, **kw) -> Mixture:
@@ -116,21 +118,20 @@ def auto_gate(mix: Mixture, n_stds: float = 3.0, log_transform: bool = True) ->
 
 def mixture_table(long: DataFrame, by: Sequence[str], value: str, k: int = 2) -> DataFrame:
     """``(by, component, weight, mean, std)``, components in order of their mean."""
-    fits = fit_mixtures(long, by, value, k)
-    rows = [(*g, i, w, mu, s) for g, m in fits.items() for i, (w, mu, s) in enumerate(zip(m.weights, m.means, m.stds))]
-    kinds = dict(long.dtypes)
-    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["component int, weight double, mean double, std double"])
-    return long.sparkSession.createDataFrame(rows, ddl)
+    rows = mixture_states(long, by, value, k).select(*by, F.posexplode("parts").alias("component", "p"))
+    return rows.select(*by, "component", F.col("p.w").alias("weight"), F.col("p.m").alias("mean"), F.col("p.s").alias("std"))
 
 
 def channel_windows(long: DataFrame, by: str, value: str, k: int = 3, top: float = 0.999) -> DataFrame:
     """Display window per channel and cut-off ``(by, i, low, high)``: ``low`` where the predicted component
     of log1p values changes, ``high`` the ``top`` quantile of the values above it."""
-    spark = long.sparkSession
-    fits = fit_mixtures(long.withColumn("_l", F.log1p(value)), [by], "_l", k)
-    lows = [(g, i, math.expm1(c)) for (g,), m in fits.items() for i, c in enumerate(cutoff_values(m), 1)]
-    kind = dict(long.dtypes)[by]
-    table = spark.createDataFrame(lows, f"`{by}` {kind}, i int, low double")  # at most k - 1 rows per channel, or few more
-    above = long.join(F.broadcast(table), by).where(F.col(value) > F.col("low"))
+
+    @F.pandas_udf("array<double>")
+    def cuts(parts: pd.Series) -> pd.Series:
+        return pd.Series([[math.expm1(c) for c in cutoff_values(_mixture(p))] for p in parts])
+
+    fits = mixture_states(long.withColumn("_l", F.log1p(value)), [by], "_l", k)
+    lows = fits.select(by, F.posexplode(cuts("parts")).alias("i", "low")).withColumn("i", F.col("i") + 1)
+    above = attach_small(long, _settled(lows, "windows"), [by]).where(F.col(value) > F.col("low"))
     high = quantiles(above, [by, "i", "low"], value, [top])
     return high.select(by, "i", "low", F.col("q").alias("high"))

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 8
+DEPTH, DEEPEST = 8, 12  # of the tree of buckets
+BUCKET_ROWS = 2_000_000
 
 
 def clean(df: DataFrame, value: str) -> DataFrame:
@@ -52,19 +53,23 @@ def attach_small(
     return df.join(F.broadcast(local), list(keys), how)
 
 
-def with_bucket(df: DataFrame, order: str, depth: int = DEPTH) -> DataFrame:
+def with_bucket(df: DataFrame, order: str, least: int = DEPTH) -> DataFrame:
     """Add ``_bucket``: which of ``2 ** depth`` sketched quantile intervals holds ``order``.
 
-    The cut points are one row of ``2 ** depth - 1`` numbers over all groups; used together with the group
-    keys no (group, bucket) holds more than its share of the rows. The interval is found by bisection in
-    plain generated code.
+    A sketch depends on the order in which its parts are merged, so the cut points are fixed once and every branch of a plan,
+    and every repeated task, uses the same ones. They are one row of at most ``2 ** DEEPEST`` numbers over all groups;
+    ``depth`` follows the number of rows, so that a bucket holds about ``BUCKET_ROWS``, and is at least ``least``.
+    The interval is found by bisection in plain generated code.
     """
-    n = 1 << depth
+    n = 1 << DEEPEST
     dtype = dict(df.dtypes)[order]
     number = F.unix_micros(F.col(order).cast("timestamp")) if dtype.startswith(("timestamp", "date")) else F.col(order)
     marked = df.withColumn("_x", number.cast("double"))
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cuts = marked.agg(F.percentile_approx("_x", probs, F.lit(10 * n)).alias("_cuts"))
+    probs = ", ".join(f"{i / n!r}D" for i in range(1, n))  # one parsed text: thousands of single literals build slowly
+    found = marked.agg(F.expr(f"percentile_approx(_x, array({probs}), {10 * n})").alias("cuts"), F.count(F.lit(1)).alias("n")).first()
+    depth = min(DEEPEST, max(least, (found.n // BUCKET_ROWS).bit_length()))
+    step = 1 << (DEEPEST - depth)
+    cuts = df.sparkSession.createDataFrame([((found.cuts or [])[step - 1::step],)], "_cuts array<double>")
     out = attach_one_row(marked, cuts).withColumn("_bucket", F.lit(0))
     for half in (1 << k for k in reversed(range(depth))):
         passed = F.get(F.col("_cuts"), F.col("_bucket") + (half - 1)) < F.col("_x")

@@ -24,6 +24,12 @@ def test_min_above_skips_missing(spark):
     assert [r.k for r in fr.min_above(df, ["a", "b"], 2).collect()] == [1]
 
 
+def test_class_markers_long_form(spark):
+    df = spark.createDataFrame([(1, "A: B: A"), (2, "Ignore*"), (3, None), (4, "C")], "id int, c string")
+    got = fr.class_markers(df, "c").select("id", "marker").collect()
+    assert sorted(map(tuple, got)) == [(1, "A"), (1, "B"), (4, "C")]
+
+
 def test_class_indicators_whole_names_only(spark):
     df = spark.createDataFrame([(1, "CD4: CD8"), (2, "CD45"), (3, "Ignore*"), (4, None)], "k int, c string")
     got = fr.class_indicators(df, "c").drop("c")
