@@ -70,7 +70,7 @@ def s6(spark, d):
 def s6b(spark, d):
     path = fresh_path(spark, "series")
     images = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
-    images.repartition(1).write.partitionBy("l_returnflag", "l_linenumber").parquet(path)
+    images.write.partitionBy("l_returnflag", "l_linenumber").parquet(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     names = files.select(F.concat_ws("/", F.element_at(F.split("path", "/"), -3), F.element_at(F.split("path", "/"), -2)).alias("name"))
     return se.parse_names(names, "name", "l_returnflag={well}/l_linenumber={series}").select("well", "series").distinct()
@@ -83,7 +83,7 @@ def manifest_file(spark, d):
                        F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus")), F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise(""))
     head = spark.range(1).select(F.lit("image_id_1,image_id_2,channel,flag").alias("value"), F.lit(-1).cast("long").alias("k"))
     rows = o.select(line.alias("value"), F.col("o_orderkey").alias("k"))
-    head.unionByName(rows).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    head.unionByName(rows).orderBy("k").select("value").write.text(path)
     return path
 
 
@@ -116,9 +116,10 @@ def s8(spark, d):
 def s9(spark, d):
     path = fresh_path(spark, "counts")
     li = table(spark, d, "lineitem")
-    li.repartition(1).write.partitionBy("l_returnflag").option("header", True).csv(path)
+    li.write.partitionBy("l_returnflag").option("header", True).csv(path)
     c = tb.file_counts(spark, path)
-    return c.select(F.regexp_extract("file", "l_returnflag=([^/]+)/", 1).alias("flag"), "n_rows", "n_columns")
+    return c.groupBy(F.regexp_extract("file", "l_returnflag=([^/]+)/", 1).alias("flag")).agg(
+        F.sum("n_rows").alias("n_rows"), F.max("n_columns").alias("n_columns"))
 
 
 @bind("s10_parameters", """SELECT CAST(p_size AS VARCHAR) AS "case", CAST(p_size % 5 AS INTEGER) AS step, 'Price' AS "key", count(*) AS n, CAST(2 AS INTEGER) AS width FROM part GROUP BY 1, 2""")
@@ -151,7 +152,7 @@ def s12(spark, d):
 
 
 def feature_docs(spark, d):
-    """One feature collection per nation, written as JSON documents."""
+    """Feature collections of at most a hundred suppliers, one JSON document a line."""
     s = table(spark, d, "supplier").withColumn("c", F.col("s_acctbal") / 100)
     xy = lambda dx, dy: F.array(F.col("c") + dx, F.col("c") + dy)
     outer = F.array(xy(0, 0), xy(8, 0), xy(8, 6), xy(0, 6), xy(0, 0))
@@ -163,9 +164,9 @@ def feature_docs(spark, d):
         F.struct(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"),
                  F.when(F.col("s_suppkey") % 5 != 0, F.struct(F.lit("Tumor").alias("name"))).alias("classification"),
                  F.when(F.col("s_suppkey") % 4 == 0, "detection").otherwise("annotation").alias("objectType")).alias("properties"))
-    docs = s.groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(feat).alias("features"))).alias("value"))
+    docs = s.groupBy(F.floor(F.col("s_suppkey") / 100).alias("k")).agg(F.to_json(F.struct(F.collect_list(feat).alias("features"))).alias("value"))
     path = fresh_path(spark, "geojson")
-    docs.write.partitionBy("s_nationkey").text(path)
+    docs.select("value").write.text(path)
     return path
 
 

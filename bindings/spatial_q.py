@@ -84,6 +84,25 @@ def j10(spark, d):
     return sp.include_exclude(p, hits, "o_orderkey", F.col("roi_text").contains("exclude")).select("o_orderkey", "selected")
 
 
+SLIDES = HITS.removesuffix(")").replace("JOIN r ON", "JOIN r ON o_orderkey % 3 = id % 3 AND (") + "))"
+
+
+@bind("j9_points_by_slide", SLIDES + " SELECT o_orderkey, o_orderkey % 3 AS slide, id AS roi_id FROM h")
+def j9b(spark, d):
+    p = points9(spark, d).selectExpr("*", "o_orderkey % 3 slide")
+    shapes = sp.normalise_rois(rois(spark, d).selectExpr("*", "Id % 3 slide"), ["slide"])
+    return sp.points_in_shapes(p, shapes, 4.0, by=["slide"]).select("o_orderkey", "slide", "roi_id")
+
+
+@bind("j10_selection_by_slide", SLIDES + """, g AS (SELECT o_orderkey, bool_or(NOT exc) AS i, bool_or(exc) AS e FROM h GROUP BY 1)
+SELECT p.o_orderkey, p.o_orderkey % 3 AS slide, coalesce(i AND NOT e, FALSE) AS selected FROM p LEFT JOIN g USING (o_orderkey)""")
+def j10b(spark, d):
+    p = points9(spark, d).selectExpr("*", "o_orderkey % 3 slide")
+    shapes = sp.normalise_rois(rois(spark, d).selectExpr("*", "Id % 3 slide"), ["slide"])
+    hits = sp.points_in_shapes(p, shapes, 4.0, by=["slide"])
+    return sp.include_exclude(p, hits, ["slide", "o_orderkey"], F.col("roi_text").contains("exclude")).select("o_orderkey", "slide", "selected")
+
+
 @bind("j11_radius_neighbours", f"""WITH p AS ({PTS}) SELECT a.vec_id AS src, b.vec_id AS dst, round(sqrt({d2()}), 8) AS dist
 FROM p a JOIN p b ON a.vec_id <> b.vec_id AND {d2()} <= {R * R}""")
 def j11(spark, d):
@@ -109,6 +128,16 @@ def j12b(spark, d):
     return sp.nearest_neighbours(a, b, 3, "id", "id").withColumn("dist", F.round("dist", 6))
 
 
+@bind("j12_nearest_sets_apart", f"""WITH a AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(c_nationkey * 100 AS DOUBLE) AS y FROM customer),
+b AS (SELECT o_orderkey AS id, o_totalprice + 10000000 AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders),
+r AS (SELECT a.id AS src, b.id AS dst, sqrt({d2()}) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {d2()}, b.id) AS rk FROM a, b)
+SELECT src, dst, round(dist, 4) AS dist, CAST(rk AS INTEGER) AS "rank" FROM r WHERE rk <= 3""")
+def j12d(spark, d):
+    a = table(spark, d, "customer").selectExpr("c_custkey id", "c_acctbal x", "cast(c_nationkey * 100 as double) y")
+    b = table(spark, d, "orders").selectExpr("o_orderkey id", "o_totalprice + 10000000 x", "cast(o_custkey as double) y")
+    return sp.nearest_neighbours(a, b, 3, "id", "id").withColumn("dist", F.round("dist", 4))
+
+
 @bind("j12_nearest_with_copies", f"""WITH q AS (SELECT DISTINCT x, y FROM ({GRID})), t AS ({GRID}),
 r AS (SELECT a.x, a.y, b.id, {d2('a', 'b')} AS d2, row_number() OVER (PARTITION BY a.x, a.y ORDER BY {d2('a', 'b')}, b.id) AS rk
 FROM q a JOIN t b ON abs(a.x - b.x) <= 5 AND abs(a.y - b.y) <= 5)
@@ -161,6 +190,14 @@ def a30(spark, d):
     return c.withColumn("dist", F.round("dist", 8))
 
 
+@bind("a30_class_distances_by_slide", f"""WITH p AS (SELECT *, vec_id % 2 AS slide FROM ({PTS})), c AS (SELECT DISTINCT label AS to_class FROM p),
+r AS (SELECT a.vec_id, b.label AS to_class, min(sqrt({d2()})) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id AND a.slide = b.slide GROUP BY 1, 2)
+SELECT p.slide, p.vec_id, p.label, c.to_class, round(dist, 8) AS dist FROM p CROSS JOIN c LEFT JOIN r ON r.vec_id = p.vec_id AND r.to_class = c.to_class""")
+def a30c(spark, d):
+    c = nb.class_distances(pts(spark, d).selectExpr("*", "vec_id % 2 slide"), "vec_id", "label", CLASSES, 1, by=["slide"])
+    return c.withColumn("dist", F.round("dist", 8))
+
+
 @bind("a30_mean_class_distances", f"""WITH p AS ({PTS}),
 r AS (SELECT a.label, b.label AS to_class, a.vec_id, min(sqrt({d2()})) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3)
 SELECT label, to_class, round(avg(dist), 8) AS dist FROM r GROUP BY 1, 2""")

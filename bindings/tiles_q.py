@@ -153,20 +153,22 @@ def t3(spark, d):
     return rounded(kn.focus_scores(tiles(spark, d)).withColumn("variance", F.col("variance") + 3e-7), 5)
 
 
-@bind("t4_spot_candidates", f"""WITH p AS ({PX}), l AS (SELECT c.y, c.x, c.value, 4 * c.value - coalesce(a.value, c.value) - coalesce(b.value, c.value) - coalesce(e.value, c.value) - coalesce(f.value, c.value) AS r
-FROM p c LEFT JOIN p a ON a.y = c.y - 1 AND a.x = c.x LEFT JOIN p b ON b.y = c.y + 1 AND b.x = c.x LEFT JOIN p e ON e.y = c.y AND e.x = c.x - 1 LEFT JOIN p f ON f.y = c.y AND f.x = c.x + 1)
-SELECT CAST(c.y AS INTEGER) AS "Y", CAST(c.x AS INTEGER) AS "X", c.r AS "_LoG_intensity", c.value AS channel_intensity FROM l c WHERE c.y > 0 AND c.x > 0 AND c.x < {N * 8 - 1} AND c.y < (SELECT max(y) FROM p)
-AND NOT EXISTS (SELECT 1 FROM l o WHERE o.y BETWEEN c.y - 1 AND c.y + 1 AND o.x BETWEEN c.x - 1 AND c.x + 1 AND (o.r > c.r OR (o.r = c.r AND (o.y < c.y OR (o.y = c.y AND o.x < c.x)))))""")
+@bind("t4_spot_candidates", f"""WITH RECURSIVE p AS ({PX}), l AS MATERIALIZED (SELECT c.y, c.x, c.y * {N * 8} + c.x AS id, c.value, 4 * c.value - coalesce(a.value, c.value) - coalesce(b.value, c.value) - coalesce(e.value, c.value) - coalesce(f.value, c.value) AS r
+FROM p c LEFT JOIN p a ON a.y = c.y - 1 AND a.x = c.x LEFT JOIN p b ON b.y = c.y + 1 AND b.x = c.x LEFT JOIN p e ON e.y = c.y AND e.x = c.x - 1 LEFT JOIN p f ON f.y = c.y AND f.x = c.x + 1),
+o AS (SELECT a, b FROM (SELECT unnest(range(-1, 2)) AS a) s, (SELECT unnest(range(-1, 2)) AS b) t WHERE a <> 0 OR b <> 0),
+n AS MATERIALIZED (SELECT c.id AS s, d.id AS t, d.r - c.r AS step, abs(a) + abs(b) = 1 AS straight FROM (SELECT * FROM l, o) c JOIN l d ON d.y = c.y + a AND d.x = c.x + b),
+w AS (SELECT s, s AS t FROM n WHERE step = 0 UNION SELECT w.s, n.t FROM w JOIN n ON n.s = w.t AND n.step = 0),
+v AS (SELECT s, s AS t FROM n WHERE step = 0 AND straight UNION SELECT v.s, n.t FROM v JOIN n ON n.s = v.t AND n.step = 0 AND n.straight),
+high AS (SELECT DISTINCT s FROM n WHERE step > 0), dead AS (SELECT s FROM high UNION SELECT w.s FROM w JOIN high ON w.t = high.s)
+SELECT CAST(y AS INTEGER) AS "Y", CAST(x AS INTEGER) AS "X", r AS "_LoG_intensity", value AS channel_intensity FROM l
+WHERE y > 0 AND x > 0 AND id NOT IN (SELECT s FROM dead) AND id NOT IN (SELECT s FROM v WHERE t < s)""")
 def t4(spark, d):
-    c = kn.spot_candidates(tiles(spark, d), 8, 0.0, halo=2)
-    from cellweave.operators.ordered import attach_one_row
-    c = attach_one_row(c, tiles(spark, d).agg((F.max("tile_row") * 8 + 7).alias("_h")))
-    return c.where(f"Y > 0 AND X > 0 AND X < {N * 8 - 1} AND Y < _h").drop("_h")
+    return kn.spot_candidates(tiles(spark, d), 8, 0.0)
 
 
 @bind("t4_detect_spots")
 def t4b(spark, d):
-    return kn.detect_spots(tiles(spark, d), 8, 1.0, halo=8)
+    return kn.detect_spots(tiles(spark, d), 8, 1.0)
 
 
 @bind("t5_min_pool", f"""SELECT y // 3 AS y, x // 3 AS x, min(value) AS value FROM ({PX}) GROUP BY 1, 2 HAVING count(*) = 9""")
@@ -218,11 +220,11 @@ def t8(spark, d):
     return cp.label_components(mask, 8, N)
 
 
-@bind("t8_connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount > CAST(0.05 AS DOUBLE) AND l_tax > CAST(0.06 AS DOUBLE)),
+@bind("t8_connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS n, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.n WHERE r.root < u.b)
 SELECT n AS node, min(root) AS component FROM r GROUP BY 1""")
 def t8b(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount > 0.05D AND l_tax > 0.06D").selectExpr("l_suppkey src", "l_partkey + 1000000 dst")
+    e = table(spark, d, "lineitem").selectExpr("l_suppkey src", "l_partkey + 1000000 dst")
     return cp.connected_components(e)
 
 
@@ -308,6 +310,12 @@ def w10b(spark, d):
     return cp.peaks_with_relaxed_spacing(p, "o_orderkey", "o_totalprice", 50, 120)
 
 
+@bind("w10_relaxed_spacing_by_key")
+def w10c(spark, d):
+    p = table(spark, d, "orders").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey % 997 x", "o_orderkey % 991 y")
+    return cp.peaks_with_relaxed_spacing(p, "o_orderkey", "o_totalprice", 10, 120, keys=["o_orderstatus"])
+
+
 @bind("x1_user_stats", f"""SELECT label, max(value) - min(value) AS spread, count(*) FILTER (WHERE value > 10) AS bright FROM ({LAB}) WHERE label > 0 GROUP BY 1""")
 def x1(spark, d):
     return rg.user_stats(lab(spark, d).where("label > 0"), ["label"], {

@@ -58,7 +58,7 @@ def tile_labels(mask: np.ndarray, start: int, eight: bool) -> np.ndarray:
             low = np.minimum(lab[ys, xs], lab[yt, xt])
             both = (lab[ys, xs] < big) & (lab[yt, xt] < big)
             lab[ys, xs] = np.where(both, low, lab[ys, xs])
-            lab[yt, xt] = np.where(both, low, lab[yt, xt])
+            lab[yt, xt] = np.where(both, np.minimum(low, lab[yt, xt]), lab[yt, xt])
         fg = lab < big
         lab[fg] = np.minimum(lab[fg], lab.ravel()[lab[fg]])  # jump to the label of the label's pixel
         if np.array_equal(before, lab):
@@ -133,12 +133,20 @@ def spaced_peaks(
 
 
 def peaks_with_relaxed_spacing(
-    points: DataFrame, idc: str, score: str, n: int, spacing: float = 100.0, factor: float = 0.9, x: str = "x", y: str = "y"
+    points: DataFrame, idc: str, score: str, n: int, spacing: float = 100.0, factor: float = 0.9, x: str = "x", y: str = "y",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The spacing shrinks (whole numbers) until ``n`` points are found; below 1 it is an error."""
+    """The spacing, one for all keys, shrinks (whole numbers) until every key has ``n`` points; below 1 it is an error."""
+    k = list(keys)
+    every = points.select(*k).distinct() if k else None
     while True:
-        got = durable(spaced_peaks(points, idc, score, spacing, x, y, n))
-        if got.count() >= n:
+        got = durable(spaced_peaks(points, idc, score, spacing, x, y, n, k))
+        if every is None:
+            done = got.count() >= n
+        else:
+            full = got.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+            done = every.join(full, k, "left_anti").isEmpty()
+        if done:
             return got
         spacing = int(factor * spacing)
         if spacing < 1:

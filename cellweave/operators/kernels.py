@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.operators import stats as st
+from cellweave.operators.components import connected_components
 from cellweave.operators.ordered import attach_one_row, quantiles
-from cellweave.operators.tiles import Own, apply_blocks, map_tiles, to_pixels, to_tiles
+from cellweave.operators.tiles import Own, apply_blocks, map_tiles, to_pixels, to_tiles, trim
 from cellweave.session import durable
 
 
@@ -79,35 +80,140 @@ def log_response(img: np.ndarray, sigma: float) -> np.ndarray:
     return -(along(along(img, second, 0), g, 1) + along(along(img, g, 0), second, 1))
 
 
-def peaks_3x3(img: np.ndarray) -> np.ndarray:
-    """Maxima over the eight neighbours; of equal neighbours the first in raster order is kept."""
-    big = np.pad(img, 1, constant_values=-np.inf)
-    h, w = img.shape
-    keep = np.ones(img.shape, dtype=bool)
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            if dy or dx:
-                other = big[1 + dy:1 + dy + h, 1 + dx:1 + dx + w]
-                keep &= (img > other) if (dy, dx) < (0, 0) else (img >= other)
-    return keep
+def pairs_of(shape: tuple[int, int], dy: int, dx: int) -> tuple[tuple[slice, slice], tuple[slice, slice]]:
+    """Slices of all pixels that have a neighbour at ``(dy, dx)``, ``dy >= 0``, and of those neighbours."""
+    h, w = shape
+    return ((slice(0, h - dy), slice(max(0, -dx), w - max(0, dx))), (slice(dy, h), slice(max(0, dx), w + min(0, dx))))
 
 
-def spot_candidates(tiles: DataFrame, size: int, sigma: float = 1.0, keys: Sequence[str] = (), halo: int = 32) -> DataFrame:
-    """T4: every local maximum: ``(keys, Y, X, _LoG_intensity, channel_intensity)``."""
+STRAIGHT, DIAGONAL = ((0, 1), (1, 0)), ((1, 1), (1, -1))
+AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
-    def fn(block: np.ndarray, own: Own) -> pd.DataFrame:
-        resp = log_response(block, sigma)
-        ys, xs = np.nonzero(peaks_3x3(resp))
-        inside = (ys >= own.halo) & (ys < own.halo + own.h) & (xs >= own.halo) & (xs < own.halo + own.w)
-        ys, xs = ys[inside], xs[inside]
-        return pd.DataFrame({"Y": (ys - own.halo + own.y0).astype("int32"), "X": (xs - own.halo + own.x0).astype("int32"),
-                             "_LoG_intensity": resp[ys, xs], "channel_intensity": block[ys, xs]})
 
-    return apply_blocks(tiles, size, halo, fn, "Y int, X int, _LoG_intensity double, channel_intensity double", keys)
+def plateaus(img: np.ndarray, steps: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Raster number of the first pixel of the plateau (connected pixels of one value) that each pixel lies on."""
+    lab = np.arange(img.size).reshape(img.shape)
+    while True:
+        before = lab.copy()
+        for step in steps:
+            a, b = pairs_of(img.shape, *step)
+            low = np.where(img[a] == img[b], np.minimum(lab[a], lab[b]), img.size)
+            lab[a] = np.minimum(lab[a], low)
+            lab[b] = np.minimum(lab[b], low)
+        lab = lab.ravel()[lab]
+        if np.array_equal(before, lab):
+            return lab
+
+
+def mirrored(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block with NaN outside the image: the same with the image mirrored there, and where the image is."""
+    there = ~np.isnan(block)
+    rows, cols = np.flatnonzero(there.any(axis=1)), np.flatnonzero(there.any(axis=0))
+    if not len(rows):
+        return np.zeros_like(block), there
+    ends = [(v[0], n - 1 - v[-1]) for v, n in zip((rows, cols), block.shape)]
+    inner = np.nan_to_num(block[rows[0]:rows[-1] + 1, cols[0]:cols[-1] + 1])
+    return np.pad(inner, ends, mode="symmetric"), there
+
+
+SPOT = "Y int, X int, _LoG_intensity double, channel_intensity double"
+
+
+def tile_peaks(resp: np.ndarray, block: np.ndarray, own: Own) -> pd.DataFrame:
+    """Peaks of one tile, and the parts of plateaus that go on in another tile.
+
+    ``resp`` covers the tile and a ring of one pixel, ``-inf`` outside the image. A part is known by its first pixel
+    ``Y, X``; each of its rows names a pixel ``by, bx`` and an equal neighbour ``ny, nx`` of another part.
+    """
+    h, w = own.h, own.w
+    at = resp[1:-1, 1:-1]
+    higher, lower = np.zeros((h, w), bool), np.zeros((h, w), bool)
+    near = {(dy, dx): resp[1 + dy:1 + dy + h, 1 + dx:1 + dx + w] for dy, dx in AROUND}
+    for other in near.values():
+        higher |= other > at
+        lower |= (other < at) & (other > -np.inf)
+    part, whole = plateaus(at, STRAIGHT).ravel(), plateaus(at, STRAIGHT + DIAGONAL).ravel()
+    image = at.ravel() > -np.inf
+
+    def on_whole(flag: np.ndarray) -> np.ndarray:
+        out = np.zeros(h * w, bool)
+        out[whole[flag.ravel()]] = True
+        return out[whole]
+
+    yy, xx = np.mgrid[:h, :w]
+    link, outside = [], np.zeros((h, w), bool)
+    for (dy, dx), other in near.items():
+        out = (yy + dy < 0) | (yy + dy >= h) | (xx + dx < 0) | (xx + dx >= w)
+        same = other == at
+        outside |= same & out
+        target = np.clip(yy + dy, 0, h - 1) * w + np.clip(xx + dx, 0, w - 1)
+        link.append((dy, dx, same & (out | (part[target] != part.reshape(h, w)))))
+    crossing, dead, rises = on_whole(outside), on_whole(higher), on_whole(lower)
+    first = np.flatnonzero((part == np.arange(h * w)) & image & ~crossing & ~dead & rises)
+    rows = [np.stack([first, *[np.full(len(first), -1)] * 4], axis=1)]
+    for dy, dx, met in link:
+        y, x = np.nonzero(met & (crossing & image).reshape(h, w))
+        rows.append(np.stack([part[y * w + x], y + own.y0, x + own.x0, y + dy + own.y0, x + dx + own.x0], axis=1))
+    got = np.concatenate(rows)
+    f = got[:, 0]
+    return pd.DataFrame({
+        "Y": (f // w + own.y0).astype("int32"), "X": (f % w + own.x0).astype("int32"), "_LoG_intensity": at.ravel()[f],
+        "channel_intensity": block.ravel()[f], "dead": dead[f], "rises": rises[f], "crossing": got[:, 1] >= 0,
+        "by": got[:, 1], "bx": got[:, 2], "ny": got[:, 3], "nx": got[:, 4]})
+
+
+def spot_reach(sigma: float) -> int:
+    """Pixels around a tile that its peaks depend on: the kernel and a ring of one."""
+    return (1 if sigma == 0 else len(gauss(sigma)) // 2) + 1
+
+
+def spot_candidates(tiles: DataFrame, size: int, sigma: float = 1.0, keys: Sequence[str] = (), halo: int | None = None) -> DataFrame:
+    """T4: every local maximum over the eight neighbours: ``(keys, Y, X, _LoG_intensity, channel_intensity)``.
+
+    A plateau with a higher neighbour anywhere has none; of another one the first pixel (in raster order) of each part
+    that hangs together by straight steps is kept, across tiles too. The image goes on as its mirror image, so a first pixel
+    in the first row or column lies on the mirrored side and is left out. A constant image has no maximum. ``halo`` follows from ``sigma``; a smaller one is an error.
+    """
+    reach = spot_reach(sigma)
+    halo = reach if halo is None else halo
+    if halo < reach:
+        raise ValueError(f"sigma {sigma} needs a halo of {reach} pixels, not {halo}")
+
+    def fn(block: np.ndarray, own: Own) -> pd.DataFrame:
+        img, there = mirrored(block)
+        resp = np.where(there, log_response(img, sigma), -np.inf)
+        ring = tuple(slice(halo - 1, halo + n + 1) for n in (own.h, own.w))
+        return tile_peaks(resp[ring], trim(img, own), own)
+
+    found = durable(apply_blocks(
+        tiles, size, halo, fn, SPOT + ", dead boolean, rises boolean, crossing boolean, by bigint, bx bigint, ny bigint, nx bigint",
+        keys, boundary=float("nan")))
+    columns = [*keys, "Y", "X", "_LoG_intensity", "channel_intensity"]
+    peaks = found.where("not crossing").select(*columns)
+    parts = found.where("crossing")
+    if not parts.isEmpty():
+        peaks = peaks.unionByName(crossing_peaks(parts, columns, keys))
+    return peaks.where("Y > 0 and X > 0")
+
+
+def crossing_peaks(parts: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Peaks of the plateaus that lie in several tiles."""
+    parts = parts.withColumn("node", F.struct(*keys, "Y", "X"))
+    back = parts.select(*keys, F.col("node").alias("other"), F.col("by").alias("ny"), F.col("bx").alias("nx"),
+                        F.col("ny").alias("by"), F.col("nx").alias("bx"))
+    edges = durable(parts.join(back, [*keys, "by", "bx", "ny", "nx"]).select(
+        "node", "other", (F.abs(F.col("by") - F.col("ny")) + F.abs(F.col("bx") - F.col("nx")) == 1).alias("straight")).distinct())
+    one = parts.groupBy("node", *columns).agg(F.bool_or("dead").alias("dead"), F.bool_or("rises").alias("rises"))
+    whole = connected_components(edges, "node", "other").withColumnRenamed("component", "whole")
+    flags = one.join(whole, "node", "left").withColumn("whole", F.coalesce("whole", "node"))
+    good = flags.groupBy("whole").agg(F.bool_or("dead").alias("d"), F.bool_or("rises").alias("r")).where("r and not d").select("whole")
+    part = connected_components(edges.where("straight"), "node", "other")
+    first = flags.join(good, "whole").join(part, "node", "left")
+    return first.where(F.coalesce("component", "node") == F.col("node")).select(*columns)
 
 
 def detect_spots(
-    tiles: DataFrame, size: int, sigma: float = 1.0, keys: Sequence[str] = (), halo: int = 32, top: int = 65535, bins: int = 256
+    tiles: DataFrame, size: int, sigma: float = 1.0, keys: Sequence[str] = (), halo: int | None = None, top: int = 65535, bins: int = 256
 ) -> DataFrame:
     """T4: maxima above the triangle threshold of all responses, with the response rescaled to ``0..top``."""
     cand = durable(spot_candidates(tiles, size, sigma, keys, halo))  # read three times below

@@ -125,17 +125,18 @@ def enrichment(
 
 
 def class_distances(
-    points: DataFrame, idc: str, cls: str, classes: Sequence[object], k: int = 1, x: str = "x", y: str = "y"
+    points: DataFrame, idc: str, cls: str, classes: Sequence[object], k: int = 1, x: str = "x", y: str = "y",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """A30 per cell: mean distance to the ``k`` nearest cells of each class ``(id, class, to_class, dist)``;
-    null where a class is absent."""
+    """A30 per cell: mean distance to the ``k`` nearest cells of each class ``(by, id, class, to_class, dist)``;
+    null where a class is absent. ``by`` keeps slides apart."""
     names = F.array(*[F.lit(c) for c in classes])
-    src = points.select(F.col(idc).alias("_s"), x, y, F.col(cls).alias("_c")).withColumn("to_class", F.explode(names))
-    dst = points.where(F.col(cls).isin(*classes)).select(F.col(idc).alias("_d"), x, y, F.col(cls).alias("to_class"))
-    near = nearest_neighbours(src, dst, k, "_s", "_d", x, y, exclude_self=True, by=["to_class"])
-    mean = near.groupBy(F.col("src").alias("_s"), "to_class").agg(F.avg("dist").alias("dist"))
-    return src.select("_s", "_c", "to_class").join(mean, ["_s", "to_class"], "left").select(
-        F.col("_s").alias(idc), F.col("_c").alias(cls), "to_class", "dist")
+    src = points.select(*by, F.col(idc).alias("_s"), x, y, F.col(cls).alias("_c")).withColumn("to_class", F.explode(names))
+    dst = points.where(F.col(cls).isin(*classes)).select(*by, F.col(idc).alias("_d"), x, y, F.col(cls).alias("to_class"))
+    near = nearest_neighbours(src, dst, k, "_s", "_d", x, y, exclude_self=True, by=[*by, "to_class"])
+    mean = near.groupBy(*by, F.col("src").alias("_s"), "to_class").agg(F.avg("dist").alias("dist"))
+    return src.select(*by, "_s", "_c", "to_class").join(mean, [*by, "_s", "to_class"], "left").select(
+        *by, F.col("_s").alias(idc), F.col("_c").alias(cls), "to_class", "dist")
 
 
 def mean_class_distances(per_cell: DataFrame, cls: str) -> DataFrame:

@@ -142,8 +142,9 @@ def quantiles(
         F.max(F.when(inside("hi"), F.col("_v"))).alias("_b"),
         F.max(pos(F.col("_h.p"))).alias("_pos"),
     )
-    frac = F.col("_pos") - F.floor("_pos")
-    out = out.withColumn("q", F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
+    # The same arithmetic as the built-in percentile, so that both ways of group_quantiles give equal digits.
+    mixed = (F.ceil("_pos") - F.col("_pos")) * F.col("_a") + (F.col("_pos") - F.floor("_pos")) * F.col("_b")
+    out = out.withColumn("q", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(mixed))
     if not wide:
         return out.select(*by, "p", "q")
     packed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda e: e.q)
@@ -156,7 +157,7 @@ def group_quantiles(
     """``(keys, q)``: exact quantiles for very many groups, from value counts ``(keys, value, n)``.
 
     Groups of at most ``most`` distinct values use the built-in weighted percentile, one shuffle for all of
-    them. Larger groups, few by nature, would fill the memory of one task; they take the bucketed way.
+    them. Larger groups, few by nature, would fill the memory of one task; they take the bucketed way, which gives the same numbers.
     """
     few = F.percentile(F.col(value), [float(p) for p in probs], F.col("n"))
     sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > most).select(*keys)

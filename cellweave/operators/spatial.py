@@ -16,20 +16,21 @@ from cellweave.session import durable
 
 SMALL = 100_000
 CHUNK = 20_000
+FAR = 64  # a cell with more target locations than this for each one wanted is searched by descent
 
 
 # --- J9, J10 -----------------------------------------------------------------------------------
 
-def normalise_rois(rois: DataFrame) -> DataFrame:
+def normalise_rois(rois: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ROI rows to ``(Id, kind, pts, cx, cy, rx, ry, x0, y0, x1, y1)``.
 
     Rectangles become four corners, polylines count as closed; points and lines never contain anything
-    and are dropped. A radius of -1 means absent.
+    and are dropped. A radius of -1 means absent. ``by`` names columns to keep, such as the slide.
     """
     kind = F.lower("type")
     pts = F.when(kind == "rectangle", geo.rectangle_corners(F.col("X"), F.col("Y"), F.col("Width"), F.col("Height"))).otherwise(
         geo.parse_points(F.col("all_points")))
-    r = rois.select("Id", "Name", "Text", kind.alias("kind"), pts.alias("pts"),
+    r = rois.select(*by, "Id", "Name", "Text", kind.alias("kind"), pts.alias("pts"),
                     F.col("X").alias("cx"), F.col("Y").alias("cy"),
                     F.when(F.col("RadiusX") > 0, F.col("RadiusX")).alias("rx"),
                     F.when(F.col("RadiusY") > 0, F.col("RadiusY")).alias("ry"))
@@ -45,27 +46,27 @@ def normalise_rois(rois: DataFrame) -> DataFrame:
 
 
 def points_in_shapes(
-    points: DataFrame, rois: DataFrame, cell: float, x: str = "x", y: str = "y", salts: int = 16
+    points: DataFrame, rois: DataFrame, cell: float, x: str = "x", y: str = "y", salts: int = 16, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Each point row with ``roi_id, roi_name, roi_text`` of every shape that contains it.
+    """Each point row with ``roi_id, roi_name, roi_text`` of every shape (of its slide, if ``by`` names one) that contains it.
 
     Boxes are cut into grid cells and joined by cell, then the box, then the exact test. The gridded
     shapes are broadcast while they stay within ``SMALL`` rows and 20 ``SMALL`` vertices; beyond that each shape cell is repeated
     ``salts`` times and the points of a cell are spread over the salts, so a crowded cell is split.
     """
     at = lambda c: F.floor(F.col(c) / cell)
-    named = rois.withColumnsRenamed({c: f"_{c}" for c in rois.columns if c not in ("Id", "Name", "Text")}).withColumnsRenamed(
+    named = rois.withColumnsRenamed({c: f"_{c}" for c in rois.columns if c not in ("Id", "Name", "Text", *by)}).withColumnsRenamed(
         {"Id": "roi_id", "Name": "roi_name", "Text": "roi_text"})
     gridded = named.withColumn("_gx", F.explode(F.sequence(at("_x0"), at("_x1")))).withColumn(
         "_gy", F.explode(F.sequence(at("_y0"), at("_y1"))))
     left = points.withColumns({"_gx": at(x), "_gy": at(y)})
     weight = gridded.limit(SMALL + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_pts")), F.lit(0))).first()
     if weight[0] <= SMALL and weight[1] <= 20 * SMALL:
-        joined = left.join(F.broadcast(gridded), ["_gx", "_gy"])
+        joined = left.join(F.broadcast(gridded), [*by, "_gx", "_gy"])
     else:
         spread = gridded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = left.withColumn("_salt", F.pmod(F.hash(*points.columns), F.lit(salts))).join(
-            spread, ["_gx", "_gy", "_salt"]).drop("_salt")
+            spread, [*by, "_gx", "_gy", "_salt"]).drop("_salt")
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     near = joined.where(px.between(F.col("_x0"), F.col("_x1")) & py.between(F.col("_y0"), F.col("_y1")))
     inside = F.when(F.col("_kind") == "ellipse", geo.in_ellipse(px, py, F.col("_cx"), F.col("_cy"), F.col("_rx"), F.col("_ry"))).when(
@@ -74,12 +75,13 @@ def points_in_shapes(
 
 
 def include_exclude(
-    points: DataFrame, hits: DataFrame, key: str, excluded: Column, out: str = "selected"
+    points: DataFrame, hits: DataFrame, key: str | Sequence[str], excluded: Column, out: str = "selected"
 ) -> DataFrame:
-    """A point is selected when some including and no excluding shape contains it."""
-    per = hits.groupBy(key).agg(F.bool_or(~excluded).alias("_inc"), F.bool_or(excluded).alias("_exc"))
+    """A point is selected when some including and no excluding shape contains it. ``key`` may be several columns (slide and id)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    per = hits.groupBy(*keys).agg(F.bool_or(~excluded).alias("_inc"), F.bool_or(excluded).alias("_exc"))
     flag = F.coalesce(F.col("_inc") & ~F.col("_exc"), F.lit(False))
-    return points.join(per, key, "left").withColumn(out, flag).drop("_inc", "_exc")
+    return points.join(per, keys, "left").withColumn(out, flag).drop("_inc", "_exc")
 
 
 # --- shared ------------------------------------------------------------------------------------
@@ -164,7 +166,9 @@ def nearest_neighbours(
     A pyramid of cell counts tells, for each source location, the finest cell around it that holds enough
     targets: small cells in dense regions, large ones in empty regions, no distance cut-off. The best of
     that cell bound the distance, and a second round searches only the cells that touch the disc of that
-    radius. At one position only the first ``k`` (+1) ids can matter, which bounds a pile of copies.
+    radius. Sources whose cell would be a crowded one, as when the sets lie apart, descend from the whole area cell by cell
+    instead and keep only target cells that can hold one of their nearest. At one position only the first ``k`` (+1) ids can
+    matter, which bounds a pile of copies.
     """
     want = k + 1 if exclude_self else k
     keep = list(by)
@@ -217,14 +221,21 @@ def _location_search(ask: DataFrame, ans: DataFrame, want: int, by: list[str], b
     fine = cells(ask, depth, ("fx", "fy"))
     homes = fine.select(*by, "fx", "fy").distinct().withColumn("l", levels)
     homes = homes.withColumns({"cx": shift("fx", F.col("l")), "cy": shift("fy", F.col("l"))})
-    enough = pyramid.where(F.col("n") >= want).select(*by, "l", "cx", "cy")
-    level = homes.join(enough, [*by, "l", "cx", "cy"]).groupBy(*by, "fx", "fy").agg(F.max("l").alias("l"))
-    placed = fine.join(level, [*by, "fx", "fy"], "left").withColumn("known", F.col("l").isNotNull()).withColumn(
-        "l", F.coalesce("l", F.lit(0))).drop("fx", "fy")
+    enough = pyramid.where(F.col("n") >= want).select(*by, "l", "cx", "cy", "locs")
+    level = homes.join(enough, [*by, "l", "cx", "cy"]).groupBy(*by, "fx", "fy").agg(
+        F.max("l").alias("l"), F.max_by("locs", "l").alias("locs"))
+    placed = durable(fine.join(level, [*by, "fx", "fy"], "left"))
+    crowded = placed.where(F.col("locs") > FAR * want).drop("l", "locs")
+    apart = not crowded.isEmpty()
+    if apart:
+        descended = _descent(crowded, pyramid, want, by, box, span, depth)
+        placed = placed.where(F.coalesce("locs", F.lit(0)) <= FAR * want)
+    placed = placed.withColumn("known", F.col("l").isNotNull()).withColumn("l", F.coalesce("l", F.lit(0))).drop("fx", "fy", "locs")
     placed = cells(placed, F.col("l"))
 
-    used = [r.l for r in placed.select("l").distinct().collect()]  # at most depth + 1 numbers
-    told = cells(ans.withColumn("l", F.explode(F.array(*[F.lit(v) for v in sorted(used)]))), F.col("l"))
+    used = [r.l for r in placed.select("l").distinct().collect()] + [depth] * apart  # at most depth + 1 numbers
+    used = sorted(set(used))
+    told = cells(ans.withColumn("l", F.explode(F.array(*[F.lit(v) for v in used]))), F.col("l"))
     told = told.select(*by, "l", "cx", "cy", F.col("x").alias("t_x"), F.col("y").alias("t_y"), "ids")
     key, loc = [*by, "l", "cx", "cy"], [*by, "x", "y"]
     hot = pyramid.where(F.col("l").isin(used) & (F.col("locs") > CHUNK)).select(*key, F.ceil(F.col("locs") / CHUNK).alias("_s"))
@@ -249,6 +260,55 @@ def _location_search(ask: DataFrame, ans: DataFrame, want: int, by: list[str], b
     slack = F.lit(span * 1e-12)  # cell borders are rounded numbers
     near = F.pow(F.greatest(gap("x", box.x0, "cx") - slack, F.lit(0.0)), 2) + F.pow(F.greatest(gap("y", box.y0, "cy") - slack, F.lit(0.0)), 2) <= F.col("r2")
     asked = asked.where(near).select(*loc, "l", "cx", "cy", "r2")
+    if apart:
+        asked = asked.unionByName(descended.withColumn("l", F.lit(depth)))
     flat = closest(asked).select(*loc, "d2", F.explode("ids").alias("_id"))
     best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "_id"))), 1, want)
     return flat.groupBy(*loc).agg(best.alias("near"))
+
+
+def _descent(crowded: DataFrame, pyramid: DataFrame, want: int, by: list[str], box, span: float, depth: int) -> DataFrame:
+    """``(by, x, y, cx, cy, r2)``: the target cells of the finest level that can hold one of the nearest of each location.
+
+    Source cells and target cells are halved together. Target cells, nearest far side first, that add up to ``want`` bound the
+    distance; those that begin beyond it are left out. So a source cell keeps a band of cells along the near side of the
+    targets, however many lie behind. The last step bounds every location by itself.
+    """
+    half = lambda c, l: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(depth - l))).cast("long")
+    slack = 1e-3  # of a cell: cell borders are rounded numbers
+
+    def within(df, owner, begins, ends):
+        """Rows whose cell begins before the bound of its ``owner``."""
+        upto = Window.partitionBy(*owner).orderBy("_e", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)
+        bound = F.min(F.when(F.col("_cum") >= want, F.col("_e"))).over(Window.partitionBy(*owner))
+        ranked = df.withColumns({"_b": begins, "_e": ends}).withColumn("_cum", F.sum("n").over(upto)).withColumn("r2", bound)
+        return ranked.where(F.col("r2").isNull() | (F.col("_b") <= F.col("r2"))).drop("_b", "_e", "_cum")
+
+    homes = durable(crowded.select(*by, "fx", "fy").distinct())
+    zero = F.lit(0).cast("long")
+    cur = homes.select(*by, *[zero.alias(c) for c in ("sx", "sy", "cx", "cy")]).distinct()
+    for l in range(1, depth + 1):
+        source = homes.select(*by, half("fx", l - 1).alias("sx"), half("fy", l - 1).alias("sy"), half("fx", l).alias("_sx"), half("fy", l).alias("_sy")).distinct()
+        target = pyramid.where(F.col("l") == l).select(
+            *by, F.floor(F.col("cx") / 2).alias("cx"), F.floor(F.col("cy") / 2).alias("cy"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "n")
+        met = cur.join(source, [*by, "sx", "sy"]).join(target, [*by, "cx", "cy"]).select(
+            *by, *[F.col(f"_{c}").alias(c) for c in ("sx", "sy", "cx", "cy")], "n")
+        off = lambda a, b: F.abs(F.col(a) - F.col(b)).cast("double")
+        begins = F.pow(F.greatest(off("sx", "cx") - (1 + slack), F.lit(0.0)), 2) + F.pow(F.greatest(off("sy", "cy") - (1 + slack), F.lit(0.0)), 2)
+        ends = F.pow(off("sx", "cx") + (1 + slack), 2) + F.pow(off("sy", "cy") + (1 + slack), 2)
+        cur = within(met, [*by, "sx", "sy"], begins, ends).drop("r2")
+        if l % 2 == 0 or l == depth:
+            cur = durable(cur)
+        if l < depth:
+            cur = cur.drop("n")
+    if not depth:
+        cur = cur.join(pyramid.select(*by, "cx", "cy", "n"), [*by, "cx", "cy"])
+    step = span / 2 ** depth
+    low = lambda o, i: F.lit(o) + F.col(i) * step
+    gap = lambda c, o, i: F.greatest(low(o, i) - F.col(c), F.col(c) - low(o, i) - step, F.lit(0.0))
+    begin = lambda c, o, i: F.greatest(gap(c, o, i) - slack * step, F.lit(0.0))
+    end = lambda c, o, i: F.greatest(F.abs(low(o, i) - F.col(c)), F.abs(low(o, i) + step - F.col(c))) + slack * step
+    asked = crowded.join(cur.withColumnsRenamed({"sx": "fx", "sy": "fy"}), [*by, "fx", "fy"])
+    asked = within(asked, [*by, "x", "y"], F.pow(begin("x", box.x0, "cx"), 2) + F.pow(begin("y", box.y0, "cy"), 2),
+                   F.pow(end("x", box.x0, "cx"), 2) + F.pow(end("y", box.y0, "cy"), 2))
+    return asked.select(*by, "x", "y", "cx", "cy", F.coalesce("r2", F.lit(float("inf"))).alias("r2"))

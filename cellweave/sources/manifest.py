@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellweave.sources.tables import file_path
+
 # Texts that mean true.
 TRUE_TEXTS = ("1", "yes", "y", "true", "t")
 
@@ -18,20 +20,27 @@ def read_manifest(
 
     ``required`` maps name to type, ``optional`` name to type and default. A filled field wins over the
     default; a required field that is empty or any field of a wrong type rejects the row. ``row_num`` counts
-    non-blank lines, the header being 1.
+    non-blank lines, the header being 1. The file is split like any text file: lines are numbered within a
+    block, and the number of lines before a block is added. Several part files count in the order of their names.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        F.filter(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n"), lambda v: F.trim(v) != "").alias("lines"))
-    first = lines.select(F.get("lines", F.lit(0)).alias("h")).first()
-    if first is None or not first.h:
+    text = spark.read.option("lineSep", "\n").text(path).select(
+        file_path().alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"),
+        F.regexp_replace("value", "^\ufeff|\r$", "").alias("_l"))
+    lines = text.where(F.trim("_l") != "")
+    first = lines.agg(F.min_by("_l", F.struct("_f", "_b", "_i")).alias("h")).first()
+    if not first.h:
         raise ValueError("manifest is empty or has no header")
     header = [h.strip().strip('"') for h in first.h.split(",")]
     absent = [h for h in required if h not in header]
     if absent:
         raise ValueError(f"manifest lacks required headers: {', '.join(absent)}")
+    order = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    before = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_f", "_b", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_o"))
+    numbered = lines.withColumn("_k", F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i"))).join(before, ["_f", "_b"])
     ddl = ", ".join(f"`{h}` string" for h in header)
-    rows = lines.select(F.posexplode("lines").alias("_p", "_l")).where("_p > 0").select(
-        (F.col("_p") + 1).alias("row_num"), F.from_csv("_l", ddl).alias("r")).select("row_num", "r.*")
+    rows = numbered.select((F.col("_k") + F.col("_o")).cast("int").alias("row_num"), F.from_csv("_l", ddl).alias("r")).where(
+        "row_num > 1").select("row_num", "r.*")
     return typed_rows(rows, required, optional)
 
 

@@ -122,3 +122,16 @@ def test_folder_completes_once_quiet_and_duplicates_count_once(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(src)
     ar.run_to_end(ar.emit_completed(ar.completed_folders(stream, "scan", "ts", "1 minute", "10 minutes", unique=["scan", "name"]), out, cp))
     assert [(r.scan, r.n_files) for r in spark.read.parquet(out).collect()] == [("a", 2)]
+
+
+def test_manifest_rows_are_numbered_across_blocks(spark, tmp_path):
+    p = tmp_path / "m.csv"
+    p.write_text("id,name\r\n" + "".join(f"{i},n{i}\r\n\r\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        good, bad = mf.read_manifest(spark, str(p), {"id": "int"}, {"name": ("string", "")})
+        assert [(r.row_num, r.id, r.name) for r in good.orderBy("id").collect()] == [(i + 2, i, f"n{i}") for i in range(500)]
+        assert bad.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

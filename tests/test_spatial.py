@@ -151,3 +151,23 @@ def test_ellipse_angle_keeps_sign(spark):
     pt = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
     e = spark.range(1).select(geo.ellipse_from_axes(F.array(pt(0, 0), pt(4, -4), pt(1, -3), pt(3, -1))).alias("e")).first().e
     assert (e.cx, e.cy) == (2.0, -2.0) and np.isclose(e.angle, -45.0)
+
+
+@pytest.mark.parametrize("far", [64, 0])
+def test_knn_by_descent_equals_brute_force(spark, monkeypatch, far):
+    monkeypatch.setattr(sp, "FAR", far)
+    a, b = clustered(5, 80), clustered(6, 400) + 1000
+    got = sp.nearest_neighbours(frame(spark, a), frame(spark, b), 2, "id", "id")
+    assert {(r.src, r.dst, r["rank"]) for r in got.collect()} == brute_knn(a, b, 2, False)
+    mixed = sp.nearest_neighbours(frame(spark, b), frame(spark, b), 3, "id", "id", exclude_self=True)
+    assert {(r.src, r.dst, r["rank"]) for r in mixed.collect()} == brute_knn(b, b, 3, True)
+
+
+def test_shapes_and_distances_stay_on_their_slide(spark):
+    pts = frame(spark, [(1, 1), (1, 1), (3, 3)], ["a", "b", "a"]).withColumn("slide", F.col("id") % 2)
+    rois = spark.createDataFrame([(*s, 1) for s in SHAPES], "Id long, Name string, Text string, type string, all_points string, X double, Y double, "
+                                 "RadiusX double, RadiusY double, Width double, Height double, slide long")
+    hits = sp.points_in_shapes(pts, sp.normalise_rois(rois, ["slide"]), 3.0, by=["slide"])
+    assert [(r.id, r.roi_id) for r in hits.collect()] == [(1, 1)]
+    got = {(r.id, r.to_class): r.dist for r in nb.class_distances(pts, "id", "c", ["a", "b"], by=["slide"]).collect()}
+    assert got == {(0, "a"): np.sqrt(8), (0, "b"): None, (1, "a"): None, (1, "b"): None, (2, "a"): np.sqrt(8), (2, "b"): None}

@@ -189,3 +189,51 @@ def test_pooling_borders(spark):
     assert tl.pool(image(spark, img), 2, "min").count() == 2
     mean = back(tl.pool(image(spark, img), 2), (2, 3))
     assert mean[1, 2] == 14 / 4 and mean[0, 0] == (0 + 1 + 5 + 6) / 4
+
+
+def plain_spots(resp):
+    """First pixels of the straight parts of plateaus without a higher neighbour, the first row and column left out."""
+    h, w = resp.shape
+    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    inside = lambda p: 0 <= p[0] < h and 0 <= p[1] < w
+
+    def spread(start, steps):
+        seen, todo = {start}, [start]
+        while todo:
+            y, x = todo.pop()
+            for a, b in steps:
+                q = (y + a, x + b)
+                if inside(q) and q not in seen and resp[q] == resp[start]:
+                    seen.add(q)
+                    todo.append(q)
+        return seen
+
+    out = set()
+    for p in ((y, x) for y in range(h) for x in range(w)):
+        edge = [(y + a, x + b) for y, x in spread(p, around) for a, b in around]
+        values = {resp[q] for q in edge if inside(q)}
+        if max(values) <= resp[p] and min(values) < resp[p] and p == min(spread(p, [s for s in around if 0 in s])):
+            out.add(p)
+    return {p for p in out if p[0] and p[1]}
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.7])
+def test_spots_on_plateaus_across_tiles(spark, sigma):
+    rng = np.random.default_rng(8)
+    img = rng.integers(0, 3, (22, 19)).astype(float)
+    img[3:20, 3:17] = 1
+    img[9, 2:18] = 5  # a ridge through several tiles, ended by a higher pixel
+    img[9, 17] = 6
+    img[13, 4:15], img[14:18, 4], img[14:18, 14] = 4, 4, 4  # a U
+    tiles = tl.to_tiles(image(spark, img), 6)
+    got = [(r.Y, r.X) for r in kn.spot_candidates(tiles, 6, sigma).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_spots(kn.log_response(img, sigma))
+    assert kn.spot_candidates(tl.to_tiles(image(spark, np.ones((7, 7))), 3), 3, sigma).count() == 0
+    with pytest.raises(ValueError, match="halo"):
+        kn.spot_candidates(tiles, 6, 3.0, halo=4)
+
+
+def test_relaxed_spacing_per_key(spark):
+    df = spark.createDataFrame([(k, i, float(-i), float(i * (1 + k)), 0.0) for k in range(2) for i in range(6)], "k int, id int, s double, x double, y double")
+    got = cp.peaks_with_relaxed_spacing(df, "id", "s", 2, 5, keys=["k"]).collect()  # 4 is the first spacing that gives both keys two
+    assert {k: sorted(r.id for r in got if r.k == k) for k in range(2)} == {0: [0, 5], 1: [0, 3]}
