@@ -142,7 +142,7 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS
     # A class is known by its smallest doc_id; where one doc_id has several texts, the set's name tells them apart.
     classes = full.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     classes = stored(classes.withColumn("node", F.xxhash64("doc_id", "content")), "classes")
-    spread = classes.select("node", "doc_id", F.posexplode("bands").alias("band", "bucket"))
+    spread = classes.select("node", "doc_id", F.explode("bands").alias("bucket"))
     busy = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1")
     # Only classes that share a bucket go on.
     members = stored(spread.join(busy.drop("n"), "bucket"), "members")
@@ -156,8 +156,8 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS
     sets = stored(sets, "sets")
     good = stored(confirmed(edges, sets, percent), "links")
     roots = stored(connected_components(good, "a", "b"), "roots")
-    placed = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of_component = across(placed, classes.select("node", "n", "bytes"), sets, percent, bands)
+    placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_component = across(placed, classes.select("node", "n", "bytes", "bands"), sets, percent)
     # Node numbers are hashes; the component takes the smallest doc_id of its classes.
     named = classes.select("node", "doc_id", "content").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = named.join(of_component, "component", "left").withColumn("component", F.coalesce("root", "component"))
@@ -165,7 +165,7 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS
     return sketch.drop("bands", "bytes"), named.join(low, "component").select("content", "component_id")
 
 
-def across(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
+def across(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(component, root)`` of components joined by links between them.
 
     Members of a bucket with several components are numbered and cut into blocks; every pair of blocks is one group of at most
@@ -181,7 +181,7 @@ def across(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, b
     dealt = dealt.join(sizes.join(sets.select("node", short("items").alias("short")), "node"), "node").withColumn("i", F.least("own", "x")).withColumn("j", F.greatest("own", "x"))
     keys = ["bucket", "i", "j"]
     dealt = dealt.repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys, "k").select(
-        *keys, "band", "own", "node", "component", "n", "bytes", "short")
+        *keys, "own", "node", "component", "n", "bytes", "bands", "short")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -191,10 +191,10 @@ def across(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, b
                 continue
             new = (b[keys].to_numpy()[1:] != b[keys].to_numpy()[:-1]).any(axis=1)
             cuts = [0, *(np.flatnonzero(new) + 1)]
-            yield from (plausible(b.iloc[p:q], percent, bands) for p, q in zip(cuts, cuts[1:], strict=False))
+            yield from (plausible(b.iloc[p:q], percent) for p, q in zip(cuts, cuts[1:], strict=False))
             held = b.iloc[cuts[-1]:]  # its group may go on in the next batch
         if held is not None:
-            yield plausible(held, percent, bands)
+            yield plausible(held, percent)
 
     pairs = stored(dealt.mapInPandas(run, "a long, b long, ca long, cb long"), "across")
     linked = stored(confirmed(pairs, sets, percent).join(pairs, ["a", "b"]).select("ca", "cb").distinct(), "across-links")
@@ -212,10 +212,14 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bo
     return bool(100 * common >= percent * (nx + ny - common))
 
 
-def plausible(group: pd.DataFrame, percent: int, bands: int) -> pd.DataFrame:
-    """Pairs of a group in different components whose sizes and signatures allow a link, if this is their first band."""
+def plausible(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of a group in different components whose sizes and signatures allow a link, if this is their first common bucket.
+
+    The first one is told by the full band keys: bytes of a band may agree by chance where its key, and so its bucket, differs.
+    """
     own, component, n, node = (group[c].to_numpy() for c in ("own", "component", "n", "node"))
     sig = np.frombuffer(b"".join(group["bytes"]), dtype=np.uint8).reshape(len(group), -1)
+    keys = np.stack(group["bands"].to_list())
     cross = group["i"].iloc[0] != group["j"].iloc[0]
     left, right = (np.flatnonzero(own == group[c].iloc[0]) for c in "ij")
     low = percent / 100
@@ -228,12 +232,13 @@ def plausible(group: pd.DataFrame, percent: int, bands: int) -> pd.DataFrame:
     found = []
     for at in range(0, len(p), 1 << 15):
         a, b = p[at:at + (1 << 15)], q[at:at + (1 << 15)]
-        same = sig[a] == sig[b]
+        same = (sig[a] == sig[b]).mean(axis=1)
         doubt = 6 * np.sqrt(low * (1 - low) / np.minimum(sig.shape[1], np.maximum(n[a], n[b])))
-        good = same.mean(axis=1) >= low - doubt
-        a, b, same = a[good], b[good], same[good]
-        first = same.reshape(len(a), bands, sig.shape[1] // bands).all(axis=2).argmax(axis=1) == group["band"].iloc[0]
-        a, b = a[first], b[first]
+        good = same >= low - doubt
+        a, b = a[good], b[good]
+        first = (keys[a] == keys[b]).argmax(axis=1)
+        mine = keys[a, first] == group["bucket"].iloc[0]
+        a, b = a[mine], b[mine]
         near = [k for k in range(len(a)) if may_link(short[a[k]], short[b[k]], n[a[k]], n[b[k]], percent)]
         found.append((a[near], b[near]))
     a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=int) for k in (0, 1))

@@ -179,6 +179,24 @@ def test_near_duplicates_edge_rows(spark):
     assert neardup.report(docs_of(spark, []), words=4).count() == 0
 
 
+def test_bytes_equal_by_chance_hide_no_link(spark):
+    rng = np.random.default_rng(5)
+    while True:  # until a band before the first common one agrees in its bytes alone
+        pool = np.unique(rng.integers(0, 1 << 63, 330).astype(np.uint64))
+        sets = [pool[:-15], pool[15:]]
+        sigs = [neardup.signature(x, neardup.BANDS * neardup.ROWS) for x in sets]
+        keys = [neardup.band_keys(x, neardup.BANDS, neardup.ROWS) for x in sigs]
+        octets = [x.astype(np.uint8) for x in sigs]
+        common = np.flatnonzero(keys[0] == keys[1])
+        if len(common) and (octets[0] == octets[1]).reshape(neardup.BANDS, -1).all(axis=1).argmax() < common[0]:
+            break
+    rows = [(k + 1, 315, octets[k].tobytes(), keys[k].tolist(), sets[k].tobytes()) for k in (0, 1)]
+    classes = spark.createDataFrame(rows, "node long, n long, bytes binary, bands array<long>, items binary")
+    placed = classes.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("component"))
+    got = neardup.across(placed, classes.drop("items"), classes.select("node", "items"), 80).collect()
+    assert {(r.component, r.root) for r in got} == {(1, 1), (2, 1)}
+
+
 def test_short_forms_never_hide_a_link():
     rng = np.random.default_rng(8)
     for n in (3, 40, 3000, 60_000):
