@@ -2,7 +2,7 @@
 
 A text becomes a TF-IDF vector of hashed character n-grams (1 to 3, letters only, lower case, words apart), normalised to
 length one. Document frequencies cover all training texts; the centroids are spherical k-means clusters of a bounded
-sample, ``CLUSTERS`` per language from about ``SAMPLE`` distinct texts each. A text takes the language of the centroid
+sample, ``CLUSTERS`` per language from ``SAMPLE`` distinct texts each, or all if there are fewer. A text takes the language of the centroid
 with the largest cosine. It is *rejected* if it is null or has no letter, or if the cosine falls below ``FLOOR`` times
 that of the language's remotest training text, lowered further for short texts, whose vectors are sparse.
 
@@ -125,15 +125,17 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
     for r in found:
         df[r.bin + 1] = r.n
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    # A language's share is set by its number of texts; the hash of a text decides, so a copy adds nothing.
-    sizes = rows.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
-    drawn = rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").withColumn("h", F.xxhash64("text")).where(
-        F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    # Distinct texts are counted, so a copy changes nothing. A share a little above SAMPLE (ten standard deviations) is drawn by
+    # the place of a text's hash; the SAMPLE smallest places go on, so no language has fewer while it has the texts.
+    lettered = rows.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).withColumn("h", F.xxhash64("text"))
+    sizes = lettered.select("lang", "h").distinct().groupBy("lang").count()
+    share = F.least(F.lit(1.0), F.lit(sample + 10 * sample ** 0.5 + 100) / F.col("count"))
+    drawn = lettered.withColumn("place", F.pmod("h", F.lit(1 << 40))).join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(
+        F.col("place") < F.col("share") * (1 << 40)).groupBy("lang", "place", "h").agg(F.first("text").alias("text"))
     shared = spark.sparkContext.broadcast(idf)
 
     def one_language(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in pdf.sort_values("h")["text"] if LETTER.search(t)]
+        texts = [t for t in pdf.sort_values(["place", "h"])["text"] if LETTER.search(t)][:sample]
         if not texts:
             return pd.DataFrame({"lang": [], "k": [], "centroid": [], "floor": []})
         x = vectors(texts, shared.value)

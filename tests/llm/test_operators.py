@@ -82,6 +82,13 @@ def test_language(spark):
     assert none.columns == [*df.columns, "lang_pred", "score", "rejected"] and {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_copies_take_no_place_in_the_language_sample(spark):
+    rows = [(k, "lorem ipsum dolor sit amet " * 5, "aa", "") for k in range(3000)]
+    rows += [(4000 + k, f"zwölf boxkämpfer jagen viktor quer {'ij' * k}", "aa", "") for k in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), clusters=4, sample=4)
+    assert len(model.langs) == 4  # one centroid for each of the four distinct texts
+
+
 def test_packing(spark):
     rng = random.Random(4)
     word = ["alpha", "beta", " gamma", "日本", "<|endoftext|>", "é", "\n"]
