@@ -3,8 +3,9 @@
 A text becomes a TF-IDF vector of hashed character n-grams (1 to 3, letters only, lower case, words apart), normalised to
 length one. Document frequencies cover all training texts; the centroids are spherical k-means clusters of a bounded
 sample, ``CLUSTERS`` per language from ``SAMPLE`` distinct texts each, or all if there are fewer. A text takes the language of the centroid
-with the largest cosine. It is *rejected* if it is null or has no letter, or if the cosine falls below ``FLOOR`` times
-that of the language's remotest training text, lowered further for short texts, whose vectors are sparse.
+with the largest cosine. It is *rejected* if it is null or has no letter, or if the cosine falls below the floor of
+the language for texts of its length: ``FLOOR`` times the cosine that all but the share ``LOW`` of the language's sampled texts reach
+when cut to that length and held against centroids they have no part in. So a few odd texts don't lower it.
 
 Only the text enters a prediction. Training rows with a null text or language are left out; without training rows every
 text is ``und`` with score 0 and none is rejected but those without letters. Repeated rows weigh in the frequencies as
@@ -26,7 +27,8 @@ BITS = 13
 DIMS = 1 << BITS
 CLUSTERS = 4
 SAMPLE = 1000
-FLOOR = 0.5
+FLOOR, LOW = 0.6, 0.05
+CUTS = (25, 50, 100, 200, 400)  # characters; the last class of lengths is the whole text
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -59,18 +61,15 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return out
 
 
-def evidence(text: str) -> float:
-    """Short texts have sparse vectors and lower cosines; what is asked of them falls with the root of their length."""
-    return min(1.0, len(text) / 400) ** 0.5
-
-
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts at the mean's nearest row, then at the row farthest from all starts so far."""
-    best = x @ x.mean(axis=0)
-    starts = [int(best.argmax())]
+    """Spherical k-means; starts are drawn with a row's distance from all starts so far as its weight, so where texts are many."""
+    rng = np.random.default_rng(len(x))
+    starts = [int((x @ x.mean(axis=0)).argmax())]
     near = x @ x[starts[0]]
     while len(starts) < min(k, len(x)):
-        starts.append(int(near.argmin()))
+        weight = np.maximum(1 - near.astype(float), 1e-9)
+        weight[starts] = 0
+        starts.append(int(rng.choice(len(x), p=weight / weight.sum())))
         near = np.maximum(near, x @ x[starts[-1]])
     centre = x[starts]
     for _ in range(rounds):
@@ -80,12 +79,33 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centre.astype(np.float32)
 
 
+def floors(texts: list[str], x: np.ndarray, centre: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each of ``CUTS`` and for whole texts, what is asked of a text of that length."""
+    own = (x @ centre.T).argmax(axis=1)
+    sums = np.stack([x[own == j].sum(axis=0) for j in range(len(centre))])
+    rest = sums[own] - x  # a text's own cluster without it
+    length = np.linalg.norm(rest, axis=1)
+    out = []
+    for cut in (*CUTS, None):
+        v = x if cut is None else vectors([t[:cut] for t in texts], idf)
+        cos = v @ centre.T
+        cos[np.arange(len(v)), own] = (v * rest).sum(axis=1) / np.where(length > 1e-3, length, np.inf)
+        known = [k for k, t in enumerate(texts) if cut is None or LETTER.search(t[:cut])]
+        out.append(FLOOR * max(0.0, float(np.quantile(cos[known].max(axis=1), LOW))) if known else 0.0)
+    return np.minimum.accumulate(out[::-1])[::-1]  # never more of a shorter text
+
+
 @dataclass(frozen=True)
 class Model:
     idf: np.ndarray
     langs: list[str]
     centroids: np.ndarray  # one row for each entry of langs
-    floors: np.ndarray
+    floors: np.ndarray  # for each entry of langs, by length: CUTS, then whole texts
+
+    def floor(self, k: int, text: str) -> float:
+        """That of the longest cut the text reaches; below the first cut it falls with the root of the length."""
+        n = len(text)
+        return float(self.floors[k, max(0, sum(n >= c for c in CUTS) - 1 + (n >= 2 * CUTS[-1]))]) * min(1.0, n / CUTS[0]) ** 0.5
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         known = [t for t in texts if t and LETTER.search(t)]
@@ -102,7 +122,7 @@ class Model:
             else:
                 k, c = next(found)
                 lang.append(self.langs[k]), score.append(min(1.0, max(0.0, float(c))))
-                rejected.append(bool(c < self.floors[k] * FLOOR * evidence(t)))
+                rejected.append(bool(c < self.floor(k, t)))
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
 
@@ -137,24 +157,16 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
     def one_language(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in pdf.sort_values(["place", "h"])["text"] if LETTER.search(t)][:sample]
         if not texts:
-            return pd.DataFrame({"lang": [], "k": [], "centroid": [], "floor": []})
+            return pd.DataFrame({"lang": [], "k": [], "centroid": [], "floors": []})
         x = vectors(texts, shared.value)
         centre = cluster(x, clusters)
-        cos = x @ centre.T
-        own = cos.argmax(axis=1)
-        relative = cos.max(axis=1) / np.array([evidence(t) for t in texts])
-        rows = []
-        for j in range(len(centre)):
-            mine = relative[own == j]
-            rows.append((pdf["lang"].iloc[0], j, centre[j].tobytes(), min(1.0, float(mine.min())) if len(mine) else 0.0))
-        return pd.DataFrame(rows, columns=["lang", "k", "centroid", "floor"])
-
-    got = drawn.groupBy("lang").applyInPandas(one_language, "lang string, k int, centroid binary, floor double").collect()
+        asked = floors(texts, x, centre, shared.value).tolist()
+        return pd.DataFrame([(pdf["lang"].iloc[0], j, c.tobytes(), asked) for j, c in enumerate(centre)], columns=["lang", "k", "centroid", "floors"])
+
+    got = drawn.groupBy("lang").applyInPandas(one_language, "lang string, k int, centroid binary, floors array<double>").collect()
     got.sort(key=lambda r: (r.lang, r.k))
     centre = np.stack([np.frombuffer(r.centroid, dtype=np.float32) for r in got]) if got else np.zeros((0, DIMS), np.float32)
-    # Small clusters have no remote members of their own, so a language's centroids share its lowest floor.
-    least = {r.lang: min(x.floor for x in got if x.lang == r.lang) for r in got}
-    return Model(idf, [r.lang for r in got], centre, np.array([least[r.lang] for r in got]))
+    return Model(idf, [r.lang for r in got], centre, np.array([r.floors for r in got]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

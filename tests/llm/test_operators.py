@@ -89,6 +89,20 @@ def test_copies_take_no_place_in_the_language_sample(spark):
     assert len(model.langs) == 4  # one centroid for each of the four distinct texts
 
 
+def test_odd_training_texts_let_no_other_language_pass(spark):
+    rng = random.Random(3)
+    own = {"en": "the house stood at the edge of a small village where people would come together when evening fell and tell their stories about what had happened during that long day which nobody could forget because everything changed after winter",
+           "de": "das haus stand am rande eines kleinen dorfes wo sich die menschen abends trafen und ihre geschichten erzählten über alles was während des langen tages geschehen war und niemand vergessen konnte weil sich nach dem winter vieles änderte"}
+    text = lambda lang: " ".join(rng.choice(own[lang].split()) for _ in range(120))
+    rows = [(k, text(lang), lang, "") for k in range(400) for lang in [("en", "de")[k % 2]]]
+    rows += [(1000 + k, f"{w} " * 150, lang, "") for lang in own for k, w in enumerate("of qzx jklö wvw uhu pfpf yoyo 漢字".split())]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    other = ["La casa era grande e bianca, con un giardino pieno di fiori che il nonno curava ogni mattina. I bambini correvano tra gli alberi mentre la madre preparava il pranzo in cucina.",
+             "Talo seisoi kylän laidalla, missä tie kulki joen vartta ja lapset leikkivät joka päivä aamusta iltaan asti."]
+    assert model.predict(other)["rejected"].all() and model.predict([3 * t for t in other])["rejected"].all()
+    assert not model.predict([text(lang) for lang in own for _ in range(20)])["rejected"].any()
+
+
 def test_packing(spark):
     rng = random.Random(4)
     word = ["alpha", "beta", " gamma", "日本", "<|endoftext|>", "é", "\n"]
