@@ -5,7 +5,8 @@ order of falling length, each to the open sequence that the rule prefers among t
 ``norm`` takes the smallest weighted norm of what stays free, ``dot`` the largest weighted dot product of need and room over
 the squared room. Sequences in the same state are one *class* with a multiplicity, pieces of one length one count. So the plan
 is made from the histogram of lengths, at most ``tokens`` rows, exactly as if piece by piece; its size doesn't grow
-with the data. Spark counts lengths, numbers the pieces of each length and joins them with the plan.
+with the data. With the defaults, which ``op4_pack`` and the pipeline use since as few sequences as possible are asked for, only
+tokens bind: pieces that sum to 2048 are at most 2048 documents and cost at most 2048 * 2048; these two act through the score alone. Spark counts lengths, numbers the pieces of each length and joins them with the plan.
 
 Nulls: a null text is an empty one, which is a single end token. A null doc_id is packed like any other. Repeated rows are
 packed once each; which of two equal rows gets which place is not defined. Other columns are ignored.
