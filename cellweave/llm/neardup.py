@@ -34,7 +34,7 @@ BANDS, ROWS = 40, 6
 BLOCK = 512
 _lower = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _golden = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = "doc_id long, n_shingles long, content binary, bands array<long>, bytes binary"
+SKETCH = "doc_id long, n_shingles long, content binary, bands array<long>, bytes binary, digest binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -84,8 +84,12 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def text_digest():
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
 def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, n_shingles, content, bands, bytes)``; ``content`` names the set, ``bytes`` has a byte of each bin.
+    """``(doc_id, n_shingles, content, bands, bytes, digest)``; ``content`` names the set, ``bytes`` has a byte of each bin, ``digest`` names the text.
 
     ``bands`` and ``bytes`` of an empty set are empty.
     """
@@ -93,14 +97,14 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc_id, text, digest in zip(b["doc_id"], b["text"], b["digest"], strict=True):
                 s = shingles(text, words)
                 sig = signature(s, bands * rows) if len(s) else s
                 keys = band_keys(sig, bands, rows) if len(s) else []
-                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys, sig.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "content", "bands", "bytes"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys, sig.astype(np.uint8).tobytes(), digest))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "content", "bands", "bytes", "digest"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest().alias("digest")).mapInPandas(run, SKETCH)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -136,7 +140,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n_shingles, content)`` per row, and ``(content, component_id)`` per non-empty class."""
+    """``(doc_id, n_shingles, content, digest)`` per row, and ``(content, component_id)`` per non-empty class."""
     sketch = stored(sketches(docs, words, bands, rows), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     # A class is known by its smallest doc_id; where one doc_id has several texts, the set's name tells them apart.
@@ -245,16 +249,24 @@ def plausible(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": node[a], "b": node[b], "ca": component[a], "cb": component[b]})
 
 
-def report(docs: DataFrame, words: int, percent: int = 80) -> DataFrame:
-    """Per row: set size, the smallest doc_id reachable by links, and whether that is its own."""
+def judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``report`` with the ``digest`` of a row's text."""
     sketch, of_class = links(docs, words, percent)
     return sketch.join(of_class, "content", "left").select(
-        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "digest"
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def report(docs: DataFrame, words: int, percent: int = 80) -> DataFrame:
+    """Per row: set size, the smallest doc_id reachable by links, and whether that is its own."""
+    return judged(docs, words, percent).drop("digest")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document, the smallest doc_id, of each component; documents without words or id stay."""
+    """``docs`` with one document, the smallest doc_id, of each component; documents without words or id stay.
+
+    Where a doc_id has several texts, only the rows whose own text is not kept go.
+    """
     columns = docs.columns
-    gone = report(docs, words, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    gone = judged(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (text_digest() == F.col("__digest")), "left_anti").select(*columns)

@@ -200,6 +200,12 @@ def test_near_duplicates_edge_rows(spark):
     assert neardup.report(docs_of(spark, []), words=4).count() == 0
 
 
+def test_a_repeated_doc_id_keeps_its_other_text(spark):
+    docs = docs_of(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text of its own"), (2, None)])
+    got = neardup.drop_near_duplicates(docs, words=4).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, "a b c d e f"), (2, ""), (2, "quite another text of its own")]
+
+
 def test_bytes_equal_by_chance_hide_no_link(spark):
     rng = np.random.default_rng(5)
     while True:  # until a band before the first common one agrees in its bytes alone
