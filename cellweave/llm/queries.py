@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat, decontaminate, langid, linededup, multiindex, neardup, packing, pii, tokencount, warc
+from cellweave.llm import chat, decontaminate, langid, linededup, multiindex, neardup, packing, pii, substring, tokencount, warc
 from cellweave.llm.common import table
 from cellweave.session import fresh_path
 
@@ -139,3 +139,18 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 @bind("op10_embeddings")
 def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return multiindex.report(table(spark, folder, "embeddings"))
+
+
+@bind("op13_substrings", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, a, md5(array_to_string(w[a:a + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS a FROM d WHERE len(w) >= 50)),
+m AS (SELECT g, min(doc_id) AS low FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT DISTINCT doc_id, unnest(range(a, a + 50)) AS k FROM p JOIN m USING (g) WHERE doc_id > low),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+r AS (SELECT doc_id, count(*) AS n_words, count(h.k) AS n_removed, string_agg(word, ' ' ORDER BY x.k) FILTER (h.k IS NULL) AS kept
+      FROM x LEFT JOIN h USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+""")
+def op13_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.report(table(spark, folder, "documents"))
