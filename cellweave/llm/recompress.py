@@ -20,9 +20,12 @@ import numpy as np
 ROUNDS, RUN_ROUNDS = 5, 3
 TARGET = 6
 LONGEST = 11
+STRIDE = 25
 FAR = 1 << 60
 
 _step, _one, _two, _odd = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+_base = np.uint64(0x9E6C63D0876A9A35)
+_back = np.uint64(pow(int(_base), -1, 1 << 64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,8 +59,12 @@ class Words:
         part[gaps] = 0
         self.names = mixed(np.add.reduceat(part, self.start) + (self.stop - self.start).astype(np.uint64))
 
-    def digest(self, first: int, words: int, size: int) -> bytes:
-        return blake2b(self.data[self.start[first]:self.stop[first + words - 1]], digest_size=size).digest()
+    def hash_of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the names of the words ``first`` to ``end - 1``, from sums over all words before."""
+        n = len(self.names)
+        power, back = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, x, dtype=np.uint64))) for x in (_base, _back))
+        sums = np.append(np.uint64(0), np.cumsum(self.names * power[:-1]))
+        return (sums[np.clip(end, 0, n)] - sums[np.clip(first, 0, n)]) * back[np.clip(first, 0, n)]
 
 
 class Symbols:
@@ -145,21 +152,29 @@ class Symbols:
 
 
 def window_groups(words: Words, width: int):
-    """Arrays ``(text, start, count, name, digest)``: windows ``start`` to ``start + count - 1`` of a text have chosen the same symbol
-    ``name``; ``digest`` is of all their words. A window without any symbol is a group of its own, named by its words."""
+    """Arrays ``(text, start, count, name, digest)``: windows ``start`` to ``start + count - 1`` of a text that have one name.
+
+    A window chooses a symbol. Where the symbol begins, counted from the window's start and parted by ``STRIDE``, says which words all
+    windows of that part have in common: more than half of the window. Symbol, part and a hash of these words are the name of the window.
+    A window without any symbol is a group of its own, named by its words. ``digest`` is of all words of the group.
+    """
     symbols = Symbols(words.names, words.walls)
     free = np.maximum(words.counts - width + 1, 0)
     base = words.walls[:-1] + 1
     text = np.repeat(np.arange(len(free)), free)
     p = np.arange(free.sum()) - np.repeat(np.cumsum(free) - free, free) + base[text]
     found = symbols.chosen(p, width)
+    stride = min(STRIDE, (width + 1) // 2)
+    part = (symbols.start[found] - p) // stride
     new = np.ones(len(p), dtype=bool)
-    new[1:] = (found[1:] != found[:-1]) | (found[1:] < 0) | (text[1:] != text[:-1])
+    new[1:] = (found[1:] != found[:-1]) | (found[1:] < 0) | (text[1:] != text[:-1]) | (part[1:] != part[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(p)))
-    alone = found[first] < 0
     data, begin, end = words.data, words.start[p[first]].tolist(), words.stop[p[first] + count + width - 2].tolist()
     digests = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begin, end, strict=True)])
     pair = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
-    name = np.where(alone, pair[:, 1], symbols.name[found[first]].view(np.int64))
-    return text[first], p[first] - base[text[first]], count, name, pair[:, 0]
+    chosen, part = found[first], part[first]
+    begin = symbols.start[chosen]
+    common = words.hash_of(begin - part * stride, begin - np.minimum(part * stride + stride, width) + 1 + width)
+    name = mixed(mixed(symbols.name[chosen] + part.astype(np.uint64)) * _odd + common).view(np.int64)
+    return text[first], p[first] - base[text[first]], count, np.where(chosen < 0, pair[:, 1], name), pair[:, 0]
