@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat, decontaminate, fillmiddle, langid, linededup, multiindex, neardup, packing, pii, substring, tokencount, warc
+from cellweave.llm import chat, decontaminate, fillmiddle, langid, linededup, multiindex, neardup, packing, pii, prefixtrie, substring, tokencount, warc
 from cellweave.llm.common import table
 from cellweave.session import fresh_path
 
@@ -141,6 +141,35 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return multiindex.report(table(spark, folder, "embeddings"))
 
 
+@bind("op11_prefix_trie", r"""
+WITH RECURSIVE t AS (SELECT i, 0 AS k, i AS v FROM range(256) r(i)
+                     UNION ALL SELECT i, k + 1, CASE WHEN (v & 1) = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8),
+c AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s, 1 AS p, 4294967295 AS crc FROM conversations WHERE conv_id IS NOT NULL
+      UNION ALL SELECT conv_id, s, p + 1, xor(crc >> 8, v) FROM c JOIN t ON k = 8 AND i = (xor(crc, ord(s[p])) & 255) WHERE p <= length(s)),
+h AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(crc, 4294967295) % 4 AS h FROM c WHERE p = length(s) + 1),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations),
+b AS (SELECT h.conv_id, p AS d, role, text FROM h JOIN o ON o.conv_id = base AND p <= h),
+n AS (SELECT conv_id, max(d) AS n FROM b GROUP BY 1),
+a AS (SELECT * FROM b UNION ALL SELECT h.conv_id, coalesce(n, 0) + p - h, role, text FROM h JOIN o ON o.conv_id = h.conv_id AND p > h LEFT JOIN n ON n.conv_id = h.conv_id),
+g AS (SELECT conv_id, 0 AS d, '' AS g, 0 AS words FROM h UNION ALL
+      SELECT conv_id, d, md5(string_agg(md5(length(role) || ':' || role || text), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)),
+             len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM a),
+m AS (SELECT g, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM g GROUP BY g, d),
+u AS (SELECT m.*, p.g AS up, q.conv_id AS parent FROM m LEFT JOIN g p ON p.conv_id = m.conv_id AND p.d = m.d - 1 LEFT JOIN m q ON q.g = p.g),
+k AS (SELECT up AS g, count(*) AS n_children FROM u WHERE up IS NOT NULL GROUP BY 1),
+s AS (SELECT g.g, count(*) FILTER (k.g IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved
+      FROM m JOIN g ON g.conv_id = m.conv_id AND g.d <= m.d LEFT JOIN k ON k.g = m.g GROUP BY 1),
+l AS (SELECT conv_id, arg_max(g, d) AS g FROM g GROUP BY 1),
+e AS (SELECT g, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM l GROUP BY 1)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM u LEFT JOIN k USING (g) JOIN s USING (g) LEFT JOIN e USING (g)
+""")
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, folder, "conversations"))
+
+
 @bind("op12_fill_middle", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
                   sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
