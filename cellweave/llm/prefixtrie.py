@@ -119,7 +119,7 @@ def common(a: bytes, b: bytes, known: int) -> int:
 
 def burst(paths: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Containers that fit, as rows of strings, and the heads above them (None without any)."""
-    rows = paths.select("*", F.lit(b"").alias("head"), F.lit(0).alias("top"), F.lit(None).cast("long").alias("parent"),
+    rows = paths.select("*", F.substring("path", F.lit(1), F.lit(0)).alias("head"), F.lit(0).alias("top"), F.lit(None).cast("long").alias("parent"),
                         F.array().cast("array<binary>").alias("heads"))
     turns = (F.octet_length("path") / UNIT).cast("long")
     fitting, heads = [], []
@@ -134,8 +134,9 @@ def burst(paths: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
         large = stored(large.select("head", "heads", "top", "bottom", "parent", "conv", "n", words.alias("words"), ends.alias("ends")), "heads")
         if large.isEmpty():
             break
+        new = large.select("head", "bottom", F.col("conv").alias("head_conv"))
+        rows = stored(rows.join(new if heads else F.broadcast(new), "head", "left"), "containers")  # the root is one row
         heads.append(large)
-        rows = stored(rows.join(large.select("head", "bottom", F.col("conv").alias("head_conv")), "head", "left"), "containers")
         fitting.append(rows.where("bottom is null").drop("bottom", "head_conv"))
         below = rows.where(F.octet_length("path") > F.col("bottom") * UNIT)
         rows = below.select(

@@ -122,7 +122,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     names = stored(smallest(groups, "name").where("low < top").select("name"), "names")
     shared = stored(groups.join(names, "name"), "shared")
     contexts = stored(smallest(shared, "name", "wide"), "contexts")
-    borders = contexts.groupBy("name").agg((F.min("low") < F.max("low")).alias("border")).where("border")
+    borders = stored(contexts.groupBy("name").agg((F.min("low") < F.max("low")).alias("border")).where("border"), "borders")
     contexts = stored(contexts.join(borders, "name", "left").where("low < top or border"), "known")
     judged = shared.join(contexts.select("name", "wide", "low", "border"), ["name", "wide"]).where("doc > low or border")
     judged = stored(judged.select("doc", "th", "at", "n", "name", (F.col("doc") > F.col("low")).alias("gone")), "judged")
