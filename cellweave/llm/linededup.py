@@ -94,7 +94,7 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, th, spans)``: sorted disjoint-start line spans ``(start, stop)`` to delete, for documents that have any."""
+    """``(doc_id, th, spans)``: sorted line spans ``(start, stop)`` to delete, with lines between them, for documents that have any."""
     owners, positions = repeated_lines(docs)
     runs = stored(longest_earlier(levels_of(positions)), "runs")
     doc = F.shiftright("pos", LINE_BITS)
@@ -105,9 +105,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     good = sized.where(F.col("total") - F.col("upto") + F.col("words") >= min_words).select(
         doc.alias("doc"), "pos", (F.col("pos") + F.col("len")).alias("end"))
     before = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    good = good.withColumn("before", before).where("before is null or end > before")  # the rest lie inside an earlier run
+    fresh = (F.col("before").isNull() | (F.col("pos") > F.col("before"))).cast("int")
+    good = good.withColumn("before", before).withColumn("part", F.sum(fresh).over(in_doc))
+    merged = good.groupBy("doc", "part").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
     line = lambda c: F.col(c).bitwiseAND((1 << LINE_BITS) - 1)
-    spans = good.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(line("pos").alias("start"), line("end").alias("stop")))).alias("spans"))
+    spans = merged.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(line("pos").alias("start"), line("end").alias("stop")))).alias("spans"))
     return owners.join(spans, "doc").drop("doc")
 
 
@@ -120,8 +122,11 @@ def with_deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def kept_lines():
-    gone = lambda i: F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["stop"]))
-    return F.when(F.col("__spans").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x, i: ~gone(i)))
+    """The lines between the spans, in slices."""
+    begin = F.concat(F.array(F.lit(0).cast("long")), F.col("__spans.stop"))
+    end = F.concat(F.col("__spans.start"), F.array(F.size("__lines").cast("long")))
+    gaps = F.zip_with(begin, end, lambda a, b: F.slice("__lines", (a + 1).cast("int"), (b - a).cast("int")))
+    return F.when(F.col("__spans").isNull(), F.col("__lines")).otherwise(F.flatten(gaps))
 
 
 def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -132,7 +137,7 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row: lines, deleted lines, their spans as ``start:stop`` (sorted, may overlap), digest of the text that stays."""
+    """Per row: lines, deleted lines, their spans as ``start:stop`` (sorted), digest of the text that stays."""
     rows = with_deletions(docs.select("doc_id", "text"), min_words).withColumn("__kept", kept_lines())
     shown = F.array_join(F.transform("__spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")

@@ -62,3 +62,12 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert linededup.report(df).count() == 0
     assert linededup.delete_repeated_lines(df).count() == 0
+
+
+def test_many_runs_in_one_document(spark):
+    lines = [f"one two three four five six {k}" for k in range(12_000)]
+    mixed = [x for k, line in enumerate(lines) for x in ((line, f"own {k}") if k % 2 else (line,))]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(mixed))], "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.report(df, 6).collect()}
+    assert (got[1].n_deleted, got[2].n_lines, got[2].n_deleted) == (0, 18_000, 12_000)
+    assert got[2].spans.count(":") == 6_000 and got[2].kept_sha256 == hashlib.sha256("\n".join(x for x in mixed if x[:3] == "own").encode()).hexdigest()
