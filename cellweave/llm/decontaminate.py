@@ -3,8 +3,8 @@
 All steps are DataFrame functions. Each n-gram is filed under one *anchor*, its rarest word within the benchmark. A
 document is scanned word by word; where a word is an anchor, the windows that would put the anchor at that place are
 compared with the stored n-gram as text. So every window of a document is covered, yet only those with an anchor
-are built. The n-gram table is broadcast after its rows have been counted, above ``BROADCAST_GRAMS`` it is joined by
-shuffle; the result is the same.
+are built. The n-gram table is broadcast after its rows have been counted; above ``BROADCAST_GRAMS`` windows are named by a
+digest and joined by name; the result is the same.
 
 Nulls: a null text has no words, so neither hits nor windows. An item without id is found but cannot be named, so it
 counts in ``n_hit`` and not in ``n_items``. Rows of one doc_id and text get equal results; an item_id that repeats counts
@@ -13,7 +13,7 @@ once. Other columns are ignored by ``contamination`` and kept by ``decontaminate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import ascii_lower, stored
@@ -55,38 +55,55 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFra
     return best.select("gram_id", "gram", "len", F.lower("a.word").alias("anchor"), F.col("a.shift").alias("shift")), of_items
 
 
-def window_hits(docs: DataFrame, grams: DataFrame, small: bool) -> DataFrame:
-    """``(key, start, stop, gram_id)`` of every window of a document that is a benchmark gram."""
-    table = F.broadcast(grams) if small else grams
-    # Full lower-casing is coarser than A-Z alone, so probing with it loses nothing; the comparison below is exact.
-    probe = docs.select(document_key().alias("key"), words(F.col("text")).alias("w")).where(F.size("w") > 0).select(
-        "key", "w", F.posexplode("w").alias("pos", "word"))
-    start = F.col("pos") - F.col("shift")
-    inside = (start >= 0) & (start + F.col("len") <= F.size("w"))
-    same = ascii_lower(F.array_join(F.slice("w", start + 1, F.col("len")), " ")) == F.col("gram")
-    return probe.join(table, (F.lower("word") == F.col("anchor")) & inside & same).select(
-        "key", start.alias("start"), (start + F.col("len")).alias("stop"), "gram_id")
+def inside(size: Column) -> Column:
+    return (F.col("start") >= 0) & (F.col("start") + F.col("len") <= size)
+
 
+def window_hits(docs: DataFrame, grams: DataFrame, few: int) -> DataFrame:
+    """``(key, start, stop, gram_id)`` of every window of a document that is a benchmark gram.
 
-def covered(spans: Column) -> Column:
-    """Number of places inside a sorted array of ``(start, stop)`` spans."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
-    step = lambda s, x: F.struct(
-        (s["n"] + F.greatest(x["stop"] - F.greatest(x["start"], s["end"]), F.lit(0))).cast("long").alias("n"),
-        F.greatest(s["end"], x["stop"]).alias("end"))
-    return F.aggregate(spans, zero, step, lambda s: s["n"])
+    Up to ``few`` grams go to all tasks and are compared as text. Beyond, only the places of an anchor in its grams go there, or none
+    if the anchors are more than ``few`` too: then a task names all windows of the lengths there are. Windows are named by 128 bits of
+    a digest and joined by name, so no words are shuffled, one name for each occurrence of an anchor at most as often as it has places.
+    """
+    probe = docs.select(document_key().alias("key"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    each = probe.select("key", "w", F.posexplode("w").alias("pos", "word"))
+    window = ascii_lower(F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " "))
+    # Full lower-casing is coarser than A-Z alone, so probing with it loses nothing; the comparison below is exact.
+    if grams.count() <= few:
+        met = each.join(F.broadcast(grams), F.lower("word") == F.col("anchor")).withColumn("start", F.col("pos") - F.col("shift"))
+        return met.where(inside(F.size("w")) & (window == F.col("gram"))).select("key", "start", (F.col("start") + F.col("len")).alias("stop"), "gram_id")
+    places = stored(grams.groupBy("anchor").agg(F.collect_set(F.struct("shift", "len")).alias("places")), "places")
+    if places.count() <= few:
+        met = each.join(F.broadcast(places), F.lower("word") == F.col("anchor")).select("key", "w", "pos", F.inline("places"))
+    else:
+        sizes = [r.len for r in grams.select("len").distinct().collect()]  # 1 to the window's length
+        met = each.select("key", "w", "pos", F.lit(0).alias("shift"), F.explode(F.array(*[F.lit(n) for n in sizes])).alias("len"))
+    named = met.withColumn("start", F.col("pos") - F.col("shift")).where(inside(F.size("w"))).select(
+        "key", "start", (F.col("start") + F.col("len")).alias("stop"), F.unhex(F.md5(window)).alias("name"))
+    return named.join(grams.select("gram_id", F.unhex(F.md5("gram")).alias("name")), "name").select("key", "start", "stop", "gram_id")
+
+
+def merged_spans(hits: DataFrame) -> DataFrame:
+    """``(key, spans, n_hit)``: sorted spans with words between them, and the words they hold."""
+    in_document = Window.partitionBy("key").orderBy("start", "stop")
+    before = F.max("stop").over(in_document.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("before").isNull() | (F.col("start") > F.col("before"))).cast("int")
+    once = hits.select("key", "start", "stop").distinct().withColumn("before", before).withColumn("part", F.sum(fresh).over(in_document))
+    merged = once.groupBy("key", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"),
+                                     F.sum(F.col("stop") - F.col("start")).cast("long").alias("n_hit"))
 
 
 def hits_by_document(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(key, spans, n_hit, items)`` of the documents that hold a benchmark window."""
     grams, of_items = benchmark_grams(benchmark, window)
     grams, of_items = stored(grams, "grams"), stored(of_items, "gram-items")
+    hits = stored(window_hits(docs, grams, BROADCAST_GRAMS), "window-hits")
     small = of_items.count() <= BROADCAST_GRAMS
-    hits = stored(window_hits(docs, grams, small), "window-hits")
-    spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     named = hits.select("key", "gram_id").distinct().join(F.broadcast(of_items) if small else of_items, "gram_id")
     items = named.groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return spans.join(items, "key", "left").select("key", "spans", covered(F.col("spans")).alias("n_hit"), "items")
+    return merged_spans(hits).join(items, "key", "left")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -116,7 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove == "documents":
         return keyed.join(found, mark, "left_anti").select(*columns)
     pieces = F.regexp_extract_all(F.col("text"), F.lit(PIECE), F.lit(0))
-    kept = F.filter(pieces, lambda p, i: ~F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["stop"])))
+    begin, end = F.concat(F.array(F.lit(0)), F.col("__spans.stop")), F.concat(F.col("__spans.start"), F.array(F.size("__pieces")))
+    kept = F.flatten(F.zip_with(begin, end, lambda a, b: F.slice("__pieces", a + 1, b - a)))
     tail = F.regexp_extract(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
     clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return keyed.join(found, mark, "left").withColumn("text", clean).select(*columns)
+    return keyed.join(found, mark, "left").withColumn("__pieces", F.when(F.col("__spans").isNotNull(), pieces)).withColumn("text", clean).select(*columns)
