@@ -169,8 +169,7 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
     return Model(idf, [r.lang for r in got], centre, np.array([r.floors for r in got]))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``rejected``."""
+def _found(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, rejected boolean")
@@ -178,9 +177,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         values = [None if t is None else str(t) for t in texts]
         return pd.concat([shared.value.predict(values[k:k + 256]) for k in range(0, len(values), 256)] or [shared.value.predict([])])
 
-    return docs.withColumn("__found", predicted("text")).select(
-        *docs.columns, F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"),
-        F.col("__found.rejected").alias("rejected"))
+    return docs.withColumn("__found", predicted("text"))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``rejected`` at the end; they replace columns of the same names."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    return _found(docs, model).select(
+        *own, F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"), F.col("__found.rejected").alias("rejected"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is not rejected."""
+    return _found(docs, model).where("not __found.rejected").drop("__found")
 
 
 def held_out(doc_id: str = "doc_id"):

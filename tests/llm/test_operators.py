@@ -258,7 +258,9 @@ def test_warc_records_stand_alone():
     assert len(data) < sum(map(len, records)) / 4
 
 
-def test_decontamination_edges(spark):
+@pytest.mark.parametrize("most", [500_000, 4, 0])
+def test_decontamination_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", most)
     item = "one two three four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, item, "a"), (2, "Short ITEM", "a"), (3, None, "a"), (4, "...", "a"), (None, "lonely", "a"), (1, item, "a")],
                                   "item_id long, text string, spans string")
@@ -275,6 +277,25 @@ def test_decontamination_edges(spark):
     assert decontaminate.contamination(docs_of(spark, []), bench).count() == 0
 
 
+def test_many_hits_in_one_document_are_cut_in_linear_time(spark):
+    bench = spark.createDataFrame([(1, "hit"), (2, "two words")], "item_id long, text string")
+    text = " ".join("hit so" if k % 2 else "two words here" for k in range(40_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    cut = decontaminate.decontaminate(df, bench, remove="spans").first().text
+    assert cut.split() == ["here", "so"] * 20_000
+    got = decontaminate.contamination(df, bench).first()
+    assert (got.n_words, got.n_hit, got.n_items) == (100_000, 60_000, 2)
+
+
+def test_language_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "abc def", "aa", 7.5, "no", "x")], "doc_id long, text string, lang string, score double, rejected string, lang_pred string")
+    model = langid.fit(df)
+    kept = langid.accepted(df, model)
+    assert kept.columns == df.columns and kept.collect() == df.collect()
+    told = langid.identify(df, model)
+    assert told.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and told.first().lang_pred == "aa"
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(9)
     bits = ["[INST]", "[/INST]", "</s>", "<s>", "\\", "[\\INST]", "<", "[", " ", "[TEXT]", "é", "\n", "[ROLE]", "/INST]", "a"]

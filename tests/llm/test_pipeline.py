@@ -18,8 +18,9 @@ def test_run(spark, tmp_path):
     passage = " ".join(rng.choice(vocab) for _ in range(12))
     rows = [(k, text(5)) for k in range(30)]
     rows += [(40, rows[3][1]), (41, rows[4][1].replace("\n", " ")), (42, text(1) + " " + passage), (43, None), (44, "12 34"), (45, rows[5][1] + "\n" + text(3)), (46, rows[4][1].replace("\n", "  "))]
-    docs = [(k, t, "xx", "s", len(t or "")) for k, t in rows]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(k, t, "xx", "s", len(t or ""), 0.5, "r", "p", "k", 1, "d", "n", 2, 3, None) for k, t in rows]
+    clashing = "score double, rejected string, lang_pred string, key string, node int, digest string, name string, pos int, rank int, spans string"
+    spark.createDataFrame(docs, f"doc_id long, text string, lang string, source string, n_chars long, {clashing}").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = [(k, t) for k, t in rows if t and re.search("[a-z]", t)]
     gone = brute(left, 10)
