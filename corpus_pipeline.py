@@ -17,7 +17,7 @@ from cellweave.llm.queries import byte_bpe
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier, trained on the labelled ones, does not reject."""
-    return langid.identify(docs, langid.fit(langid.training_rows(docs))).where("not rejected").select(*docs.columns)
+    return langid.accepted(docs, langid.fit(langid.training_rows(docs)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
