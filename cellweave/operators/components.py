@@ -97,6 +97,16 @@ def label_components(tiles: DataFrame, size: int, width: int, eight: bool = Fals
     return px.join(roots, "label", "left").select("y", "x", F.coalesce("component", "label").alias("label"))
 
 
+def placeable(points: DataFrame, idc: str, score: str, x: str, y: str, keys: Sequence[str]) -> DataFrame:
+    """Rows with id and keys, a score that is a number, and a finite place."""
+    there = F.col(idc).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    for c in keys:
+        there &= F.col(c).isNotNull()
+    for c in (x, y):
+        there &= F.abs(F.col(c).cast("double")) < F.lit(float("inf"))  # NaN is larger than infinity here
+    return points.where(there)
+
+
 def spaced_peaks(
     points: DataFrame, idc: str, score: str, spacing: float, x: str = "x", y: str = "y", n: int | None = None,
     keys: Sequence[str] = (),
@@ -105,8 +115,12 @@ def spaced_peaks(
 
     Equal to the sequential greedy choice. Each round keeps cell winners that beat the winners of all
     neighbouring cells and drops what they cover; a crowded cell sends one row to its neighbours.
+    Points without an id, a key, a score or a place (null, NaN or infinite) are never kept and cover nothing.
     """
+    if not spacing > 0:
+        raise ValueError("spacing must be positive")
     k = list(keys)
+    points = placeable(points, idc, score, x, y, k)
     at = lambda c: F.floor(F.col(c) / spacing)
     base = points.select(*k, F.col(idc).alias("_id"), F.col(score).alias("_s"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     left = durable(base.withColumns({"_cx": at("_x"), "_cy": at("_y")}))
@@ -138,7 +152,7 @@ def peaks_with_relaxed_spacing(
 ) -> DataFrame:
     """The spacing, one for all keys, shrinks (whole numbers) until every key has ``n`` points; below 1 it is an error."""
     k = list(keys)
-    every = points.select(*k).distinct() if k else None
+    every = placeable(points, idc, score, x, y, k).select(*k).distinct() if k else None
     while True:
         got = durable(spaced_peaks(points, idc, score, spacing, x, y, n, k))
         if every is None:

@@ -51,9 +51,11 @@ def mixture_states(
     only the number of open groups reaches the driver. A group is done when its likelihood gains less than
     ``tol`` a row; as a round never lowers it, that comes for every group. The start is quantiles and the
     overall variance, so it is deterministic; other solvers start elsewhere and agree within a tolerance.
+    Null, NaN and infinite values are left out; a group without any other has no mixture. Where sums of squares leave the
+    range of doubles the likelihood is no number, which stops the job.
     """
     keys = list(by) or ["_all"]
-    src = long.withColumn("_v", F.col(value).cast("double"))
+    src = long.withColumn("_v", F.col(value).cast("double")).where(F.abs("_v") < F.lit(float("inf")))
     src = src if by else src.withColumn("_all", F.lit(0))
     counts = durable(value_counts(src, keys, "_v"))
     probs = [(i + 0.5) / k for i in range(k)]
@@ -79,7 +81,9 @@ def mixture_states(
         mass = [F.greatest(F.col(f"_r{i}"), F.lit(1e-12)) for i in range(k)]
         means = [F.col(f"_x{i}") / mass[i] for i in range(k)]
         stds = [F.sqrt(F.greatest(F.col(f"_xx{i}") / mass[i] - means[i] * means[i], F.lit(FLOOR))) for i in range(k)]
-        gained = F.col("_last").isNull() | (F.abs(F.col("_fit") - F.col("_last")) >= tol)
+        unsound = F.isnan("_fit") | F.col("_fit").isNull()
+        gained = F.when(unsound, F.raise_error(F.lit("the likelihood of a mixture is no number"))).otherwise(
+            F.col("_last").isNull() | (F.abs(F.col("_fit") - F.col("_last")) >= tol))
         moved = here.groupBy(*keys).agg(*sums).select(
             *keys, F.array(*[F.greatest(w / F.col("_n"), F.lit(1e-12)) for w in mass]).alias("_w"),
             F.array(*means).alias("_m"), F.array(*stds).alias("_s"), "_fit", gained.alias("_open"))
@@ -99,7 +103,10 @@ def fit_mixtures(long: DataFrame, by: Sequence[str], value: str, k: int = 2, tol
 
 def fit_mixture(df: DataFrame, value: str, k: int = 2, **kw) -> Mixture:
     """A17 for one sample."""
-    return fit_mixtures(df, [], value, k, **kw)[(0,)]
+    fits = fit_mixtures(df, [], value, k, **kw)
+    if not fits:
+        raise ValueError("a mixture needs at least one finite value")
+    return fits[(0,)]
 
 
 def cutoff_values(mix: Mixture, steps: int = 5000) -> list[float]:

@@ -134,3 +134,19 @@ def test_empty_input_gives_empty_output(spark, cut):
     assert st.earth_mover(df, "s", "v", "a", ["b"], cut).count() == 0
     assert st.histogram(df, ["s"], "v", 4).count() == 0
     assert df.agg(F.count("*")).first()[0] == 0
+
+
+def test_mixtures_end_on_values_that_are_no_numbers(spark):
+    rng = np.random.default_rng(2)
+    good = [("a", float(v)) for v in np.concatenate([rng.normal(0, 1, 60), rng.normal(9, 1, 40)])]
+    odd = [("a", float("inf")), ("a", float("-inf")), ("a", float("nan")), ("a", None), ("b", float("inf")), ("c", 3.0)]
+    schema = "g string, v double"
+    clean = {(r.g, r.component): r for r in mx.mixture_table(spark.createDataFrame(good, schema), ["g"], "v", 2).collect()}
+    got = {(r.g, r.component): r for r in mx.mixture_table(spark.createDataFrame(good + odd, schema), ["g"], "v", 2).collect()}
+    assert set(got) == {("a", 0), ("a", 1), ("c", 0), ("c", 1)}
+    assert all(np.isclose(got[k]["mean"], clean[k]["mean"]) for k in clean)
+    assert mx.mixture_table(spark.createDataFrame([], schema), ["g"], "v", 2).count() == 0
+    with pytest.raises(ValueError):
+        mx.fit_mixture(spark.createDataFrame(odd[:5], schema), "v")
+    with pytest.raises(Exception, match="no number"):
+        mx.mixture_table(spark.createDataFrame([("a", 1e200), ("a", -1e200)], schema), ["g"], "v", 2).collect()

@@ -237,3 +237,17 @@ def test_relaxed_spacing_per_key(spark):
     df = spark.createDataFrame([(k, i, float(-i), float(i * (1 + k)), 0.0) for k in range(2) for i in range(6)], "k int, id int, s double, x double, y double")
     got = cp.peaks_with_relaxed_spacing(df, "id", "s", 2, 5, keys=["k"]).collect()  # 4 is the first spacing that gives both keys two
     assert {k: sorted(r.id for r in got if r.k == k) for k in range(2)} == {0: [0, 5], 1: [0, 3]}
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_spacing_leaves_out_what_has_no_place(spark, keys):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 5.0, 0.0, 0.0, "a"), (2, 9.0, None, 0.0, "a"), (3, 9.0, nan, 0.0, "a"), (4, 9.0, 0.0, inf, "a"), (None, 9.0, 50.0, 50.0, "a"),
+            (5, None, 70.0, 70.0, "a"), (6, nan, 90.0, 90.0, "a"), (7, 1.0, 1.0, 1.0, "a"), (8, 2.0, 30.0, 0.0, "a"), (8, 2.0, 30.0, 0.0, "a")]
+    rows += [(9, 9.0, 200.0, 0.0, None)] if keys else []
+    df = spark.createDataFrame(rows, "id long, s double, x double, y double, k string")
+    assert sorted(r.id for r in cp.spaced_peaks(df, "id", "s", 6.0, keys=keys).collect()) == [1, 8]
+    assert cp.peaks_with_relaxed_spacing(df, "id", "s", 2, 20.0, keys=keys).count() == 2
+    assert cp.spaced_peaks(df.limit(0), "id", "s", 6.0, keys=keys).count() == 0
+    with pytest.raises(ValueError):
+        cp.spaced_peaks(df, "id", "s", 0.0)
