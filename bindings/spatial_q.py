@@ -8,6 +8,7 @@ from bindings import bind, table
 from cellweave.functions import affine as af
 from cellweave.functions import geometry as geo
 from cellweave.operators import neighbourhood as nb
+from cellweave.operators import permutation as pm
 from cellweave.operators import spatial as sp
 
 R = 0.05
@@ -176,9 +177,40 @@ def a28(spark, d):
     return m.withColumn("fraction", F.round("fraction", 8))
 
 
-@bind("a29_enrichment")
+def enrichment_sql(cells: str, near: str, seed: int, perms: int) -> str:
+    """Labels of every permutation written out: the network on ranks, walked until below the number of cells. ``cells``: (id, slide, cls, x, y)."""
+    f = lambda v, k: (f"((((xor(({v} * 1103515245 + {k}) % 2147483648, (({v} * 1103515245 + {k}) % 2147483648) >> 15)) * 48271 + {k}) % 2147483647) >> 8) & ((1 << b) - 1)")
+    key = lambda k: f"(({seed} * 7919 + perm * 104729 + {k} * 1299709 + 12345) % 2147483647)"
+    step = "SELECT id, slide, perm, n, b, v >> b AS r0, v & ((1 << b) - 1) AS r1 FROM {}"
+    for k in range(4):
+        step = f"SELECT id, slide, perm, n, b, r1 AS r0, xor(r0, {f('r1', key(k))}) AS r1 FROM ({step})"
+    step = f"SELECT id, slide, perm, n, b, (r0 << b) | r1 AS v FROM ({step})"
+    return f"""WITH RECURSIVE p AS ({cells}),
+k AS (SELECT id, slide, row_number() OVER (PARTITION BY slide ORDER BY x, y, id) - 1 AS v, count(*) OVER (PARTITION BY slide) AS n FROM p),
+s AS (SELECT id, slide, perm, n, greatest(1, CAST(ceil(ceil(log2(n)) / 2) AS BIGINT)) AS b, v FROM k, (SELECT unnest(range(1, {perms + 1})) AS perm)),
+w AS ({step.format('s')} UNION ALL {step.format('(SELECT * FROM w WHERE v >= n)')}),
+c AS (SELECT slide, cls, sum(count(*)) OVER (PARTITION BY slide ORDER BY cls) - count(*) AS lo, sum(count(*)) OVER (PARTITION BY slide ORDER BY cls) AS hi FROM p GROUP BY 1, 2),
+l AS (SELECT w.id, perm, cls FROM w JOIN c ON c.slide = w.slide AND v >= lo AND v < hi WHERE v < n UNION ALL SELECT id, 0, cls FROM p),
+e AS (SELECT a.slide, a.id AS i, b.id AS j FROM p a JOIN p b ON a.slide = b.slide AND a.id <> b.id AND {near}),
+m AS (SELECT slide, a.perm, a.cls AS class_src, b.cls AS class_dst, count(*) AS n FROM e JOIN l a ON a.id = i JOIN l b ON b.id = j AND b.perm = a.perm GROUP BY 1, 2, 3, 4),
+z AS (SELECT slide, class_src, class_dst, coalesce(max(n) FILTER (perm = 0), 0) AS n, coalesce(sum(n) FILTER (perm > 0), 0) / CAST({perms} AS DOUBLE) AS mean,
+      coalesce(sum(n * n) FILTER (perm > 0), 0) / CAST({perms} AS DOUBLE) AS sq FROM m GROUP BY 1, 2, 3)
+SELECT slide, class_src, class_dst, n, round(mean, 6) AS mean, round(sqrt(greatest(sq - mean * mean, 0)), 6) AS std,
+       CASE WHEN sq - mean * mean > 0 THEN round((n - mean) / sqrt(sq - mean * mean), 6) END AS z FROM z"""
+
+
+def rounded_scores(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("mean", "std", "z")})
+
+
+@bind("a29_enrichment", enrichment_sql(f"SELECT vec_id AS id, 0 AS slide, label AS cls, x, y FROM ({PTS})", f"{d2()} <= {R * R}", 11, 20).replace("SELECT slide, class_src, class_dst, n, round", "SELECT class_src, class_dst, n, round"))
 def a29(spark, d):
-    return nb.enrichment(pts(spark, d), R, "vec_id", "label", perms=20, seed=11)
+    return rounded_scores(pm.enrichment(pts(spark, d), R, "label", perms=20, seed=11))
+
+
+@bind("a29_enrichment_by_slide", enrichment_sql(f"SELECT id, id % 3 AS slide, cls, x, y FROM ({GRID})", f"{d2()} <= 1", 5, 8))
+def a29b(spark, d):
+    return rounded_scores(pm.enrichment(grid_pts(spark, d).selectExpr("*", "id % 3 slide"), 1.0, "cls", perms=8, seed=5, by=["slide"]))
 
 
 @bind("a30_class_distances", f"""WITH p AS ({PTS}), c AS (SELECT DISTINCT label AS to_class FROM p),

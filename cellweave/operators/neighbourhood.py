@@ -1,4 +1,4 @@
-"""Neighbourhood composition, interaction, enrichment and class distances.
+"""Neighbourhood composition, interaction and class distances.
 
 All of them work on weighted locations: cells of one class at one position count once with a weight.
 """
@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.ordered import attach_one_row
 from cellweave.operators.spatial import location_pairs, locations, nearest_neighbours
 
 
@@ -65,65 +64,6 @@ def interaction_matrix(points: DataFrame, radius: float, cls: str, x="x", y="y",
     return n.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "class_src")))
 
 
-def permuted_labels(points: DataFrame, idc: str, cls: str, perms: int, seed: int = 0, slices: int = 1024) -> DataFrame:
-    """Seeded label permutations ``(perm, id, class)``; each keeps the class sizes exactly.
-
-    A permutation orders the ids by a hash. The hash range is cut into equal slices, so ranks come from
-    a window per slice plus slice offsets; classes own consecutive rank ranges.
-    """
-    ids = points.select(idc).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    h = F.xxhash64(F.lit(seed), F.col("perm"), F.col(idc))
-    ids = ids.withColumn("_h", h).withColumn("_slice", F.shiftrightunsigned(F.col("_h"), 54) % slices)
-    local = F.row_number().over(Window.partitionBy("perm", "_slice").orderBy("_h", idc))
-    sizes = ids.groupBy("perm", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("perm").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("perm", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranks = ids.withColumn("_r", local).join(offsets, ["perm", "_slice"]).select(
-        "perm", idc, (F.col("_r") + F.col("_off")).alias("rank"))
-    counts = points.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
-    tops = F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col("n"))))  # one entry per class
-    table = counts.agg(tops.alias("_t")).select(
-        F.transform("_t", lambda e, i: F.struct(e.c.alias("c"), F.aggregate(
-            F.slice("_t", 1, i + 1), F.lit(0).cast("long"), lambda a, s: a + s.n).alias("top"))).alias("_tops"))
-    placed = attach_one_row(ranks, table)
-    label = F.get(F.filter("_tops", lambda e: e.top >= F.col("rank")), F.lit(0)).getField("c")
-    return placed.select("perm", idc, label.alias(cls))
-
-
-def enrichment(
-    points: DataFrame, radius: float, idc: str, cls: str, perms: int = 100, seed: int = 0, x: str = "x", y: str = "y"
-) -> DataFrame:
-    """Z-score of class pair counts against label permutations: ``(class_src, class_dst, n, mean, std, z)``.
-
-    The location graph is built once; per location the labels of all permutations travel together as one
-    array (``perms`` x classes entries at most), so the graph is joined twice whatever ``perms`` is.
-    """
-    labels = permuted_labels(points, idc, cls, perms, seed).unionByName(
-        points.select(F.lit(0).alias("perm"), idc, cls))
-    pos = points.select(idc, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    per = labels.join(pos, idc).groupBy("x", "y", "perm", F.col(cls).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    packed = per.groupBy("x", "y", "perm").agg(F.collect_list(F.struct("c", "n")).alias("cs")).groupBy("x", "y").agg(
-        F.array_sort(F.collect_list(F.struct("perm", "cs"))).alias("sets"))
-    locs = locations(points, x, y).drop("n")
-    pairs = location_pairs(locs, locs, radius).select("x", "y", "t_x", "t_y", "dist")
-    a = packed.withColumnRenamed("sets", "sa")
-    b = packed.withColumnsRenamed({"x": "t_x", "y": "t_y", "sets": "sb"})
-    both = pairs.join(a, ["x", "y"]).join(b, ["t_x", "t_y"])
-    zipped = both.select("dist", F.explode(F.arrays_zip("sa", "sb")).alias("p"))
-    flat = zipped.select("dist", F.col("p.sa.perm").alias("perm"), F.explode("p.sa.cs").alias("u"), F.col("p.sb.cs").alias("_b"))
-    flat = flat.select("dist", "perm", "u", F.explode("_b").alias("v"))
-    same = (F.col("dist") == 0) & (F.col("u.c") == F.col("v.c"))
-    n = F.col("u.n") * (F.col("v.n") - F.when(same, 1).otherwise(0))
-    counts = flat.groupBy("perm", F.col("u.c").alias("class_src"), F.col("v.c").alias("class_dst")).agg(F.sum(n).alias("n"))
-    # permutations in which a pair never meets count as zero: sums are divided by the number of permutations
-    shuffled, seen = F.when(F.col("perm") > 0, F.col("n").cast("double")), F.when(F.col("perm") == 0, F.col("n"))
-    s = counts.groupBy("class_src", "class_dst").agg(
-        F.coalesce(F.max(seen), F.lit(0)).alias("n"), (F.coalesce(F.sum(shuffled), F.lit(0.0)) / perms).alias("mean"),
-        (F.coalesce(F.sum(shuffled * shuffled), F.lit(0.0)) / perms).alias("_sq"))
-    s = s.withColumn("std", F.sqrt(F.greatest(F.col("_sq") - F.col("mean") * F.col("mean"), F.lit(0.0)))).drop("_sq")
-    return s.withColumn("z", F.when(F.col("std") > 0, (F.col("n") - F.col("mean")) / F.col("std")))
-
-
 def class_distances(
     points: DataFrame, idc: str, cls: str, classes: Sequence[object], k: int = 1, x: str = "x", y: str = "y",
     by: Sequence[str] = (),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import affine as af
 from cellweave.functions import geometry as geo
 from cellweave.operators import neighbourhood as nb
+from cellweave.operators import permutation as pm
 from cellweave.operators import spatial as sp
 
 
@@ -63,29 +64,63 @@ def test_composition_keeps_lonely_cells(spark):
     assert (got[3].n_a, got[3].n_b, got[3].f_a) == (0, 0, None)
 
 
-def test_enrichment_counts_and_seeded_permutations(spark):
+def test_permutations_are_one_to_one_and_differ():
+    for n in (1, 2, 3, 5, 64, 65, 1000, 4097):
+        seen = [tuple(pm.permuted(np.arange(n), n, 3, p)) for p in range(1, 6)]
+        assert all(sorted(s) == list(range(n)) for s in seen)
+        assert n < 64 or len(set(seen)) == 5
+
+
+def brute_enrichment(xy, cls, radius, perms, seed):
+    order = sorted(range(len(xy)), key=lambda k: (xy[k][0], xy[k][1], k))
+    names = sorted(cls)
+    labels = [list(cls)]
+    for p in range(1, perms + 1):
+        to = pm.permuted(np.arange(len(xy)), len(xy), seed, p)
+        labels.append([None] * len(xy))
+        for rank, k in enumerate(order):
+            labels[p][k] = names[to[rank]]
+    counts = {}
+    for i in range(len(xy)):
+        for j in range(len(xy)):
+            if i != j and np.hypot(*(xy[i] - xy[j])) <= radius:
+                for p in range(perms + 1):
+                    row = counts.setdefault((labels[p][i], labels[p][j]), np.zeros(perms + 1))
+                    row[p] += 1
+    return {k: (v[0], v[1:].mean(), v[1:].std()) for k, v in counts.items()}
+
+
+@pytest.mark.parametrize(("crowd", "pairs"), [(4096, 20_000), (3, 7)])
+def test_enrichment_equals_brute_force_by_slide(spark, monkeypatch, crowd, pairs):
+    monkeypatch.setattr(pm, "CROWD", crowd)
+    monkeypatch.setattr(pm, "PAIRS", pairs)
     rng = np.random.default_rng(0)
-    xy = rng.uniform(0, 4, (60, 2))
-    xy[30:40] = xy[0]
-    cls = [str(v) for v in rng.integers(0, 3, 60)]
-    pts = frame(spark, xy, cls)
-    got = {(r.class_src, r.class_dst): r for r in nb.enrichment(pts, 1.0, "id", "c", perms=12, seed=4).collect()}
-    want = {}
-    for i in range(60):
-        for j in range(60):
-            if i != j and np.hypot(*(xy[i] - xy[j])) <= 1.0:
-                want[cls[i], cls[j]] = want.get((cls[i], cls[j]), 0) + 1
-    assert {k: r.n for k, r in got.items() if r.n} == want
-    again = nb.enrichment(pts.repartition(5), 1.0, "id", "c", perms=12, seed=4).collect()
-    assert all(np.isclose(r.mean, got[r.class_src, r.class_dst].mean) for r in again)
-    total = sum(want.values())
-    assert np.isclose(sum(r.mean for r in got.values()), total)
-
-
-def test_permutation_keeps_class_sizes(spark):
-    pts = frame(spark, [(i, 0) for i in range(100)], ["a"] * 70 + ["b"] * 30)
-    sizes = nb.permuted_labels(pts, "id", "c", 5, 1).groupBy("perm", "c").count().collect()
-    assert {(r.perm, r.c): r["count"] for r in sizes} == {(p, c): n for p in range(1, 6) for c, n in (("a", 70), ("b", 30))}
+    xy = rng.uniform(0, 4, (90, 2))
+    xy[30:45] = xy[0]
+    cls = [str(v) for v in rng.integers(0, 3, 90)]
+    pts = frame(spark, xy, cls).withColumn("slide", (F.col("id") >= 60).cast("string"))
+    odd = spark.createDataFrame([(200, None, 0.0, "a", "false"), (201, float("nan"), 0.0, "a", "false"), (202, 1.0, 1.0, None, "false"), (203, 1.0, 1.0, "a", None)],
+                                "id long, x double, y double, c string, slide string")
+    got = pm.enrichment(pts.unionByName(odd).repartition(5), 1.0, "c", perms=12, seed=4, by=["slide"]).collect()
+    for slide, a, b in (("false", 0, 60), ("true", 60, 90)):
+        want = brute_enrichment(xy[a:b], cls[a:b], 1.0, 12, 4)
+        mine = {(r.class_src, r.class_dst): r for r in got if r.slide == slide}
+        assert set(mine) == set(want)
+        for k, (n, mean, std) in want.items():
+            assert mine[k].n == n and np.isclose(mine[k]["mean"], mean) and np.isclose(mine[k]["std"], std, atol=1e-9)
+            assert std == 0 or np.isclose(mine[k].z, (n - mean) / std)
+    assert pm.enrichment(pts.limit(0), 1.0, "c", perms=3).count() == 0
+
+
+def test_permuted_counts_agree_with_their_expectation(spark):
+    rng = np.random.default_rng(1)
+    xy, cls = rng.uniform(0, 10, (400, 2)), ["a"] * 280 + ["b"] * 120
+    got = {(r.class_src, r.class_dst): r for r in pm.enrichment(frame(spark, xy, cls), 1.0, "c", perms=200, seed=9).collect()}
+    pairs = sum(r.n for r in got.values())
+    for (c, d), r in got.items():
+        n = {"a": 280, "b": 120}
+        expected = pairs * n[c] * (n[d] - (c == d)) / (400 * 399)
+        assert abs(r["mean"] - expected) < 5 * r["std"] / np.sqrt(200)
 
 
 SHAPES = [
