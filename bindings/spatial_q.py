@@ -77,6 +77,12 @@ def j9(spark, d):
     return sp.points_in_shapes(points9(spark, d), sp.normalise_rois(rois(spark, d)), 4.0).select("o_orderkey", "roi_id")
 
 
+@bind("j9_points_in_large_shapes", HITS + ' SELECT o_orderkey, id AS roi_id FROM h')
+def j9c(spark, d):
+    """Shapes of some thousand cells a side."""
+    return sp.points_in_shapes(points9(spark, d), sp.normalise_rois(rois(spark, d)), 0.002).select("o_orderkey", "roi_id")
+
+
 @bind("j10_include_exclude", HITS + """, g AS (SELECT o_orderkey, bool_or(NOT exc) AS i, bool_or(exc) AS e FROM h GROUP BY 1)
 SELECT p.o_orderkey, coalesce(i AND NOT e, FALSE) AS selected FROM p LEFT JOIN g USING (o_orderkey)""")
 def j10(spark, d):

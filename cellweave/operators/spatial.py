@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import geometry as geo
+from cellweave.operators.covering import coverings
+from cellweave.operators.ordered import attach_one_row
 from cellweave.session import durable
 
 SMALL = 100_000
@@ -46,32 +48,36 @@ def normalise_rois(rois: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def points_in_shapes(
-    points: DataFrame, rois: DataFrame, cell: float, x: str = "x", y: str = "y", salts: int = 16, by: Sequence[str] = ()
+    points: DataFrame, rois: DataFrame, cell: float, x: str = "x", y: str = "y", by: Sequence[str] = ()
 ) -> DataFrame:
     """Each point row with ``roi_id, roi_name, roi_text`` of every shape (of its slide, if ``by`` names one) that contains it.
 
-    Boxes are cut into grid cells and joined by cell, then the box, then the exact test. The gridded
-    shapes are broadcast while they stay within ``SMALL`` rows and 20 ``SMALL`` vertices; beyond that each shape cell is repeated
-    ``salts`` times and the points of a cell are spread over the salts, so a crowded cell is split.
+    Shapes are covered by quadtree cells of sides ``cell``, ``2 cell``, ``4 cell`` and so on, inner or at the border (``covering.py``). The *occupied* finest
+    cells, one row each however many points they hold, look up the cells above them; points then meet the shapes of their
+    finest cell. In inner cells that is all, at the border the exact test decides. Nothing is made for empty cells. All joins are plain ones of stored
+    tables, which adaptive execution broadcasts where small and splits where a cell or a shape is crowded.
+    Points without a finite place are in no shape; a null slide is no slide.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
-    named = rois.withColumnsRenamed({c: f"_{c}" for c in rois.columns if c not in ("Id", "Name", "Text", *by)}).withColumnsRenamed(
-        {"Id": "roi_id", "Name": "roi_name", "Text": "roi_text"})
-    gridded = named.withColumn("_gx", F.explode(F.sequence(at("_x0"), at("_x1")))).withColumn(
-        "_gy", F.explode(F.sequence(at("_y0"), at("_y1"))))
-    left = points.withColumns({"_gx": at(x), "_gy": at(y)})
-    weight = gridded.limit(SMALL + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_pts")), F.lit(0))).first()
-    if weight[0] <= SMALL and weight[1] <= 20 * SMALL:
-        joined = left.join(F.broadcast(gridded), [*by, "_gx", "_gy"])
-    else:
-        spread = gridded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = left.withColumn("_salt", F.pmod(F.hash(*points.columns), F.lit(salts))).join(
-            spread, [*by, "_gx", "_gy", "_salt"]).drop("_salt")
+    by = list(by)
+    shapes = durable(rois.withColumn("_sid", F.monotonically_increasing_id()))
+    cells = durable(coverings(shapes, float(cell), by))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    near = joined.where(px.between(F.col("_x0"), F.col("_x1")) & py.between(F.col("_y0"), F.col("_y1")))
+    there = (F.abs(px) < F.lit(float("inf"))) & (F.abs(py) < F.lit(float("inf")))  # NaN is larger than infinity here
+    placed = points.where(there).withColumns({"_gx": F.floor(px / cell), "_gy": F.floor(py / cell)})
+    levels = cells.agg(F.collect_set("level").alias("_levels"))  # some dozen at most
+    occupied = attach_one_row(placed.select(*by, "_gx", "_gy").distinct(), levels).withColumn("level", F.explode("_levels")).drop("_levels")
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
+    near = occupied.withColumns({"cx": up("_gx"), "cy": up("_gy")}).join(cells, [*by, "level", "cx", "cy"])
+    near = durable(near.select(*by, "_gx", "_gy", "_sid", "inner"))
+    names = [F.col("Id").alias("roi_id"), F.col("Name").alias("roi_name"), F.col("Text").alias("roi_text")]
+    told = shapes.select("_sid", *names)
+    met = placed.join(near, [*by, "_gx", "_gy"])
+    inner = met.where("inner").join(told, "_sid").select(*points.columns, "roi_id", "roi_name", "roi_text")
+    outline = shapes.select("_sid", *names, *[F.col(c).alias(f"_{c}") for c in ("kind", "pts", "cx", "cy", "rx", "ry", "x0", "y0", "x1", "y1")])
+    tested = met.where("not inner").join(outline, "_sid").where(px.between(F.col("_x0"), F.col("_x1")) & py.between(F.col("_y0"), F.col("_y1")))
     inside = F.when(F.col("_kind") == "ellipse", geo.in_ellipse(px, py, F.col("_cx"), F.col("_cy"), F.col("_rx"), F.col("_ry"))).when(
         F.col("_kind") == "rectangle", F.lit(True)).otherwise(geo.in_polygon(px, py, F.col("_pts")))
-    return near.where(inside).select(*points.columns, "roi_id", "roi_name", "roi_text")
+    return inner.unionByName(tested.where(inside).select(*points.columns, "roi_id", "roi_name", "roi_text"))
 
 
 def include_exclude(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import affine as af
 from cellweave.functions import geometry as geo
+from cellweave.operators import covering as cv
 from cellweave.operators import neighbourhood as nb
 from cellweave.operators import permutation as pm
 from cellweave.operators import spatial as sp
@@ -136,9 +137,7 @@ def shapes(spark):
         SHAPES, "Id long, Name string, Text string, type string, all_points string, X double, Y double, RadiusX double, RadiusY double, Width double, Height double"))
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_points_in_shapes(spark, monkeypatch, small):
-    monkeypatch.setattr(sp, "SMALL", small)
+def test_points_in_shapes(spark):
     pts = frame(spark, [(1, 1), (3, 3), (5, 8), (20, 21.9), (24.1, 20), (0, 0), (10, 5)])
     got = {(r.id, r.roi_id) for r in sp.points_in_shapes(pts, shapes(spark), 3.0).collect()}
     # the lower left corner belongs to the polygon, the right border does not
@@ -206,3 +205,62 @@ def test_shapes_and_distances_stay_on_their_slide(spark):
     assert [(r.id, r.roi_id) for r in hits.collect()] == [(1, 1)]
     got = {(r.id, r.to_class): r.dist for r in nb.class_distances(pts, "id", "c", ["a", "b"], by=["slide"]).collect()}
     assert got == {(0, "a"): np.sqrt(8), (0, "b"): None, (1, "a"): None, (1, "b"): None, (2, "a"): np.sqrt(8), (2, "b"): None}
+
+
+def star(n, cx, cy, far, close):
+    turn = np.linspace(0, 2 * np.pi, 2 * n, endpoint=False)
+    r = np.where(np.arange(2 * n) % 2, close, far)
+    return cx + r * np.cos(turn), cy + r * np.sin(turn)
+
+
+def inside(kind, box, ring, px, py):
+    x0, y0, x1, y1 = box
+    within = (px >= x0) & (px <= x1) & (py >= y0) & (py <= y1)
+    if kind == "rectangle":
+        return within
+    if kind == "ellipse":
+        return ((px - (x0 + x1) / 2) / ((x1 - x0) / 2)) ** 2 + ((py - (y0 + y1) / 2) / ((y1 - y0) / 2)) ** 2 <= 1
+    odd = np.zeros(len(px), dtype=bool)
+    for ax, ay, bx, by in zip(*ring, np.roll(ring[0], -1), np.roll(ring[1], -1)):
+        if ay != by:
+            odd ^= ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+    return within & odd
+
+
+@pytest.mark.parametrize("kind", ["polygon", "bow", "rectangle", "ellipse", "sliver"])
+@pytest.mark.parametrize("cell", [0.01, 1.0, 300.0])
+def test_covering_is_exact_and_small(kind, cell):
+    rng = np.random.default_rng(4)
+    ring = {"polygon": star(9, -3.0, 11.0, 90.0, 30.0), "bow": (np.array([0.0, 50, 0, 50]), np.array([0.0, 50, 50, 0])),
+            "sliver": (np.array([0.0, 80, 80.001]), np.array([0.0, 80, 80]))}.get(kind)
+    box = [ring[0].min(), ring[1].min(), ring[0].max(), ring[1].max()] if ring else [-20.0, -7.5, 44.0, 13.0]
+    cells = cv.cover(kind, box, ring, cell)
+    assert sum(len(cx) for _, cx, _, _ in cells) <= 4000
+    px, py = rng.uniform(box[0] - 9, box[2] + 9, 6000), rng.uniform(box[1] - 9, box[3] + 9, 6000)
+    want = inside(kind, box, ring, px, py)
+    hit, sure = np.zeros(6000, dtype=int), np.zeros(6000, dtype=bool)
+    for level, cx, cy, inner in cells:
+        side = cell * 2.0 ** level
+        at = {(a, b): s for a, b, s in zip(cx, cy, inner, strict=True)}
+        for k, c in enumerate(zip(np.floor(px / side).astype(int), np.floor(py / side).astype(int), strict=True)):
+            if c in at:
+                hit[k] += 1
+                sure[k] |= at[c]
+    assert hit.max() <= 1 and not (want & (hit == 0)).any() and not (sure & ~want).any()
+    if cell < 1 and kind != "sliver":
+        assert sure.sum() > 0.5 * want.sum()
+
+
+def test_a_shape_of_many_cells_against_many_points(spark):
+    """100,000 cells a side, points in copies, two slides; nothing is made for the cells without points."""
+    ring = star(40, 5e4, 5e4, 5e4, 2e4)
+    text = " ".join(f"{a:.3f},{b:.3f}" for a, b in zip(*ring, strict=True))
+    ring = tuple(np.array([float(p.split(",")[k]) for p in text.split()]) for k in (0, 1))
+    rois = spark.createDataFrame([(1, "s", "in", "Polygon", text, None, None, -1.0, -1.0, None, None, 1)], "Id long, Name string, Text string, type string, "
+                                 "all_points string, X double, Y double, RadiusX double, RadiusY double, Width double, Height double, slide long")
+    pts = spark.range(100_000).selectExpr("id", "id % 3 as slide", "(id * 7919 % 100003) * 1D as x", "(id div 5 * 104729 % 99991) * 1D as y")
+    pts = pts.unionByName(spark.createDataFrame([(-1, 1, None, 1.0), (-2, 1, float("nan"), 1.0), (-3, 1, 5e4, 5e4), (-4, None, 5e4, 5e4)], "id long, slide long, x double, y double"))
+    got = {r.id for r in sp.points_in_shapes(pts, sp.normalise_rois(rois, ["slide"]), 1.0, by=["slide"]).select("id").collect()}
+    pdf = pts.where("slide = 1 and x is not null and not isnan(x)").toPandas()
+    want = inside("polygon", [ring[0].min(), ring[1].min(), ring[0].max(), ring[1].max()], ring, pdf["x"].to_numpy(), pdf["y"].to_numpy())
+    assert got == set(pdf["id"][want]) and len(got) > 5000
