@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings import bind, table
 from cellweave.operators import frames as fr
 from cellweave.operators import joins as jn
+from cellweave.operators import runs as rn
 from cellweave.operators import regions as rg
 from cellweave.plans import spots
 
@@ -106,6 +107,13 @@ def j7(spark, d):
     return jn.gather(pts, px, ["y", "x"]).select("o_orderkey", "mask_id")
 
 
+@bind("j7_gather_runs", f"""SELECT o_orderkey, coalesce(label, 0) AS mask_id FROM orders LEFT JOIN
+(SELECT * FROM ({MASK}) WHERE label > 0) m ON o_custkey = m.y AND o_orderkey % 9 = m.x""")
+def j7c(spark, d):
+    pts = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey y", "o_orderkey % 9 x")
+    return rn.gather_runs(pts, rn.pixels_to_runs(mask_pixels(spark, d))).select("o_orderkey", "mask_id")
+
+
 @bind("j7_gather_tiles", """SELECT o_orderkey, CAST(coalesce(trunc(CAST(embedding[(o_orderkey % 8) * 8 + (o_custkey % 8) + 1] AS DOUBLE) * 1000), 0) AS BIGINT) AS mask_id
 FROM orders LEFT JOIN embeddings ON vec_id = o_orderkey // 8 AND o_custkey // 8 = 3""")
 def j7b(spark, d):
@@ -126,6 +134,14 @@ def j8(spark, d):
     return jn.recolour(px, jn.counts_as_colours(per, "n"), "n", missing=1, background=0)
 
 
+@bind("j8_recolour_runs", f"""SELECT y, x, CAST(coalesce(c.n, 1) AS INTEGER) AS value FROM ({MASK}) m LEFT JOIN
+(SELECT p_size AS label, CAST(round_even(avg(p_retailprice), 0) AS INTEGER) + 1 AS n FROM part WHERE p_size <> 47 GROUP BY p_size) c ON m.label = c.label WHERE m.label > 0""")
+def j8b(spark, d):
+    per = table(spark, d, "part").where("p_size <> 47").groupBy(F.col("p_size").cast("long").alias("label")).agg(F.avg("p_retailprice").alias("n"))
+    painted = rn.recolour_runs(rn.pixels_to_runs(mask_pixels(spark, d)), jn.counts_as_colours(per, "n"), "n", missing=1)
+    return rn.runs_to_pixels(painted, value="value")
+
+
 PATTERN = """SELECT user_id, bool_or(event_type = 'click') AS click, bool_or(event_type = 'purchase') AS purchase,
 bool_or(event_type = 'error') AS error FROM events GROUP BY user_id"""
 
@@ -175,11 +191,34 @@ def j15(spark, d):
     return jn.mask_difference(mask("A"), mask("R"), block=10)
 
 
-@bind("j16_missing_combinations", """SELECT a.l_suppkey, b.l_linenumber, c.l_returnflag FROM
-(SELECT DISTINCT l_suppkey FROM lineitem) a, (SELECT DISTINCT l_linenumber FROM lineitem) b, (SELECT DISTINCT l_returnflag FROM lineitem) c
-WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = a.l_suppkey AND l.l_linenumber = b.l_linenumber
-AND l.l_returnflag = c.l_returnflag AND l.l_quantity >= 5 AND l_discount > CAST(0.05 AS DOUBLE) AND l_tax > CAST(0.03 AS DOUBLE))
-AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = a.l_suppkey AND l.l_quantity >= 5 AND l_discount > CAST(0.05 AS DOUBLE) AND l_tax > CAST(0.03 AS DOUBLE))""")
+@bind("j15_mask_difference_runs", f"""WITH a AS ({half_masks('A')}), b AS ({half_masks('R')}),
+j AS (SELECT coalesce(a.y, b.y) AS y, coalesce(a.x, b.x) AS x, a.label AS la, b.label AS lb FROM a FULL JOIN b ON a.y = b.y AND a.x = b.x),
+w AS (SELECT y // 10 AS r, x // 10 AS c, count(la) > count(lb) AS f FROM j GROUP BY 1, 2)
+SELECT y, x, CASE WHEN f THEN coalesce(la, 0) ELSE coalesce(lb, 0) END AS label FROM j JOIN w ON y // 10 = r AND x // 10 = c
+WHERE coalesce(la, 0) <> coalesce(lb, 0) AND CASE WHEN f THEN coalesce(la, 0) ELSE coalesce(lb, 0) END > 0""")
+def j15b(spark, d):
+    li = table(spark, d, "lineitem")
+    mask = lambda f: rn.pixels_to_runs(li.where(F.col("l_returnflag") == f).select(
+        F.col("l_suppkey").alias("y"), F.col("l_partkey").alias("x"), F.col("l_quantity").cast("long").alias("label")))
+    return rn.runs_to_pixels(rn.difference_runs(mask("A"), mask("R"), block=10))
+
+
+@bind("a31_mask_agreement_runs", f"""WITH a AS ({half_masks('A')}), b AS ({half_masks('R')}),
+j AS (SELECT coalesce(a.label, 0) AS a, coalesce(b.label, 0) AS b FROM a FULL JOIN b ON a.y = b.y AND a.x = b.x)
+SELECT round(count(*) FILTER (a > 0 AND b > 0) / CAST(count(*) AS DOUBLE), 8) AS iou, round(count(*) FILTER (a > 0) / CAST(1000000 AS DOUBLE), 8) AS fraction_a,
+round(count(*) FILTER (b > 0) / CAST(1000000 AS DOUBLE), 8) AS fraction_b, count(*) FILTER (abs(a - b) > 0) AS differ,
+count(*) FILTER (abs(a - b) >= 2) AS differ_2, count(*) FILTER (abs(a - b) >= 3) AS differ_3 FROM j""")
+def a31_runs(spark, d):
+    li = table(spark, d, "lineitem")
+    mask = lambda f: rn.pixels_to_runs(li.where(F.col("l_returnflag") == f).select(
+        F.col("l_suppkey").alias("y"), F.col("l_partkey").alias("x"), F.col("l_quantity").cast("long").alias("label")))
+    return rn.agreement_runs(mask("A"), mask("R"), 1_000_000).withColumns({c: F.round(c, 8) for c in ("iou", "fraction_a", "fraction_b")})
+
+
+@bind("j16_missing_combinations", """SELECT l_suppkey, l_shipmonth, l_returnflag, l_linestatus FROM
+(SELECT DISTINCT l_suppkey FROM lineitem) a, (SELECT DISTINCT month(l_shipdate) * 100 + day(l_shipdate) AS l_shipmonth FROM lineitem) b,
+(SELECT DISTINCT l_returnflag FROM lineitem) c, (SELECT DISTINCT l_linestatus FROM lineitem) e
+EXCEPT SELECT l_suppkey, month(l_shipdate) * 100 + day(l_shipdate), l_returnflag, l_linestatus FROM lineitem""")
 def j16(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 5 and l_discount > 0.05D and l_tax > 0.03D")
-    return jn.missing_combinations(li, ["l_suppkey", "l_linenumber", "l_returnflag"])
+    li = table(spark, d, "lineitem").selectExpr("*", "cast(month(l_shipdate) * 100 + day(l_shipdate) as long) as l_shipmonth")
+    return jn.missing_combinations(li, ["l_suppkey", "l_shipmonth", "l_returnflag", "l_linestatus"])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cellweave.operators.ordered import cumulative_counts, value_counts
 
+CHUNK, SALTS = 256, 64  # chunks of a column's values; parts of a product
+
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of per-cell tables."""
@@ -192,11 +194,24 @@ def mask_difference(
 
 
 def missing_combinations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Combinations of the distinct values of ``cols`` that no row has.
+    """Combinations of the distinct values of ``cols`` that no row has. A null is a value like any other.
 
-    The value lists sit in one row per list as arrays and are exploded one after the other.
+    The distinct values of a column are hashed into ``CHUNK`` chunks, each a row with an array. What has been combined so far is dealt over ``SALTS`` parts, every
+    part meets every chunk of the next column and unfolds it, so the product is made by many tasks. The output is
+    the product less the rows, so it has the size that its caller asks for.
     """
-    full = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols])
+    full = None
+    for c in cols:
+        values = df.select(c).distinct().withColumn("_k", F.pmod(F.xxhash64(F.col(c)), F.lit(CHUNK)))
+        if full is None:
+            full = values.withColumn("_salt", F.pmod(F.xxhash64(F.col(c), F.lit(1)), F.lit(SALTS))).drop("_k")
+            continue
+        chunks = values.groupBy("_k").agg(F.collect_list(F.struct(F.col(c))).alias("_v"))
+        spread = chunks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.col("_salt").cast("long"), "_v")
+        full = full.join(spread, "_salt").select(*full.columns, F.explode("_v").alias("_e")).withColumn(c, F.col("_e")[c]).drop("_e")
+        full = full.withColumn("_salt", F.pmod(F.xxhash64(*[k for k in full.columns if k != "_salt"]), F.lit(SALTS)))
+    rows = df.select(*cols).distinct().withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    on = F.lit(True)
     for c in cols:
-        full = full.withColumn(c, F.explode(c))
-    return full.join(df.select(*cols).distinct(), list(cols), "left_anti")
+        on &= F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return full.drop("_salt").join(rows, on, "left_anti")

@@ -142,13 +142,12 @@ def permuted_counts(points: DataFrame, radius: float, cls: str, perms: int, seed
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
 
-        def flush() -> pd.DataFrame:
-            rows = []
+        def flush() -> Iterator[pd.DataFrame]:
             for slide, m in sums.items():
                 p, a, b = np.nonzero(m)
-                rows.append(pd.DataFrame({**{c: [v] * len(p) for c, v in zip(by, slide, strict=True)}, "perm": p + 1, "a": a, "b": b, "n": m[p, a, b].astype(np.int64)}))
+                if len(p):
+                    yield pd.DataFrame({**{c: [v] * len(p) for c, v in zip(by, slide, strict=True)}, "perm": p + 1, "a": a, "b": b, "n": m[p, a, b].astype(np.int64)})
             sums.clear()
-            return pd.concat(rows)
 
         for pdf in frames:
             for slide, whole in pdf.groupby(by, sort=False) if by else [((), pdf)]:
@@ -162,9 +161,8 @@ def permuted_counts(points: DataFrame, radius: float, cls: str, perms: int, seed
                     for p in range(perms):
                         m[p] += a[p][i].T @ b[p][j] - np.diag(a[p][i[own]].sum(axis=0))
             if sum(m.size for m in sums.values()) > 4_000_000:
-                yield flush()
-        if sums:
-            yield flush()
+                yield from flush()
+        yield from flush()
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "perm int, a int, b int, n long"])
     counts = pairs.select(*columns).mapInPandas(add, schema).groupBy(*by, "perm", "a", "b").agg(F.sum("n").alias("n"))
