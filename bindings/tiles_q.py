@@ -220,6 +220,17 @@ def t8(spark, d):
     return cp.label_components(mask, 8, N)
 
 
+@bind("t8_label_components_by_image", f"""WITH RECURSIVE p AS (SELECT y % {N // 2 * 8} AS y, x, y // {N // 2 * 8} AS image, value FROM ({PX}) WHERE value > 5),
+q AS (SELECT image, y, x, 1 + ((y // 8) * {N} + x // 8) * 64 + (y % 8) * 8 + x % 8 AS id FROM p),
+e AS (SELECT a.image, a.id AS s, b.id AS t FROM q a JOIN q b ON a.image = b.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.id <> b.id),
+r AS (SELECT image, id, id AS root FROM q UNION SELECT r.image, e.t, r.root FROM r JOIN e ON e.image = r.image AND e.s = r.id WHERE r.root < e.t)
+SELECT q.image, q.y, q.x, min(root) AS label FROM r JOIN q ON q.id = r.id AND q.image = r.image GROUP BY 1, 2, 3""")
+def t8_image(spark, d):
+    """Two images of half the height, touching corners connect."""
+    mask = tiles(spark, d).withColumns({"pixels": F.transform("pixels", lambda v: F.when(v > 5, 1.0).otherwise(0.0)), "image": F.floor(F.col("tile_row") / (N // 2))})
+    return cp.label_components(mask.withColumn("tile_row", F.col("tile_row") % (N // 2)), 8, N, eight=True, keys=["image"])
+
+
 @bind("t8_connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS n, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.n WHERE r.root < u.b)
 SELECT n AS node, min(root) AS component FROM r GROUP BY 1""")

@@ -1,4 +1,4 @@
-"""Iterative operators: connected components (T8) and greedy minimum spacing.
+"""Connected components of graphs and images (T8), greedy minimum spacing.
 
 Each round is cut off with a reliable checkpoint, so a lost executor costs one round at most; only
 row counts come back to the driver.
@@ -65,36 +65,122 @@ def tile_labels(mask: np.ndarray, start: int, eight: bool) -> np.ndarray:
             return np.where(fg, lab + start, 0)
 
 
-def label_components(tiles: DataFrame, size: int, width: int, eight: bool = False) -> DataFrame:
-    """Pixels ``(y, x, label)`` of a binary mask, labelled across tiles.
+FAN = 8  # regions a side that are merged into one
 
-    ``width`` is the image width in tiles; the label is 1 + the smallest (tile, raster) number in the object.
-    Objects inside one tile are final after the first step; only those that touch a neighbour enter the graph.
+
+def joined_labels(y: np.ndarray, x: np.ndarray, label: np.ndarray, eight: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct labels of some pixels and, for each, the smallest label it is connected with through neighbouring pixels."""
+    names, at = np.unique(label, return_inverse=True)
+    wide = int(x.max() - x.min()) + 3
+    place = (y - y.min()) * wide + (x - x.min()) + 1
+    order = np.argsort(place, kind="stable")
+    spots, at = place[order], at[order]
+    pairs = []
+    for step in [1, wide] + ([wide + 1, wide - 1] if eight else []):
+        k = np.minimum(np.searchsorted(spots, spots + step), len(spots) - 1)
+        met = spots[k] == spots + step
+        pairs.append(np.stack([at[met], at[k[met]]]))
+    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    root = np.arange(len(names))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if np.array_equal(before, root):
+            return names, names[root]
+
+
+def border_roots(edge: DataFrame, size: int, levels: int, eight: bool, keys: Sequence[str]) -> DataFrame | None:
+    """``(keys, label, component)`` for the labels that are not the smallest of their object. ``edge``: border pixels ``(keys, y, x, label)``.
+
+    Regions of ``FAN`` x ``FAN`` tiles merge the labels at their inner borders, then regions of as many such regions, and so on. Only the
+    pixels at a region's outer border go on, so a task holds the borders of one region. Every level tells which label became which;
+    composed from the top down they give the final label of each.
+    """
+    kinds = dict(edge.dtypes)
+    own = [f"`{k}` {kinds[k]}" for k in keys]
+
+    def merging(span: int):
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            y, x, label = (pdf[c].to_numpy() for c in ("y", "x", "label"))
+            names, root = joined_labels(y, x, label, eight)
+            now = root[np.searchsorted(names, label)]
+            outer = (y % span == 0) | (y % span == span - 1) | (x % span == 0) | (x % span == span - 1)
+            moved = names != root
+            none, gone = np.zeros(int(moved.sum()), np.int64), np.zeros(int(outer.sum()), np.int64)
+            out = pd.DataFrame({"y": np.append(y[outer], none), "x": np.append(x[outer], none), "label": np.append(now[outer], names[moved]),
+                                "root": np.append(gone, root[moved])})
+            for k in keys:
+                out.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=pdf[k].dtype))
+            return out
+
+        return merge
+
+    steps, span = [], size
+    for _ in range(levels):
+        span *= FAN
+        region = [*keys, F.floor(F.col("y") / span), F.floor(F.col("x") / span)]
+        schema = ", ".join([*reversed(own), "y long, x long, label long, root long"])
+        both = durable(edge.groupBy(*region).applyInPandas(merging(span), schema))
+        steps.append(both.where("root > 0").select(*keys, "label", F.col("root").alias("component")))
+        edge = both.where("root = 0").select(*keys, "y", "x", "label")
+    known = None
+    for step in reversed(steps):
+        if known is not None:
+            above = known.select(*keys, F.col("component").alias("_top"), F.col("label").alias("component"))
+            step = known.unionByName(step.join(above, [*keys, "component"], "left").select(*keys, "label", F.coalesce("_top", "component").alias("component")))
+        known = step
+    return known
+
+
+def label_components(tiles: DataFrame, size: int, width: int, eight: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """Pixels ``(keys, y, x, label)`` of a binary mask, labelled across the tiles of each image.
+
+    ``width`` is the width of the images in tiles, of the widest at least; the label is 1 + the smallest (tile, raster) number in the
+    object. Tiles are labelled on their own; labels at their borders are merged region by region (:func:`border_roots`) and what
+    changes is told to the tiles that hold such labels, so no pixels are moved.
     """
+    keys = list(keys)
     area = size * size
+    kinds = dict(tiles.dtypes)
 
     def fn(block: np.ndarray, own: Own) -> pd.DataFrame:
         lab = tile_labels(block, (own.row * width + own.col) * area + 1, eight)
         return pd.DataFrame({"tile_row": [own.row], "tile_col": [own.col], "h": [own.h], "w": [own.w],
                              "pixels": [lab.ravel().astype(float)]})
 
-    local = durable(apply_blocks(tiles, size, 0, fn, "tile_row bigint, tile_col bigint, h int, w int, pixels array<double>"))
-
-    def touch(block: np.ndarray, own: Own) -> pd.DataFrame:
-        h, w = own.h, own.w
-        found = [np.zeros((0, 2))]
-        for dy, dx in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else []):
-            a = block[1:1 + h, 1:1 + w]
-            b = block[1 + dy:1 + dy + h, 1 + dx:1 + dx + w]
-            met = (a > 0) & (b > 0) & (a != b)
-            found.append(np.stack([a[met], b[met]], 1))
-        e = np.unique(np.concatenate(found), axis=0).astype("int64")
-        return pd.DataFrame({"src": e[:, 0], "dst": e[:, 1]})
-
-    edges = apply_blocks(local, size, 1, touch, "src bigint, dst bigint", boundary=0)
-    roots = connected_components(edges).select(F.col("node").alias("label"), "component")
-    px = to_pixels(local, size, value="label").where(F.col("label") > 0).withColumn("label", F.col("label").cast("long"))
-    return px.join(roots, "label", "left").select("y", "x", F.coalesce("component", "label").alias("label"))
+    local = durable(apply_blocks(tiles, size, 0, fn, "tile_row bigint, tile_col bigint, h int, w int, pixels array<double>", keys))
+    px = to_pixels(local, size, keys, value="label").where(F.col("label") > 0).withColumn("label", F.col("label").cast("long"))
+    at = lambda c: F.pmod(F.col(c), F.lit(size))
+    edge = px.where((at("y") == 0) | (at("y") == size - 1) | (at("x") == 0) | (at("x") == size - 1))
+    last = local.agg(F.max(F.greatest("tile_row", "tile_col"))).first()[0]
+    levels, reach = 0, 1
+    while last is not None and reach <= last:
+        levels, reach = levels + 1, reach * FAN
+    if not levels:
+        return px
+    known = border_roots(edge, size, levels, eight, keys)
+    tile = F.floor((F.col("label") - 1) / area)
+    told = known.groupBy(*keys, F.floor(tile / width).alias("tile_row"), (tile % width).alias("tile_col")).agg(
+        F.sort_array(F.collect_list(F.struct("label", "component"))).alias("_told"))  # labels at the border of one tile
+    rows = local.join(told, [*keys, "tile_row", "tile_col"], "left").withColumns({"_from": F.col("_told.label"), "_to": F.col("_told.component")}).drop("_told")
+
+    def renamed(frames):
+        for pdf in frames:
+            out = []
+            for pixels, old, new in zip(pdf["pixels"], pdf["_from"], pdf["_to"], strict=True):
+                v = np.asarray(pixels).astype(np.int64)
+                if old is not None:
+                    k = np.minimum(np.searchsorted(old, v), len(old) - 1)
+                    v = np.where(np.asarray(old)[k] == v, np.asarray(new)[k], v)
+                out.append(v)
+            yield pdf.drop(columns=["_from", "_to"]).assign(pixels=out)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "tile_row long, tile_col long, h int, w int, pixels array<long>"])
+    final = rows.select(*keys, "tile_row", "tile_col", "h", "w", "pixels", "_from", "_to").mapInPandas(renamed, schema)
+    return to_pixels(final, size, keys, value="label").where(F.col("label") > 0)
 
 
 def placeable(points: DataFrame, idc: str, score: str, x: str, y: str, keys: Sequence[str]) -> DataFrame:

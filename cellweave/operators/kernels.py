@@ -287,11 +287,8 @@ def subtract_background(tiles: DataFrame, size: int, radius: float = 50.0, keys:
 
 # --- T7 ----------------------------------------------------------------------------------------
 
-def disk(radius: int) -> list[tuple[int, int]]:
-    return [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-
-
 def rank_filter(img: np.ndarray, offsets, how) -> np.ndarray:
+    """Extreme or sum over any offsets; disks have :func:`disk_filter`."""
     r = max(max(abs(a), abs(b)) for a, b in offsets)
     big = np.pad(img, r, mode="symmetric")
     h, w = img.shape
@@ -302,31 +299,104 @@ def rank_filter(img: np.ndarray, offsets, how) -> np.ndarray:
     return out
 
 
+def sliding(img: np.ndarray, length: int, how) -> np.ndarray:
+    """Extreme of ``length`` neighbours along rows, from running extremes of blocks of that length forwards and backwards."""
+    h, w = img.shape
+    blocks = np.concatenate([img, np.repeat(img[:, -1:], -w % length, axis=1)], axis=1).reshape(h, -1, length)
+    ahead = how.accumulate(blocks, axis=2).reshape(h, -1)
+    back = how.accumulate(blocks[:, :, ::-1], axis=2)[:, :, ::-1].reshape(h, -1)
+    return how(back[:, :w - length + 1], ahead[:, length - 1:w])
+
+
+def disk_filter(img: np.ndarray, radius: int, how) -> np.ndarray:
+    """Extreme over a disk: each of its rows is a chord, chords of one length share one pass along rows. Linear in the radius."""
+    big = np.pad(img, radius, mode="symmetric")
+    h, w = img.shape
+    chords: dict[int, list[int]] = {}
+    for a in range(-radius, radius + 1):
+        chords.setdefault(math.isqrt(radius * radius - a * a), []).append(a)
+    out = None
+    for half, places in chords.items():
+        row = sliding(big[:, radius - half:radius + w + half], 2 * half + 1, how)
+        for a in places:
+            part = row[radius + a:radius + a + h]
+            out = part.copy() if out is None else how(out, part, out=out)
+    return out
+
+
 def outline(tiles: DataFrame, size: int, grow: int = 1, shrink: int = 2, keys: Sequence[str] = ()) -> DataFrame:
     """Labels kept only where the neighbourhood is not uniform (maximum over one disk, minimum over another)."""
     def kernel(b):
-        return np.where(rank_filter(b, disk(grow), np.maximum) == rank_filter(b, disk(shrink), np.minimum), 0, b)
+        return np.where(disk_filter(b, grow, np.maximum) == disk_filter(b, shrink, np.minimum), 0, b)
     return map_tiles(tiles, size, max(grow, shrink), kernel, keys)
 
 
 def dilate(tiles: DataFrame, size: int, radius: int = 1, keys: Sequence[str] = ()) -> DataFrame:
     """Grey dilation with a disk."""
-    return map_tiles(tiles, size, radius, lambda b: rank_filter(b, disk(radius), np.maximum), keys)
+    return map_tiles(tiles, size, radius, lambda b: disk_filter(b, radius, np.maximum), keys)
 
 
-def grow_labels(img: np.ndarray, distance: int) -> np.ndarray:
-    big = np.pad(img, distance)
+def nearest_in_row(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to the nearest label of the same row and that label, ties the smaller; without any the distance is that of twice the width."""
     h, w = img.shape
+    at = np.arange(w)[None, :]
+    left = np.maximum.accumulate(np.where(img > 0, at, -2 * w), axis=1)
+    right = np.minimum.accumulate(np.where(img > 0, at, 3 * w)[:, ::-1], axis=1)[:, ::-1]
+    rows = np.arange(h)[:, None]
+    dl, dr = np.minimum(at - left, 2 * w), np.minimum(right - at, 2 * w)
+    ll, lr = img[rows, np.maximum(left, 0)], img[rows, np.minimum(right, w - 1)]
+    first = (dl < dr) | (dl == dr) & (ll <= lr)
+    return np.where(first, dl, dr), np.where(first, ll, lr)
+
+
+def lower_envelope(cost: np.ndarray, known: np.ndarray, scale: int) -> np.ndarray:
+    """``min over k of scale * (y - k) ** 2 + cost[k]`` down each column, over the ``known`` rows k; -1 where there is none.
+
+    The parabolas that are lowest somewhere are kept on a stack for each column, with the first row where each is lowest; all columns move together.
+    """
+    n, w = cost.shape
+    row, since, top = np.zeros((n, w), np.int64), np.zeros((n, w), np.int64), np.full(w, -1)
+    for q in range(n):
+        todo = np.flatnonzero(known[q])
+        while len(todo):
+            t = top[todo]
+            p = row[np.maximum(t, 0), todo]
+            gap = cost[q, todo] + scale * q * q - cost[p, todo] - scale * p * p
+            start = np.where(t < 0, 0, gap // np.where(t < 0, 1, 2 * scale * (q - p)) + 1)
+            over = (t >= 0) & (start <= since[np.maximum(t, 0), todo])
+            new = ~over & (start < n)
+            at = todo[new]
+            top[at] += 1
+            row[top[at], at], since[top[at], at] = q, start[new]
+            todo = todo[over]
+            top[todo] -= 1
+    out, cols, k = np.full((n, w), -1, np.int64), np.flatnonzero(top >= 0), np.zeros(w, np.int64)
+    for y in range(n):
+        while True:
+            more = cols[k[cols] < top[cols]]
+            more = more[since[k[more] + 1, more] <= y]
+            if not len(more):
+                break
+            k[more] += 1
+        p = row[k[cols], cols]
+        out[y, cols] = scale * (y - p) ** 2 + cost[p, cols]
+    return out
+
+
+def grow_labels(img: np.ndarray, distance: int) -> np.ndarray:
+    """Two passes of an exact distance transform that carry the label: along rows, then down columns, where squared distance and the
+    place of the label among all labels are one number. The work doesn't depend on the distance."""
+    labels, place = np.unique(img[img > 0], return_inverse=True)
+    if not len(labels):
+        return img
+    ranks = np.zeros(img.shape, dtype=np.int64)
+    ranks[img > 0] = place + 1
+    d, rank = nearest_in_row(ranks)
+    scale = len(labels) + 1
+    best = lower_envelope(d * d * scale + rank, d <= distance, scale)
+    hit = (img <= 0) & (best >= 0) & (best // scale <= distance * distance)
     out = img.copy()
-    rings: dict[int, list] = {}
-    for a, b in disk(distance):
-        rings.setdefault(a * a + b * b, []).append((a, b))
-    for d2 in sorted(rings)[1:]:
-        best = np.full(img.shape, np.inf)
-        for a, b in rings[d2]:
-            v = big[distance + a:distance + a + h, distance + b:distance + b + w]
-            best = np.where((v > 0) & (v < best), v, best)
-        out = np.where((out == 0) & np.isfinite(best), best, out)
+    out[hit] = labels[best[hit] % scale - 1]
     return out
 
 
@@ -338,26 +408,51 @@ def expand_labels(tiles: DataFrame, size: int, distance: int, keys: Sequence[str
 def to_binary(tiles: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:
     """Objects as 1 with touching objects kept apart: pixels next to another label become background."""
     def kernel(b):
-        cross = disk(1)
-        uniform = rank_filter(b, cross, np.maximum) == rank_filter(b, cross, np.minimum)
+        uniform = disk_filter(b, 1, np.maximum) == disk_filter(b, 1, np.minimum)
         return ((b > 0) & uniform).astype(float)
     return map_tiles(tiles, size, 1, kernel, keys)
 
 
 # --- T9 ----------------------------------------------------------------------------------------
 
-def window_entropy(block: np.ndarray, k: int) -> np.ndarray:
-    """Entropy (bits) of the values in each ``k`` x ``k`` window; NaN marks pixels outside the image."""
+def window_entropy(block: np.ndarray, k: int, cells: int = 1 << 24) -> np.ndarray:
+    """Entropy (bits) of the values in each ``k`` x ``k`` window; NaN marks pixels outside the image.
+
+    Each row of a strip has a histogram of its window, which moves along the row: one column of pixels leaves, one enters, and the sum of
+    ``c log2 c`` follows. A strip has as many rows as keep the histograms within ``cells`` counts.
+    """
     r = k // 2
-    big = np.pad(block, r, constant_values=np.nan)
     h, w = block.shape
-    win = np.stack([big[a:a + h, b:b + w] for a in range(k) for b in range(k)])
-    n = np.sum(~np.isnan(win), axis=0)
-    total = np.zeros(block.shape)
-    for v in win:
-        c = np.sum(win == v, axis=0)
-        total += np.where(c > 0, -np.log2(np.maximum(c, 1) / np.maximum(n, 1)), 0)
-    return total / np.maximum(n, 1)
+    big = np.pad(block, r, constant_values=np.nan)
+    values, code = np.unique(big, return_inverse=True)
+    code = code.reshape(big.shape)
+    inside = ~np.isnan(big)
+    levels = len(values)
+    term = np.arange(k * k + 2) * np.log2(np.maximum(np.arange(k * k + 2), 1))
+    out = np.zeros(block.shape)
+    strip = max(1, min(h, cells // levels))
+    for a in range(0, h, strip):
+        rows = np.arange(min(strip, h - a))
+        counts = np.zeros((len(rows), levels), dtype=np.int32)
+        total, n = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64)
+
+        def change(column: int, by: int) -> None:
+            for dy in range(k):
+                y = slice(a + dy, a + dy + len(rows))
+                level, real = code[y, column], inside[y, column]
+                c = counts[rows, level]
+                counts[rows, level] = c + by
+                total[:] += np.where(real, term[np.minimum(c + by, k * k)] - term[np.minimum(c, k * k)], 0.0)
+                n[:] += by * real
+
+        for x in range(k - 1):
+            change(x, 1)
+        for x in range(w):
+            change(x + k - 1, 1)
+            m = np.maximum(n, 1)
+            out[a:a + len(rows), x] = np.maximum(np.log2(m) - total / m, 0.0)
+            change(x, -1)
+    return out
 
 
 def local_entropy(tiles: DataFrame, size: int, k: int = 9, keys: Sequence[str] = ()) -> DataFrame:

@@ -112,6 +112,27 @@ def test_components_across_tiles(spark, eight):
     assert np.all(np.isnan(got[~mask]))
 
 
+@pytest.mark.parametrize("eight", [False, True])
+@pytest.mark.parametrize("fan", [2, 3, 8])
+def test_components_of_images_merge_level_by_level(spark, monkeypatch, eight, fan):
+    monkeypatch.setattr(cp, "FAN", fan)
+    rng = np.random.default_rng(fan)
+    masks = {"a": rng.random((43, 50)) < 0.52, "b": rng.random((20, 64)) < 0.6, "c": np.ones((9, 9), bool), "d": np.zeros((6, 6), bool)}
+    masks["a"][20] = True
+    rows = [(s, y, x, float(v)) for s, m in masks.items() for (y, x), v in np.ndenumerate(m)]
+    tiles = tl.to_tiles(spark.createDataFrame(rows, "slide string, y long, x long, value double"), 5, ["slide"])
+    got = cp.label_components(tiles, 5, 13, eight, ["slide"]).toPandas()
+    for s, m in masks.items():
+        own = got[got.slide == s]
+        want = flood(m, eight)
+        assert len(own) == m.sum()
+        pairs = {(a, want[y, x]) for y, x, a in zip(own.y, own.x, own.label)}
+        assert len(pairs) == want.max() == len({a for a, _ in pairs})
+        for label, group in own.groupby("label"):
+            assert label == min(1 + ((y // 5) * 13 + x // 5) * 25 + (y % 5) * min(5, m.shape[1] - x // 5 * 5) + x % 5 for y, x in zip(group.y, group.x))
+    assert cp.label_components(tiles.limit(0), 5, 13, eight, ["slide"]).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("id src", "id + 1 dst")
     assert {r.component for r in cp.connected_components(edges).collect()} == {0}
@@ -251,3 +272,45 @@ def test_spacing_leaves_out_what_has_no_place(spark, keys):
     assert cp.spaced_peaks(df.limit(0), "id", "s", 6.0, keys=keys).count() == 0
     with pytest.raises(ValueError):
         cp.spaced_peaks(df, "id", "s", 0.0)
+
+
+def disk_offsets(r):
+    return [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 7, 30])
+@pytest.mark.parametrize("how", [np.maximum, np.minimum])
+def test_disk_filter_equals_all_offsets(radius, how):
+    img = np.random.default_rng(radius).integers(0, 50, (33, 41)).astype(float)
+    big = np.pad(img, radius, mode="symmetric")
+    want = how.reduce([big[radius + a:radius + a + 33, radius + b:radius + b + 41] for a, b in disk_offsets(radius)])
+    assert np.array_equal(kn.disk_filter(img, radius, how), want)
+
+
+@pytest.mark.parametrize("distance", [1, 2, 5, 40])
+@pytest.mark.parametrize("share", [0.0, 0.004, 0.05, 0.6])
+def test_grown_labels_are_the_nearest_then_smallest(distance, share):
+    rng = np.random.default_rng(3)
+    img = np.where(rng.random((37, 29)) < share, rng.integers(1, 9, (37, 29)), 0).astype(float)
+    at = np.argwhere(img > 0)
+    want = img.copy()
+    for y, x in np.argwhere(img == 0):
+        near = sorted(((a - y) ** 2 + (b - x) ** 2, img[a, b]) for a, b in at)
+        if near and near[0][0] <= distance * distance:
+            want[y, x] = near[0][1]
+    assert np.array_equal(kn.grow_labels(img, distance), want)
+
+
+@pytest.mark.parametrize(("k", "cells"), [(1, 1 << 24), (3, 1 << 24), (5, 40), (9, 1000)])
+def test_moving_histograms_give_the_entropy_of_each_window(k, cells):
+    rng = np.random.default_rng(k)
+    img = rng.integers(0, 6, (14, 17)).astype(float)
+    img[:, :2] = np.nan
+    img[3, 5] = np.nan
+    got = kn.window_entropy(img, k, cells)
+    big = np.pad(img, k // 2, constant_values=np.nan)
+    for y in range(14):
+        for x in range(17):
+            v = big[y:y + k, x:x + k].ravel()
+            c = np.unique(v[~np.isnan(v)], return_counts=True)[1]
+            assert np.isclose(got[y, x], -(c / c.sum() * np.log2(c / c.sum())).sum() if len(c) else 0.0, atol=1e-9)
