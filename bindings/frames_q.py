@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings import bind, table
 from cellweave.operators import frames as fr
+from cellweave.operators import ordered as od
 
 E6 = 6
 
@@ -198,24 +199,54 @@ def u3(spark, d):
     return p.select("p_partkey", fr.joined_names(["p_type", "p_brand", "none"]).alias("names"))
 
 
-@bind("u4_sample_fraction")
+def hash_sql(seed, *keys):
+    text = " || '|' || ".join([f"'{seed}'", *(f"coalesce('v' || CAST({k} AS VARCHAR), 'null')" for k in keys)])
+    return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
+
+@bind("u4_sample_fraction", f"SELECT * FROM lineitem WHERE {hash_sql(7, 'l_orderkey', 'l_linenumber')} < {int(0.05 * (1 << 48))}")
 def u4(spark, d):
-    return fr.sample_fraction(table(spark, d, "lineitem"), table(spark, d, "lineitem").columns, 0.05, 7)
+    return fr.sample_fraction(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], 0.05, 7)
 
 
-@bind("u4_sample_rows")
+@bind("u4_sample_rows", f"SELECT * FROM orders ORDER BY {hash_sql(1001, 'o_orderkey')}, o_orderkey LIMIT 200")
 def u4b(spark, d):
     return fr.sample_rows(table(spark, d, "orders"), ["o_orderkey"], 200, 1001)
 
 
-@bind("u5_stratified_counts", """WITH lim AS (SELECT quantile_cont(o_totalprice, CAST(0.3 AS DOUBLE)) AS p0 FROM orders),
-v AS (SELECT o_totalprice AS x FROM orders, lim WHERE o_totalprice > p0),
+def stratified_sql(rows, key, value, p0, seed, per):
+    """Quarters of the values above a quantile, the first ``per`` keys of each by hash, the last one repeated in short bins."""
+    return f"""WITH t AS ({rows}), lim AS (SELECT quantile_cont({value}, CAST({p0} AS DOUBLE)) AS p0 FROM t), v AS (SELECT {key} AS k, {value} AS x FROM t, lim WHERE {value} > p0),
 e AS (SELECT quantile_cont(x, 0.25::DOUBLE) AS a, quantile_cont(x, 0.5::DOUBLE) AS b, quantile_cont(x, 0.75::DOUBLE) AS c FROM v),
-b AS (SELECT 1 + (CASE WHEN x >= a THEN 1 ELSE 0 END) + (CASE WHEN x >= b THEN 1 ELSE 0 END) + (CASE WHEN x >= c THEN 1 ELSE 0 END) AS bin FROM v, e)
-SELECT CAST(bin AS INTEGER) AS bin, CAST(8 AS BIGINT) AS n FROM b GROUP BY bin""")
+b AS (SELECT k, x, 1 + (CASE WHEN x >= a THEN 1 ELSE 0 END) + (CASE WHEN x >= b THEN 1 ELSE 0 END) + (CASE WHEN x >= c THEN 1 ELSE 0 END) AS bin FROM v, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {hash_sql(seed, 'k')}, k) AS slot, count(*) OVER (PARTITION BY bin) AS n FROM b),
+s AS (SELECT k, x, bin, CASE WHEN slot = n AND n < {per} THEN range(slot, {per} + 1) ELSE [slot] END AS slots FROM r WHERE slot <= {per})
+SELECT k AS {key}, x AS {value}, CAST(bin AS INTEGER) AS bin, CAST(unnest(slots) AS INTEGER) AS slot FROM s"""
+
+
+@bind("u5_stratified_counts", stratified_sql("SELECT * FROM orders", "o_orderkey", "o_totalprice", 0.3, 3, 8))
 def u5(spark, d):
     picked = fr.stratified_sample(table(spark, d, "orders"), "o_totalprice", ["o_orderkey"], 4, 8, p0=0.3, seed=3)
-    return picked.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return picked.select("o_orderkey", "o_totalprice", "bin", "slot")
+
+
+@bind("u5_short_bins", stratified_sql("SELECT * FROM supplier", "s_suppkey", "s_acctbal", 0.1, 5, 300))
+def u5b(spark, d):
+    """Bins with fewer items than asked for repeat their last one."""
+    picked = fr.stratified_sample(table(spark, d, "supplier"), "s_acctbal", ["s_suppkey"], 4, 300, p0=0.1, seed=5)
+    return picked.select("s_suppkey", "s_acctbal", "bin", "slot")
+
+
+@bind("u5_full_tiles", stratified_sql("""SELECT o_custkey // 8 * 1000 + (o_orderkey % 300) // 7 AS tile, avg(o_totalprice) AS mean FROM orders, (SELECT max(o_custkey) AS high FROM orders)
+WHERE o_custkey // 8 * 8 + 8 <= high + 1 AND (o_orderkey % 300) // 7 < 42 GROUP BY 1""", "tile", "mean", 0.2, 9, 5).replace("x AS mean", "round(x, 4) AS mean"))
+def u5c(spark, d):
+    """Tiles of 8 x 7 pixels of an image that they don't fill; the cut ones at its border are left out."""
+    o = table(spark, d, "orders").selectExpr("o_custkey y", "o_orderkey % 300 x", "o_totalprice v")
+    ends = o.agg(F.max("y").alias("high"))
+    per = o.selectExpr("floor(y / 8) r", "floor(x / 7) c", "v").groupBy("r", "c").agg(F.avg("v").alias("mean"))
+    sized = od.attach_one_row(per, ends).selectExpr("r * 1000 + c as tile", "mean", "least(8, high + 1 - r * 8) + 0 as h", "least(7, 300 - c * 7) + 1 as w")
+    picked = fr.stratified_sample(fr.full_tiles(sized, 8), "mean", ["tile"], 4, 5, p0=0.2, seed=9)
+    return picked.select("tile", F.round("mean", 4).alias("mean"), "bin", "slot")
 
 
 @bind("u6_combine_cycles", """SELECT l_linestatus AS cycle, l_linenumber AS channel, sum(CAST(l_quantity AS BIGINT))::BIGINT AS px

@@ -268,10 +268,15 @@ def t10(spark, d):
     return rounded(tl.kernel_density(st.grid_counts(pts, "x", "y", 1)), 9)
 
 
-@bind("t11_block_shifts", f"""SELECT vec_id // {N} AS tile_row, vec_id % {N} AS tile_col, CAST(1 AS DOUBLE) AS dy, CAST(0 AS DOUBLE) AS dx, CAST(0 AS DOUBLE) AS error FROM embeddings""")
+@bind("t11_block_shifts", f"""WITH s AS (SELECT vec_id, vec_id % 8 AS a, vec_id // 8 % 8 AS b FROM embeddings)
+SELECT vec_id // {N} AS tile_row, vec_id % {N} AS tile_col, CAST(CASE WHEN a > 4 THEN a - 8 ELSE a END AS DOUBLE) AS dy,
+CAST(CASE WHEN b > 4 THEN b - 8 ELSE b END AS DOUBLE) AS dx, CAST(0 AS DOUBLE) AS error FROM s""")
 def t11(spark, d):
+    """Every tile is turned round by rows and columns of its own number, which the shift has to tell."""
     t = tiles(spark, d)
-    moved = t.withColumn("pixels", F.concat(F.slice("pixels", 57, 8), F.slice("pixels", 1, 56)))
+    k = F.col("tile_row") * N + F.col("tile_col")
+    at = lambda i: F.pmod(F.floor(i / 8) - k % 8, F.lit(8)) * 8 + F.pmod(i % 8 - F.floor(k / 8) % 8, F.lit(8))
+    moved = t.withColumn("pixels", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("pixels", at(i).cast("int"))))
     return rounded(kn.block_shifts(moved, t), 5)
 
 

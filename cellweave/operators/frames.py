@@ -214,15 +214,25 @@ def joined_names(cols: Sequence[str], sep: str = ", ") -> Column:
     return F.array_join(F.array_sort(F.array_distinct(names)), sep)
 
 
+def key_hash(keys: Sequence[str], seed: int = 0) -> Column:
+    """48 bits of a digest of seed and keys as text: the same for equal keys on every machine and in other engines. A null is a value of its own."""
+    parts = [F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("null")) for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 12), 16, 10).cast("long")
+
+
 def sample_fraction(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 0) -> DataFrame:
     """U4: a row is kept when the hash of its key falls below ``fraction``; independent of partitioning."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 30))
-    return df.where(h < F.lit(int(fraction * (1 << 30))))
+    return df.where(key_hash(keys, seed) < F.lit(int(fraction * (1 << 48))))
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """U4: exactly ``min(n, rows)`` rows, chosen by key hash (top-k plan)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys).limit(n)
+    return df.orderBy(key_hash(keys, seed), *keys).limit(n)
+
+
+def full_tiles(tiles: DataFrame, size: int, height: str = "h", width: str = "w") -> DataFrame:
+    """Tiles of the full size; those cut off by the image border are left out before sampling."""
+    return tiles.where((F.col(height) == size) & (F.col(width) == size))
 
 
 def stratified_sample(
@@ -248,8 +258,7 @@ def stratified_sample(
     binned = attach_one_row(clean, edges).withColumn(
         "bin", F.size(F.filter(inner, lambda e: e <= F.col(value))) + 1
     ).drop("q")
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    ranked = binned.withColumn("_h", h).withColumn("_salt", F.pmod(F.col("_h"), F.lit(256)))
+    ranked = binned.withColumn("_h", key_hash(keys, seed)).withColumn("_salt", F.pmod(F.col("_h"), F.lit(256)))
     order = [F.col("_h"), *[F.col(k) for k in keys]]
     first = Window.partitionBy("bin", "_salt").orderBy(*order)
     last = Window.partitionBy("bin").orderBy(*order)
