@@ -19,6 +19,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.common import stored
+
 CACHE = "content binary, n_tokens long, tokenizer string"
 LIMIT = 4096
 BATCH_CHARS = 1 << 21
@@ -86,9 +88,12 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     spark = docs.sparkSession
     tokenizer = tokenizer_digest(path)
     text = F.coalesce("text", F.lit(""))
-    distinct = docs.select(content_digest(F.col("text")).alias("content"), text.alias("text"))
-    misses = distinct.join(cached(spark, cache, tokenizer), "content", "left_anti").groupBy("content").agg(F.first("text").alias("text"))
+    # Copies are merged before their texts are moved and the counts are stored before rows meet them, so a text that
+    # many rows hold is one row in every shuffle but the last, whose join can be split.
+    distinct = docs.groupBy(content_digest(F.col("text")).alias("content")).agg(F.first(text).alias("text"))
+    misses = distinct.join(cached(spark, cache, tokenizer), "content", "left_anti")
     encode_counts(misses, path).withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").parquet(cache)
-    keys = docs.select("doc_id", content_digest(F.col("text")).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return keys.join(cached(spark, cache, tokenizer), "content").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    keys = stored(docs.select(
+        "doc_id", content_digest(F.col("text")).alias("content"), F.octet_length(text).cast("long").alias("n_bytes")), "token-keys")
+    counts = stored(cached(spark, cache, tokenizer).join(keys.select("content").distinct(), "content", "left_semi"), "token-counts")
+    return keys.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
