@@ -41,10 +41,13 @@ def with_targets(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """``(page_id, url, payload, refers_to)``; ``refers_to`` is null for responses."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumn("content", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
-    keepers = rows.where("content is not null").groupBy("content").agg(
-        F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(keepers, "content", "left").select(
+    digest = F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256)))
+    rows = rows.withColumn("content", digest)
+    keepers = stored(rows.where("content is not null").groupBy("content").agg(
+        F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "revisited")
+    # Eight bytes never equal a digest: rows without one find no keeper and don't meet under one key.
+    lone = F.unhex(F.lpad(F.hex(F.xxhash64("page_id", "url")), 16, "0"))
+    return rows.withColumn("content", F.coalesce("content", lone)).join(keepers, "content", "left").select(
         "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
 
