@@ -35,12 +35,14 @@ TARGET = 0.995
 SAMPLE = 20_000
 PER_CELL = 256
 BLOCK, LOOKS = 2048, 8192
+STRIP = 512
 
 
 def unit(rows: list, dim: int) -> np.ndarray:
     out = np.zeros((len(rows), dim))
     for k, v in enumerate(rows):
         out[k, :len(v)] = v
+    out /= np.abs(out).max(axis=1, keepdims=True)  # the square of a large component would be infinite, that of a small one zero
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -112,36 +114,47 @@ def fit(x: np.ndarray, k: int, threshold: float, target: float) -> Grid:
 
 
 def compare(entries: pd.DataFrame, looks: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
-    """Links within a block: ``(a, null, weight)`` adds to the links of a, ``(a, b, null)`` is a forest edge."""
+    """Links within a block: ``(a, null, weight)`` adds to the links of a, ``(a, b, null)`` is a forest edge.
+
+    The looking rows are taken in strips, so no more links than ``STRIP`` rows have are held at once. Labels of the entries
+    go on from strip to strip; an edge is told for every label that fell.
+    """
     e, q = (np.frombuffer(b"".join(p["vec"]), dtype=np.float64).reshape(-1, dim) for p in (entries, looks))
-    i, j = np.nonzero(q @ e.T >= threshold)
     qn, en = looks["node"].to_numpy(), entries["node"].to_numpy()
-    other = qn[i] != en[j]
-    i, j = i[other], j[other]
-    if not len(i):
-        return pd.DataFrame({"a": [], "b": [], "w": []}).astype("Int64")
     qw, ew = looks["weight"].to_numpy(), entries["weight"].to_numpy()
-    seen = np.zeros(len(i), dtype=bool)  # the entry looks into the other's cell itself, so it counts the pair there
-    home = looks["home"].to_numpy()[i]
-    for k, own in enumerate(entries["visits"]):
-        mine = j == k
-        if mine.any():
-            seen[mine] = np.isin(home[mine], own)
-    to_q = np.bincount(i, ew[j], minlength=len(q)).astype(np.int64)
-    to_e = np.bincount(j[~seen], qw[i[~seen]], minlength=len(e)).astype(np.int64)
-    label_q, label_e = qn.copy(), en.copy()
-    while True:
-        before = label_q.copy()
-        np.minimum.at(label_e, j, label_q[i])
-        np.minimum.at(label_q, i, label_e[j])
-        if np.array_equal(before, label_q):
-            break
-    node, add, label = np.concatenate([qn, en]), np.concatenate([to_q, to_e]), np.concatenate([label_q, label_e])
-    edge = node != label
+    # Where an entry looks into the other's cell itself, it counts the pair there.
+    homes, home = np.unique(looks["home"].to_numpy(), return_inverse=True)
+    seen = np.zeros((len(e), len(homes)), dtype=bool)
+    asked = np.concatenate(list(entries["visits"]))
+    at = np.minimum(np.searchsorted(homes, asked), len(homes) - 1)
+    there = homes[at] == asked
+    seen[np.repeat(np.arange(len(e)), entries["visits"].str.len())[there], at[there]] = True
+    to_q, to_e = np.zeros(len(q), np.int64), np.zeros(len(e), np.int64)
+    label_e, edges = en.copy(), []
+    for lo in range(0, len(q), STRIP):
+        hi = min(lo + STRIP, len(q))
+        i, j = np.nonzero((q[lo:hi] @ e.T >= threshold) & (qn[lo:hi, None] != en[None, :]))
+        if not len(i):
+            continue
+        to_q[lo:hi] += np.bincount(i, ew[j], minlength=hi - lo).astype(np.int64)
+        new = ~seen[j, home[lo + i]]
+        to_e += np.bincount(j[new], qw[lo + i[new]], minlength=len(e)).astype(np.int64)
+        label_q, before_e = qn[lo:hi].copy(), label_e.copy()
+        while True:
+            before = label_q.copy()
+            np.minimum.at(label_e, j, label_q[i])
+            np.minimum.at(label_q, i, label_e[j])
+            if np.array_equal(before, label_q):
+                break
+        edges += [np.column_stack([qn[lo:hi], label_q]), np.column_stack([before_e, label_e])]
+    pairs = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    node, add = np.concatenate([qn, en]), np.concatenate([to_q, to_e])
+    linked = add > 0
     return pd.DataFrame({
-        "a": pd.array(np.concatenate([node[add > 0], node[edge]]), dtype="Int64"),
-        "b": pd.array([None] * int((add > 0).sum()) + label[edge].tolist(), dtype="Int64"),
-        "w": pd.array(add[add > 0].tolist() + [None] * int(edge.sum()), dtype="Int64")})
+        "a": pd.array(np.concatenate([node[linked], pairs[:, 0]]), dtype="Int64"),
+        "b": pd.array([None] * int(linked.sum()) + pairs[:, 1].tolist(), dtype="Int64"),
+        "w": pd.array(add[linked].tolist() + [None] * len(pairs), dtype="Int64")})
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame]:

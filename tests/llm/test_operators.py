@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as tokens
 import pytest
 from pyspark.sql import functions as F
@@ -340,3 +341,41 @@ def test_embeddings(spark):
     assert all(got[k].component_id == got[500 + k].component_id for k in range(20))
     assert multiindex.report(df.where(F.lit(False))).count() == 0
     assert multiindex.report(df.where("vec_id >= 900")).count() == 6
+
+
+def test_dense_block_against_pairs():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12, 8))
+    x = np.concatenate([x[rng.integers(0, 12, 900)] + rng.normal(scale=0.02, size=(900, 8)), np.ones((1200, 8))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = rng.choice(2100, 500, replace=False)
+    visits = [np.array(sorted(rng.choice(6, rng.integers(0, 5), replace=False)), dtype=np.int64) for _ in own]
+    weight, home = rng.integers(1, 4, 2100), rng.integers(0, 6, 2100)
+    entries = pd.DataFrame({"node": own, "weight": weight[own], "vec": [x[k].tobytes() for k in own], "visits": visits})
+    looks = pd.DataFrame({"node": np.arange(2100), "weight": weight, "vec": [v.tobytes() for v in x], "home": home})
+    out = multiindex.compare(entries, looks, 8, 0.95)
+    got = out[out["w"].notna()].groupby("a")["w"].sum().to_dict()
+    want, group = {}, {}
+    find = lambda k: k if group.get(k, k) == k else find(group[k])
+    near = x @ x[own].T >= 0.95
+    for a, e in np.argwhere(near):
+        b = int(own[e])
+        if a != b:
+            want[a] = want.get(a, 0) + int(weight[b])
+            if home[a] not in visits[e]:
+                want[b] = want.get(b, 0) + int(weight[a])
+            r, s = sorted((find(int(a)), find(b)))
+            group[s] = r
+    assert got == want
+    reached = {}
+    root = lambda k: k if reached.get(k, k) == k else root(reached[k])
+    for a, b in out[out["w"].isna()][["a", "b"]].itertuples(index=False):
+        r, s = sorted((root(int(a)), root(int(b))))
+        reached[s] = r
+    assert all(root(k) == find(k) for k in range(2100))
+
+
+def test_embeddings_of_any_magnitude(spark):
+    rows = [(1, [1e200] * 4), (2, [2e200] * 4), (3, [1e-200] * 4), (4, [1e200, 0.0, 0.0, 0.0]), (5, [5e-324, 0.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multiindex.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
