@@ -172,9 +172,8 @@ def feature_docs(spark, d):
 
 @bind("s11_feature_scan", "SELECT s_name AS id, 'detection' AS kind FROM supplier WHERE s_suppkey % 4 = 0")
 def s11(spark, d):
-    # partition files may hold several documents, one per line
-    text = spark.read.text(feature_docs(spark, d)).select("value")
-    return doc.parse_features(text, "detection").select(F.col("f.id").alias("id"), F.col("f.properties.objectType").alias("kind"))
+    f = doc.read_features(spark, feature_docs(spark, d), "detection", size=1 << 12)  # ranges far shorter than a document
+    return f.select(F.col("f.id").alias("id"), F.col("f.properties.objectType").alias("kind"))
 
 
 @bind("s15_roi_records", """WITH s AS (SELECT *, s_acctbal / CAST(100 AS DOUBLE) AS c, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS nm, CASE WHEN s_suppkey % 5 <> 0 THEN 'Tumor' END AS cl FROM supplier)
@@ -182,8 +181,7 @@ SELECT s_name AS id, coalesce(cl, nm, '') AS roi_name, coalesce(nm, cl, '') AS t
 CASE WHEN s_nationkey % 3 = 0 THEN round(c + 4, 6) END AS cx, CASE WHEN s_nationkey % 3 = 0 THEN CAST(3 AS DOUBLE) END AS ry FROM s
 UNION ALL SELECT s_name, 'Exclude', coalesce(nm, cl, ''), 'Polygon', TRUE, NULL, NULL FROM s WHERE s_nationkey % 2 = 0""")
 def s15(spark, d):
-    text = spark.read.text(feature_docs(spark, d)).select("value")
-    r = doc.roi_records(doc.parse_features(text), holes="exclude")
+    r = doc.roi_records(doc.read_features(spark, feature_docs(spark, d)), holes="exclude")
     return r.select("id", "roi_name", "text", "kind", "is_hole", F.round("cx", 6).alias("cx"), F.round("ry", 6).alias("ry"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import geometry as geo
+from cellweave.sources.collections import RANGE, feature_texts
 from cellweave.sources.tables import file_path
 
 FEATURE = (
@@ -27,13 +28,19 @@ def parse_parameters(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.col(line).rlike(form)).withColumns({"key": F.regexp_extract(line, form, 1), "values": values}).drop(line)
 
 
-def read_features(spark: SparkSession, path: str, object_type: str | None = None, lines: bool = False) -> DataFrame:
+def read_features(
+    spark: SparkSession, path: str, object_type: str | None = None, lines: bool = False, whole: bool = False, size: int = RANGE
+) -> DataFrame:
     """GeoJSON features ``(file, f)``, optionally of one object type.
 
-    A feature collection is one document per file; with ``lines`` every line is a feature, which splits.
+    Documents of any size are read by byte ranges of ``size``. With ``lines`` every line is a feature; with ``whole`` a file is one row,
+    which small compressed files need.
     """
-    text = spark.read.text(path, wholetext=not lines).select(file_path().alias("file"), F.col("value"))
-    return parse_features(text, object_type, lines)
+    if lines or whole:
+        text = spark.read.text(path, wholetext=not lines).select(file_path().alias("file"), F.col("value"))
+        return parse_features(text, object_type, lines)
+    rows = feature_texts(spark, path, size).select("file", F.from_json("value", FEATURE).alias("f"))
+    return rows if object_type is None else rows.where(F.col("f.properties.objectType") == object_type)
 
 
 def parse_features(text: DataFrame, object_type: str | None = None, lines: bool = False, value: str = "value") -> DataFrame:

@@ -1,8 +1,12 @@
+import json
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import nested as nj
 from cellweave.functions import scalar as sc
+from cellweave.sources import collections as co
 from cellweave.sources import documents as doc
 from cellweave.sources import manifest as mf
 from cellweave.sources import series as se
@@ -135,3 +139,63 @@ def test_manifest_rows_are_numbered_across_blocks(spark, tmp_path):
         assert bad.isEmpty()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def features_of(text):
+    """Features of concatenated documents by a plain parser."""
+    out, at = [], 0
+    while text[at:].strip():
+        at += len(text[at:]) - len(text[at:].lstrip())
+        value, at = json.JSONDecoder().raw_decode(text, at)
+        out += value if isinstance(value, list) else value.get("features", [])
+    return [v for v in out if isinstance(v, dict)]
+
+
+ODD = [
+    {"type": "Feature", "id": "a", "properties": {"name": 'brackets ]}[{ and "quotes" \\', "features": [{"id": "inner"}], "x": "\\" * 9}},
+    {"type": "Feature", "id": "b", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"name": '\\"', "objectType": "cell"}},
+    {"type": "Feature", "id": "é" * 40 + "日本", "properties": {}}, {}, {"id": "long", "properties": {"name": "w " * 900}},
+]
+
+
+def test_features_by_ranges_of_any_size():
+    head = '{"bbox": [1, [2]], "crs": {"features": [{"id": "no"}]}, "extra": [{"id": "no"}], "name": "features", "features" : \n ['
+    one = head + ",\n".join(json.dumps(v, ensure_ascii=k % 2 == 0) for k, v in enumerate(ODD)) + '], "more": [{"id": "no"}]}'
+    text = "\n".join([one, json.dumps(ODD), '{"features": []}', "[]", "{}", json.dumps({"features": ODD[:2] + [None, 3, [{"id": "no"}]]}, indent=2)])
+    want, data = features_of(text), text.encode()
+    for size in (1, 2, 3, 7, 64, 1000, len(data)):
+        ranges = pd.DataFrame([("x", len(data), lo, min(lo + size, len(data))) for lo in range(0, len(data), size)], columns=["file", "size", "lo", "hi"])
+        rows = [co.summary(data[max(0, r.lo - co.BACK):r.hi], min(r.lo, co.BACK)) for r in ranges.itertuples()]
+        known = co.states(pd.concat([ranges, pd.DataFrame(rows, columns=["odd", "closed0", "left0", "closed1", "left1"])], axis=1))
+        got = []
+        for r in known.itertuples():
+            at = min(r.lo, co.BACK)
+            found, rest = co.features_from(data[r.lo - at:r.hi], at, r.inside, r.open)
+            got += [data[r.lo - at + p:r.lo - at + q] for p, q in found]
+            if rest is not None:
+                whole = data[r.lo - at + rest:]
+                got.append(json.JSONDecoder().raw_decode(whole.decode())[0])
+        assert [v if isinstance(v, dict) else json.loads(v) for v in got] == want
+
+
+def test_large_collections_are_read_by_many_tasks(spark, tmp_path):
+    feature = lambda k: {"type": "Feature", "id": str(k), "properties": {"name": "[{" * (k % 5) + '"', "objectType": "cell" if k % 3 else "detection"}}
+    (tmp_path / "a b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature(k) for k in range(4000)]}))
+    (tmp_path / "list.geojson").write_text(json.dumps([feature(k) for k in range(4000, 4100)]))
+    (tmp_path / "none.geojson").write_text("")
+    got = doc.read_features(spark, str(tmp_path), "detection", size=3001)
+    assert sorted(int(r.f.id) for r in got.collect()) == [k for k in range(4100) if k % 3 == 0]
+    assert got.select("file").distinct().count() == 2
+    texts = co.feature_texts(spark, str(tmp_path / "a b.geojson"), size=3001)
+    assert texts.select(F.spark_partition_id()).distinct().count() > 1
+    places = [r.start for r in texts.orderBy(F.get_json_object("value", "$.id").cast("int")).collect()]
+    assert places == sorted(places)
+    whole = doc.read_features(spark, str(tmp_path / "a b.geojson"), whole=True).select("f.*")
+    assert whole.exceptAll(doc.read_features(spark, str(tmp_path / "a b.geojson"), size=3001).select("f.*")).count() == 0
+
+
+def test_a_broken_collection_is_an_error(spark, tmp_path):
+    for name, text in (("cut", '{"features": [{"id": "a"}, {"id": "b'), ("closed", '{"features": []}]')):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="ends inside a value|not opened"):
+            doc.read_features(spark, str(tmp_path / name)).collect()
