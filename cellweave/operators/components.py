@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.tiles import Own, apply_blocks, to_pixels
@@ -193,14 +193,77 @@ def placeable(points: DataFrame, idc: str, score: str, x: str, y: str, keys: Seq
     return points.where(there)
 
 
+#: Points a task decides on at once, those around its tile included; tiles of 8 to the power of 0 to ``TILE_LEVELS`` cells are tried.
+TILE_POINTS = 200_000
+TILE_LEVELS = 10
+WINNER_ROUNDS = 3
+
+
+def greedy_in_tile(pdf: pd.DataFrame, spacing: float) -> np.ndarray:
+    """Which rows ``(_id, _s, _x, _y, _cx, _cy, own)`` are sure to be kept: the greedy choice in one tile and the cells around it.
+
+    A point from outside the tile that no kept point covers is open, since its own betters may be out of sight; so is a point with an open
+    better one within ``spacing``. A cell with many open points counts as open altogether.
+    """
+    order = pdf.sort_values(["_s", "_id"], ascending=[False, True]).index.to_numpy()
+    xs, ys, cx, cy, own = (pdf[c].to_numpy() for c in ("_x", "_y", "_cx", "_cy", "own"))
+    kept, opened = {}, {}
+    sure = np.zeros(len(pdf), dtype=bool)
+    for k in order:
+        x, y, a, b = xs[k], ys[k], int(cx[k]), int(cy[k])
+        cells = [(i, j) for i in (a - 1, a, a + 1) for j in (b - 1, b, b + 1)]
+        if any(abs(u - x) <= spacing and abs(v - y) <= spacing for c in cells for u, v in kept.get(c, ())):
+            continue
+        near = (opened[c] for c in cells if c in opened)
+        if not own[k] or any(len(o) > 64 or any(abs(u - x) <= spacing and abs(v - y) <= spacing for u, v in o) for o in near):
+            opened.setdefault((a, b), []).append((x, y))
+        else:
+            kept.setdefault((a, b), []).append((x, y))
+            sure[k] = True
+    return sure
+
+
+def kept_in_tiles(left: DataFrame, spacing: float, keys: Sequence[str]) -> DataFrame | None:
+    """Points of ``left`` that are sure to be kept by what a tile and its surroundings tell; chains inside a tile take no rounds.
+
+    The tiles have one width, that with the most points in tiles of at most ``TILE_POINTS`` rows with their surroundings. Fuller
+    tiles are left out.
+    """
+    k = list(keys)
+    cells = left.groupBy(*k, "_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
+    widths = cells.withColumn("_w", F.explode(F.array(*[F.lit(8**i).cast("long") for i in range(TILE_LEVELS + 1)])))
+
+    def touched(df: DataFrame, width: Column) -> DataFrame:
+        at = lambda c, d: F.floor((F.col(c) + d) / width).cast("long")
+        spread = lambda c: F.explode(F.array_distinct(F.array(*[at(c, d) for d in (-1, 0, 1)])))
+        both = df.withColumn("_tx", spread("_cx")).withColumn("_ty", spread("_cy"))
+        return both.withColumn("own", (F.col("_tx") == at("_cx", 0)) & (F.col("_ty") == at("_cy", 0)))
+
+    tile = [*k, "_tx", "_ty"]
+    full = touched(widths, F.col("_w")).groupBy("_w", *tile).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n"))).alias("mine"))
+    full = durable(full.where((F.col("n") <= TILE_POINTS) & (F.col("mine") > 0)))
+    best = full.groupBy("_w").agg(F.sum("mine").alias("mine")).orderBy(F.col("mine").desc(), F.col("_w").desc()).first()
+    if best is None:
+        return None
+    rows = touched(left, F.lit(best["_w"])).join(full.where(F.col("_w") == best["_w"]).select(*tile), tile, "left_semi")
+    columns = left.columns
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        return pdf.loc[greedy_in_tile(pdf, spacing), columns]
+
+    return rows.groupBy(*tile).applyInPandas(choose, left.schema)
+
+
 def spaced_peaks(
     points: DataFrame, idc: str, score: str, spacing: float, x: str = "x", y: str = "y", n: int | None = None,
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """Greedy selection by score (ties: smaller id) with no two kept points within ``spacing`` on both axes.
 
-    Equal to the sequential greedy choice. Each round keeps cell winners that beat the winners of all
-    neighbouring cells and drops what they cover; a crowded cell sends one row to its neighbours.
+    Equal to the sequential greedy choice. A round keeps cell winners that beat the winners of all
+    neighbouring cells and drops what they cover; a crowded cell sends one row to its neighbours. Chains of points that depend on each
+    other outlast some rounds; from then on every other round decides whole tiles (:func:`kept_in_tiles`).
     Points without an id, a key, a score or a place (null, NaN or infinite) are never kept and cover nothing.
     """
     if not spacing > 0:
@@ -214,11 +277,14 @@ def spaced_peaks(
     rank = F.struct(F.col("_s"), -F.col("_id"))
     shift = {"_cx": F.col("_cx") + F.col("_o.a"), "_cy": F.col("_cy") + F.col("_o.b")}
     cell = [*k, "_cx", "_cy"]
-    kept = None
-    while True:  # each round keeps at least one point of every key
+    kept, turn = None, 0
+    while True:  # a round of winners keeps at least one point of every key
+        turn += 1
         best = left.groupBy(*cell).agg(F.max_by(F.struct("_id", "_s", "_x", "_y"), rank).alias("p"), F.max(rank).alias("r"))
         around = best.select(*cell, "r", F.explode(near).alias("_o")).withColumns(shift).groupBy(*cell).agg(F.max("r").alias("top"))
-        win = durable(best.join(around, cell).where(F.col("r") == F.col("top")).select(*cell, "p.*"))
+        sure = kept_in_tiles(left, spacing, k) if turn > WINNER_ROUNDS and (turn - WINNER_ROUNDS) % 2 else None
+        win = durable((best.join(around, cell).where(F.col("r") == F.col("top")).select(*cell, "p.*") if sure is None
+                       else sure.select(*cell, "_id", "_s", "_x", "_y")))
         kept = win if kept is None else kept.unionByName(win)
         cover = win.select(*cell, F.col("_x").alias("_wx"), F.col("_y").alias("_wy"), F.explode(near).alias("_o")).withColumns(shift).drop("_o")
         hit = (F.abs(F.col("_x") - F.col("_wx")) <= spacing) & (F.abs(F.col("_y") - F.col("_wy")) <= spacing)

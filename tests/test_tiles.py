@@ -274,6 +274,40 @@ def test_spacing_leaves_out_what_has_no_place(spark, keys):
         cp.spaced_peaks(df, "id", "s", 0.0)
 
 
+def greedy(rows, spacing):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if all(max(abs(r[2] - q[2]), abs(r[3] - q[3])) > spacing for q in kept):
+            kept.append(r)
+    return {r[0] for r in kept}
+
+
+@pytest.mark.parametrize("most", [40, 200_000])
+def test_spacing_by_tiles_equals_greedy(spark, monkeypatch, most):
+    monkeypatch.setattr(cp, "TILE_POINTS", most)
+    monkeypatch.setattr(cp, "WINNER_ROUNDS", 0)
+    rng = np.random.default_rng(most)
+    rows = []
+    for key in ("a", "b"):
+        xy = np.concatenate([rng.integers(-40, 40, (150, 2)) * 1.0, rng.random((100, 2)) * 60, np.full((60, 2), 7.0)])
+        xy = np.concatenate([xy, np.column_stack([np.arange(90) * 2.5, np.arange(90) * 0.5])])
+        s = np.concatenate([np.round(rng.random(310), 1), 1 - np.arange(90) / 90])
+        rows += [(k, float(s[k]), float(xy[k, 0]), float(xy[k, 1]), key) for k in range(400)]
+    got = cp.spaced_peaks(spark.createDataFrame(rows, "id long, s double, x double, y double, k string"), "id", "s", 3.0, keys=["k"]).collect()
+    for key in ("a", "b"):
+        assert {r.id for r in got if r.k == key} == greedy([r for r in rows if r[4] == key], 3.0)
+
+
+def test_a_long_ramp_takes_few_rounds(spark, monkeypatch):
+    turns = []
+    whole = cp.kept_in_tiles
+    monkeypatch.setattr(cp, "kept_in_tiles", lambda *a: turns.append(1) or whole(*a))
+    ramp = spark.range(100_000).selectExpr("id", "-id * 1.0D s", "id * 0.6D x", "0.0D y")
+    got = cp.spaced_peaks(ramp, "id", "s", 1.0)
+    assert got.agg(F.count("*"), F.sum("id")).first() == (50_000, 50_000 * 49_999) and got.where("id % 2 = 1").isEmpty()
+    assert len(turns) <= 4
+
+
 def disk_offsets(r):
     return [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r]
 
