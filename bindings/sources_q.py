@@ -106,12 +106,23 @@ def s7b(spark, d):
 @bind("s8_name_list", """SELECT CAST(n_nationkey AS INTEGER) AS "position", n_name AS name FROM nation""")
 def s8(spark, d):
     path = fresh_path(spark, "names")
-    n = table(spark, d, "nation").agg(F.concat(F.lit("\n \r\n"), F.array_join(F.transform(F.array_sort(
-        F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: F.concat(F.lit(" "), s.n_name)), "\r\n"), F.lit("\r\n\n\n")).alias("value"))
-    n.write.text(path)
+    n = table(spark, d, "nation").orderBy("n_nationkey").select(F.concat(F.lit(" "), "n_name", F.lit("\r")).alias("value"))
+    n.coalesce(1).write.text(path)
     return tb.read_names(spark, path).select("position", "name")
 
 
+@bind("s8_name_lists", """WITH r AS (SELECT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+b AS (SELECT *, min(CASE WHEN name <> '' THEN k END) OVER (PARTITION BY c_nationkey) AS lo, max(CASE WHEN name <> '' THEN k END) OVER (PARTITION BY c_nationkey) AS hi FROM r)
+SELECT CAST(c_nationkey AS BIGINT) AS list, CAST(k - lo AS INTEGER) AS "position", name FROM b WHERE k BETWEEN lo AND hi""")
+def s8b(spark, d):
+    path = fresh_path(spark, "lists")
+    name = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name"))
+    c = table(spark, d, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    c.select("c_nationkey", F.concat(F.lit(" "), name, F.lit(" \r")).alias("value")).write.partitionBy("c_nationkey").text(path)
+    lists = tb.read_names(spark, path)
+    return lists.select(F.regexp_extract("file", r"c_nationkey=(\d+)/", 1).cast("long").alias("list"), "position", "name")
+
+
 @bind("s9_file_counts", "SELECT l_returnflag AS flag, count(*) AS n_rows, CAST(10 AS INTEGER) AS n_columns FROM lineitem GROUP BY 1")
 def s9(spark, d):
     path = fresh_path(spark, "counts")

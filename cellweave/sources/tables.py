@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROI_SCHEMA = (
@@ -65,14 +65,22 @@ def read_rois(spark: SparkSession, path: str) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """One name per line, no header: ``(file, position, name)``; blank head and tail lines are cut,
-    inner blank lines and repeated names stay."""
-    text = spark.read.text(path, wholetext=True).select(file_path().alias("file"), F.col("value"))
-    lines = F.transform(F.split("value", "\r?\n"), lambda v: F.trim(v))
-    rows = text.select("file", lines.alias("lines"))
-    used = F.filter(F.transform("lines", lambda v, i: F.when(v != "", i)), lambda i: i.isNotNull())
-    cut = rows.withColumn("_u", used).where(F.size("_u") > 0).select(
-        "file", F.slice("lines", F.array_min("_u") + 1, F.array_max("_u") - F.array_min("_u") + 1).alias("names"))
-    return cut.select("file", F.posexplode("names").alias("position", "name"))
+    inner blank lines and repeated names stay. Lines are numbered within a block of the file, and a table of blocks
+    supplies the lines before each block and the first and last line of the file that is not blank."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        file_path().alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"),
+        F.trim(F.regexp_replace("value", "\r$", "")).alias("name"))
+    numbered = lines.withColumn("_k", F.row_number().over(Window.partitionBy("file", "_b").orderBy("_i")))
+    used = F.when(F.col("name") != "", F.col("_k"))
+    blocks = numbered.groupBy("file", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min(used).alias("_u"), F.max(used).alias("_v"))
+    earlier = Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("_o", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    every = Window.partitionBy("file")
+    placed = placed.select("file", "_b", "_o", F.min(F.col("_o") + F.col("_u")).over(every).alias("_first"),
+                           F.max(F.col("_o") + F.col("_v")).over(every).alias("_last"))
+    line = F.col("_k") + F.col("_o")
+    return numbered.join(placed, ["file", "_b"]).where((line >= F.col("_first")) & (line <= F.col("_last"))).select(
+        "file", (line - F.col("_first")).cast("int").alias("position"), "name")
 
 
 def file_counts(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:

@@ -32,6 +32,19 @@ def test_names_keep_inner_blanks_and_repeats(spark, tmp_path):
     assert [r.name for r in got] == ["DNA", "Blank", "", "Blank"]
 
 
+def test_names_across_blocks(spark, tmp_path):
+    lists = {"a.csv": ["", " "] + [f"name {k}" if k % 4 else "" for k in range(300)] + ["last", "", ""], "b.csv": ["only"], "blank.csv": ["", " ", ""]}
+    for file, names in lists.items():
+        (tmp_path / file).write_bytes("\r\n".join(names).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = sorted((r.file.rsplit("/", 1)[1], r.position, r.name) for r in tb.read_names(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([("a.csv", k, v) for k, v in enumerate(lists["a.csv"][3:-2])] + [("b.csv", 0, "only")])
+
+
 def test_series_pattern_and_missing(spark, tmp_path):
     for name in ("1_00001_Z001_CH1.tif", "1_00001_Z001_CH2.tif", "1_00002_Z001_CH1.tif", "notes.txt"):
         (tmp_path / name).write_text("x")
