@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from bindings import bind, table
 from cellweave.operators import joins as jn
 from cellweave.operators import mixture as mx
+from cellweave.operators import regions as rg
+from cellweave.operators import sketches as sk
 from cellweave.operators import stats as st
 from cellweave.operators.ordered import quantiles
+from cellweave.session import fresh_path
 
 
 def li(spark, d):
@@ -338,3 +341,36 @@ def a3(spark, d):
         F.round(F.sum(F.log10("l_extendedprice")), 9).alias("v"))
     out = st.intensity_to_count(x, ["ch"], "v", bin_size=4.0)
     return out.select("ch", "id", F.round("spot_count", 5).alias("spot_count"))
+
+
+PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+def phases(spark, d):
+    """Sketches of two shipping phases, the second stored twice, as after a repeated job."""
+    path = fresh_path(spark, "sketches")
+    rows = li(spark, d).withColumn("late", F.col("l_shipdate") >= F.lit("1995-01-01").cast("date"))
+    parts = {"early": rows.where(~F.col("late")), "late": rows.where("late")}
+    for name in ("early", "late", "late"):
+        sk.store_phase(sk.sketch(parts[name], ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_partkey"), path, name)
+    return rows, sk.stored_phases(spark, path)
+
+
+@bind("a14_merged_quantiles", f"""SELECT l_returnflag, p, n, lowest, highest, true AS within FROM (SELECT l_returnflag, count(l_extendedprice) AS n,
+CAST(min(l_extendedprice) AS DOUBLE) AS lowest, CAST(max(l_extendedprice) AS DOUBLE) AS highest FROM lineitem GROUP BY 1), (SELECT unnest({PROBS})::DOUBLE AS p)""")
+def a14c(spark, d):
+    rows, kept = phases(spark, d)
+    whole = sk.merge(kept, ["l_returnflag"])
+    found = sk.sketched_quantiles(whole, ["l_returnflag"], PROBS)
+    gaps = sk.rank_gaps(rows, ["l_returnflag"], "l_extendedprice", found)
+    out = gaps.join(whole.select("l_returnflag", "lowest", "highest"), "l_returnflag")
+    return out.select("l_returnflag", "p", "n", "lowest", "highest", (F.col("gap") <= 2 * sk.rank_error()).alias("within"))
+
+
+@bind("a10_merged_objects", """SELECT l_linestatus, count(DISTINCT l_partkey) AS n_parts, true AS within FROM lineitem WHERE l_partkey > 0 GROUP BY 1""")
+def a10b(spark, d):
+    rows, kept = phases(spark, d)
+    guess = sk.sketched_objects(sk.merge(kept, ["l_linestatus"]), ["l_linestatus"])
+    exact = rg.objects_per_file(rows, "l_linestatus", "l_partkey").withColumnRenamed("n_objects", "n_parts")
+    near = F.abs(F.col("n_objects") / F.col("n_parts") - 1) <= 4 * sk.distinct_error()
+    return exact.join(guess, "l_linestatus").select("l_linestatus", "n_parts", near.alias("within"))
