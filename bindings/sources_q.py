@@ -71,9 +71,8 @@ def s6b(spark, d):
     path = fresh_path(spark, "series")
     images = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
     images.write.partitionBy("l_returnflag", "l_linenumber").parquet(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    names = files.select(F.concat_ws("/", F.element_at(F.split("path", "/"), -3), F.element_at(F.split("path", "/"), -2)).alias("name"))
-    return se.parse_names(names, "name", "l_returnflag={well}/l_linenumber={series}").select("well", "series").distinct()
+    files = se.list_series(spark, path, "l_returnflag={well}/l_linenumber={series}/{file}", parts=3)
+    return files.select("well", "series").distinct()
 
 
 def manifest_file(spark, d):
@@ -252,6 +251,24 @@ def s16c(spark, d):
     return doc.match_sidecars(tiles, table(spark, d, "labels"), "doc_id")[1]
 
 
+@bind("s16_sidecar_files", """SELECT s_suppkey AS tile, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS x, CASE WHEN s_acctbal >= 0 THEN CAST(s_nationkey AS DOUBLE) END AS y,
+CASE WHEN s_acctbal >= 0 THEN CASE WHEN s_nationkey % 2 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END END AS pixel_size, s_acctbal < 0 AS missing FROM supplier""")
+def s16d(spark, d):
+    """A sidecar of some lines in a folder per tile, read back and matched; tiles without one are kept and marked."""
+    path = fresh_path(spark, "sidecars")
+    tiles = table(spark, d, "supplier").withColumn("tile", F.col("s_suppkey"))
+    size = F.when(F.col("s_nationkey") % 2 == 0, "pixel: 0.5 um")
+    lines = F.concat_ws("\n", F.concat(F.lit("stage x = "), F.col("s_acctbal").cast("string")), F.concat(F.lit("stage y = "), F.col("s_nationkey").cast("string")), size)
+    tiles.where("s_acctbal >= 0").select("tile", lines.alias("value")).write.partitionBy("tile").text(path)
+    number = r"(-?[0-9.]+(?:E[0-9]+)?)"
+    cars = doc.read_sidecars(spark, path, r"/tile=(\d+)/")
+    found = cars.select(F.col("stem").cast("long").alias("tile"), *doc.sidecar_numbers(
+        F.col("text"), {"x": "stage x = " + number, "y": "stage y = " + number, "pixel_size": "pixel: " + number}, {"pixel_size": 1.0}))
+    with_car, without = doc.match_sidecars(tiles.select("tile"), found, "tile")
+    none = [F.lit(None).cast("double").alias(c) for c in ("x", "y", "pixel_size")]
+    return with_car.withColumn("missing", F.lit(False)).unionByName(without.select("tile", *none, F.lit(True).alias("missing")))
+
+
 @bind("s3_base_names", "SELECT page_id, regexp_extract(url, '[^/]*$') AS name FROM pages")
 def s3b(spark, d):
     return table(spark, d, "pages").select("page_id", base_name(F.col("url")).alias("name"))

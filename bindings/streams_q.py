@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings import bind, table
 from cellweave.session import fresh_path
 from cellweave.streaming import arrivals as ar
+from cellweave.streaming import folders as fo
 
 SCHEMA = "event_id long, user_id long, ts timestamp, value double"
 
@@ -43,3 +44,32 @@ def r2(spark, d):
     from cellweave.operators.ordered import attach_one_row
     done = attach_one_row(spark.read.parquet(out), newest).where(F.col("end") < F.col("_wm")).drop("_wm")
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@bind("r2_folder_revisions", """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS folder, event_type AS file, event_id % 2 AS size, ts AS seen FROM events),
+w AS (SELECT *, lag(size) OVER (PARTITION BY folder, file ORDER BY seen, size) AS was FROM r),
+a AS (SELECT *, CASE WHEN seen < lag(seen) OVER (PARTITION BY folder ORDER BY seen, file, size) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS nw FROM w WHERE was IS NULL OR was <> size),
+g AS (SELECT *, sum(nw) OVER (PARTITION BY folder ORDER BY seen, file, size ROWS UNBOUNDED PRECEDING) AS revision FROM a),
+e AS (SELECT folder, revision, min(seen) AS first, max(seen) AS last, count(*) FILTER (WHERE was IS NULL) AS f, sum(size - coalesce(was, 0)) AS b FROM g GROUP BY 1, 2)
+SELECT folder, CAST(revision AS INTEGER) AS revision, min(first) OVER k AS "start", last, CAST(sum(f) OVER k AS BIGINT) AS n_files, CAST(sum(b) OVER k AS BIGINT) AS n_bytes
+FROM e, (SELECT max(ts) AS m FROM events) WHERE last + INTERVAL '2 hours 1 second' < m WINDOW k AS (PARTITION BY folder ORDER BY revision)""")
+def r2b(spark, d):
+    """Polls arrive in two parts; the watcher is stopped between them and goes on from its checkpoint."""
+    src, out, cp = fresh_path(spark, "polls"), fresh_path(spark, "revisions"), fresh_path(spark, "progress")
+    schema = "user_id long, event_type string, size long, ts timestamp"
+    ev = table(spark, d, "events").select("user_id", "event_type", (F.col("event_id") % 2).alias("size"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = ev.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return spark.createDataFrame([], fo.OUT)
+    half = F.lit(first + (last - first) / 2)
+    before = spark.conf.get(fo.STORE_KEY)
+    fo.use_state_store(spark)
+    try:
+        for part in (F.col("ts") <= half, F.col("ts") > half):
+            ev.where(part).write.mode("append").parquet(src)
+            seen = fo.watch_folders(spark.readStream.schema(schema).parquet(src), "user_id", "event_type", "size", 2 * 3600, clock="ts")
+            ar.run_to_end(fo.emit_revisions(seen, out, cp))
+    finally:
+        spark.conf.set(fo.STORE_KEY, before)
+    done = spark.read.schema(fo.OUT).parquet(out).where(F.col("last") + F.expr("INTERVAL '2:00:01' HOUR TO SECOND") < F.lit(last))
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "last")})

@@ -35,10 +35,15 @@ def parse_names(df: DataFrame, name: str, pattern: str, integers: Sequence[str]
     return fit.withColumns({f: c.try_cast("long") if f in integers else c for f, c in cols.items()})
 
 
-def list_series(spark: SparkSession, folder: str, pattern: str, integers: Sequence[str] = ("series",)) -> DataFrame:
-    """Listing of a folder; file contents are not read."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    return parse_names(files.withColumn("name", base_name(F.col("path"))), "name", pattern, integers)
+def list_series(
+    spark: SparkSession, folder: str, pattern: str, integers: Sequence[str] = ("series",), parts: int = 1
+) -> DataFrame:
+    """Listing of a folder; file contents are not read. With ``parts`` above 1 subfolders are listed too and a name is the
+    last ``parts`` parts of the path, so fields may stand in folder names."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", parts > 1)
+    files = reader.load(folder).select("path", "length")
+    name = base_name(F.col("path")) if parts == 1 else F.substring_index("path", "/", -parts)
+    return parse_names(files.withColumn("name", name), "name", pattern, integers)
 
 
 def missing_images(series: DataFrame, fields: Sequence[str]) -> DataFrame:
