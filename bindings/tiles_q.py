@@ -245,10 +245,43 @@ def t9(spark, d):
     return rounded(tl.to_pixels(kn.local_entropy(tiles(spark, d), 8, 3), 8, value="entropy"))
 
 
-@bind("t9_tissue_mask")
+def tissue_sql(src, k=5):
+    """Tissue mask of images ``src (s, y, x, v)`` with ``v >= 0``: window side ``k``, dilation by the four neighbours."""
+    r = k // 2
+    return f"""WITH px AS (SELECT s, y, x, ln(1 + v) AS value FROM ({src})),
+g AS (SELECT s, y, x, value, CASE WHEN hi > lo THEN floor((value - lo) / (hi - lo) * 1023) ELSE 0 END AS g FROM px JOIN (SELECT s, min(value) AS lo, max(value) AS hi FROM px GROUP BY s) USING (s)),
+wn AS (SELECT g.s, g.y + a AS y, g.x + b AS x, g.g, count(*) AS c FROM g, (SELECT unnest(range(-{r}, {r + 1})) AS a) i, (SELECT unnest(range(-{r}, {r + 1})) AS b) j GROUP BY 1, 2, 3, 4),
+en AS (SELECT s, y, x, greatest(log2(sum(c)) - sum(c * log2(c)) / sum(c), 0) AS e FROM wn GROUP BY 1, 2, 3),
+p AS (SELECT s, y, x, value, e FROM px JOIN en USING (s, y, x)),
+lim AS (SELECT s, min(e) AS lo, max(e) AS hi FROM p GROUP BY s),
+h AS (SELECT s, bin, lo + (bin + 0.5) * (hi - lo) / 256 AS c, count(*) AS n FROM (SELECT s, lo, hi, CASE WHEN hi > lo THEN least(floor((e - lo) / (hi - lo) * 256), 255) ELSE 0 END AS bin FROM p JOIN lim USING (s)) GROUP BY ALL),
+t AS (SELECT s, bin, c, sum(n) OVER w AS w1, sum(n * c) OVER w AS s1, sum(n) OVER (PARTITION BY s) AS w, sum(n * c) OVER (PARTITION BY s) AS st FROM h WINDOW w AS (PARTITION BY s ORDER BY bin)),
+o AS (SELECT s, arg_max(c, w1 * (w - w1) * power(s1 / w1 - (st - s1) / (w - w1), 2)) AS t FROM t WHERE w1 < w GROUP BY s),
+c AS (SELECT s, lo, hi, least(greatest(least(greatest(t, lo + 0.1 * (hi - lo)), hi - 0.1 * (hi - lo)) - 0.2 * (hi - lo), lo + 0.1 * (hi - lo)), hi - 0.1 * (hi - lo)) AS t FROM lim JOIN o USING (s)),
+m AS (SELECT s, y, x, value, coalesce(e > t, false) AS inside FROM p LEFT JOIN c USING (s)),
+q AS (SELECT s, quantile_cont(value, 0.25) AS b FROM m WHERE inside GROUP BY s),
+z AS (SELECT s, y, x, value, inside OR coalesce(value >= b, false) AS seed FROM m LEFT JOIN q USING (s)),
+d AS (SELECT DISTINCT s, y + a AS y, x + b AS x FROM z, {disk_sql(1)} WHERE seed),
+u AS (SELECT z.s, z.y, z.x, value, d.s IS NOT NULL AS grown FROM z LEFT JOIN d ON z.s = d.s AND z.y = d.y AND z.x = d.x)
+SELECT s, y, x, round(value, 9) AS value, grown OR avg(CAST(grown AS INTEGER)) OVER (PARTITION BY s) > 0.9 AS tissue FROM u"""
+
+
+@bind("t9_tissue_mask", f"SELECT * EXCLUDE (s) FROM ({tissue_sql(f'SELECT 0 AS s, y, x, greatest(value, 0) AS v FROM ({PX})')})")
 def t9b(spark, d):
     t = tiles(spark, d).withColumn("pixels", F.transform("pixels", lambda v: F.greatest(v, F.lit(0.0))))
-    return kn.tissue_mask(t, 8, dilation=1, k=5)
+    return kn.tissue_mask(t, 8, dilation=1, k=5).withColumn("value", F.round("value", 9))
+
+
+SLIDES = f"""SELECT (vec_id // {N}) % 3 AS s, (vec_id // {N}) // 3 * 8 + p // 8 AS y, (vec_id % {N}) // 2 * 8 + p % 8 AS x,
+greatest(max(floor(CAST(embedding[p + 1] AS DOUBLE) * 100)), 0) AS v FROM embeddings, (SELECT unnest(range(64)) AS p) GROUP BY 1, 2, 3"""
+
+
+@bind("t9_tissue_mask_by_slide", f"SELECT s AS slide, * EXCLUDE (s) FROM ({tissue_sql(SLIDES)})")
+def t9d(spark, d):
+    """Three slides in one job, every second column of tiles a second channel of the place."""
+    t = tiles(spark, d).select((F.col("tile_row") % 3).alias("slide"), (F.col("tile_col") % 2).alias("channel"), F.floor(F.col("tile_row") / 3).alias("tile_row"),
+                               F.floor(F.col("tile_col") / 2).alias("tile_col"), "h", "w", F.transform("pixels", lambda v: F.greatest(v, F.lit(0.0))).alias("pixels"))
+    return kn.tissue_mask(t, 8, dilation=1, k=5, keys=["slide"], channel="channel").withColumn("value", F.round("value", 9))
 
 
 @bind("t9_apply_mask", f"""WITH m AS (SELECT y // 4 AS y, x // 4 AS x FROM ({PX}) GROUP BY 1, 2 HAVING avg(value) > 0)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from cellweave.operators import stats as st
 from cellweave.operators.components import connected_components
-from cellweave.operators.ordered import attach_one_row, quantiles
+from cellweave.operators.ordered import attach_small, quantiles
 from cellweave.operators.tiles import Own, apply_blocks, map_tiles, to_pixels, to_tiles, trim
 from cellweave.session import durable
 
@@ -460,34 +460,57 @@ def local_entropy(tiles: DataFrame, size: int, k: int = 9, keys: Sequence[str] =
     return map_tiles(tiles, size, k // 2, lambda b: window_entropy(b, k), keys, boundary=float("nan"))
 
 
+def channel_maximum(tiles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Largest value over the channels of each pixel, one tile per place; a channel that lacks the tile does not count.
+
+    Tiles travel as pixel rows, so a task holds one row of a tile in all channels, never a tile in all channels. Tiles of one
+    place must have one shape; nulls and NaN do not count, a pixel without any value becomes 0.
+    """
+    at = [*keys, "tile_row", "tile_col", "h", "w"]
+    line = lambda i: F.transform(F.slice("pixels", i * F.col("w") + 1, F.col("w")), lambda v: F.when(~F.isnan(v), v))
+    rows = tiles.where((F.col("h") > 0) & (F.col("w") > 0)).select(*at, F.inline(F.transform(
+        F.sequence(F.lit(0), F.col("h") - 1), lambda i: F.struct(i.alias("_i"), line(i).alias("_v")))))
+    each = rows.groupBy(*at, "_i").agg(F.collect_list("_v").alias("_all"))
+    best = each.withColumn("_v", F.reduce("_all", F.array_repeat(F.lit(None).cast("double"), F.col("w")), lambda a, v: F.zip_with(a, v, lambda p, q: F.greatest(p, q))))
+    done = best.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_rows"))
+    flat = F.flatten(F.transform("_rows", lambda r: r["_v"]))
+    return done.select(*at, F.transform(flat, lambda v: F.coalesce(v, F.lit(0.0))).alias("pixels"))
+
+
 def tissue_mask(
-    tiles: DataFrame, size: int, dilation: int = 2, level: int = 0, centre: float = -0.2, k: int = 9, grey: int = 1023
+    tiles: DataFrame, size: int, dilation: int = 2, level: int = 0, centre: float = -0.2, k: int = 9, grey: int = 1023,
+    keys: Sequence[str] = (), channel: str | None = None,
 ) -> DataFrame:
-    """Pixels ``(y, x, value, tissue)`` of a one-channel thumbnail.
+    """Pixels ``(keys, y, x, value, tissue)`` of a thumbnail; ``keys`` name the image, so all slides are one job.
 
-    log1p, rescale to ``0..grey``, window entropy, Otsu threshold moved by ``centre`` and the chosen level;
-    bright pixels (first quartile of the tissue) are rescued, the mask is dilated, and when more than 90 %
-    is tissue everything is kept.
+    With ``channel`` the maximum over an image's channels is taken first. Then per image log1p, rescale to ``0..grey``, window entropy,
+    Otsu threshold moved by ``centre`` and the chosen level; bright pixels (first quartile of the tissue) are rescued, the mask
+    is dilated, and when more than 90 % is tissue everything is kept. An image of one value has no tissue.
     """
-    img = tiles.withColumn("pixels", F.transform("pixels", lambda v: F.log1p(v)))
-    ends = img.agg(F.min(F.array_min("pixels")).alias("_lo"), F.max(F.array_max("pixels")).alias("_hi"))
-    levels = attach_one_row(img, ends).withColumn("pixels", F.transform("pixels", lambda v: F.floor(
+    own = list(keys) or ["_image"]
+    base = tiles if keys else tiles.withColumn("_image", F.lit(0))
+    if channel is not None:
+        base = channel_maximum(base, own)
+    img = base.withColumn("pixels", F.transform("pixels", lambda v: F.log1p(v)))
+    ends = img.groupBy(*own).agg(F.min(F.array_min("pixels")).alias("_lo"), F.max(F.array_max("pixels")).alias("_hi"))
+    levels = attach_small(img, ends, own).withColumn("pixels", F.transform("pixels", lambda v: F.floor(
         (v - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0) * grey).cast("double"))).drop("_lo", "_hi")
-    ent = to_pixels(local_entropy(levels, size, k), size, value="entropy")
-    both = durable(to_pixels(img, size).join(ent, ["y", "x"]))
-    hist = st.histogram(both, [], "entropy", 256)
-    lim = attach_one_row(st.value_limits(both, [], "entropy"), st.otsu_threshold(hist))
-    thr = st.threshold_levels(lim, centre=centre).where(F.col("level") == level).select(F.col("threshold").alias("_t"))
-    marked = attach_one_row(both, thr).withColumn("_in", F.col("entropy") > F.col("_t"))
-    bright = quantiles(marked.where("_in"), [], "value", [0.25], wide=True).select(F.col("q")[0].alias("_b"))
-    seeds = attach_one_row(marked, bright).withColumn("tissue", F.col("_in") | (F.col("value") >= F.col("_b")))
-    seeds = durable(seeds.select("y", "x", "value", F.col("tissue").cast("int").alias("value_in")))
-    grown = to_pixels(dilate(to_tiles(seeds, size, value="value_in"), size, dilation), size, value="_g") if dilation else (
-        seeds.select("y", "x", F.col("value_in").cast("double").alias("_g")))
+    at = [*own, "y", "x"]
+    ent = to_pixels(local_entropy(levels, size, k, own), size, own, value="entropy")
+    both = durable(to_pixels(img, size, own).join(ent, at))
+    limits = st.value_limits(both, own, "entropy")
+    lim = limits.join(st.otsu_threshold(st.histogram(both, own, "entropy", 256, limits), own), own)
+    thr = st.threshold_levels(lim, centre=centre).where(F.col("level") == level).select(*own, F.col("threshold").alias("_t"))
+    marked = attach_small(both, thr, own, how="left").withColumn("_in", F.coalesce(F.col("entropy") > F.col("_t"), F.lit(False)))
+    bright = quantiles(marked.where("_in"), own, "value", [0.25], wide=True).select(*own, F.col("q")[0].alias("_b"))
+    seeds = attach_small(marked, bright, own, how="left").withColumn("tissue", F.col("_in") | F.coalesce(F.col("value") >= F.col("_b"), F.lit(False)))
+    seeds = durable(seeds.select(*at, "value", F.col("tissue").cast("int").alias("value_in")))
+    grown = to_pixels(dilate(to_tiles(seeds, size, own, value="value_in"), size, dilation, own), size, own, value="_g") if dilation else (
+        seeds.select(*at, F.col("value_in").cast("double").alias("_g")))
     grown = durable(grown)
-    share = grown.agg(F.avg("_g").alias("_share"))
-    out = attach_one_row(seeds.join(grown, ["y", "x"]), share)
-    return out.select("y", "x", "value", ((F.col("_g") > 0) | (F.col("_share") > 0.9)).alias("tissue"))
+    share = grown.groupBy(*own).agg(F.avg("_g").alias("_share"))
+    out = attach_small(seeds.join(grown, at), share, own)
+    return out.select(*keys, "y", "x", "value", ((F.col("_g") > 0) | (F.col("_share") > 0.9)).alias("tissue"))
 
 
 def apply_mask(pixels: DataFrame, mask: DataFrame, factor: int, flag: str = "tissue", value: str = "value") -> DataFrame:

@@ -197,6 +197,35 @@ def test_tissue_mask_keeps_the_textured_part(spark):
     assert m[12:24, 12:24].all() and not m[36:, 36:].any()
 
 
+def test_tissue_masks_of_slides_are_those_of_single_images(spark):
+    """Two channels a slide; one slide of a single value, which has no tissue and keeps its pixels."""
+    rng = np.random.default_rng(4)
+    slides = {s: [np.zeros((24, 20)) for _ in range(2)] for s in ("a", "b", "flat")}
+    slides["a"][0][2:14, 2:14] = rng.integers(50, 900, (12, 12))
+    slides["a"][1][2:14, 10:18] = rng.integers(50, 900, (12, 8))
+    slides["b"][1][8:22, 3:19] = rng.integers(5, 90, (14, 16))
+    rows = [(s, c, y, x, float(v)) for s, chans in slides.items() for c, img in enumerate(chans) for (y, x), v in np.ndenumerate(img)]
+    px = spark.createDataFrame(rows, "slide string, c int, y long, x long, value double")
+    got = kn.tissue_mask(tl.to_tiles(px, 10, ["slide", "c"]), 10, dilation=1, k=3, keys=["slide"], channel="c").toPandas()
+    assert len(got) == 3 * 24 * 20
+    for s, chans in slides.items():
+        top = np.maximum(*chans)
+        mine = got[got.slide == s].sort_values(["y", "x"])
+        assert np.allclose(mine.value.to_numpy().reshape(top.shape), np.log1p(top))
+        one = back(kn.tissue_mask(tl.to_tiles(image(spark, top), 10), 10, dilation=1, k=3).withColumn("t", F.col("tissue").cast("int")), top.shape, "t")
+        assert np.array_equal(mine.tissue.to_numpy().astype(int).reshape(top.shape), one)
+        assert one.any() == (s != "flat") and not one.all()
+
+
+def test_channel_maximum_skips_nan_and_absent_channels(spark):
+    tiles = spark.createDataFrame(
+        [(0, 0, 1, 3, [1.0, float("nan"), None]), (0, 0, 1, 3, [0.0, 4.0, float("nan")]), (0, 1, 2, 1, [7.0, -2.0]), (5, 5, 0, 0, [])],
+        "tile_row long, tile_col long, h int, w int, pixels array<double>")
+    got = {(r.tile_row, r.tile_col): (r.h, r.w, r.pixels) for r in kn.channel_maximum(tiles).collect()}
+    assert got == {(0, 0): (1, 3, [1.0, 4.0, 0.0]), (0, 1): (2, 1, [7.0, -2.0])}
+    assert kn.channel_maximum(tiles.limit(0)).count() == 0
+
+
 def test_cut_and_place_round_trip(spark):
     rng = np.random.default_rng(9)
     img = rng.integers(0, 99, (21, 17)).astype(float)
