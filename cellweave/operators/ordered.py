@@ -36,6 +36,15 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: Column |
     return clean(df, value).groupBy(*by, value).agg(n.alias("n"))
 
 
+def small_table(small: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
+    """A table read once, up to ``max_rows`` rows: ``(rows held in the plan, True)``, or beyond the bound the table itself and False.
+
+    A caller that needs per-group values several times computes them once this way.
+    """
+    rows = small.limit(max_rows + 1).collect()
+    return (small, False) if len(rows) > max_rows else (small.sparkSession.createDataFrame(rows, small.schema), True)
+
+
 def attach_small(
     df: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int = 100_000, how: str = "inner"
 ) -> DataFrame:
@@ -46,11 +55,8 @@ def attach_small(
     """
     if not keys:
         return attach_one_row(df, small)
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df.join(small, list(keys), how)
-    local = df.sparkSession.createDataFrame(rows, small.schema)
-    return df.join(F.broadcast(local), list(keys), how)
+    held, bounded = small_table(small, max_rows)
+    return df.join(F.broadcast(held) if bounded else held, list(keys), how)
 
 
 def with_bucket(df: DataFrame, order: str, least: int = DEPTH) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cellweave.operators.frames import predicate_sql
 from cellweave.operators.ordered import (
-    attach_small, clean, cumulative_counts, neighbour_rows, ordered_fill, quantiles, running_sum, value_counts,
+    attach_one_row, attach_small, clean, cumulative_counts, neighbour_rows, ordered_fill, quantiles, running_sum, small_table, value_counts,
 )
 
 
@@ -160,6 +160,42 @@ def threshold_levels(limits: DataFrame, threshold: str = "threshold", centre: fl
     return limits.select(*keys, F.inline(packed))
 
 
+def binned(df: DataFrame, by: Sequence[str], value: str, limits: DataFrame, bins: Column) -> DataFrame:
+    """Histogram of each group as one array: ``(by, lo, hi, bins)`` with empty bins.
+
+    Rows are counted by bin map-side; only counts meet in a group, as many as it has bins.
+    """
+    held, bounded = small_table(limits.withColumn("_nb", bins.cast("int")))
+    v = F.col(value).cast("double")
+    b = bin_of(v, F.col("lo"), F.col("hi"), F.col("_nb"))
+    lim = F.broadcast(held) if bounded else held
+    src = clean(df, value).select(*by, value)
+    rows = src.join(lim, list(by)) if by else attach_one_row(src, held)
+    got = rows.select(*by, b.alias("_b")).where(F.col("_b").isNotNull()).groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("n"))
+    none = held.select(*by, F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"), F.lit(0).cast("long").alias("n"))
+    full = got.unionByName(none).groupBy(*by, "_b").agg(F.sum("n").alias("n"))
+    line = full.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_b", "n"))).alias("_h"))
+    counts = F.transform("_h", lambda e: e["n"]).alias("bins")
+    ends = held.select(*by, "lo", "hi")
+    return (line.join(F.broadcast(ends) if bounded else ends, list(by)) if by else attach_one_row(line, ends)).select(*by, "lo", "hi", counts)
+
+
+def smooth_array(values: Column, sigma: float) -> Column:
+    """W7 on an array: Gaussian smoothing, the end values repeat outwards."""
+    weights = gaussian_weights(sigma)
+    r, last = len(weights) // 2, F.size(values) - 1
+    at = lambda i: F.get(values, F.least(F.greatest(i, F.lit(0)), last))
+    return F.transform(values, lambda _, i: sum((w * at(i + k - r) for k, w in enumerate(weights)), F.lit(0.0)))
+
+
+def peaks_of_array(values: Column, n: int) -> Column:
+    """W8 on an array: positions above the previous and not below the next value, the ``n`` highest, in order of position."""
+    spots = F.transform(values, lambda v, i: F.struct(
+        (-v).alias("h"), i.alias("i"), ((v > F.get(values, i - 1)) & (v >= F.get(values, i + 1))).alias("peak")))
+    best = F.slice(F.sort_array(F.filter(spots, lambda s: s["peak"])), 1, n)
+    return F.sort_array(F.transform(best, lambda s: s["i"]))
+
+
 def calibrate_counts(
     df: DataFrame, by: Sequence[str], value: str, p0: float = 0.0, p1: float = 0.999, bin_size: float = 0.4,
     sigma: float = 1.0, first_peaks: int = 5,
@@ -167,16 +203,21 @@ def calibrate_counts(
     """A3: line from intensity to count: ``(by, slope, intercept, peaks)``.
 
     The peaks of the smoothed histogram are ordered by position and stand for counts 1, 2, ...; fewer
-    peaks than asked for are accepted, with one or none the line is null.
+    peaks than asked for are accepted, with one the line is null, and a group without a peak has no row.
+    Once counted, a histogram is one array per group, and all that follows are array functions without a shuffle.
     """
-    limits = value_limits(df, by, value, [p0, p1])
     bins = F.greatest(F.floor((F.col("hi") - F.col("lo")) / bin_size), F.lit(1))
-    hist = histogram(df, by, value, bins, limits)
-    peaks = local_maxima(smooth(hist, by, "bin", "n", sigma), by, "bin", "smoothed", first_peaks)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("bin"))
-    pts = peaks.select(*by, ((F.col("left") + F.col("right")) / 2).alias("x"), rank.cast("double").alias("y"))
-    return pts.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
-                                F.count(F.lit(1)).alias("peaks"))
+    hist = binned(df, by, value, value_limits(df, by, value, [p0, p1]), bins)
+    found = hist.withColumn("_s", smooth_array(F.col("bins"), sigma)).withColumn("_i", peaks_of_array(F.col("_s"), first_peaks))
+    width = (F.col("hi") - F.col("lo")) / F.size("bins")
+    edge = lambda i: F.col("lo") + i * width
+    pts = found.where(F.size("_i") > 0).select(*by, F.transform("_i", lambda i: (edge(i) + edge(i + 1)) / 2).alias("_x"), F.size("_i").alias("peaks"))
+    total = lambda a, fn: F.reduce(a, F.lit(0.0), lambda s, e: s + fn(e))
+    pts = pts.withColumn("_mx", total("_x", lambda e: e) / F.col("peaks")).withColumn("_my", (F.col("peaks") + 1) / 2)
+    off = F.transform("_x", lambda x, i: F.struct((x - F.col("_mx")).alias("dx"), (i + 1 - F.col("_my")).alias("dy")))
+    slope = F.try_divide(total(off, lambda e: e["dx"] * e["dy"]), total(off, lambda e: e["dx"] * e["dx"]))
+    line = pts.withColumn("slope", F.when(F.col("peaks") > 1, slope))
+    return line.select(*by, "slope", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"), F.col("peaks").cast("long").alias("peaks"))
 
 
 def intensity_to_count(df: DataFrame, by: Sequence[str], value: str, out: str = "spot_count", **kw) -> DataFrame:

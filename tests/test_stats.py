@@ -150,3 +150,29 @@ def test_mixtures_end_on_values_that_are_no_numbers(spark):
         mx.fit_mixture(spark.createDataFrame(odd[:5], schema), "v")
     with pytest.raises(Exception, match="no number"):
         mx.mixture_table(spark.createDataFrame([("a", 1e200), ("a", -1e200)], schema), ["g"], "v", 2).collect()
+
+
+def test_array_smoothing_and_peaks_equal_the_table_forms(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, float(v)) for g, n in (("a", 60), ("b", 1), ("c", 9)) for i, v in enumerate(rng.integers(0, 9, n))]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    table = st.smooth(df, ["g"], "i", "v", 1.5)
+    arrays = df.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("a"))
+    got = arrays.withColumn("s", st.smooth_array(F.col("a"), 1.5)).withColumn("p", st.peaks_of_array(F.col("s"), 3)).collect()
+    want = {(r.g, r.i): r.smoothed for r in table.collect()}
+    assert all(np.isclose(v, want[r.g, i]) for r in got for i, v in enumerate(r.s)) and sum(len(r.s) for r in got) == len(want)
+    peaks = {}
+    for r in st.local_maxima(table, ["g"], "i", "smoothed", 3).collect():
+        peaks.setdefault(r.g, []).append(r.i)
+    assert {r.g: r.p for r in got if r.p} == {g: sorted(p) for g, p in peaks.items()}
+
+
+def test_calibration_over_all_rows_and_with_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(3 * k, 0.25, 900 - 150 * k) for k in range(1, 6)])
+    df = samples(spark, a=v)
+    keyed, whole = st.calibrate_counts(df, ["s"], "v", bin_size=0.25).first(), st.calibrate_counts(df, [], "v", bin_size=0.25).first()
+    assert np.isclose(keyed.slope, whole.slope) and np.isclose(keyed.intercept, whole.intercept)
+    clash = df.withColumns({c: F.lit(1) for c in ("lo", "hi", "bins", "n", "_b")})
+    assert np.isclose(st.calibrate_counts(clash, ["s"], "v", bin_size=0.25).first().slope, keyed.slope)
+    assert st.calibrate_counts(df.limit(0), ["s"], "v").count() == 0
