@@ -30,6 +30,11 @@ def _by(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
+def _without(df: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
+    """Drop helper columns; ``_all`` stays where the caller groups by a column of that name."""
+    return df.drop(*columns) if by else df.drop("_all", *columns)
+
+
 def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """``(by, value, n)``: the pre-aggregation every ordered operator starts from."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -113,7 +118,7 @@ def running_sum(
     out = out.withColumns({o: F.col(o) + F.col(f"_o_{o}") for o in sums})
     if following:
         out = out.withColumn(following, F.coalesce(F.col(following), F.col("_next"))).drop("_next")
-    return out.drop("_bucket", "_all", *[f"_o_{o}" for o in sums])
+    return _without(out, by, "_bucket", *[f"_o_{o}" for o in sums])
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -154,7 +159,7 @@ def quantiles(
     if not wide:
         return out.select(*by, "p", "q")
     packed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda e: e.q)
-    return out.groupBy(*keys).agg(packed.alias("q")).drop("_all")
+    return _without(out.groupBy(*keys).agg(packed.alias("q")), by)
 
 
 def group_quantiles(
@@ -207,8 +212,8 @@ def neighbour_rows(
         near = F.col(f"_b_{out}")
         far = F.col(f"_p_{c}" if step < 0 else f"_n_{c}")
         joined = joined.withColumn(out, F.when(near.isNotNull(), near.v).otherwise(far))
-    return joined.drop("_bucket", "_all", *[f"_b_{o}" for o in columns],
-                       *[f"_{k}_{c}" for k in "pn" for c in names])
+    return _without(joined, by, "_bucket", *[f"_b_{o}" for o in columns],
+                    *[f"_{k}_{c}" for k in "pn" for c in names])
 
 
 def ordered_fill(df: DataFrame, by: Sequence[str], order: str, value: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -222,4 +227,4 @@ def ordered_fill(df: DataFrame, by: Sequence[str], order: str, value: str, ties:
     carry = ends.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     local = cut.withColumn(value, F.last(value, ignorenulls=True).over(w))
     out = local.join(carry, [*keys, "_bucket"])
-    return out.withColumn(value, F.coalesce(F.col(value), F.col("_carry"))).drop("_bucket", "_carry", "_all")
+    return _without(out.withColumn(value, F.coalesce(F.col(value), F.col("_carry"))), by, "_bucket", "_carry")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.operators import mixture as mx
+from cellweave.operators import ordered as od
 from cellweave.operators import stats as st
 
 
@@ -176,3 +177,10 @@ def test_calibration_over_all_rows_and_with_clashing_names(spark):
     clash = df.withColumns({c: F.lit(1) for c in ("lo", "hi", "bins", "n", "_b")})
     assert np.isclose(st.calibrate_counts(clash, ["s"], "v", bin_size=0.25).first().slope, keyed.slope)
     assert st.calibrate_counts(df.limit(0), ["s"], "v").count() == 0
+
+
+def test_large_groups_keep_a_key_named_like_the_helper(spark):
+    counts = spark.range(1, 400).selectExpr("cast(0 as int) _all", "cast(id * id as double) v", "id % 5 + 1 n")
+    probs = [0.1, 0.5, 0.9]
+    few, many = (od.group_quantiles(counts, ["_all"], "v", probs, most).collect() for most in (1000, 10))
+    assert [tuple(r) for r in few] == [tuple(r) for r in many]
