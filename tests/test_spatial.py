@@ -8,6 +8,7 @@ from cellweave.operators import covering as cv
 from cellweave.operators import neighbourhood as nb
 from cellweave.operators import permutation as pm
 from cellweave.operators import spatial as sp
+from cellweave.plans import shapes as sh
 
 
 def frame(spark, xy, cls=None):
@@ -264,3 +265,26 @@ def test_a_shape_of_many_cells_against_many_points(spark):
     pdf = pts.where("slide = 1 and x is not null and not isnan(x)").toPandas()
     want = inside("polygon", [ring[0].min(), ring[1].min(), ring[0].max(), ring[1].max()], ring, pdf["x"].to_numpy(), pdf["y"].to_numpy())
     assert got == set(pdf["id"][want]) and len(got) > 5000
+
+
+@pytest.mark.parametrize("most", [4_000_000, 10])
+def test_shapes_are_moved_once_for_a_pair_of_images(spark, monkeypatch, most):
+    monkeypatch.setattr(sh, "MOST", most)
+    manifest = spark.createDataFrame([(i, i % 2, 7 if i < 9 else 8) for i in range(12)] + [(99, 5, 7)], "row_num long, image_id_1 long, image_id_2 long")
+    move = spark.createDataFrame([(0, 7), (1, 7), (5, 7)], "image_id_1 long, image_id_2 long").withColumn("m", af.scale(2.0))
+    p = F.array(F.struct(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")))
+    marks = spark.range(30).select((F.col("id") % 3).alias("image_id"), F.col("id").alias("shape"), p.alias("pts"), af.translate(1.0, 0.0).alias("own"))
+    mapped, status = sh.map_shapes(manifest, move, marks)
+    got = sorted((r.row_num, r.image_id_2, r["shape"], r.pts[0].x, r.pts[0].y) for r in mapped.collect())
+    assert got == sorted((i, 7, k, 2.0 * (k + 1), 2.0) for i in range(9) for k in range(30) if k % 3 == i % 2)
+    assert {(r.row_num, r.success, r.shapes) for r in status.collect()} == {(i, i < 9, 10 if i < 9 else 0) for i in range(12)} | {(99, True, 0)}
+
+
+def test_status_of_many_rows_and_shapes_of_one_image(spark):
+    """400 million mapped rows, of which the status needs none."""
+    manifest = spark.range(20_000).selectExpr("id row_num", "1 image_id_1", "2 image_id_2")
+    move = spark.range(1).selectExpr("1 image_id_1", "2 image_id_2").withColumn("m", af.identity())
+    p = F.array(F.struct(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")))
+    _, status = sh.map_shapes(manifest, move, spark.range(20_000).select(F.lit(1).alias("image_id"), p.alias("pts")))
+    assert "pts" not in status._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in status.groupBy("success", "shapes").count().collect()] == [(True, 20_000, 20_000)]
