@@ -288,3 +288,22 @@ def test_status_of_many_rows_and_shapes_of_one_image(spark):
     _, status = sh.map_shapes(manifest, move, spark.range(20_000).select(F.lit(1).alias("image_id"), p.alias("pts")))
     assert "pts" not in status._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in status.groupBy("success", "shapes").count().collect()] == [(True, 20_000, 20_000)]
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+@pytest.mark.parametrize("cell", [0.25, 3.0])
+def test_copies_of_a_shape_are_searched_once(spark, monkeypatch, small, cell):
+    monkeypatch.setattr(sp, "SMALL", small)
+    rng = np.random.default_rng(8)
+    pts = frame(spark, rng.uniform(-1, 26, (400, 2)))
+    one = shapes(spark)
+    many = one.unionByName(one.withColumn("Id", F.col("Id") + 100)).unionByName(one.withColumns({"Id": F.col("Id") + 200, "Text": F.lit("exclude")}).where("Id = 203"))
+    distinct, members = sp.outlines(many)
+    assert distinct.count() == one.count() and members.count() == many.count()
+    got = {(r.id, r.roi_id) for r in sp.points_in_shapes(pts, many, cell).collect()}
+    alone = {(r.id, r.roi_id) for r in sp.points_in_shapes(pts, one, cell).collect()}
+    assert alone and got == alone | {(i, k + 100) for i, k in alone} | {(i, 203) for i, k in alone if k == 3}
+    hits = sp.points_in_shapes(pts, many, cell)
+    want = sp.include_exclude(pts, hits, "id", F.col("roi_text").contains("exclude")).select("id", "selected").collect()
+    picked = sp.select_by_shapes(pts, many, cell, "id", F.col("Text").contains("exclude")).select("id", "selected").collect()
+    assert sorted(picked) == sorted(want) and {r.selected for r in picked} == {True, False}
