@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from cellweave.operators import stats as st
 from cellweave.operators.components import connected_components
 from cellweave.operators.ordered import attach_small, quantiles
-from cellweave.operators.tiles import Own, apply_blocks, map_tiles, to_pixels, to_tiles, trim
+from cellweave.operators.tiles import Own, apply_blocks, map_tiles, mirror_rows, to_pixels, to_tiles, trim
 from cellweave.session import durable
 
 
@@ -69,15 +69,24 @@ def focus_scores(tiles: DataFrame, sigma: float = 0.0, keys: Sequence[str] = ())
 
 # --- T4 ----------------------------------------------------------------------------------------
 
+def along_image(img: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
+    """:func:`along` on an image with NaN where it is absent; every line goes on as its own mirror image there."""
+    there = ~np.isnan(img)
+    if not there.all():
+        img = mirror_rows(img, there)[0] if axis else mirror_rows(img.T, there.T)[0].T
+    return np.where(there, along(img, weights, axis), np.nan)
+
+
 def log_response(img: np.ndarray, sigma: float) -> np.ndarray:
-    """Negative Laplacian of Gaussian, bright spots positive."""
+    """Negative Laplacian of Gaussian, bright spots positive; NaN marks pixels outside the image."""
     if sigma == 0:
-        return -laplacian(img, "symmetric")
+        second = np.array([1.0, -2.0, 1.0])
+        return -(along_image(img, second, 0) + along_image(img, second, 1))
     g = gauss(sigma)
     r = len(g) // 2
     k = np.arange(-r, r + 1)
     second = g * (k * k / sigma ** 4 - 1 / sigma ** 2)
-    return -(along(along(img, second, 0), g, 1) + along(along(img, g, 0), second, 1))
+    return -(along_image(along_image(img, second, 0), g, 1) + along_image(along_image(img, g, 0), second, 1))
 
 
 def pairs_of(shape: tuple[int, int], dy: int, dx: int) -> tuple[tuple[slice, slice], tuple[slice, slice]]:
@@ -105,17 +114,6 @@ def plateaus(img: np.ndarray, steps: Sequence[tuple[int, int]]) -> np.ndarray:
             return lab
 
 
-def mirrored(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block with NaN outside the image: the same with the image mirrored there, and where the image is."""
-    there = ~np.isnan(block)
-    rows, cols = np.flatnonzero(there.any(axis=1)), np.flatnonzero(there.any(axis=0))
-    if not len(rows):
-        return np.zeros_like(block), there
-    ends = [(v[0], n - 1 - v[-1]) for v, n in zip((rows, cols), block.shape)]
-    inner = np.nan_to_num(block[rows[0]:rows[-1] + 1, cols[0]:cols[-1] + 1])
-    return np.pad(inner, ends, mode="symmetric"), there
-
-
 SPOT = "Y int, X int, _LoG_intensity double, channel_intensity double"
 
 
@@ -180,10 +178,9 @@ def spot_candidates(tiles: DataFrame, size: int, sigma: float = 1.0, keys: Seque
         raise ValueError(f"sigma {sigma} needs a halo of {reach} pixels, not {halo}")
 
     def fn(block: np.ndarray, own: Own) -> pd.DataFrame:
-        img, there = mirrored(block)
-        resp = np.where(there, log_response(img, sigma), -np.inf)
+        resp = np.where(np.isnan(block), -np.inf, log_response(block, sigma))
         ring = tuple(slice(halo - 1, halo + n + 1) for n in (own.h, own.w))
-        return tile_peaks(resp[ring], trim(img, own), own)
+        return tile_peaks(resp[ring], trim(block, own), own)
 
     found = durable(apply_blocks(
         tiles, size, halo, fn, SPOT + ", dead boolean, rises boolean, crossing boolean, by bigint, bx bigint, ny bigint, nx bigint",

@@ -75,6 +75,32 @@ def halo_pieces(tiles: DataFrame, size: int, halo: int) -> DataFrame:
     }).drop("_y1", "_x1")
 
 
+def mirror_rows(img: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels that are absent taken from the nearest run of their row, mirrored at its end; where the result is known; how far that run is."""
+    w = img.shape[1]
+    at, edge = np.arange(w)[None, :], np.pad(there, ((0, 0), (1, 1)))
+    ahead = lambda flag: np.maximum.accumulate(np.where(flag, at, -1), axis=1)
+    back = lambda flag: np.minimum.accumulate(np.where(flag, at, 2 * w)[:, ::-1], axis=1)[:, ::-1]
+    left, start, right, end = ahead(there), ahead(there & ~edge[:, :-2]), back(there), back(there & ~edge[:, 2:])
+    dl, dr = np.where(left >= 0, at - left, 4 * w), np.where(right < w, right - at, 4 * w)
+    n = np.maximum(np.where(dl <= dr, left - start, end - right) + 1, 1)
+    k = (np.minimum(dl, dr) - 1) % (2 * n)
+    k = np.where(k >= n, 2 * n - 1 - k, k)
+    known = (left >= 0) | (right < w)
+    source = np.where(there | ~known, at, np.where(dl <= dr, left - k, right + k))
+    return np.take_along_axis(img, source, axis=1), known, np.minimum(dl, dr)
+
+
+def mirror_absent(img: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The image goes on as its mirror image wherever it is absent, along the row or column in which it is nearer; corners follow."""
+    while there.any() and not there.all():
+        row, by_row, far = mirror_rows(img, there)
+        column, by_column, deep = (v.T for v in mirror_rows(img.T, there.T))
+        img = np.where(there, img, np.where(by_row & (~by_column | (far < deep)), row, column))
+        there = by_row | by_column
+    return img
+
+
 def assemble(pdf: pd.DataFrame, size: int, halo: int, boundary) -> tuple[np.ndarray, Own] | None:
     """Padded block from its pieces; None when the tile itself does not exist."""
     centre = pdf[(pdf["dr"] == 0) & (pdf["dc"] == 0)]
@@ -84,7 +110,7 @@ def assemble(pdf: pd.DataFrame, size: int, halo: int, boundary) -> tuple[np.ndar
     h, w = int(own["h"]), int(own["w"])
     fill = 0.0 if boundary == "reflect" else float(boundary)
     buf = np.full((h + 2 * halo, w + 2 * halo), fill)
-    top, left, bottom, right = halo, halo, halo + h, halo + w
+    there = np.zeros(buf.shape, dtype=bool)
     for r in pdf.itertuples(index=False):
         oy, ox = -r.dr * size + r.py + halo, -r.dc * size + r.px + halo
         ey, ex = min(oy + r.ph, buf.shape[0]), min(ox + r.pw, buf.shape[1])
@@ -92,11 +118,9 @@ def assemble(pdf: pd.DataFrame, size: int, halo: int, boundary) -> tuple[np.ndar
             continue
         piece = np.asarray(r.pixels, dtype=float).reshape(r.ph, r.pw)
         buf[oy:ey, ox:ex] = piece[: ey - oy, : ex - ox]
-        top, left, bottom, right = min(top, oy), min(left, ox), max(bottom, ey), max(right, ex)
-    if boundary == "reflect":
-        pad = ((top, buf.shape[0] - bottom), (left, buf.shape[1] - right))
-        if any(v for p in pad for v in p):
-            buf = np.pad(buf[top:bottom, left:right], pad, mode="symmetric")
+        there[oy:ey, ox:ex] = True
+    if boundary == "reflect" and not there.all():
+        buf = mirror_absent(buf, there)
     row, col = int(own["tile_row"]), int(own["tile_col"])
     return buf, Own(row, col, h, w, halo, row * size, col * size)
 
@@ -107,7 +131,7 @@ def apply_blocks(
 ) -> DataFrame:
     """User function per tile with overlap, ``fn(block, own) -> rows``; ``schema`` lists its columns.
 
-    ``boundary`` is ``"reflect"`` or a fill number. The key columns are put in front.
+    ``boundary`` is ``"reflect"`` (absent tiles are mirrored too) or a fill number. The key columns are put in front.
     """
     pieces = halo_pieces(tiles, size, halo)
     names = list(keys)

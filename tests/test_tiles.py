@@ -377,3 +377,26 @@ def test_moving_histograms_give_the_entropy_of_each_window(k, cells):
             v = big[y:y + k, x:x + k].ravel()
             c = np.unique(v[~np.isnan(v)], return_counts=True)[1]
             assert np.isclose(got[y, x], -(c / c.sum() * np.log2(c / c.sum())).sum() if len(c) else 0.0, atol=1e-9)
+
+
+@pytest.mark.parametrize("pad", [((2, 0), (0, 3)), ((9, 9), (9, 9)), ((0, 0), (0, 0))])
+def test_absent_borders_are_mirrored_like_padding(pad):
+    img = np.random.default_rng(2).normal(size=(4, 5))
+    there = np.pad(np.ones(img.shape, bool), pad)
+    assert np.array_equal(tl.mirror_absent(np.pad(img, pad), there), np.pad(img, pad, mode="symmetric"))
+
+
+def test_absent_tiles_are_mirrored_for_every_tile(spark):
+    """Tiles of 4 x 4, the last row holds one of three: no absent pixel counts as zero."""
+    img = np.random.default_rng(3).integers(5, 90, (8, 12)).astype(float)
+    rows = [(r, c, 4, 4, img[4 * r:4 * r + 4, 4 * c:4 * c + 4].ravel().tolist()) for r, c in ((0, 0), (0, 1), (0, 2), (1, 0))]
+    t = spark.createDataFrame(rows, "tile_row long, tile_col long, h int, w int, pixels array<double>")
+    there = np.ones(img.shape, bool)
+    there[4:, 4:] = False
+    least = {(r.y, r.x): r.value for r in tl.to_pixels(tl.map_tiles(t, 4, 1, lambda b: kn.rank_filter(b, kn.AROUND, np.minimum)), 4).collect()}
+    assert len(least) == there.sum() and min(least.values()) >= 5
+    at = lambda y, x, own: img[y, x] if 0 <= y < 8 and 0 <= x < 12 and there[y, x] else own
+    want = {(y, x): 4 * img[y, x] - sum(at(y + a, x + b, img[y, x]) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))) for y, x in zip(*np.nonzero(there))}
+    got = {(r.Y, r.X): r._LoG_intensity for r in kn.spot_candidates(t, 4, 0.0).collect()}
+    peaks = {(y, x) for y, x in want if y and x and all(want.get((y + a, x + b), -np.inf) < want[y, x] for a, b in kn.AROUND)}
+    assert peaks <= set(got) and all(got[p] == want[p] for p in got)
