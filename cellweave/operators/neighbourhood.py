@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.spatial import location_pairs, locations, nearest_neighbours
+from cellweave.operators.discs import class_sums_within
+from cellweave.operators.spatial import locations, nearest_neighbours
 
 
 def neighbour_counts(
@@ -19,8 +20,7 @@ def neighbour_counts(
     """A27, long form without zeros: ``(by, id, class, n)`` neighbours per class within ``radius``."""
     asked = locations(points, x, y, by).drop("n")
     told = locations(points, x, y, [*by, cls])
-    met = location_pairs(asked, told, radius, by)
-    per = met.groupBy(*by, "x", "y", F.col(f"t_{cls}").alias("class")).agg(F.sum("t_n").alias("n"))
+    per = class_sums_within(asked, told, radius, cls, by)
     packed = per.groupBy(*by, "x", "y").agg(F.collect_list(F.struct("class", "n")).alias("near"))  # one entry per class
     own = points.select(*by, F.col(idc), F.col(cls).alias("_own"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     rows = own.join(packed, [*by, "x", "y"]).select(*by, idc, "_own", F.inline("near"))
@@ -51,10 +51,10 @@ def interaction_counts(
 ) -> DataFrame:
     """``(by, class_src, class_dst, n)`` directed neighbour pairs, self excluded."""
     locs = locations(points, x, y, [*by, cls])
-    met = location_pairs(locs, locs, radius, by)
-    same = (F.col("dist") == 0) & (F.col(cls) == F.col(f"t_{cls}"))
-    pairs = F.col("n") * (F.col("t_n") - F.when(same, 1).otherwise(0))
-    out = met.groupBy(*by, F.col(cls).alias("class_src"), F.col(f"t_{cls}").alias("class_dst")).agg(F.sum(pairs).alias("n"))
+    near = class_sums_within(locations(points, x, y, by), locs, radius, cls, by).withColumnsRenamed({"class": "class_dst", "n": "t_n"})
+    met = locs.withColumnRenamed(cls, "class_src").join(near, [*by, "x", "y"])
+    pairs = F.col("n") * (F.col("t_n") - F.when(F.col("class_src") == F.col("class_dst"), 1).otherwise(0))
+    out = met.groupBy(*by, "class_src", "class_dst").agg(F.sum(pairs).alias("n"))
     return out.where(F.col("n") > 0)
 
 
