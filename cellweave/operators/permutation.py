@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.discs import ASKED, around, by_group, disc_sums
 from cellweave.operators.neighbourhood import interaction_counts
 from cellweave.operators.ordered import attach_small
 from cellweave.operators.spatial import location_pairs, locations
@@ -23,6 +24,7 @@ from cellweave.session import durable
 ROUNDS = 4
 CROWD = 4096  # cells at one place, beyond which their labels are counted beforehand, in parts of as many
 PAIRS = 20_000  # pairs of places handled at once
+TABLE = 8_000_000  # numbers of the tables of sums held at once
 PRIME, TWO31 = (1 << 31) - 1, 1 << 31
 
 
@@ -114,14 +116,17 @@ def permuted_counts(points: DataFrame, radius: float, cls: str, perms: int, seed
     """``(by, perm, class_src, class_dst, n)``: directed neighbour pairs in each label permutation, where there are any.
 
     A pair of places carries the ranks of its cells, or their counts where many share a place. The labels of all permutations are made in one pass
-    over the pairs; a task adds up classes x classes numbers for each permutation and slide and sends these alone.
+    over the pairs; a task adds up classes x classes numbers for each permutation and slide and sends these alone. Around crowded cells no pairs are
+    made: discs are summed by strips (``discs.py``).
     """
     by = list(by)
     borders = durable(class_borders(points, cls, x, y, by))
     places = durable(attach_small(ranked_locations(points, cls, x, y, by), borders.drop("classes"), by))
     told = durable(crowds(places, by, perms, seed))
-    places = places.drop("tops").join(told, [*by, "r"], "left")
-    pairs = attach_small(location_pairs(places, places, radius, by), borders.drop("classes"), by)
+    entries = F.when(F.col("n") > 1, F.size("tops")).otherwise(1).alias("entries")
+    places = places.select("*", entries).drop("tops").join(told, [*by, "r"], "left")
+    sparse, crowd, near, keys = around(places, places, radius, by, F.col("entries"))
+    pairs = attach_small(location_pairs(sparse, places, radius, by), borders.drop("classes"), by)
     kinds = dict(places.dtypes)
     columns = [*by, "r", "n", "told", "t_r", "t_n", "t_told", "dist", "tops"]
 
@@ -165,7 +170,45 @@ def permuted_counts(points: DataFrame, radius: float, cls: str, perms: int, seed
         yield from flush()
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "perm int, a int, b int, n long"])
-    counts = pairs.select(*columns).mapInPandas(add, schema).groupBy(*by, "perm", "a", "b").agg(F.sum("n").alias("n"))
+    def in_crowd(a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        tops = np.asarray(a["tops"].iloc[0])
+        k = len(tops)
+        one = t["n"].to_numpy() == 1
+        rows = np.r_[np.flatnonzero(one), np.repeat(np.flatnonzero(~one), k)]  # a place of several cells has an entry for each class
+        single, piles = t[one]["r"].to_numpy(), t[~one]
+        own = np.isin(a["r"].to_numpy(), t["r"].to_numpy())
+        x, y = t["x"].to_numpy()[rows], t["y"].to_numpy()[rows]
+        m = np.zeros((perms, k, k), dtype=np.int64)
+        most = max(1, TABLE // (ASKED * k))
+        for begin in range(0, perms, most):
+            some = range(begin, min(begin + most, perms))
+
+            def told_entries(order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for p in some:
+                    label = np.searchsorted(tops, permuted(single, int(tops[-1]), seed, p + 1), side="right")
+                    label = np.r_[label, np.tile(np.arange(k), len(piles))]
+                    weight = np.r_[np.ones(len(single), dtype=np.int64), cell_counts(piles, tops, p).ravel()]
+                    yield label[order], weight[order]
+
+            for part, sums in disc_sums(a["x"].to_numpy(), a["y"].to_numpy(), x, y, told_entries, k, radius):
+                for p, n in zip(some, sums, strict=True):
+                    mine = cell_counts(a.iloc[part], tops, p)
+                    m[p] += mine.T @ n - np.diag(mine[own[part]].sum(axis=0))
+        p, i, j = np.nonzero(m)
+        return pd.DataFrame({**{c: [a[c].iloc[0]] * len(p) for c in by}, "perm": p + 1, "a": i, "b": j, "n": m[p, i, j]})
+
+    def cell_counts(part: pd.DataFrame, tops: np.ndarray, p: int) -> np.ndarray:
+        """Cells of each class at every place of ``part`` in permutation ``p + 1``."""
+        size, known = part["n"].to_numpy(), part["told"].to_numpy()
+        out = np.zeros((len(part), len(tops)), dtype=np.int64)
+        out[size <= CROWD] = class_counts(part["r"].to_numpy()[size <= CROWD], size[size <= CROWD], tops, seed, p + 1)
+        for i in np.flatnonzero(size > CROWD):
+            out[i] = np.asarray(known[i]).reshape(perms, len(tops))[p]
+        return out
+
+    crowd = attach_small(crowd, borders.drop("classes"), by).select(*keys, "x", "y", "r", "n", "told", "tops")
+    crowded = by_group(crowd, near.select(*keys, "x", "y", "r", "n", "told"), keys, in_crowd, schema)
+    counts = pairs.select(*columns).mapInPandas(add, schema).unionByName(crowded).groupBy(*by, "perm", "a", "b").agg(F.sum("n").alias("n"))
     named = attach_small(counts, borders.drop("tops"), by)
     return named.select(*by, "perm", F.get("classes", F.col("a")).alias("class_src"), F.get("classes", F.col("b")).alias("class_dst"), "n")
 
