@@ -7,6 +7,7 @@ import pytest
 from cellweave.operators import discs
 from cellweave.operators import neighbourhood as nb
 from cellweave.operators import permutation as pm
+from cellweave.operators import spatial as sp
 
 
 def test_disc_sums_equal_brute_force(monkeypatch):
@@ -51,3 +52,19 @@ def test_crowds_give_the_rows_of_pairs(spark, monkeypatch, held):
     monkeypatch.setattr(discs, "HELD", held)
     monkeypatch.setattr(pm, "CROWD", 3)
     assert rows() == want and all(want)
+
+
+def test_edges_are_made_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sp, "PAIRED", 20)
+    monkeypatch.setattr(sp, "IDS", 3)
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"id": range(300), "slide": rng.integers(0, 2, 300), "x": np.round(rng.random(300), 1), "y": np.round(rng.random(300), 1)})
+    p.loc[0, "x"] = np.nan
+    edges = sp.radius_neighbours(spark.createDataFrame(p), 0.25, "id", by=["slide"])
+    q = p[p.x.notna()].merge(p, on="slide", suffixes=("", "_t"))
+    d2 = (q.x - q.x_t) ** 2 + (q.y - q.y_t) ** 2
+    q = q[(d2 <= 0.25 * 0.25) & (q.id != q.id_t)]
+    assert sorted(map(tuple, edges.select("src", "dst").collect())) == sorted(zip(q.id.tolist(), q.id_t.tolist()))
+    monkeypatch.setattr(sp, "PAIRED", 10_000)
+    plan = sp.radius_neighbours(spark.createDataFrame(p), 0.25, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # ids came back by two more joins of all pairs
