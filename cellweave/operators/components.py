@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.tiles import Own, apply_blocks, to_pixels
+from cellweave.operators.tiles import TILE_SCHEMA, Owns, apply_stacks, pixel_lists, to_pixels
 from cellweave.session import durable
 
 
@@ -44,25 +44,25 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
                 "component", F.coalesce("component", "node"))
 
 
-def tile_labels(mask: np.ndarray, start: int, eight: bool) -> np.ndarray:
-    """Labels within one tile: each object carries the raster position of its first pixel plus ``start``."""
-    h, w = mask.shape
+def tile_labels(mask: np.ndarray, start: np.ndarray, eight: bool) -> np.ndarray:
+    """Labels within each tile of a stack: each object carries the raster position of its first pixel plus the ``start`` of the tile."""
+    n, h, w = mask.shape
     big = np.iinfo(np.int64).max
-    lab = np.where(mask > 0, np.arange(h * w).reshape(h, w), big)
+    lab = np.where(mask > 0, np.arange(mask.size).reshape(mask.shape), big)
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
     while True:
         before = lab.copy()
         for dy, dx in steps:
             ys, yt = slice(0, h - dy), slice(dy, h)
             xs, xt = (slice(0, w - dx), slice(dx, w)) if dx >= 0 else (slice(-dx, w), slice(0, w + dx))
-            low = np.minimum(lab[ys, xs], lab[yt, xt])
-            both = (lab[ys, xs] < big) & (lab[yt, xt] < big)
-            lab[ys, xs] = np.where(both, low, lab[ys, xs])
-            lab[yt, xt] = np.where(both, np.minimum(low, lab[yt, xt]), lab[yt, xt])
+            low = np.minimum(lab[:, ys, xs], lab[:, yt, xt])
+            both = (lab[:, ys, xs] < big) & (lab[:, yt, xt] < big)
+            lab[:, ys, xs] = np.where(both, low, lab[:, ys, xs])
+            lab[:, yt, xt] = np.where(both, np.minimum(low, lab[:, yt, xt]), lab[:, yt, xt])
         fg = lab < big
         lab[fg] = np.minimum(lab[fg], lab.ravel()[lab[fg]])  # jump to the label of the label's pixel
         if np.array_equal(before, lab):
-            return np.where(fg, lab + start, 0)
+            return np.where(fg, lab % max(h * w, 1) + start[:, None, None], 0)
 
 
 FAN = 8  # regions a side that are merged into one
@@ -146,12 +146,12 @@ def label_components(tiles: DataFrame, size: int, width: int, eight: bool = Fals
     area = size * size
     kinds = dict(tiles.dtypes)
 
-    def fn(block: np.ndarray, own: Own) -> pd.DataFrame:
-        lab = tile_labels(block, (own.row * width + own.col) * area + 1, eight)
-        return pd.DataFrame({"tile_row": [own.row], "tile_col": [own.col], "h": [own.h], "w": [own.w],
-                             "pixels": [lab.ravel().astype(float)]})
+    def fn(stack: np.ndarray, owns: Owns) -> dict[str, object]:
+        lab = tile_labels(stack, (owns.row * width + owns.col) * area + 1, eight)
+        n = len(stack)
+        return {"tile_row": owns.row, "tile_col": owns.col, "h": np.full(n, owns.h), "w": np.full(n, owns.w), "pixels": pixel_lists(lab)}
 
-    local = durable(apply_blocks(tiles, size, 0, fn, "tile_row bigint, tile_col bigint, h int, w int, pixels array<double>", keys))
+    local = durable(apply_stacks(tiles, size, 0, fn, TILE_SCHEMA, keys))
     px = to_pixels(local, size, keys, value="label").where(F.col("label") > 0).withColumn("label", F.col("label").cast("long"))
     at = lambda c: F.pmod(F.col(c), F.lit(size))
     edge = px.where((at("y") == 0) | (at("y") == size - 1) | (at("x") == 0) | (at("x") == size - 1))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from cellweave.operators import stats as st
 from cellweave.operators.components import connected_components
 from cellweave.operators.ordered import attach_small, quantiles
-from cellweave.operators.tiles import Own, apply_blocks, map_tiles, mirror_rows, to_pixels, to_tiles, trim
+from cellweave.operators.tiles import Owns, apply_stacks, flipped, map_tiles, mirror_rows, to_pixels, to_tiles, trim
 from cellweave.session import durable
 
 
@@ -24,16 +24,22 @@ def gauss(sigma: float) -> np.ndarray:
     return w / w.sum()
 
 
+def padded(img: np.ndarray, r: int, axes: Sequence[int] = (-2, -1), **how) -> np.ndarray:
+    """An image, or each of a stack, padded by ``r`` pixels along ``axes``."""
+    pad = [(0, 0)] * img.ndim
+    for a in axes:
+        pad[a] = (r, r)
+    return np.pad(img, pad, **how)
+
+
 def along(img: np.ndarray, weights: np.ndarray, axis: int, mode: str = "symmetric") -> np.ndarray:
-    """Correlate with a short kernel along one axis."""
+    """Correlate with a short kernel along one axis of an image, or of each of a stack."""
     r = len(weights) // 2
-    pad = [(0, 0), (0, 0)]
-    pad[axis] = (r, r)
-    big = np.pad(img, pad, mode=mode)
-    n = img.shape[axis]
+    big = padded(img, r, (axis - 2,), mode=mode)
+    n = img.shape[axis - 2]
     out = np.zeros(img.shape)
     for k, w in enumerate(weights):
-        out += w * (big[k:k + n] if axis == 0 else big[:, k:k + n])
+        out += w * (big[..., k:k + n, :] if axis == 0 else big[..., k:k + n])
     return out
 
 
@@ -73,7 +79,7 @@ def along_image(img: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     """:func:`along` on an image with NaN where it is absent; every line goes on as its own mirror image there."""
     there = ~np.isnan(img)
     if not there.all():
-        img = mirror_rows(img, there)[0] if axis else mirror_rows(img.T, there.T)[0].T
+        img = mirror_rows(img, there)[0] if axis else flipped(mirror_rows(flipped(img), flipped(there))[0])
     return np.where(there, along(img, weights, axis), np.nan)
 
 
@@ -91,8 +97,8 @@ def log_response(img: np.ndarray, sigma: float) -> np.ndarray:
 
 def pairs_of(shape: tuple[int, int], dy: int, dx: int) -> tuple[tuple[slice, slice], tuple[slice, slice]]:
     """Slices of all pixels that have a neighbour at ``(dy, dx)``, ``dy >= 0``, and of those neighbours."""
-    h, w = shape
-    return ((slice(0, h - dy), slice(max(0, -dx), w - max(0, dx))), (slice(dy, h), slice(max(0, dx), w + min(0, dx))))
+    h, w = shape[-2:]
+    return ((..., slice(0, h - dy), slice(max(0, -dx), w - max(0, dx))), (..., slice(dy, h), slice(max(0, dx), w + min(0, dx))))
 
 
 STRAIGHT, DIAGONAL = ((0, 1), (1, 0)), ((1, 1), (1, -1))
@@ -117,16 +123,16 @@ def plateaus(img: np.ndarray, steps: Sequence[tuple[int, int]]) -> np.ndarray:
 SPOT = "Y int, X int, _LoG_intensity double, channel_intensity double"
 
 
-def tile_peaks(resp: np.ndarray, block: np.ndarray, own: Own) -> pd.DataFrame:
-    """Peaks of one tile, and the parts of plateaus that go on in another tile.
+def tile_peaks(resp: np.ndarray, block: np.ndarray, owns: Owns) -> dict[str, np.ndarray]:
+    """Peaks of each tile of a stack, and the parts of plateaus that go on in another tile.
 
-    ``resp`` covers the tile and a ring of one pixel, ``-inf`` outside the image. A part is known by its first pixel
+    ``resp`` covers the tiles and a ring of one pixel, ``-inf`` outside the image. A part is known by its first pixel
     ``Y, X``; each of its rows names a pixel ``by, bx`` and an equal neighbour ``ny, nx`` of another part.
     """
-    h, w = own.h, own.w
-    at = resp[1:-1, 1:-1]
-    higher, lower = np.zeros((h, w), bool), np.zeros((h, w), bool)
-    near = {(dy, dx): resp[1 + dy:1 + dy + h, 1 + dx:1 + dx + w] for dy, dx in AROUND}
+    h, w = owns.h, owns.w
+    at = resp[:, 1:-1, 1:-1]
+    higher, lower = np.zeros(at.shape, bool), np.zeros(at.shape, bool)
+    near = {(dy, dx): resp[:, 1 + dy:1 + dy + h, 1 + dx:1 + dx + w] for dy, dx in AROUND}
     for other in near.values():
         higher |= other > at
         lower |= (other < at) & (other > -np.inf)
@@ -134,30 +140,32 @@ def tile_peaks(resp: np.ndarray, block: np.ndarray, own: Own) -> pd.DataFrame:
     image = at.ravel() > -np.inf
 
     def on_whole(flag: np.ndarray) -> np.ndarray:
-        out = np.zeros(h * w, bool)
+        out = np.zeros(at.size, bool)
         out[whole[flag.ravel()]] = True
         return out[whole]
 
-    yy, xx = np.mgrid[:h, :w]
-    link, outside = [], np.zeros((h, w), bool)
+    tile, yy, xx = np.indices(at.shape)
+    y0, x0 = owns.row * owns.size, owns.col * owns.size
+    link, outside = [], np.zeros(at.shape, bool)
     for (dy, dx), other in near.items():
         out = (yy + dy < 0) | (yy + dy >= h) | (xx + dx < 0) | (xx + dx >= w)
         same = other == at
         outside |= same & out
-        target = np.clip(yy + dy, 0, h - 1) * w + np.clip(xx + dx, 0, w - 1)
-        link.append((dy, dx, same & (out | (part[target] != part.reshape(h, w)))))
+        target = tile * (h * w) + np.clip(yy + dy, 0, h - 1) * w + np.clip(xx + dx, 0, w - 1)
+        link.append((dy, dx, same & (out | (part[target] != part.reshape(at.shape)))))
     crossing, dead, rises = on_whole(outside), on_whole(higher), on_whole(lower)
-    first = np.flatnonzero((part == np.arange(h * w)) & image & ~crossing & ~dead & rises)
+    first = np.flatnonzero((part == np.arange(at.size)) & image & ~crossing & ~dead & rises)
     rows = [np.stack([first, *[np.full(len(first), -1)] * 4], axis=1)]
     for dy, dx, met in link:
-        y, x = np.nonzero(met & (crossing & image).reshape(h, w))
-        rows.append(np.stack([part[y * w + x], y + own.y0, x + own.x0, y + dy + own.y0, x + dx + own.x0], axis=1))
+        t, y, x = np.nonzero(met & (crossing & image).reshape(at.shape))
+        rows.append(np.stack([part[(t * h + y) * w + x], y + y0[t], x + x0[t], y + dy + y0[t], x + dx + x0[t]], axis=1))
     got = np.concatenate(rows)
     f = got[:, 0]
-    return pd.DataFrame({
-        "Y": (f // w + own.y0).astype("int32"), "X": (f % w + own.x0).astype("int32"), "_LoG_intensity": at.ravel()[f],
+    t, y, x = f // (h * w), f // w % h, f % w
+    return {
+        "Y": (y + y0[t]).astype("int32"), "X": (x + x0[t]).astype("int32"), "_LoG_intensity": at.ravel()[f],
         "channel_intensity": block.ravel()[f], "dead": dead[f], "rises": rises[f], "crossing": got[:, 1] >= 0,
-        "by": got[:, 1], "bx": got[:, 2], "ny": got[:, 3], "nx": got[:, 4]})
+        "by": got[:, 1], "bx": got[:, 2], "ny": got[:, 3], "nx": got[:, 4]}
 
 
 def spot_reach(sigma: float) -> int:
@@ -177,12 +185,11 @@ def spot_candidates(tiles: DataFrame, size: int, sigma: float = 1.0, keys: Seque
     if halo < reach:
         raise ValueError(f"sigma {sigma} needs a halo of {reach} pixels, not {halo}")
 
-    def fn(block: np.ndarray, own: Own) -> pd.DataFrame:
-        resp = np.where(np.isnan(block), -np.inf, log_response(block, sigma))
-        ring = tuple(slice(halo - 1, halo + n + 1) for n in (own.h, own.w))
-        return tile_peaks(resp[ring], trim(block, own), own)
+    def fn(stack: np.ndarray, owns: Owns) -> dict[str, np.ndarray]:
+        resp = np.where(np.isnan(stack), -np.inf, log_response(stack, sigma))
+        return tile_peaks(resp[:, halo - 1:halo + owns.h + 1, halo - 1:halo + owns.w + 1], trim(stack, owns), owns)
 
-    found = durable(apply_blocks(
+    found = durable(apply_stacks(
         tiles, size, halo, fn, SPOT + ", dead boolean, rises boolean, crossing boolean, by bigint, bx bigint, ny bigint, nx bigint",
         keys, boundary=float("nan")))
     columns = [*keys, "Y", "X", "_LoG_intensity", "channel_intensity"]
@@ -236,28 +243,28 @@ def shrink_factor(radius: float) -> int:
 def ball_background(img: np.ndarray, radius: float) -> np.ndarray:
     """Lowest position of a ball of ``radius`` pressed from below, per pixel (image surrounded by +inf)."""
     r = int(math.ceil(radius))
-    big = np.pad(img, r, constant_values=np.inf)
-    h, w = img.shape
+    big = padded(img, r, constant_values=np.inf)
+    h, w = img.shape[-2:]
     out = np.full(img.shape, np.inf)
     for dy in range(-r, r + 1):
         for dx in range(-r, r + 1):
             d2 = dy * dy + dx * dx
             if d2 <= radius * radius:
-                np.minimum(out, big[r + dy:r + dy + h, r + dx:r + dx + w] + (radius - math.sqrt(radius * radius - d2)), out=out)
+                np.minimum(out, big[..., r + dy:r + dy + h, r + dx:r + dx + w] + (radius - math.sqrt(radius * radius - d2)), out=out)
     return out
 
 
 def resize_linear(img: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Bilinear with half-pixel centres, borders clamped."""
     out = img
-    for axis in (0, 1):
+    for axis in (-2, -1):
         n, m = img.shape[axis], shape[axis]
         pos = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
         lo = np.floor(pos).astype(int)
         hi = np.minimum(lo + 1, n - 1)
         f = pos - lo
         a, b = np.take(out, lo, axis), np.take(out, hi, axis)
-        f = f[:, None] if axis == 0 else f[None, :]
+        f = f[:, None] if axis == -2 else f
         out = a * (1 - f) + b * f
     return out
 
@@ -266,12 +273,12 @@ def background_of(block: np.ndarray, radius: float) -> np.ndarray:
     third = np.full(3, 1 / 3)
     smooth = along(along(block, third, 0, "reflect"), third, 1, "reflect")
     f = shrink_factor(radius)
-    h, w = smooth.shape
-    small = np.full((h // f, w // f), np.inf)
+    h, w = smooth.shape[-2:]
+    small = np.full((*smooth.shape[:-2], h // f, w // f), np.inf)
     for dy in range(f):  # minimum of every f x f square, one place of the squares at a time
         for dx in range(f):
-            np.minimum(small, smooth[dy:h // f * f:f, dx:w // f * f:f], out=small)
-    return resize_linear(ball_background(small, max(radius / f, 1.0)), block.shape)
+            np.minimum(small, smooth[..., dy:h // f * f:f, dx:w // f * f:f], out=small)
+    return resize_linear(ball_background(small, max(radius / f, 1.0)), block.shape[-2:])
 
 
 def subtract_background(tiles: DataFrame, size: int, radius: float = 50.0, keys: Sequence[str] = ()) -> DataFrame:
@@ -279,7 +286,7 @@ def subtract_background(tiles: DataFrame, size: int, radius: float = 50.0, keys:
     halo = math.ceil(radius)
     if size <= 2 * halo:
         raise ValueError(f"a radius of {radius} needs tiles wider than {2 * halo} pixels, these have {size}")
-    return map_tiles(tiles, size, halo, lambda b: np.maximum(b - background_of(b, radius), 0), keys)
+    return map_tiles(tiles, size, halo, lambda b: np.maximum(b - background_of(b, radius), 0), keys, stacked=True)
 
 
 # --- T7 ----------------------------------------------------------------------------------------
@@ -287,36 +294,36 @@ def subtract_background(tiles: DataFrame, size: int, radius: float = 50.0, keys:
 def rank_filter(img: np.ndarray, offsets, how) -> np.ndarray:
     """Extreme or sum over any offsets; disks have :func:`disk_filter`."""
     r = max(max(abs(a), abs(b)) for a, b in offsets)
-    big = np.pad(img, r, mode="symmetric")
-    h, w = img.shape
+    big = padded(img, r, mode="symmetric")
+    h, w = img.shape[-2:]
     out = None
     for a, b in offsets:
-        v = big[r + a:r + a + h, r + b:r + b + w]
+        v = big[..., r + a:r + a + h, r + b:r + b + w]
         out = v.copy() if out is None else how(out, v, out=out)
     return out
 
 
 def sliding(img: np.ndarray, length: int, how) -> np.ndarray:
     """Extreme of ``length`` neighbours along rows, from running extremes of blocks of that length forwards and backwards."""
-    h, w = img.shape
-    blocks = np.concatenate([img, np.repeat(img[:, -1:], -w % length, axis=1)], axis=1).reshape(h, -1, length)
-    ahead = how.accumulate(blocks, axis=2).reshape(h, -1)
-    back = how.accumulate(blocks[:, :, ::-1], axis=2)[:, :, ::-1].reshape(h, -1)
-    return how(back[:, :w - length + 1], ahead[:, length - 1:w])
+    w, lines = img.shape[-1], img.shape[:-1]
+    blocks = np.concatenate([img, np.repeat(img[..., -1:], -w % length, axis=-1)], axis=-1).reshape(*lines, -1, length)
+    ahead = how.accumulate(blocks, axis=-1).reshape(*lines, -1)
+    back = how.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(*lines, -1)
+    return how(back[..., :w - length + 1], ahead[..., length - 1:w])
 
 
 def disk_filter(img: np.ndarray, radius: int, how) -> np.ndarray:
     """Extreme over a disk: each of its rows is a chord, chords of one length share one pass along rows. Linear in the radius."""
-    big = np.pad(img, radius, mode="symmetric")
-    h, w = img.shape
+    big = padded(img, radius, mode="symmetric")
+    h, w = img.shape[-2:]
     chords: dict[int, list[int]] = {}
     for a in range(-radius, radius + 1):
         chords.setdefault(math.isqrt(radius * radius - a * a), []).append(a)
     out = None
     for half, places in chords.items():
-        row = sliding(big[:, radius - half:radius + w + half], 2 * half + 1, how)
+        row = sliding(big[..., radius - half:radius + w + half], 2 * half + 1, how)
         for a in places:
-            part = row[radius + a:radius + a + h]
+            part = row[..., radius + a:radius + a + h, :]
             out = part.copy() if out is None else how(out, part, out=out)
     return out
 
@@ -325,23 +332,22 @@ def outline(tiles: DataFrame, size: int, grow: int = 1, shrink: int = 2, keys: S
     """Labels kept only where the neighbourhood is not uniform (maximum over one disk, minimum over another)."""
     def kernel(b):
         return np.where(disk_filter(b, grow, np.maximum) == disk_filter(b, shrink, np.minimum), 0, b)
-    return map_tiles(tiles, size, max(grow, shrink), kernel, keys)
+    return map_tiles(tiles, size, max(grow, shrink), kernel, keys, stacked=True)
 
 
 def dilate(tiles: DataFrame, size: int, radius: int = 1, keys: Sequence[str] = ()) -> DataFrame:
     """Grey dilation with a disk."""
-    return map_tiles(tiles, size, radius, lambda b: disk_filter(b, radius, np.maximum), keys)
+    return map_tiles(tiles, size, radius, lambda b: disk_filter(b, radius, np.maximum), keys, stacked=True)
 
 
 def nearest_in_row(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distance to the nearest label of the same row and that label, ties the smaller; without any the distance is that of twice the width."""
-    h, w = img.shape
-    at = np.arange(w)[None, :]
-    left = np.maximum.accumulate(np.where(img > 0, at, -2 * w), axis=1)
-    right = np.minimum.accumulate(np.where(img > 0, at, 3 * w)[:, ::-1], axis=1)[:, ::-1]
-    rows = np.arange(h)[:, None]
+    w = img.shape[-1]
+    at = np.arange(w)
+    left = np.maximum.accumulate(np.where(img > 0, at, -2 * w), axis=-1)
+    right = np.minimum.accumulate(np.where(img > 0, at, 3 * w)[..., ::-1], axis=-1)[..., ::-1]
     dl, dr = np.minimum(at - left, 2 * w), np.minimum(right - at, 2 * w)
-    ll, lr = img[rows, np.maximum(left, 0)], img[rows, np.minimum(right, w - 1)]
+    ll, lr = np.take_along_axis(img, np.maximum(left, 0), -1), np.take_along_axis(img, np.minimum(right, w - 1), -1)
     first = (dl < dr) | (dl == dr) & (ll <= lr)
     return np.where(first, dl, dr), np.where(first, ll, lr)
 
@@ -390,7 +396,9 @@ def grow_labels(img: np.ndarray, distance: int) -> np.ndarray:
     ranks[img > 0] = place + 1
     d, rank = nearest_in_row(ranks)
     scale = len(labels) + 1
-    best = lower_envelope(d * d * scale + rank, d <= distance, scale)
+    columns = lambda a: np.moveaxis(a, -2, 0).reshape(a.shape[-2], -1)  # noqa: E731 - those of all images of a stack beside each other
+    best = lower_envelope(columns(d * d * scale + rank), columns(d <= distance), scale)
+    best = np.moveaxis(best.reshape(img.shape[-2], *img.shape[:-2], img.shape[-1]), 0, -2)
     hit = (img <= 0) & (best >= 0) & (best // scale <= distance * distance)
     out = img.copy()
     out[hit] = labels[best[hit] % scale - 1]
@@ -399,7 +407,7 @@ def grow_labels(img: np.ndarray, distance: int) -> np.ndarray:
 
 def expand_labels(tiles: DataFrame, size: int, distance: int, keys: Sequence[str] = ()) -> DataFrame:
     """Background within ``distance`` of an object takes the nearest label, ties the smallest."""
-    return map_tiles(tiles, size, distance, lambda b: grow_labels(b, distance), keys, boundary=0)
+    return map_tiles(tiles, size, distance, lambda b: grow_labels(b, distance), keys, boundary=0, stacked=True)
 
 
 def to_binary(tiles: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -407,7 +415,7 @@ def to_binary(tiles: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFram
     def kernel(b):
         uniform = disk_filter(b, 1, np.maximum) == disk_filter(b, 1, np.minimum)
         return ((b > 0) & uniform).astype(float)
-    return map_tiles(tiles, size, 1, kernel, keys)
+    return map_tiles(tiles, size, 1, kernel, keys, stacked=True)
 
 
 # --- T9 ----------------------------------------------------------------------------------------
@@ -419,24 +427,24 @@ def window_entropy(block: np.ndarray, k: int, cells: int = 1 << 24) -> np.ndarra
     ``c log2 c`` follows. A strip has as many rows as keep the histograms within ``cells`` counts.
     """
     r = k // 2
-    h, w = block.shape
-    big = np.pad(block, r, constant_values=np.nan)
+    h, w = block.shape[-2:]
+    big = padded(block, r, constant_values=np.nan).reshape(-1, h + 2 * r, w + 2 * r)
     values, code = np.unique(big, return_inverse=True)
     code = code.reshape(big.shape)
     inside = ~np.isnan(big)
     levels = len(values)
     term = np.arange(k * k + 2) * np.log2(np.maximum(np.arange(k * k + 2), 1))
-    out = np.zeros(block.shape)
-    strip = max(1, min(h, cells // levels))
-    for a in range(0, h, strip):
-        rows = np.arange(min(strip, h - a))
+    out = np.zeros((len(big) * h, w))
+    strip = max(1, min(len(out), cells // levels))
+    for a in range(0, len(out), strip):
+        line = np.arange(a, min(a + strip, len(out)))
+        image, first, rows = line // h, line % h, np.arange(len(line))
         counts = np.zeros((len(rows), levels), dtype=np.int32)
         total, n = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64)
 
         def change(column: int, by: int) -> None:
             for dy in range(k):
-                y = slice(a + dy, a + dy + len(rows))
-                level, real = code[y, column], inside[y, column]
+                level, real = code[image, first + dy, column], inside[image, first + dy, column]
                 c = counts[rows, level]
                 counts[rows, level] = c + by
                 total[:] += np.where(real, term[np.minimum(c + by, k * k)] - term[np.minimum(c, k * k)], 0.0)
@@ -447,14 +455,14 @@ def window_entropy(block: np.ndarray, k: int, cells: int = 1 << 24) -> np.ndarra
         for x in range(w):
             change(x + k - 1, 1)
             m = np.maximum(n, 1)
-            out[a:a + len(rows), x] = np.maximum(np.log2(m) - total / m, 0.0)
+            out[line, x] = np.maximum(np.log2(m) - total / m, 0.0)
             change(x, -1)
-    return out
+    return out.reshape(block.shape)
 
 
 def local_entropy(tiles: DataFrame, size: int, k: int = 9, keys: Sequence[str] = ()) -> DataFrame:
     """Entropy image of tiles that hold integer grey levels."""
-    return map_tiles(tiles, size, k // 2, lambda b: window_entropy(b, k), keys, boundary=float("nan"))
+    return map_tiles(tiles, size, k // 2, lambda b: window_entropy(b, k), keys, boundary=float("nan"), stacked=True)
 
 
 def channel_maximum(tiles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

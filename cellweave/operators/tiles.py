@@ -6,13 +6,16 @@ A tile row is ``(keys, tile_row, tile_col, h, w, pixels)`` with ``pixels`` row-m
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cellweave.operators.ordered import attach_small
 
@@ -29,6 +32,17 @@ class Own(NamedTuple):
     x0: int
 
 
+class Owns(NamedTuple):
+    """Where the blocks of a stack lie; all have one shape."""
+
+    row: np.ndarray
+    col: np.ndarray
+    h: int
+    w: int
+    halo: int
+    size: int
+
+
 # --- conversions -------------------------------------------------------------------------------
 
 def to_tiles(pixels: DataFrame, size: int, keys: Sequence[str] = (), value: str = "value", y: str = "y", x: str = "x") -> DataFrame:
@@ -75,54 +89,104 @@ def halo_pieces(tiles: DataFrame, size: int, halo: int) -> DataFrame:
     }).drop("_y1", "_x1")
 
 
+def flipped(a: np.ndarray) -> np.ndarray:
+    """Rows and columns of an image, or of each of a stack, exchanged."""
+    return np.swapaxes(a, -1, -2)
+
+
 def mirror_rows(img: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pixels that are absent taken from the nearest run of their row, mirrored at its end; where the result is known; how far that run is."""
-    w = img.shape[1]
-    at, edge = np.arange(w)[None, :], np.pad(there, ((0, 0), (1, 1)))
-    ahead = lambda flag: np.maximum.accumulate(np.where(flag, at, -1), axis=1)
-    back = lambda flag: np.minimum.accumulate(np.where(flag, at, 2 * w)[:, ::-1], axis=1)[:, ::-1]
-    left, start, right, end = ahead(there), ahead(there & ~edge[:, :-2]), back(there), back(there & ~edge[:, 2:])
+    w = img.shape[-1]
+    at, edge = np.arange(w), np.pad(there, [(0, 0)] * (there.ndim - 1) + [(1, 1)])
+    ahead = lambda flag: np.maximum.accumulate(np.where(flag, at, -1), axis=-1)
+    back = lambda flag: np.minimum.accumulate(np.where(flag, at, 2 * w)[..., ::-1], axis=-1)[..., ::-1]
+    left, start, right, end = ahead(there), ahead(there & ~edge[..., :-2]), back(there), back(there & ~edge[..., 2:])
     dl, dr = np.where(left >= 0, at - left, 4 * w), np.where(right < w, right - at, 4 * w)
     n = np.maximum(np.where(dl <= dr, left - start, end - right) + 1, 1)
     k = (np.minimum(dl, dr) - 1) % (2 * n)
     k = np.where(k >= n, 2 * n - 1 - k, k)
     known = (left >= 0) | (right < w)
     source = np.where(there | ~known, at, np.where(dl <= dr, left - k, right + k))
-    return np.take_along_axis(img, source, axis=1), known, np.minimum(dl, dr)
+    return np.take_along_axis(img, source, axis=-1), known, np.minimum(dl, dr)
 
 
 def mirror_absent(img: np.ndarray, there: np.ndarray) -> np.ndarray:
     """The image goes on as its mirror image wherever it is absent, along the row or column in which it is nearer; corners follow."""
-    while there.any() and not there.all():
+    while (there.any(axis=(-1, -2)) & ~there.all(axis=(-1, -2))).any():
         row, by_row, far = mirror_rows(img, there)
-        column, by_column, deep = (v.T for v in mirror_rows(img.T, there.T))
+        column, by_column, deep = (flipped(v) for v in mirror_rows(flipped(img), flipped(there)))
         img = np.where(there, img, np.where(by_row & (~by_column | (far < deep)), row, column))
         there = by_row | by_column
     return img
 
 
-def assemble(pdf: pd.DataFrame, size: int, halo: int, boundary) -> tuple[np.ndarray, Own] | None:
-    """Padded block from its pieces; None when the tile itself does not exist."""
-    centre = pdf[(pdf["dr"] == 0) & (pdf["dc"] == 0)]
-    if centre.empty:
-        return None
-    own = centre.iloc[0]
-    h, w = int(own["h"]), int(own["w"])
-    fill = 0.0 if boundary == "reflect" else float(boundary)
-    buf = np.full((h + 2 * halo, w + 2 * halo), fill)
-    there = np.zeros(buf.shape, dtype=bool)
-    for r in pdf.itertuples(index=False):
-        oy, ox = -r.dr * size + r.py + halo, -r.dc * size + r.px + halo
-        ey, ex = min(oy + r.ph, buf.shape[0]), min(ox + r.pw, buf.shape[1])
-        if ey <= oy or ex <= ox:
-            continue
-        piece = np.asarray(r.pixels, dtype=float).reshape(r.ph, r.pw)
-        buf[oy:ey, ox:ex] = piece[: ey - oy, : ex - ox]
-        there[oy:ey, ox:ex] = True
-    if boundary == "reflect" and not there.all():
-        buf = mirror_absent(buf, there)
-    row, col = int(own["tile_row"]), int(own["tile_col"])
-    return buf, Own(row, col, h, w, halo, row * size, col * size)
+BUNCH = 256  # pixels a side of the tiles that one group holds; larger tiles are groups of their own
+
+
+def stacks(pieces: pa.Table, size: int, halo: int, boundary) -> Iterator[tuple[np.ndarray, Owns]]:
+    """Padded blocks of the tiles of one group, those of one shape stacked. A tile that only has neighbours has none."""
+    row, col, h, w, dr, dc, py, px, ph, pw = (pieces.column(c).to_numpy().astype(np.int64) for c in (
+        "tile_row", "tile_col", "h", "w", "dr", "dc", "py", "px", "ph", "pw"))
+    lists = pieces.column("pixels").combine_chunks()
+    values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+    long = lists.value_lengths().to_numpy()
+    if (long != ph * pw).any():
+        raise ValueError("a tile has not h x w pixels")
+    begin = np.cumsum(long) - long
+    place = (row - row.min()) * (int(np.ptp(col)) + 1) + col - col.min()
+    centres, at = np.unique(place[(dr == 0) & (dc == 0)], return_index=True)
+    own = np.flatnonzero((dr == 0) & (dc == 0))[at]
+    known = np.isin(place, centres)
+    tile = np.searchsorted(centres, place)
+    shape = np.stack([h[own], w[own]], axis=1)
+    for a, b in np.unique(shape, axis=0):
+        mine = np.flatnonzero((shape[:, 0] == a) & (shape[:, 1] == b))
+        number = np.full(len(centres) + 1, -1)
+        number[mine] = np.arange(len(mine))
+        stack = np.full((len(mine), a + 2 * halo, b + 2 * halo), 0.0 if boundary == "reflect" else float(boundary))
+        there = np.zeros(stack.shape, dtype=bool)
+        some = np.flatnonzero(known & (number[tile] >= 0))
+        kinds, kind = np.unique(np.stack([dr, dc, py, px, ph, pw], axis=1)[some], axis=0, return_inverse=True)
+        order = np.argsort(kind.ravel(), kind="stable")
+        for (ddr, ddc, y, x, m, n), part in zip(kinds, np.split(some[order], np.cumsum(np.bincount(kind.ravel()))[:-1]), strict=True):
+            oy, ox = -ddr * size + y + halo, -ddc * size + x + halo
+            ey, ex = min(oy + m, stack.shape[1]), min(ox + n, stack.shape[2])
+            if ey <= oy or ex <= ox:
+                continue
+            sent = values[begin[part][:, None] + np.arange(m * n)].reshape(len(part), m, n)
+            stack[number[tile[part]], oy:ey, ox:ex] = sent[:, : ey - oy, : ex - ox]
+            there[number[tile[part]], oy:ey, ox:ex] = True
+        gaps = ~there.all(axis=(1, 2))
+        if boundary == "reflect" and gaps.any():
+            stack[gaps] = mirror_absent(stack[gaps], there[gaps])
+        yield stack, Owns(row[own[mine]], col[own[mine]], int(a), int(b), halo, size)
+
+
+def apply_stacks(
+    tiles: DataFrame, size: int, halo: int, fn: Callable[[np.ndarray, Owns], dict[str, object]], schema: str, keys: Sequence[str] = (), boundary="reflect",
+) -> DataFrame:
+    """``fn(stack, owns) -> columns`` on the padded blocks of many tiles at once; ``schema`` lists its columns, the key columns are put in front.
+
+    A group holds a square of tiles of at most ``BUNCH`` pixels a side, or one tile, so what a call costs by itself is shared by small tiles.
+    """
+    names, side = list(keys), max(1, BUNCH // size)
+    types = dict(tiles.dtypes)
+    full = T.StructType.fromDDL(", ".join([f"`{k}` {types[k]}" for k in names] + [schema]))
+    arrow = to_arrow_schema(full)
+
+    def run(pieces: pa.Table) -> pa.Table:
+        done = []
+        for stack, owns in stacks(pieces, size, halo, boundary):
+            out = fn(stack, owns)
+            made = [out[f.name] for f in list(arrow)[len(names):]]
+            held = [pieces.column(k).take(pa.array(np.zeros(len(made[0]), dtype=np.int64))) for k in names]
+            columns = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in (*held, *made)]
+            done.append(pa.table([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
+        return pa.concat_tables(done) if done else arrow.empty_table()
+
+    pieces = halo_pieces(tiles, size, halo).withColumns({"_R": F.floor(F.col("tile_row") / side), "_C": F.floor(F.col("tile_col") / side)})
+    spread = pieces.repartition(task_count(tiles), *names, "_R", "_C")
+    return spread.groupBy(*names, "_R", "_C").applyInArrow(run, full)
 
 
 def apply_blocks(
@@ -133,22 +197,13 @@ def apply_blocks(
 
     ``boundary`` is ``"reflect"`` (absent tiles are mirrored too) or a fill number. The key columns are put in front.
     """
-    pieces = halo_pieces(tiles, size, halo)
-    names = list(keys)
-    types = dict(tiles.dtypes)
-    full = ", ".join([f"{k} {types[k]}" for k in names] + [schema])
+    names = [c.name for c in T.StructType.fromDDL(schema)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = assemble(pdf, size, halo, boundary)
-        if got is None:
-            return pd.DataFrame(columns=[*names, *[c.split()[0] for c in schema.split(",")]])
-        out = fn(*got)
-        for i, k in enumerate(names):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
+    def each(stack: np.ndarray, owns: Owns) -> dict[str, object]:
+        rows = [fn(block, Own(int(r), int(c), owns.h, owns.w, halo, int(r) * size, int(c) * size)) for block, r, c in zip(stack, owns.row, owns.col, strict=True)]
+        return {n: pa.array(c, from_pandas=True) for n, c in pd.concat(rows)[names].items()}
 
-    spread = pieces.repartition(task_count(tiles), *names, "tile_row", "tile_col")
-    return spread.groupBy(*names, "tile_row", "tile_col").applyInPandas(run, full)
+    return apply_stacks(tiles, size, halo, each, schema, keys, boundary)
 
 
 def task_count(df: DataFrame) -> int:
@@ -160,20 +215,28 @@ def task_count(df: DataFrame) -> int:
 TILE_SCHEMA = "tile_row bigint, tile_col bigint, h int, w int, pixels array<double>"
 
 
-def trim(block: np.ndarray, own: Own) -> np.ndarray:
-    return block[own.halo: own.halo + own.h, own.halo: own.halo + own.w]
+def trim(block: np.ndarray, own: Own | Owns) -> np.ndarray:
+    return block[..., own.halo: own.halo + own.h, own.halo: own.halo + own.w]
+
+
+def pixel_lists(stack: np.ndarray) -> pa.Array:
+    """One list of pixels for each image of a stack."""
+    flat = np.ascontiguousarray(stack, dtype=float).reshape(-1)
+    each = int(np.prod(stack.shape[1:]))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(stack) + 1, dtype=np.int32) * np.int32(each)), pa.array(flat))
 
 
 def map_tiles(
-    tiles: DataFrame, size: int, halo: int, kernel: Callable[[np.ndarray], np.ndarray], keys: Sequence[str] = (), boundary="reflect"
+    tiles: DataFrame, size: int, halo: int, kernel: Callable[[np.ndarray], np.ndarray], keys: Sequence[str] = (), boundary="reflect", stacked: bool = False
 ) -> DataFrame:
-    """Kernel on the padded block with a result of the same shape; the halo is cut off again."""
+    """Kernel on the padded block with a result of the same shape; the halo is cut off again. A ``stacked`` kernel takes many blocks at once."""
 
-    def fn(block: np.ndarray, own: Own) -> pd.DataFrame:
-        out = trim(np.asarray(kernel(block), dtype=float), own)
-        return pd.DataFrame({"tile_row": [own.row], "tile_col": [own.col], "h": [own.h], "w": [own.w], "pixels": [out.ravel()]})
+    def fn(stack: np.ndarray, owns: Owns) -> dict[str, object]:
+        out = np.asarray(kernel(stack), dtype=float) if stacked else np.stack([np.asarray(kernel(b), dtype=float) for b in stack])
+        n = len(stack)
+        return {"tile_row": owns.row, "tile_col": owns.col, "h": np.full(n, owns.h), "w": np.full(n, owns.w), "pixels": pixel_lists(trim(out, owns))}
 
-    return apply_blocks(tiles, size, halo, fn, TILE_SCHEMA, keys, boundary)
+    return apply_stacks(tiles, size, halo, fn, TILE_SCHEMA, keys, boundary)
 
 
 def halo_ranges(grid: DataFrame, size: int, halo: int, height: Column, width: Column) -> DataFrame:
