@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings import bind, table
 from cellweave.functions.scalar import base_name
+from cellweave.operators.tiles import task_count
 from cellweave.session import fresh_path
 from cellweave.sources import documents as doc
 from cellweave.sources import manifest as mf
@@ -259,7 +260,9 @@ def s16d(spark, d):
     tiles = table(spark, d, "supplier").withColumn("tile", F.col("s_suppkey"))
     size = F.when(F.col("s_nationkey") % 2 == 0, "pixel: 0.5 um")
     lines = F.concat_ws("\n", F.concat(F.lit("stage x = "), F.col("s_acctbal").cast("string")), F.concat(F.lit("stage y = "), F.col("s_nationkey").cast("string")), size)
-    tiles.where("s_acctbal >= 0").select("tile", lines.alias("value")).write.partitionBy("tile").text(path)
+    cars = tiles.where("s_acctbal >= 0").select("tile", lines.alias("value")).repartition(task_count(tiles), "tile")
+    # the tasks move their own files into the new folder; the driver would move one after the other
+    cars.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("tile").text(path)
     number = r"(-?[0-9.]+(?:E[0-9]+)?)"
     cars = doc.read_sidecars(spark, path, r"/tile=(\d+)/")
     found = cars.select(F.col("stem").cast("long").alias("tile"), *doc.sidecar_numbers(

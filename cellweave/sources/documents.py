@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import geometry as geo
+from cellweave.session import durable
 from cellweave.sources.collections import RANGE, feature_texts
 from cellweave.sources.tables import file_path
 
@@ -126,5 +127,6 @@ def objects_named(text: Column, name: str, schema: str) -> Column:
 
 
 def match_sidecars(tiles: DataFrame, sidecars: DataFrame, stem: str = "stem") -> tuple[DataFrame, DataFrame]:
-    """Tiles with their sidecar, and tiles without one (must be empty)."""
+    """Tiles with their sidecar, and tiles without one (must be empty). The sidecars are stored first, so their files are read once."""
+    sidecars = durable(sidecars)
     return tiles.join(sidecars, stem), tiles.join(sidecars.select(stem), stem, "left_anti")
