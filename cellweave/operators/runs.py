@@ -15,19 +15,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+FINE = 8
 
 
 def _block(column: str, block: int):
     return F.floor(F.col(column) / block)
 
 
+def in_blocks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of one block on one task, moved once for all that is done with blocks, and ``FINE`` times the session's partitions, so that what a task sorts stays small."""
+    return df.repartition(FINE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "y", "_b")
+
+
 def pixels_to_runs(pixels: DataFrame, keys: Sequence[str] = (), label: str = "label", block: int = BLOCK, y: str = "y", x: str = "x") -> DataFrame:
     """Runs of a pixel table; at most ``block`` pixels of a row meet in a group."""
     fg = pixels.where((F.col(label) > 0) & F.col(y).isNotNull() & F.col(x).isNotNull())
-    once = fg.groupBy(*keys, F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x")).agg(F.max(label).alias("label"))
+    placed = fg.select(*keys, F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x"), F.col(label).alias("label")).withColumn("_b", _block("x", block))
+    marked = in_blocks(placed, keys).groupBy(*keys, "y", "_b", "x").agg(F.max("label").alias("label"))
     row = Window.partitionBy(*keys, "y", "_b").orderBy("x")
     fresh = (F.lag("x").over(row) == F.col("x") - 1) & (F.lag("label").over(row) == F.col("label"))
-    marked = once.withColumn("_b", _block("x", block)).withColumn("_new", F.when(fresh, 0).otherwise(1))
+    marked = marked.withColumn("_new", F.when(fresh, 0).otherwise(1))
     part = marked.withColumn("_k", F.sum("_new").over(row))
     runs = part.groupBy(*keys, "y", "_b", "_k").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("label").alias("label"))
     return runs.select(*keys, "y", "x0", "x1", "label")
@@ -100,7 +107,7 @@ def merged_runs(first: DataFrame, second: DataFrame, keys: Sequence[str] = (), b
         return cut.select(*keys, "y", "_b", F.inline(ends)).select(*keys, "y", "_b", "x", F.col("d").alias(one), F.lit(0).cast("long").alias(other))
 
     both = events(first, "_da", "_db").unionByName(events(second, "_db", "_da"))
-    at = both.groupBy(*keys, "y", "_b", "x").agg(F.sum("_da").alias("_da"), F.sum("_db").alias("_db"))
+    at = in_blocks(both, keys).groupBy(*keys, "y", "_b", "x").agg(F.sum("_da").alias("_da"), F.sum("_db").alias("_db"))
     row = Window.partitionBy(*keys, "y", "_b").orderBy("x")
     told = at.select(*keys, "y", F.col("x").alias("x0"), (F.lead("x").over(row) - 1).alias("x1"), F.sum("_da").over(row).alias("a"), F.sum("_db").over(row).alias("b"))
     return told.where("a <> 0 or b <> 0")
