@@ -233,7 +233,7 @@ def nearest_neighbours(
     targets: small cells in dense regions, large ones in empty regions, no distance cut-off. The best of
     that cell bound the distance, and a second round searches only the cells that touch the disc of that
     radius. Sources whose cell would be a crowded one, as when the sets lie apart, descend from the whole area cell by cell
-    instead and keep only target cells that can hold one of their nearest. At one position only the first ``k`` (+1) ids can
+    instead and meet only targets that can be one of the nearest of some source in their cell. At one position only the first ``k`` (+1) ids can
     matter, which bounds a pile of copies.
     """
     want = k + 1 if exclude_self else k
@@ -272,7 +272,7 @@ def _location_search(ask: DataFrame, ans: DataFrame, want: int, by: list[str], b
         return df.withColumns({names[0]: put("x", box.x0), names[1]: put("y", box.y0)})
 
     while True:  # deepen until the fullest cell is small; only one number comes back per round
-        base = cells(ans, depth).groupBy(*by, "cx", "cy").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("locs"))
+        base = durable(cells(ans, depth).groupBy(*by, "cx", "cy").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("locs")))
         full = base.agg(F.max("locs")).first()[0]
         if full <= 32 * want or depth >= 40:
             break
@@ -294,13 +294,16 @@ def _location_search(ask: DataFrame, ans: DataFrame, want: int, by: list[str], b
     crowded = placed.where(F.col("locs") > FAR * want).drop("l", "locs")
     apart = not crowded.isEmpty()
     if apart:
-        descended = _descent(crowded, pyramid, want, by, box, span, depth)
+        at = cells(ans, depth).select(*by, "cx", "cy", F.col("x").alias("t_x"), F.col("y").alias("t_y"), "ids")
+        descended = _descent(crowded, durable(pyramid), at, want, by, box, span, depth)
         placed = placed.where(F.coalesce("locs", F.lit(0)) <= FAR * want)
     placed = placed.withColumn("known", F.col("l").isNotNull()).withColumn("l", F.coalesce("l", F.lit(0))).drop("fx", "fy", "locs")
     placed = cells(placed, F.col("l"))
 
-    used = [r.l for r in placed.select("l").distinct().collect()] + [depth] * apart  # at most depth + 1 numbers
-    used = sorted(set(used))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "_id"))), 1, want)
+    used = sorted(r.l for r in placed.select("l").distinct().collect())  # at most depth + 1 numbers
+    if apart and not used:
+        return descended.groupBy(*by, "x", "y").agg(best.alias("near"))
     told = cells(ans.withColumn("l", F.explode(F.array(*[F.lit(v) for v in used]))), F.col("l"))
     told = told.select(*by, "l", "cx", "cy", F.col("x").alias("t_x"), F.col("y").alias("t_y"), "ids")
     key, loc = [*by, "l", "cx", "cy"], [*by, "x", "y"]
@@ -326,19 +329,20 @@ def _location_search(ask: DataFrame, ans: DataFrame, want: int, by: list[str], b
     slack = F.lit(span * 1e-12)  # cell borders are rounded numbers
     near = F.pow(F.greatest(gap("x", box.x0, "cx") - slack, F.lit(0.0)), 2) + F.pow(F.greatest(gap("y", box.y0, "cy") - slack, F.lit(0.0)), 2) <= F.col("r2")
     asked = asked.where(near).select(*loc, "l", "cx", "cy", "r2")
-    if apart:
-        asked = asked.unionByName(descended.withColumn("l", F.lit(depth)))
     flat = closest(asked).select(*loc, "d2", F.explode("ids").alias("_id"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "_id"))), 1, want)
+    flat = flat.unionByName(descended) if apart else flat
     return flat.groupBy(*loc).agg(best.alias("near"))
 
 
-def _descent(crowded: DataFrame, pyramid: DataFrame, want: int, by: list[str], box, span: float, depth: int) -> DataFrame:
-    """``(by, x, y, cx, cy, r2)``: the target cells of the finest level that can hold one of the nearest of each location.
+def _descent(
+    crowded: DataFrame, pyramid: DataFrame, at: DataFrame, want: int, by: list[str], box, span: float, depth: int
+) -> DataFrame:
+    """``(by, x, y, d2, _id)``: targets of each location, all of its ``want`` nearest among them.
 
     Source cells and target cells are halved together. Target cells, nearest far side first, that add up to ``want`` bound the
     distance; those that begin beyond it are left out. So a source cell keeps a band of cells along the near side of the
-    targets, however many lie behind. The last step bounds every location by itself.
+    targets, however many lie behind. Such a band is long where the targets are far away, as one cell is little of the distance;
+    so of its targets only those go on that are not farther than each of ``want`` others from every place of the source cell.
     """
     half = lambda c, l: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(depth - l))).cast("long")
     slack = 1e-3  # of a cell: cell borders are rounded numbers
@@ -370,11 +374,35 @@ def _descent(crowded: DataFrame, pyramid: DataFrame, want: int, by: list[str], b
     if not depth:
         cur = cur.join(pyramid.select(*by, "cx", "cy", "n"), [*by, "cx", "cy"])
     step = span / 2 ** depth
+    homes = durable(crowded.groupBy(*by, "fx", "fy").agg(  # the box that the locations of a source cell take up
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    home = [*by, "fx", "fy"]
     low = lambda o, i: F.lit(o) + F.col(i) * step
-    gap = lambda c, o, i: F.greatest(low(o, i) - F.col(c), F.col(c) - low(o, i) - step, F.lit(0.0))
-    begin = lambda c, o, i: F.greatest(gap(c, o, i) - slack * step, F.lit(0.0))
-    end = lambda c, o, i: F.greatest(F.abs(low(o, i) - F.col(c)), F.abs(low(o, i) + step - F.col(c))) + slack * step
-    asked = crowded.join(cur.withColumnsRenamed({"sx": "fx", "sy": "fy"}), [*by, "fx", "fy"])
-    asked = within(asked, [*by, "x", "y"], F.pow(begin("x", box.x0, "cx"), 2) + F.pow(begin("y", box.y0, "cy"), 2),
-                   F.pow(end("x", box.x0, "cx"), 2) + F.pow(end("y", box.y0, "cy"), 2))
-    return asked.select(*by, "x", "y", "cx", "cy", F.coalesce("r2", F.lit(float("inf"))).alias("r2"))
+    begin = lambda c, o, i: F.greatest(low(o, i) - F.col(f"{c}1"), F.col(f"{c}0") - low(o, i) - step, F.lit(0.0))
+    end = lambda c, o, i: F.greatest(F.abs(low(o, i) - F.col(f"{c}1")), F.abs(low(o, i) + step - F.col(f"{c}0")))
+    begin_of = lambda c, o, i: F.pow(F.greatest(begin(c, o, i) - slack * step, F.lit(0.0)), 2)
+    end_of = lambda c, o, i: F.pow(end(c, o, i) + slack * step, 2)
+    band = within(homes.join(cur.withColumnsRenamed({"sx": "fx", "sy": "fy"}), home), home,
+                  begin_of("x", box.x0, "cx") + begin_of("y", box.y0, "cy"), end_of("x", box.x0, "cx") + end_of("y", box.y0, "cy"))
+    band = durable(band.select(*home, "x0", "x1", "y0", "y1", "cx", "cy"))
+    met = band.join(at, [*by, "cx", "cy"]).drop("cx", "cy")
+
+    # Reference targets, nearest to the middle of the box. That one of them is nearer than a target is a linear condition on the
+    # place, so it holds all over the box if it holds in the corners; both axes can be looked at by themselves.
+    middle = F.pow((F.col("x0") + F.col("x1")) / 2 - F.col("t_x"), 2) + F.pow((F.col("y0") + F.col("y1")) / 2 - F.col("t_y"), 2)
+    first = F.row_number().over(Window.partitionBy(*home).orderBy(middle, "t_x", "t_y"))
+    refs = met.withColumn("_r", first).where(F.col("_r") <= want).groupBy(*home).agg(F.collect_list(F.struct("t_x", "t_y")).alias("_refs"))
+
+    def ahead(r, c):
+        """The most that a target may be nearer than the reference ``r`` along one axis, as a difference of squares."""
+        mine, other = F.col(f"t_{c}"), r[f"t_{c}"]
+        return F.greatest(*[(mine - other) * (2 * F.col(f"{c}{i}") - other - mine) for i in (0, 1)])
+
+    far = lambda c: F.pow(F.greatest(F.abs(F.col("t_" + c) - F.col(c + "0")), F.abs(F.col("t_" + c) - F.col(c + "1"))), 2)
+    rounding = -1e-12 * (far("x") + far("y"))
+    may = (F.size("_refs") < want) | F.exists("_refs", lambda r: ahead(r, "x") + ahead(r, "y") >= rounding)
+    kept = durable(met.join(refs, home).where(may).select(*home, "t_x", "t_y", "ids"))
+    d2 = F.pow(F.col("x") - F.col("t_x"), 2) + F.pow(F.col("y") - F.col("t_y"), 2)
+    found = meet(crowded, kept, home).select(*by, "x", "y", d2.alias("d2"), "ids")
+    nearest = F.row_number().over(Window.partitionBy(*by, "x", "y").orderBy("d2", F.col("ids")[0]))
+    return found.withColumn("_r", nearest).where(F.col("_r") <= want).select(*by, "x", "y", "d2", F.explode("ids").alias("_id"))

@@ -198,6 +198,27 @@ def test_knn_by_descent_equals_brute_force(spark, monkeypatch, far):
     assert {(r.src, r.dst, r["rank"]) for r in mixed.collect()} == brute_knn(b, b, 3, True)
 
 
+def test_knn_between_far_sets_hands_on_few_targets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a = rng.uniform(0, 900, (60, 2)).round(1)
+    b = np.stack([1e6 + rng.uniform(0, 500, 3000).round(), rng.uniform(0, 20_000, 3000).round()], axis=1)
+    b[:40] = [1e6, 400]  # a pile of copies among the nearest
+    handed, descent = [], sp._descent
+
+    def counted(*args):
+        handed.append(descent(*args))
+        return handed[-1]
+
+    monkeypatch.setattr(sp, "_descent", counted)
+    got = sp.nearest_neighbours(frame(spark, a), frame(spark, b), 3, "id", "id")
+    assert {(r.src, r.dst, r["rank"]) for r in got.collect()} == brute_knn(a, b, 3, False)
+    assert handed[0].count() <= 60 * 3 * 3  # before, each source asked for the cells of a band along all targets
+    b = np.stack([1e6 + 0 * b[:, 0], 10 * (b[:, 1] // 10)], axis=1)  # equal distances on both sides
+    a[:, 1] = 10_000 + 5 * (a[:, 1] // 5)
+    got = sp.nearest_neighbours(frame(spark, a), frame(spark, b), 3, "id", "id")
+    assert {(r.src, r.dst, r["rank"]) for r in got.collect()} == brute_knn(a, b, 3, False)
+
+
 def test_shapes_and_distances_stay_on_their_slide(spark):
     pts = frame(spark, [(1, 1), (1, 1), (3, 3)], ["a", "b", "a"]).withColumn("slide", F.col("id") % 2)
     rois = spark.createDataFrame([(*s, 1) for s in SHAPES], "Id long, Name string, Text string, type string, all_points string, X double, Y double, "
