@@ -8,20 +8,25 @@ with the next revision and the totals of *all* its files; nothing that came late
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 OUT = "folder string, revision int, start timestamp, last timestamp, n_files long, n_bytes long"
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
 class FolderState(StatefulProcessor):
-    """Sizes seen by file, and per folder ``(start, last, n_files, n_bytes, revision, open)``, times in microseconds."""
+    """Sizes seen by file, and per folder ``(start, last, n_files, n_bytes, revision, open)``, times in microseconds.
+
+    Every call to the state is a message to the JVM, so only what can have changed is asked for and written. An open folder
+    has one timer, which its ``last`` tells.
+    """
 
     def __init__(self, quiet_us: int):
         self.quiet_us = quiet_us
@@ -31,12 +36,14 @@ class FolderState(StatefulProcessor):
         self.sizes = handle.getMapState("sizes", "file string", "size long")
         self.folder = handle.getValueState("folder", "start long, last long, n_files long, n_bytes long, revision int, open boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         """Notices of one folder in one batch, in order of their clock; a gap of ``quiet`` between them closes as a timer would."""
-        got = pd.concat(list(rows), ignore_index=True).sort_values(["clock", "file", "size"], kind="stable")
-        known = {f: (self.sizes.getValue((f,))[0] if self.sizes.containsKey((f,)) else None) for f in got["file"].unique()}
-        before, now, closed = dict(known), self._now(), []
-        for at, file, size in zip(got["clock"].tolist(), got["file"], got["size"].tolist()):
+        got = sorted((r["clock"], r["file"], r["size"]) for r in rows)
+        now = self._now()
+        before, timer, closed = dict(now), self._timer(now), []
+        stored = {file: self._size(file) if now["n_files"] else None for file in {file for _, file, _ in got}}
+        known = dict(stored)
+        for at, file, size in got:
             if now["open"] and at - now["last"] >= self.quiet_us:
                 closed.append(self._close(key, now))
             if known[file] == size:
@@ -48,42 +55,46 @@ class FolderState(StatefulProcessor):
             now["last"] = at if now["last"] is None else max(now["last"], at)
             now["open"] = True
         for file, size in known.items():
-            if before[file] != size:
-                self.sizes.updateValue((file,), (int(size),))
-        if now["last"] is not None:
+            if stored[file] != size:
+                self.sizes.updateValue((file,), (size,))
+        if now != before:
             self._keep(now)
-            self._wake(now)
-        if closed:
-            yield pd.DataFrame(closed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if (wake := self._timer(now)) != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        yield from closed
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The watermark has passed: close if the folder is still open and really was quiet, else wait on."""
         now = self._now()
         if now["open"] and expiredTimerInfo.getExpiryTimeInMs() * 1000 >= now["last"] + self.quiet_us:
             row = self._close(key, now)
             self._keep(now)
-            yield pd.DataFrame([row])
+            yield row
 
     def _now(self) -> dict:
         names = ("start", "last", "n_files", "n_bytes", "revision", "open")
-        return dict(zip(names, self.folder.get() if self.folder.exists() else (None, None, 0, 0, 0, False)))
+        return dict(zip(names, self.folder.get() or (None, None, 0, 0, 0, False)))
+
+    def _size(self, file: str) -> int | None:
+        value = self.sizes.getValue((file,))
+        return None if value is None else value[0]
 
     def _keep(self, now: dict) -> None:
-        self.folder.update((int(now["start"]), int(now["last"]), int(now["n_files"]), int(now["n_bytes"]), int(now["revision"]), bool(now["open"])))
+        self.folder.update(tuple(now.values()))
 
-    def _wake(self, now: dict) -> None:
-        """One timer at the end of the quiet time, rounded up to a millisecond; earlier ones go."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if now["open"]:
-            self.handle.registerTimer(-((-now["last"] - self.quiet_us) // 1000))
+    def _timer(self, now: dict) -> int | None:
+        """The end of the quiet time of an open folder, rounded up to a millisecond."""
+        return -((-now["last"] - self.quiet_us) // 1000) if now["open"] else None
 
-    def _close(self, key, now: dict) -> dict:
+    def _close(self, key, now: dict) -> Row:
         now["revision"] += 1
         now["open"] = False
-        stamp = lambda us: pd.Timestamp(us, unit="us")
-        return {"folder": key[0], "revision": now["revision"], "start": stamp(now["start"]), "last": stamp(now["last"]),
-                "n_files": now["n_files"], "n_bytes": now["n_bytes"]}
+        stamp = lambda us: EPOCH + dt.timedelta(microseconds=us)
+        return Row(folder=key[0], revision=now["revision"], start=stamp(now["start"]), last=stamp(now["last"]),
+                   n_files=now["n_files"], n_bytes=now["n_bytes"])
 
 
 def watch_folders(
@@ -103,7 +114,7 @@ def watch_folders(
         F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("size"), at.alias("_at"),
     ).where("folder IS NOT NULL AND file IS NOT NULL AND _at IS NOT NULL").withWatermark("_at", late)
     rows = rows.withColumn("clock", F.unix_micros("_at"))
-    return rows.groupBy("folder").transformWithStateInPandas(
+    return rows.groupBy("folder").transformWithState(
         statefulProcessor=FolderState(quiet_seconds * 1_000_000), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 

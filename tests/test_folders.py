@@ -83,3 +83,59 @@ def test_empty_stream_and_ties(spark):
     notices(spark, [("a", "x", 1, 0)] * 3 + [("a", "y", 2, 0), ("b", "x", 1, 90)]).write.parquet(src)
     watch(spark, src, out, fresh_path(spark, "progress"))
     assert found(spark.read.parquet(out)) == [("a", 1, 0, 0, 2, 3)]
+
+
+class Counted:
+    """State of one folder that counts the messages a state server would get."""
+
+    def __init__(self):
+        self.calls, self.value, self.files, self.timers = 0, None, {}, []
+
+    def getMapState(self, *_):
+        counted = lambda f: lambda *a: (setattr(self, "calls", self.calls + 1), f(*a))[1]
+        return type("Map", (), {"getValue": staticmethod(counted(self.files.get)), "updateValue": staticmethod(counted(self.files.__setitem__))})
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_a_folder_asks_its_state_only_for_what_can_have_changed():
+    from pyspark.sql import Row
+    state, folder = Counted(), fo.FolderState(10_000_000)
+    folder.init(state)
+    polls = lambda at, size, n: [Row(clock=at * 1_000_000, file=f"f{i}", size=size) for i in range(n)]
+    assert list(folder.handleInputRows(("a",), iter(polls(0, 5, 5)), None)) == [] and state.timers == [10_000]
+    assert state.calls == 1 + 5 + 1 + 1  # before, five more to ask for files of a folder never seen, and two for folder and timers
+    state.calls = 0
+    assert list(folder.handleInputRows(("a",), iter(polls(5, 5, 5)), None)) == [] and state.timers == [10_000]
+    assert state.calls == 1 + 5  # nothing changed, nothing written
+    got = list(folder.handleInputRows(("a",), iter(polls(20, 6, 1)), None))
+    assert [(r.revision, r.n_files, r.n_bytes) for r in got] == [(1, 5, 25)] and state.timers == [30_000]
+
+
+def test_times_do_not_depend_on_the_time_zone_of_the_session(spark):
+    src, out = fresh_path(spark, "zone"), fresh_path(spark, "out")
+    notices(spark, [r for b in BATCHES for r in b]).write.parquet(src)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        watch(spark, src, out, fresh_path(spark, "progress"))
+        got = spark.read.parquet(out).select("folder", "revision", F.unix_micros("last").alias("last")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    zero = int(ZERO.replace(tzinfo=dt.timezone.utc).timestamp())
+    assert sorted((r.folder, r.revision, r.last // 1_000_000 - zero) for r in got) == [(f, n, last) for f, n, _, last, _, _ in WANT]
