@@ -14,6 +14,7 @@ from cellweave.operators.frames import predicate_sql
 from cellweave.operators.ordered import (
     attach_one_row, attach_small, clean, cumulative_counts, neighbour_rows, ordered_fill, quantiles, running_sum, small_table, value_counts,
 )
+from cellweave.session import durable
 
 
 # --- histograms --------------------------------------------------------------------------------
@@ -260,12 +261,20 @@ def quantile_pairs(df: DataFrame, sample: str, value: str, first: object, second
     return q.groupBy("p").agg(pick(first).alias("q1"), pick(second).alias("q2"))
 
 
-def tail_means(df: DataFrame, by: Sequence[str], value: str, p0: float, p1: float) -> DataFrame:
-    """Mean of the values at or below the low and at or above the high quantile."""
-    lim = value_limits(df, by, value, [p0, p1])
-    v = F.col(value)
-    return attach_small(clean(df, value), lim, by).groupBy(*by).agg(
-        F.avg(F.when(v <= F.col("lo"), v)).alias("low_mean"), F.avg(F.when(v >= F.col("hi"), v)).alias("high_mean"))
+def tail_means(
+    df: DataFrame, by: Sequence[str], value: str, p0: float, p1: float, counts: DataFrame | None = None
+) -> DataFrame:
+    """Mean of the values at or below the low and at or above the high quantile, as doubles.
+
+    The rows are read once, for the stored value counts; ``counts`` hands them over where the caller has them.
+    """
+    counts = durable(value_counts(df, by, value)) if counts is None else counts
+    q = quantiles(df, by, value, [p0, p1], wide=True, counts=counts)
+    lim = q.select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    v = F.col(value).cast("double")
+    mean = lambda inside: F.sum(F.when(inside, v * F.col("n"))) / F.sum(F.when(inside, F.col("n")))
+    return attach_small(counts, lim, by).groupBy(*by).agg(
+        mean(v <= F.col("lo")).alias("low_mean"), mean(v >= F.col("hi")).alias("high_mean"))
 
 
 def unpivot_markers(df: DataFrame, ids: Sequence[str], markers: Sequence[str]) -> DataFrame:
@@ -273,11 +282,12 @@ def unpivot_markers(df: DataFrame, ids: Sequence[str], markers: Sequence[str]) -
 
 
 def anchors(long: DataFrame, by: Sequence[str], value: str, tails: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """A16 without the mixture peaks: ``(by, anchor, value)`` with min, max and tail means."""
-    lim = value_limits(long, by, value)
+    """A16 without the mixture peaks: ``(by, anchor, value)`` with min, max and tail means, all from one reading of the rows."""
+    counts = durable(value_counts(long, by, value))
+    lim = value_limits(counts, by, value)
     rows = [lim.unpivot(list(by), ["lo", "hi"], "anchor", "value").replace({"lo": "min", "hi": "max"}, subset="anchor")]
     for name, (p0, p1) in tails.items():
-        t = tail_means(long, by, value, p0, p1).withColumnsRenamed({"low_mean": f"{name}_low", "high_mean": f"{name}_high"})
+        t = tail_means(long, by, value, p0, p1, counts).withColumnsRenamed({"low_mean": f"{name}_low", "high_mean": f"{name}_high"})
         rows.append(t.unpivot(list(by), [f"{name}_low", f"{name}_high"], "anchor", "value"))
     out = rows[0]
     for r in rows[1:]:

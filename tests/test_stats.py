@@ -184,3 +184,29 @@ def test_large_groups_keep_a_key_named_like_the_helper(spark):
     probs = [0.1, 0.5, 0.9]
     few, many = (od.group_quantiles(counts, ["_all"], "v", probs, most).collect() for most in (1000, 10))
     assert [tuple(r) for r in few] == [tuple(r) for r in many]
+
+
+def counted_rows(spark, pairs):
+    """Rows ``(s, v)`` that count each time they are read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(s, None if v is None else float(v)) for s, v in pairs], "s string, v double")
+    return rows.mapInPandas(through, "s string, v double"), read
+
+
+def test_anchors_read_the_rows_once(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(s, v) for s in "ab" for v in rng.integers(0, 40, 300)] + [("a", None), ("b", float("nan"))]
+    rows, read = counted_rows(spark, pairs)
+    got = {(r.s, r.anchor): r.value for r in st.anchors(rows, ["s"], "v", {"t5": (0.05, 0.95)}).collect()}
+    for s in "ab":
+        v = np.array([v for g, v in pairs if g == s and v is not None and v == v], dtype=float)
+        lo, hi = np.quantile(v, [0.05, 0.95])
+        want = {"min": v.min(), "max": v.max(), "t5_low": v[v <= lo].mean(), "t5_high": v[v >= hi].mean()}
+        assert all(np.isclose(got[s, k], w) for k, w in want.items())
+    assert read.value == len(pairs)
