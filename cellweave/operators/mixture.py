@@ -42,7 +42,7 @@ def _settled(df: DataFrame, stem: str) -> DataFrame:
 
 
 def mixture_states(
-    long: DataFrame, by: Sequence[str], value: str, k: int = 2, tol: float = 1e-3
+    long: DataFrame, by: Sequence[str], value: str, k: int = 2, tol: float = 1e-3, weight: str | None = None
 ) -> DataFrame:
     """One mixture per group, all groups fitted together on all rows: ``(by, parts)``, an array of ``(m, w, s)`` by mean.
 
@@ -51,13 +51,13 @@ def mixture_states(
     only the number of open groups reaches the driver. A group is done when its likelihood gains less than
     ``tol`` a row; as a round never lowers it, that comes for every group. The start is quantiles and the
     overall variance, so it is deterministic; other solvers start elsewhere and agree within a tolerance.
-    Null, NaN and infinite values are left out; a group without any other has no mixture. Where sums of squares leave the
+    ``weight`` names a count of equal rows. Null, NaN and infinite values are left out; a group without any other has no mixture. Where sums of squares leave the
     range of doubles the likelihood is no number, which stops the job.
     """
     keys = list(by) or ["_all"]
     src = long.withColumn("_v", F.col(value).cast("double")).where(F.abs("_v") < F.lit(float("inf")))
     src = src if by else src.withColumn("_all", F.lit(0))
-    counts = durable(value_counts(src, keys, "_v"))
+    counts = durable(value_counts(src, keys, "_v", None if weight is None else F.col(weight)))
     probs = [(i + 0.5) / k for i in range(k)]
     mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
     start = counts.groupBy(*keys).agg(mean(F.col("_v")).alias("m"), mean(F.col("_v") * F.col("_v")).alias("m2"))
@@ -131,14 +131,15 @@ def mixture_table(long: DataFrame, by: Sequence[str], value: str, k: int = 2) ->
 
 def channel_windows(long: DataFrame, by: str, value: str, k: int = 3, top: float = 0.999) -> DataFrame:
     """Display window per channel and cut-off ``(by, i, low, high)``: ``low`` where the predicted component
-    of log1p values changes, ``high`` the ``top`` quantile of the values above it."""
+    of log1p values changes, ``high`` the ``top`` quantile of the values above it. The rows are read once, for their value counts."""
 
     @F.pandas_udf("array<double>")
     def cuts(parts: pd.Series) -> pd.Series:
         return pd.Series([[math.expm1(c) for c in cutoff_values(_mixture(p))] for p in parts])
 
-    fits = mixture_states(long.withColumn("_l", F.log1p(value)), [by], "_l", k)
+    counts = durable(value_counts(long, [by], value))
+    fits = mixture_states(counts.withColumn("_l", F.log1p(value)), [by], "_l", k, weight="n")
     lows = fits.select(by, F.posexplode(cuts("parts")).alias("i", "low")).withColumn("i", F.col("i") + 1)
-    above = attach_small(long, _settled(lows, "windows"), [by]).where(F.col(value) > F.col("low"))
-    high = quantiles(above, [by, "i", "low"], value, [top])
+    above = attach_small(counts, _settled(lows, "windows"), [by]).where(F.col(value) > F.col("low"))
+    high = quantiles(above, [by, "i", "low"], value, [top], counts=above)
     return high.select(by, "i", "low", F.col("q").alias("high"))

@@ -210,3 +210,15 @@ def test_anchors_read_the_rows_once(spark):
         want = {"min": v.min(), "max": v.max(), "t5_low": v[v <= lo].mean(), "t5_high": v[v >= hi].mean()}
         assert all(np.isclose(got[s, k], w) for k, w in want.items())
     assert read.value == len(pairs)
+
+
+def test_channel_windows_read_the_rows_once(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(np.exp(np.concatenate([rng.normal(1, 0.2, 300), rng.normal(4, 0.3, 300)])), 1)
+    pairs = [("a", x) for x in v] + [("b", x) for x in 2 * v] + [("a", None)]
+    rows, read = counted_rows(spark, pairs)
+    windows = mx.channel_windows(rows, "s", "v", 2).collect()
+    assert {r.s for r in windows} == {"a", "b"}
+    for r in windows:
+        assert np.isclose(r.high, np.quantile((v if r.s == "a" else 2 * v)[(v if r.s == "a" else 2 * v) > r.low], 0.999))
+    assert read.value == len(pairs)
