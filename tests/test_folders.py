@@ -120,7 +120,7 @@ def test_a_folder_asks_its_state_only_for_what_can_have_changed():
     folder.init(state)
     polls = lambda at, size, n: [Row(clock=at * 1_000_000, file=f"f{i}", size=size) for i in range(n)]
     assert list(folder.handleInputRows(("a",), iter(polls(0, 5, 5)), None)) == [] and state.timers == [10_000]
-    assert state.calls == 1 + 5 + 1 + 1  # before, five more to ask for files of a folder never seen, and two for folder and timers
+    assert state.calls == 1 + 5 + 1 + 1  # before, also five for files of a folder never seen, and the list of timers
     state.calls = 0
     assert list(folder.handleInputRows(("a",), iter(polls(5, 5, 5)), None)) == [] and state.timers == [10_000]
     assert state.calls == 1 + 5  # nothing changed, nothing written
