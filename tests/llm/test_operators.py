@@ -288,6 +288,31 @@ def test_many_hits_in_one_document_are_cut_in_linear_time(spark):
     assert (got.n_words, got.n_hit, got.n_items) == (100_000, 60_000, 2)
 
 
+@pytest.mark.parametrize("most", [500_000, 4, 0])
+def test_decontamination_takes_words_once(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", most)
+    bench = spark.createDataFrame([(k, f"item {k} of five") for k in range(5)], "item_id long, text string")
+    texts = [(k, f"no. {k}: Item {k} of FIVE, 3 of five") for k in range(7)] + [(7, ""), (8, None), (8, None), (9, "item 1"), (10, "item 2 of five")]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    df = docs_of(spark, texts).withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(df, bench).collect())
+    assert read.value == len(texts)
+    hit = [(k, 9, 4 if k < 5 else 0, int(k < 5)) for k in range(7)]
+    assert got == hit + [(7, 0, 0, 0), (8, 0, 0, 0), (8, 0, 0, 0), (9, 2, 0, 0), (10, 4, 4, 1)]
+
+
+def test_decontamination_words(spark):
+    signs = [chr(c) for c in range(1, 0x250)] + ["\u0130", "\u212a", "\u3000", "\U0001f600"]
+    df = spark.createDataFrame([(f"a{c}b",) for c in signs], "text string")
+    got = {r.text: r.w for r in df.select("text", decontaminate.words(F.col("text")).alias("w")).collect()}
+    assert all(got[f"a{c}b"] == ([f"a{c}b"] if c.isalnum() or ord(c) > 127 else ["a", "b"]) for c in signs)
+
+
 def test_language_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "abc def", "aa", 7.5, "no", "x")], "doc_id long, text string, lang string, score double, rejected string, lang_pred string")
     model = langid.fit(df)
