@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -328,3 +330,34 @@ def test_copies_of_a_shape_are_searched_once(spark, monkeypatch, small, cell):
     want = sp.include_exclude(pts, hits, "id", F.col("roi_text").contains("exclude")).select("id", "selected").collect()
     picked = sp.select_by_shapes(pts, many, cell, "id", F.col("Text").contains("exclude")).select("id", "selected").collect()
     assert sorted(picked) == sorted(want) and {r.selected for r in picked} == {True, False}
+
+
+def crowd(spark, n=150, points=20_000):
+    """Shapes of different outline that lie over each other, points at different places, three slides."""
+    c = lambda k: f"round(id * 0.17D + {k}, 4)"
+    rois = spark.range(n).selectExpr(
+        "id Id", "if(id % 4 = 0, null, concat('n', id)) Name", "if(id % 5 = 0, 'exclude', 'include') Text", "element_at(array('Polygon', 'Rectangle', 'Ellipse'), cast(id % 3 + 1 as int)) type",
+        f"concat({c(0)}, ',', {c(0)}, ' ', {c(9)}, ',', {c(1)}, ' ', {c(4)}, ',', {c(8)}) all_points", f"{c(0)} X", f"{c(0)} / 2 Y", "if(id % 3 = 2, 5.0D, -1.0D) RadiusX",
+        "if(id % 3 = 2, 3.0D, -1.0D) RadiusY", "6.0D Width", "4.0D Height", "id % 3 slide")
+    pts = spark.range(points).selectExpr("id", "id % 3 slide", "(id * 7919 % 100003) * 35 / 100003D x", "(id * 104729 % 99991) * 30 / 99991D y")
+    return pts, rois
+
+
+def crowd_hits(pts, rois, slides=False):
+    p, out = pts.toPandas(), set()
+    for r in sp.normalise_rois(rois, ["slide"]).toPandas().to_dict("records"):
+        ring = None if r["kind"] in ("ellipse", "rectangle") else tuple(np.array([q[c] for q in r["pts"]]) for c in "xy")
+        hit = inside(r["kind"], [r[c] for c in ("x0", "y0", "x1", "y1")], ring, p["x"].to_numpy(), p["y"].to_numpy())
+        out |= {(i, r["Id"]) for i in p["id"][hit & ((p["slide"] == r["slide"]).to_numpy() | (not slides))]}
+    return out
+
+
+def test_coarse_cells_leave_few_points_to_test(spark):
+    pts, rois = crowd(spark)
+    want = crowd_hits(pts, rois)
+    distinct, _ = sp.outlines(sp.normalise_rois(rois))
+    placed, near = sp.near_outlines(pts, distinct, 4.0, "x", "y", [])
+    assert placed.join(near.where("not inner"), ["_gx", "_gy"]).count() < 0.6 * len(want)  # before, each hit and some more
+    got = {(r.id) for r in sp.select_by_shapes(pts, sp.normalise_rois(rois), 4.0, "id", F.col("Text") == "exclude").where("selected").collect()}
+    out = {i for i, k in want if k % 5 == 0}
+    assert got and got == {i for i, k in want} - out
