@@ -361,3 +361,17 @@ def test_coarse_cells_leave_few_points_to_test(spark):
     got = {(r.id) for r in sp.select_by_shapes(pts, sp.normalise_rois(rois), 4.0, "id", F.col("Text") == "exclude").where("selected").collect()}
     out = {i for i, k in want if k % 5 == 0}
     assert got and got == {i for i, k in want} - out
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+@pytest.mark.parametrize("corners", [16, 2])
+def test_triangles_are_tested_without_a_loop(spark, monkeypatch, corners, small):
+    monkeypatch.setattr(sp, "CORNERS", corners)
+    monkeypatch.setattr(sp, "SMALL", small)
+    monkeypatch.setattr(sp, "MADE", 1_000 if small == 0 else 40_000_000)
+    pts, rois = crowd(spark, points=3_000)
+    hits = sp.points_in_shapes(pts, sp.normalise_rois(rois), 4.0)
+    assert ("aggregate(" in hits._jdf.queryExecution().optimizedPlan().toString()) == (corners == 2)  # before, in any case
+    rows = hits.collect()
+    assert sorted((r.id, r.roi_id) for r in rows) == sorted(crowd_hits(pts, rois))
+    assert all(r.roi_name == (None if r.roi_id % 4 == 0 else f"n{r.roi_id}") and r.roi_text == ("exclude" if r.roi_id % 5 == 0 else "include") for r in rows)
