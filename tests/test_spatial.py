@@ -375,3 +375,19 @@ def test_triangles_are_tested_without_a_loop(spark, monkeypatch, corners, small)
     rows = hits.collect()
     assert sorted((r.id, r.roi_id) for r in rows) == sorted(crowd_hits(pts, rois))
     assert all(r.roi_name == (None if r.roi_id % 4 == 0 else f"n{r.roi_id}") and r.roi_text == ("exclude" if r.roi_id % 5 == 0 else "include") for r in rows)
+
+
+def test_selection_moves_points_once(spark):
+    pts, rois = crowd(spark, points=3_000)
+    odd = spark.createDataFrame([(0, 0, 34.0, 1.0), (0, 0, 34.0, 1.0), (None, 0, 5.0, 4.0), (4, None, 5.0, 4.0), (6, 0, float("nan"), 1.0), (9, 0, None, None)], "id long, slide long, x double, y double")
+    pts, shapes = pts.unionByName(odd), sp.normalise_rois(rois, ["slide"])
+    picked = sp.select_by_shapes(pts, shapes, 4.0, ["slide", "id"], F.col("Text") == "exclude", by=["slide"])
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join LeftOuter, .*\bid#", plan) and "Window" in plan  # before, points were sorted and joined with a list of keys
+    hits = sp.points_in_shapes(pts, shapes, 4.0, by=["slide"])
+    per = hits.groupBy("slide", "id").agg(F.bool_or(F.col("roi_text") != "exclude").alias("i"), F.bool_or(F.col("roi_text") == "exclude").alias("e"))
+    want = pts.join(per, ["slide", "id"], "left").selectExpr("slide", "id", "x", "y", "coalesce(i and not e, false) selected")
+    text = lambda df: sorted(map(str, df.select("slide", "id", "x", "y", "selected").collect()))
+    assert text(picked) == text(want) and picked.where("selected").count() > 100
+    sel = sp.include_exclude(pts, hits, ["slide", "id"], F.col("roi_text") == "exclude")
+    assert text(sel) == text(want)
