@@ -391,3 +391,21 @@ def test_selection_moves_points_once(spark):
     assert text(picked) == text(want) and picked.where("selected").count() > 100
     sel = sp.include_exclude(pts, hits, ["slide", "id"], F.col("roi_text") == "exclude")
     assert text(sel) == text(want)
+
+
+def test_columns_of_shapes_are_made_once_for_a_pair_of_images(spark):
+    manifest = spark.range(50).selectExpr("id row_num", "1 image_id_1", "2 image_id_2")
+    move = spark.range(1).selectExpr("1 image_id_1", "2 image_id_2").withColumn("m", af.scale(2.0))
+    p = F.array(F.struct(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")))
+    marks = spark.range(30).select(F.lit(1).alias("image_id"), F.col("id").alias("shape"), p.alias("pts"))
+    mapped, _ = sh.map_shapes(manifest, move, marks, made=["shape", F.round(F.col("pts")[0].x, 1).alias("x0")])
+    assert "round(" not in mapped._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.row_num, r["shape"], r.x0) for r in mapped.select("row_num", "shape", "x0").collect()) == [(i, k, 2.0 * k) for i in range(50) for k in range(30)]
+
+
+def test_the_plan_maps_whole_shapes_without_rounding_each_row(spark):
+    from bindings import plans_q
+
+    d = "/root/testdata/sf0.001"
+    plan = plans_q.plan_shapes(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan  # before, each mapped row was rounded
