@@ -409,3 +409,18 @@ def test_the_plan_maps_whole_shapes_without_rounding_each_row(spark):
     d = "/root/testdata/sf0.001"
     plan = plans_q.plan_shapes(spark, d)._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan  # before, each mapped row was rounded
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_locations_ask_few_cells(spark, monkeypatch, copies):
+    """Rows that move for edges: four cells a location and its copies for the chunks of its own cell, not nine cells times chunks."""
+    monkeypatch.setattr(sp, "PAIRED", 40)
+    rng = np.random.default_rng(5)
+    xy = np.repeat(rng.normal(0, 0.125, (400, 2)), copies, axis=0)
+    moved, spread = [], sp.spread_by_number
+    monkeypatch.setattr(sp, "spread_by_number", lambda df, keys: moved.append(df) or spread(df, keys))
+    edges = sp.radius_neighbours(frame(spark, xy), 0.05, "id")
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    want = {(i, j) for i, j in zip(*np.nonzero(d <= 0.05)) if i != j}
+    assert {(r.src, r.dst) for r in edges.collect()} == want and edges.count() == len(want)
+    assert sum(df.count() for df in moved) < 8 * 400  # before, 9 asked cells alone
