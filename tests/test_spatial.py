@@ -424,3 +424,14 @@ def test_locations_ask_few_cells(spark, monkeypatch, copies):
     want = {(i, j) for i, j in zip(*np.nonzero(d <= 0.05)) if i != j}
     assert {(r.src, r.dst) for r in edges.collect()} == want and edges.count() == len(want)
     assert sum(df.count() for df in moved) < 8 * 400  # before, 9 asked cells alone
+
+
+def test_lists_of_cells_are_stored_and_not_of_points(spark, monkeypatch):
+    stored, keep = [], sp.durable
+    monkeypatch.setattr(sp, "CELLS", 256)
+    monkeypatch.setattr(sp, "durable", lambda df: stored.append(keep(df)) or stored[-1])
+    pts, rois = crowd(spark)
+    want = crowd_hits(pts, rois)
+    hits = sp.points_in_shapes(pts, sp.normalise_rois(rois), 0.002)
+    assert sorted((r.id, r.roi_id) for r in hits.select("id", "roi_id").collect()) == sorted(want)
+    assert max(df.count() for df in stored) < 0.1 * len(want)  # before, a row for each point and outline near it
