@@ -435,3 +435,15 @@ def test_lists_of_cells_are_stored_and_not_of_points(spark, monkeypatch):
     hits = sp.points_in_shapes(pts, sp.normalise_rois(rois), 0.002)
     assert sorted((r.id, r.roi_id) for r in hits.select("id", "roi_id").collect()) == sorted(want)
     assert max(df.count() for df in stored) < 0.1 * len(want)  # before, a row for each point and outline near it
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_hits_are_not_moved_for_their_names(spark, monkeypatch, small):
+    monkeypatch.setattr(sp, "SMALL", small)
+    pts, rois = crowd(spark, points=3_000)
+    copies = rois.unionByName(rois.withColumn("Id", F.col("Id") + 300))
+    hits = sp.points_in_shapes(pts, sp.normalise_rois(copies, ["slide"]), 4.0, by=["slide"])
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # before, names were joined to the hits
+    want = crowd_hits(pts, rois, True)
+    assert sorted((r.id, r.roi_id) for r in hits.collect()) == sorted(want | {(i, k + 300) for i, k in want})
