@@ -403,11 +403,14 @@ def test_columns_of_shapes_are_made_once_for_a_pair_of_images(spark):
     assert sorted((r.row_num, r["shape"], r.x0) for r in mapped.select("row_num", "shape", "x0").collect()) == [(i, k, 2.0 * k) for i in range(50) for k in range(30)]
 
 
-def test_the_plan_maps_whole_shapes_without_rounding_each_row(spark):
+def test_the_plan_maps_whole_shapes_without_rounding_each_row(spark, tmp_path):
     from bindings import plans_q
 
-    d = "/root/testdata/sf0.001"
-    plan = plans_q.plan_shapes(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    spark.range(40).selectExpr("id c_custkey", "cast(id % 3 as int) c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(9).selectExpr("id s_suppkey", "cast(id % 3 as int) s_nationkey", "id / 7D s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    mapped = plans_q.plan_shapes(spark, str(tmp_path))
+    assert mapped.count() == 3 * sum(i % 7 != 3 for i in range(40))
+    plan = mapped._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan  # before, each mapped row was rounded
 
 
@@ -419,7 +422,8 @@ def test_locations_ask_few_cells(spark, monkeypatch, copies):
     xy = np.repeat(rng.normal(0, 0.125, (400, 2)), copies, axis=0)
     moved, spread = [], sp.spread_by_number
     monkeypatch.setattr(sp, "spread_by_number", lambda df, keys: moved.append(df) or spread(df, keys))
-    edges = sp.radius_neighbours(frame(spark, xy), 0.05, "id")
+    far = frame(spark, [(np.inf, 0), (np.inf, 0), (0, -np.inf), (1e300, 0)]).withColumn("id", F.col("id") + 9_000)  # in no disc
+    edges = sp.radius_neighbours(frame(spark, xy).unionByName(far), 0.05, "id")
     d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
     want = {(i, j) for i, j in zip(*np.nonzero(d <= 0.05)) if i != j}
     assert {(r.src, r.dst) for r in edges.collect()} == want and edges.count() == len(want)
